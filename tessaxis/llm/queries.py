@@ -2,14 +2,13 @@
 
 import hashlib
 
-import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tessaxis.llm import bpe_codec, decontaminate, exact_dedup, token_counts
-from tessaxis.llm.common import table
+from tessaxis.llm import bpe_codec, chat_format, decontaminate, exact_dedup, html_extract, token_counts, toxicity
+from tessaxis.llm.common import crc_mod, table
 
 
 def _bpe() -> tuple[str, str]:
@@ -18,6 +17,38 @@ def _bpe() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def _tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def chat_digests(df: DataFrame, controls: list[str]) -> DataFrame:
+    """Digests of formatted conversations, read back from the texts and masks."""
+
+    def run(batches):
+        r = chat_format.Renderer(chat_format.Template(), controls)
+        for pdf in batches:
+            rows = []
+            for conv, text, starts, ends, mask in zip(pdf["conv_id"], pdf["formatted"], pdf["token_starts"], pdf["token_ends"], pdf["loss_mask"], strict=True):
+                turns = r.read(text)
+                learned = "".join(r.unescape(text[a:b]) for a, b in chat_format.masked_spans(starts, ends, mask))
+                told = "".join(f"{role}\n{said}\n" for role, said in turns)
+                rows.append((conv, len(turns), hashlib.sha256(told.encode()).hexdigest(), len(learned), hashlib.sha256(learned.encode()).hexdigest(), len(text)))
+            yield pd.DataFrame(rows, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+
+    kind = df.schema["conv_id"].dataType.simpleString()
+    return df.mapInPandas(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+
+
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one whose texts hold control strings."""
+    said = r"\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat_digests(chat_format.format_conversations(rows, _tokenizer()), chat_format.special_tokens(_tokenizer()))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three edits per document, placed by checksums of its id: a cut, an insertion and a replacement."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -57,11 +88,30 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.label_copies(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op4_decontamination, op6_bpe_codec, op7_exact_dedup)}
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extract.extract(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(crc_mod("doc_id", 5) != 0)
+    scored = toxicity.score(docs, toxicity.fit(docs, labels))
+    return scored.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_token_counts, op4_decontamination, op6_bpe_codec, op7_exact_dedup, op8_html_extract, op9_toxicity)}
 
 _ASCII = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES = {
+    "op1_chat_format": r"""
+WITH rows AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok'))),
+g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS told,
+  coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS learned,
+  sum(19 + length(role) + length(text) + len(regexp_extract_all(role, '<\\*(/?turn>|text>|\|endoftext\|>)')) + len(regexp_extract_all(text, '<\\*(/?turn>|text>|\|endoftext\|>)')))::BIGINT AS formatted_chars FROM rows GROUP BY conv_id)
+SELECT conv_id::BIGINT AS conv_id, n_turns, sha256(told) AS turns_sha256, length(learned) AS loss_chars, sha256(learned) AS loss_sha256, formatted_chars FROM g""",
     "op4_decontamination": rf"""
 WITH docs AS (SELECT doc_id, list_filter(regexp_split_to_array({_ASCII}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM documents),
 items AS (SELECT item_id, list_filter(regexp_split_to_array({_ASCII}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM benchmark),
