@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessaxis.llm import bpe_codec, chat_format, decontaminate, exact_dedup, html_extract, token_counts, toxicity
+from tessaxis.llm import bpe_codec, chat_format, decontaminate, exact_dedup, html_extract, jaccard_join, token_counts, toxicity
 from tessaxis.llm.common import crc_mod, table
 
 
@@ -65,6 +65,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def bpe_digests(df: DataFrame) -> DataFrame:
     """Digests of encoded and decoded rows."""
 
@@ -100,7 +104,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_token_counts, op4_decontamination, op6_bpe_codec, op7_exact_dedup, op8_html_extract, op9_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_token_counts, op4_decontamination, op5_jaccard_join, op6_bpe_codec, op7_exact_dedup, op8_html_extract, op9_toxicity)}
 
 _ASCII = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
