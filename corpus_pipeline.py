@@ -1,11 +1,63 @@
-"""The corpus pipeline: toxicity, exact copies, near copies, benchmark passages, token ids."""
+"""The corpus pipeline: toxic documents go, of exact and near copies one document stays, documents with benchmark
+passages go, and the rest is encoded. All stages but the last return the columns of documents; each works on all rows
+that the stage before it kept. Clean documents are never dropped."""
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from tessaxis.llm import bpe_codec, decontaminate, exact_dedup, jaccard_join, toxicity
+from tessaxis.llm.common import crc_mod, table, written
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the model, learned from the labels of the other fifths, scores under 0.5."""
+    labels = table(spark, sf_dir, "labels").where(crc_mod("doc_id", 5) != 0)
+    scored = toxicity.score(docs, toxicity.fit(docs, labels), out="_score")
+    return scored.where("_score < 0.5").select(*docs.columns)
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact_dedup.drop_copies(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of each component; documents with no links and without doc_id stay."""
+    labels = jaccard_join.near_duplicates(docs)
+    gone = written(labels.where("doc_id <> component_id").select("doc_id"))
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
+    gone = written(found.where("contaminated").select("doc_id"))
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, the number of token ids and digests of the ids and of the decoded bytes."""
+    from tessaxis.llm.queries import bpe_digests
+
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    return bpe_digests(bpe_codec.decode(bpe_codec.encode(docs.select("doc_id", "text"), *ranks), *ranks))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_exact_copies),
+    ("jaccard_join", drop_near_copies),
+    ("decontamination", drop_contaminated),
+    ("bpe_codec", encode),
+]
+
+#: The toxicity model and the encoder have no SQL form; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each stage's result is written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = written(docs)
     return docs

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessaxis.llm import bpe_codec, chat_format, decontaminate, exact_dedup, html_extract, jaccard_join, token_counts, toxicity
+from tessaxis.llm import bpe_codec, chat_format, decontaminate, exact_dedup, html_extract, jaccard_join, suffix_tree_lm, token_counts, toxicity
 from tessaxis.llm.common import crc_mod, table
 
 
@@ -60,6 +60,13 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_tokens", "n_tokens_after", "encoded_chars", "edit_chars", F.sha2("edited_text", 256).alias("edited_sha256"))
 
 
+def op3_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = suffix_tree_lm.fit(docs.where(crc_mod("doc_id", 7).isin(0, 1, 3, 4, 5, 6)))
+    scored = suffix_tree_lm.score(docs, model)
+    return scored.select("doc_id", (crc_mod("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", F.lit(model[2]).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -104,7 +111,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_token_counts, op4_decontamination, op5_jaccard_join, op6_bpe_codec, op7_exact_dedup, op8_html_extract, op9_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_token_counts, op3_suffix_tree_lm, op4_decontamination, op5_jaccard_join, op6_bpe_codec, op7_exact_dedup, op8_html_extract, op9_toxicity)}
 
 _ASCII = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
