@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessaxis.llm import bpe_codec, chat_format, decontaminate, exact_dedup, html_extract, jaccard_join, suffix_tree_lm, token_counts, toxicity
+from tessaxis.llm import bpe_codec, chat_format, decontaminate, exact_dedup, html_extract, jaccard_join, suffix_dedup, suffix_tree_lm, token_counts, toxicity
 from tessaxis.llm.common import crc_mod, table
 
 
@@ -111,7 +111,13 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_token_counts, op3_suffix_tree_lm, op4_decontamination, op5_jaccard_join, op6_bpe_codec, op7_exact_dedup, op8_html_extract, op9_toxicity)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    n_removed = F.col("n_bytes") - F.length("kept")
+    return found.select("doc_id", "n_bytes", n_removed.cast("long").alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_token_counts, op3_suffix_tree_lm, op4_decontamination, op5_jaccard_join, op6_bpe_codec, op7_exact_dedup, op8_html_extract, op9_toxicity, op10_suffix_dedup)}
 
 _ASCII = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
