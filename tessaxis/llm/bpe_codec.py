@@ -11,9 +11,11 @@ through; an output column replaces an input column of its name.
 import base64
 import re
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -22,7 +24,7 @@ WHITE_SPACE = r"\t\n\x0b\x0c\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\
 #: A place where a text can be cut: between another character and white space.
 SAFE = re.compile(f"(?<=[^{WHITE_SPACE}])(?=[{WHITE_SPACE}])")
 
-PART_CHARS, BATCH_BYTES = 1 << 16, 8 << 20
+PART_CHARS, SLICE = 1 << 16, 1 << 20
 _codecs: dict = {}
 
 
@@ -30,15 +32,20 @@ class Codec:
     """Encoder and decoder of one rank file; one per Python worker, see codec()."""
 
     def __init__(self, rank_path: str, pattern: str):
-        import tiktoken
-
         with open(rank_path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encoding = tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.bytes_of = [b""] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
+            self._ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self._pattern = pattern
+        self.bytes_of = [b""] * (max(self._ranks.values()) + 1)
+        for token, rank in self._ranks.items():
             self.bytes_of[rank] = token
 
+    @cached_property
+    def encoding(self):
+        """The library's encoder; decoding does without it."""
+        import tiktoken
+
+        return tiktoken.Encoding("local", pat_str=self._pattern, mergeable_ranks=self._ranks, special_tokens={})
+
     def encode(self, text: str | None) -> np.ndarray:
         """The ids of a text, without special tokens, as the library's encode_ordinary gives them."""
         parts = [self.encoding.encode_to_numpy(x, disallowed_special=()) for x in safe_parts(text or "", PART_CHARS)]
@@ -64,15 +71,21 @@ def codec(rank_path: str, pattern: str) -> Codec:
     return _codecs[rank_path, pattern]
 
 
-def in_batches(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Each batch in slices of some MB, with the slice's values of one column."""
+def in_slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Each batch in slices of about `most` bytes or list items of one column, so that few become Python objects at a time."""
     for batch in batches:
-        values, start, size = batch.column(column).to_pylist(), 0, 0
-        for i, x in enumerate(values, 1):
-            size += len(x) if x is not None else 0
-            if size >= BATCH_BYTES or i == len(values):
-                yield batch.slice(start, i - start), values[start:i]
-                start, size = i, 0
+        values = batch.column(column)
+        sizes = pc.list_value_length(values) if pa.types.is_list(values.type) else pc.binary_length(values)
+        total, start = np.cumsum(sizes.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+        while start < len(total):
+            done = total[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(total, done + most, "right")))
+            yield batch.slice(start, end - start)
+            start = end
+
+
+def id_list(ids: pa.ListScalar) -> list[int]:
+    return ids.values.to_numpy().tolist() if ids.is_valid else []
 
 
 def _with(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
@@ -89,8 +102,8 @@ def encode(df: DataFrame, rank_path: str, pattern: str, text: str = "text", ids:
 
     def run(batches):
         c = codec(rank_path, pattern)
-        for batch, texts in in_batches(batches, text):
-            lists = [c.encode(x).astype(np.int32) for x in texts]
+        for batch in in_slices(batches, text):
+            lists = [c.encode(x.as_py()).astype(np.int32) for x in batch.column(text)]
             ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
             yield _put(batch, ids, pa.ListArray.from_arrays(ends, np.concatenate([np.array([], np.int32), *lists])))
 
@@ -102,7 +115,7 @@ def decode(df: DataFrame, rank_path: str, pattern: str, ids: str = "token_ids",
 
     def run(batches):
         c = codec(rank_path, pattern)
-        for batch, lists in in_batches(batches, ids):
-            yield _put(batch, decoded, pa.array([c.decode(x or []) for x in lists], pa.binary()))
+        for batch in in_slices(batches, ids):
+            yield _put(batch, decoded, pa.array([c.decode(id_list(x)) for x in batch.column(ids)], pa.binary()))
 
     return df.mapInArrow(run, _with(df, decoded, T.BinaryType()))

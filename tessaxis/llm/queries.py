@@ -4,6 +4,7 @@ import hashlib
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,11 +81,12 @@ def bpe_digests(df: DataFrame) -> DataFrame:
     """Digests of encoded and decoded rows."""
 
     def run(batches):
-        for batch in batches:
-            ids = batch.column("token_ids").to_pylist()
-            told = [hashlib.sha256(" ".join(map(str, x or [])).encode()).hexdigest() for x in ids]
-            decoded = [hashlib.sha256(x or b"").hexdigest() for x in batch.column("decoded").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x or []) for x in ids], pa.int64()), pa.array(told), pa.array(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        for batch in bpe_codec.in_slices(batches, "token_ids"):
+            ids = batch.column("token_ids")
+            told = [hashlib.sha256(" ".join(map(str, bpe_codec.id_list(x))).encode()).hexdigest() for x in ids]
+            decoded = [hashlib.sha256(x.as_py() or b"").hexdigest() for x in batch.column("decoded")]
+            n = pc.list_value_length(ids).fill_null(0).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), n, pa.array(told), pa.array(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = df.schema["doc_id"].dataType.simpleString()
     return df.select("doc_id", "token_ids", "decoded").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
