@@ -1,4 +1,750 @@
-"""Registered queries of the detection and orientation operators."""
+"""Registered queries of the detection and orientation operators, with SQL for those that SQL can express.
+
+Names begin with the operators' ids. Doubles whose sums depend on order are rounded in both.
+"""
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessaxis.functions import axial, geometry
+from tessaxis.operators import coco, datasets, masks, nms, orientation, spatial, spectrum, sweeps, texture, tiles
+from tessaxis.plans import fixtures as fx
+from tessaxis.plans import pipeline
+from tessaxis.sources import layers
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+DET = """fx_detections AS (SELECT k AS det_id, k // 4000 AS scene_id, x0, y0, x0 + w AS x1, y0 + h AS y1, w, h, score, (k % 3)::INT AS category_id FROM (
+  SELECT o_orderkey AS k, ((o_orderkey * o_orderkey * 7919 + o_orderkey * 104729 + 12345) % 1000003)::DOUBLE / 1000003 * 2000 AS x0,
+    ((o_orderkey * o_orderkey * 6007 + o_orderkey * 130363 + 777) % 1000003)::DOUBLE / 1000003 * 2000 AS y0, (4 + (o_orderkey * 31) % 21)::DOUBLE AS w, (4 + (o_orderkey * 17) % 21)::DOUBLE AS h,
+    0.05::DOUBLE + ((o_orderkey * 48271) % 9001)::DOUBLE / 10000 AS score FROM orders))"""
+ANG = """fx_angles AS (SELECT event_id AS det_id, user_id, event_type, CASE WHEN event_id % 97 = 0 THEN NULL WHEN event_type = 'purchase' THEN (125 + (event_id * 7) % 21)::DOUBLE
+  ELSE ((event_id * event_id * 7919 + event_id * 31337 + 99) % 18000)::DOUBLE / 100 END AS angle180, 1 + (event_id % 40)::DOUBLE / 20 AS aspect_ra, 1 + (event_id % 23)::DOUBLE / 2 AS diameter_m FROM events)"""
+REF = """fx_refs AS (SELECT p_partkey AS id, (7 * p_partkey + 1) // 4000 AS scene_id, ((k * k * 7919 + k * 104729 + 12345) % 1000003)::DOUBLE / 1000003 * 2000 + ((p_partkey % 5)::DOUBLE - 2) * 0.5 AS x,
+    ((k * k * 6007 + k * 130363 + 777) % 1000003)::DOUBLE / 1000003 * 2000 + ((p_partkey % 5)::DOUBLE - 2) * 0.5 AS y, (4 + p_size % 12)::DOUBLE AS dia FROM (SELECT *, 7 * p_partkey + 1 AS k FROM part))"""
+RECT = "fx_rects AS (SELECT c_custkey AS det_id, (3 + c_custkey % 9)::INT AS mh, (3 + c_custkey % 7)::INT AS mw FROM customer)"
+PIX = RECT + """, fx_pixels AS (SELECT det_id, r AS row, c AS col, mh, mw, CASE WHEN r = 0 OR c = 0 OR r = mh - 1 OR c = mw - 1 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS w
+  FROM (SELECT *, unnest(range(mw)) AS c FROM (SELECT *, unnest(range(mh)) AS r FROM fx_rects)))"""
+SCN = "fx_scenes AS (SELECT n_nationkey::BIGINT AS scene_id, (300 + 97 * n_nationkey)::INT AS width, (250 + 61 * n_nationkey)::INT AS height FROM nation)"
+RASTER = """fx_raster AS (SELECT (vec_id // 16) * 8 + (i - 1) // 8 AS row, (vec_id % 16) * 8 + (i - 1) % 8 AS col, least(greatest(floor(128 + 100 * embedding[i]::DOUBLE + 0.5), 0), 255)::INT AS v
+  FROM (SELECT *, unnest(range(1, 65)) AS i FROM embeddings))"""
+PROF = "fx_profile AS (SELECT vec_id AS patch_id, label, i - 1 AS bin, (i - 0.5) * 5 AS center_deg, 1 + embedding[i]::DOUBLE AS value FROM (SELECT *, unnest(range(1, 37)) AS i FROM embeddings))"
+SWEEP = """fx_sweep AS (SELECT p_partkey, (15 * (p_partkey % 12))::DOUBLE AS phi0, (10 * (p_partkey % 18))::DOUBLE AS alpha,
+  ((135 - 10 * (p_partkey % 18) * (p_partkey % 2) + p_partkey % 3 + 1800) % 180)::DOUBLE AS raw_peak FROM part)"""
+AXIAL = "abs(((({a}) % 180 + 180) % 180 - {c} + 90 + 180) % 180 - 90)"
+
+
+def axial_sql(a: str, c) -> str:
+    return AXIAL.format(a=a, c=c)
+
+
+def query(sql: str | None = None):
+    """Registers a function under its name, with its SQL."""
+
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return put
+
+
+def r(c, n: int = 6):
+    return F.round(F.col(c) if isinstance(c, str) else c, n)
+
+
+def scene_orientation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship: suppression, then per scene the count, peak and fractions of well-resolved objects' azimuths."""
+    kept = nms.nms(fx.detections(spark, sf_dir)).select("det_id", "scene_id")
+    found = fx.angles(spark, sf_dir).join(kept, "det_id")
+    good = orientation.well_resolved(found, 0.5)
+    by = ["scene_id"]
+    return orientation.scene_fractions(good, by).join(orientation.peaks(orientation.density(good, by), by), by)
+
+
+QUERIES["scene_orientation"] = scene_orientation
+
+
+# Scans and sinks
+
+
+@query(f"WITH {DET} SELECT scene_id, count(*) AS n, min(x0) AS xmin, max(x1) AS xmax, min(y0) AS ymin, max(y1) AS ymax FROM fx_detections GROUP BY 1")
+def a2_layer_bounds(spark, sf_dir):
+    b = fx.detections(spark, sf_dir).select("scene_id", "bbox.*")
+    return b.groupBy("scene_id").agg(F.count("*").alias("n"), F.min("xmin").alias("xmin"), F.max("xmax").alias("xmax"), F.min("ymin").alias("ymin"), F.max("ymax").alias("ymax"))
+
+
+@query(f"WITH {DET} SELECT det_id, x0 AS xmin, y0 AS ymin FROM fx_detections WHERE x0 <= 900 AND x1 >= 300 AND y0 <= 700 AND y1 >= 200")
+def a3_box_scan(spark, sf_dir):
+    return layers.in_box(fx.detections(spark, sf_dir), 300, 200, 900, 700).select("det_id", F.col("bbox.xmin").alias("xmin"), F.col("bbox.ymin").alias("ymin"))
+
+
+@query()
+def a4_sample(spark, sf_dir):
+    return layers.sample_n(fx.detections(spark, sf_dir), 500, "det_id", 3).select("det_id", "score")
+
+
+@query(f"""WITH {RASTER}, h AS (SELECT (max(row) + 1) // 8 * 8 AS n, (count(*) // 64 // 16 * 8)::INT AS height FROM fx_raster),
+offs AS (SELECT height, CASE WHEN height <= 20 THEN [0] WHEN (height - 20) % 16 = 0 THEN range(0, height - 19, 16) ELSE list_append(range(0, height - 19, 16), height - 20) END AS yo, list_append(range(0, 109, 16), 108) AS xo FROM h),
+t AS (SELECT yi, xi, yo[yi] AS y0, xo[xi] AS x0, len(xo) AS nx, height FROM (SELECT *, unnest(range(1, len(xo) + 1)) AS xi FROM (SELECT *, unnest(range(1, len(yo) + 1)) AS yi FROM offs)))
+SELECT ((yi - 1) * nx + xi - 1)::BIGINT AS tile_id, x0::INT AS x0, y0::INT AS y0, sum(v)::BIGINT AS total FROM t JOIN fx_raster ON row >= y0 AND row < y0 + 20 AND col >= x0 AND col < x0 + 20 GROUP BY ALL""")
+def a1_tiles(spark, sf_dir):
+    cut = tiles.tiles(fx.scenes(spark, sf_dir), fx.blocks(spark, sf_dir), fx.BLOCK, 20, 0.2)
+    return tiles.with_statistics(cut).select("tile_id", "x0", "y0", "total")
+
+
+@query()
+def a5_valid_windows(spark, sf_dir):
+    return tiles.valid_windows(fx.scenes(spark, sf_dir), fx.blocks(spark, sf_dir), fx.BLOCK, 16, 20, std_min=5.0).select("try_id", "x0", "y0", "valid", "std")
+
+
+def _points(spark, sf_dir):
+    return fx.table(spark, sf_dir, "customer").selectExpr("0L AS scene_id", "c_custkey AS point_id", "1000 + cast((c_custkey * 37) % 260 AS double) AS x", "5000 - cast((c_custkey * 53) % 400 AS double) AS y")
+
+
+PTS = "pts AS (SELECT c_custkey AS point_id, ((c_custkey * 37) % 260) // 2 AS cc, ((c_custkey * 53) % 400) // 2 AS rr FROM customer)"
+
+
+@query(f"WITH {RASTER}, {PTS} SELECT point_id, (cc - 6)::INT AS x0, (rr - 6)::INT AS y0, coalesce(sum(v), 0)::BIGINT AS total FROM pts LEFT JOIN fx_raster ON row BETWEEN rr - 6 AND rr + 5 AND col BETWEEN cc - 6 AND cc + 5 GROUP BY ALL")
+def a6_centered_windows(spark, sf_dir):
+    cut = tiles.read_windows(tiles.centered_windows(_points(spark, sf_dir), fx.scenes(spark, sf_dir), 12), fx.blocks(spark, sf_dir), fx.BLOCK, "point_id")
+    return tiles.with_statistics(cut).select("point_id", "x0", "y0", "total")
+
+
+@query(f"""WITH {PTS}, h AS (SELECT (count(*) // 16 * 8)::INT AS height FROM embeddings)
+SELECT point_id, greatest(cc - 14, 0)::INT AS x0, greatest(rr - 14, 0)::INT AS y0, (least(cc + 14, 128) - greatest(cc - 14, 0))::INT AS sw, (least(rr + 14, height) - greatest(rr - 14, 0))::INT AS sh FROM pts, h
+WHERE least(cc + 14, 128) > greatest(cc - 14, 0) AND least(rr + 14, height) > greatest(rr - 14, 0)""")
+def a7_clamped_windows(spark, sf_dir):
+    p = _points(spark, sf_dir).selectExpr("scene_id", "point_id", "floor((x - 1000) / 2) AS cx", "floor((5000 - y) / 2) AS cy")
+    return tiles.clamped_windows(p, fx.scenes(spark, sf_dir)).select("point_id", "x0", "y0", "sw", "sh")
+
+
+@query(f"WITH {DET} SELECT det_id, category_id AS cat_id, 5 AS vertices, x1 AS first_x, y0 AS first_y FROM fx_detections")
+def a8_box_layer(spark, sf_dir):
+    layer = layers.box_layer(fx.detections(spark, sf_dir).withColumn("polygon", F.col("geometry")))
+    return layer.select("det_id", "cat_id", F.size("geometry").alias("vertices"), F.col("geometry")[0]["x"].alias("first_x"), F.col("geometry")[0]["y"].alias("first_y"))
+
+
+@query(f"WITH {DET} SELECT det_id, 'Feature' AS kind, x1 AS first_x FROM fx_detections")
+def a9_geojson_layer(spark, sf_dir):
+    lines = layers.as_geojson(layers.outline_layer(fx.detections(spark, sf_dir).withColumn("polygon", F.col("geometry"))))
+    return lines.select(F.get_json_object("value", "$.properties.det_id").cast("long").alias("det_id"), F.get_json_object("value", "$.type").alias("kind"), F.get_json_object("value", "$.geometry.coordinates[0][0][0]").cast("double").alias("first_x"))
+
+
+@query("""SELECT doc_id AS image_id, inst_id, n_vertices, sum_x, sum_y FROM (
+  SELECT doc_id, 0 AS inst_id, 4 AS n_vertices, 64 * (0.5 + 0.125 * (doc_id % 5))::DOUBLE AS sum_x, 48 * (1.0 + 0.25 * (doc_id % 4))::DOUBLE AS sum_y FROM documents
+  UNION ALL SELECT doc_id, 2, 4, 160.0::DOUBLE, 132.0::DOUBLE FROM documents)""")
+def a12_label_lines(spark, sf_dir):
+    found = datasets.parse_label_lines(fx.label_files(spark, sf_dir))
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
+    return found.select("image_id", "inst_id", F.size("polygon").alias("n_vertices"), total(geometry.xs(F.col("polygon"))).alias("sum_x"), total(geometry.ys(F.col("polygon"))).alias("sum_y"))
+
+
+# Tiles, detection rows, masks
+
+_OFFS = "CASE WHEN {s} <= 128 THEN [0] WHEN ({s} - 128) % 102 = 0 THEN range(0, {s} - 127, 102) ELSE list_append(range(0, {s} - 127, 102), {s} - 128) END"
+
+
+@query(f"""WITH {SCN}, o AS (SELECT *, {_OFFS.format(s='width')} AS xo, {_OFFS.format(s='height')} AS yo FROM fx_scenes),
+t AS (SELECT *, unnest(range(1, len(xo) + 1)) AS xi FROM (SELECT *, unnest(range(1, len(yo) + 1)) AS yi FROM o))
+SELECT scene_id, ((yi - 1) * len(xo) + xi - 1)::BIGINT AS tile_id, xo[xi]::INT AS x0, yo[yi]::INT AS y0, least(128, width - xo[xi])::INT AS sw, least(128, height - yo[yi])::INT AS sh FROM t""")
+def b2_tile_grid(spark, sf_dir):
+    return tiles.tile_grid(fx.grid_scenes(spark, sf_dir), 128, 0.2)
+
+
+@query(f"""WITH {SCN}, t AS (SELECT *, unnest(range(0, width - 31, 128)) AS x0 FROM (SELECT *, unnest(range(0, height - 31, 128)) AS y0 FROM fx_scenes))
+SELECT scene_id, count(*) AS n, sum(least(128, width - x0) * least(128, height - y0))::BIGINT AS pixels FROM t GROUP BY 1""")
+def b25_plain_grid(spark, sf_dir):
+    return tiles.plain_grid(fx.grid_scenes(spark, sf_dir), 128, 32).groupBy("scene_id").agg(F.count("*").alias("n"), F.sum(F.col("sw") * F.col("sh")).cast("long").alias("pixels"))
+
+
+@query()
+def b4_detect(spark, sf_dir):
+    cut = tiles.tiles(fx.scenes(spark, sf_dir), fx.blocks(spark, sf_dir), fx.BLOCK, 32, 0.2)
+    found = tiles.detect(cut, tiles.threshold_predictor(150, 3), min_score=0.6)
+    return found.select("tile_id", "local_id", "score", "category_id", "box.*")
+
+
+@query(f"WITH {PIX} SELECT det_id, (row // 2)::INT AS row, (col // 2)::INT AS col, sum(w) / 4 AS w FROM fx_pixels GROUP BY ALL HAVING sum(w) / 4 >= 0.5")
+def b9_block_means(spark, sf_dir):
+    return masks.block_means(fx.mask_pixels(spark, sf_dir), 2).where("w >= 0.5")
+
+
+@query(f"WITH {RECT} SELECT det_id, 0 AS row0, mh - 1 AS row1, 0 AS col0, mw - 1 AS col1 FROM fx_rects")
+def b11_pixel_boxes(spark, sf_dir):
+    return masks.pixel_boxes(fx.mask_pixels(spark, sf_dir))
+
+
+@query(f"WITH {RECT} SELECT det_id, (2 * (mh + mw) + 1)::INT AS vertices, (mh * mw - 0.5)::DOUBLE AS area FROM fx_rects")
+def b12_isolines(spark, sf_dir):
+    return masks.contours(fx.masks(spark, sf_dir), "isoline").select("det_id", F.size("polygon").alias("vertices"), r(geometry.area(F.col("polygon"))).alias("area"))
+
+
+@query(f"WITH {RECT} SELECT det_id, 4 AS vertices, ((mh - 1) * (mw - 1))::DOUBLE AS area FROM fx_rects")
+def b13_borders(spark, sf_dir):
+    return masks.contours(fx.masks(spark, sf_dir), "border").select("det_id", F.size("polygon").alias("vertices"), r(geometry.area(F.col("polygon"))).alias("area"))
+
+
+@query(f"WITH {RECT} SELECT det_id, mh * mw >= 12 AS is_valid, (mh * mw)::DOUBLE AS area, 1 AS row0, 1 AS col0 FROM fx_rects")
+def b15_valid_masks(spark, sf_dir):
+    found = masks.validity(masks.with_area(masks.kept_component(fx.masks(spark, sf_dir))), 12)
+    return masks.cropped(found).select("det_id", "is_valid", "area", "row0", "col0")
+
+
+@query(f"""WITH {DET}, d AS (SELECT det_id, score, x0 % 128 AS px, y0 % 128 AS py, x1 - x0 AS w, y1 - y0 AS h FROM fx_detections)
+SELECT det_id, px + w <= 121.6 AND px >= 6.4 AND py >= 6.4 AND py + h <= 121.6 AS is_within_slice, CASE WHEN px + w <= 121.6 AND px >= 6.4 AND py >= 6.4 AND py + h <= 121.6 THEN score ELSE 0.10 END AS score,
+  px + w + 100 AS shifted_x, (px + w) / 64 * 128 AS scaled_x FROM d""")
+def b17_slice_rules(spark, sf_dir):
+    b = F.col("bbox")
+    x, y = b["xmin"] % 128, b["ymin"] % 128
+    d = fx.detections(spark, sf_dir).withColumn("polygon", geometry.box_ring(geometry.box(x, y, x + (b["xmax"] - b["xmin"]), y + (b["ymax"] - b["ymin"]))))
+    d = d.withColumn("inside", geometry.well_inside(F.col("polygon"), 128))
+    return d.select("det_id", F.col("inside").alias("is_within_slice"), geometry.demoted(F.col("score"), F.col("inside")).alias("score"), geometry.shift(F.col("polygon"), F.lit(100), F.lit(200))[0]["x"].alias("shifted_x"), geometry.rescale(F.col("polygon"), F.lit(64), 128.0)[0]["x"].alias("scaled_x"))
+
+
+@query(f"WITH {DET} SELECT CASE category_id WHEN 0 THEN 'boulder' ELSE 'rock' END AS category_name, count(*) AS n FROM fx_detections WHERE category_id < 2 GROUP BY 1")
+def b21_named_classes(spark, sf_dir):
+    names = spark.createDataFrame([(0, "boulder"), (1, "rock")], "category_id int, category_name string")
+    return masks.by_class(fx.detections(spark, sf_dir).join(F.broadcast(names), "category_id"))
+
+
+@query(f"""WITH {DET}, d AS (SELECT det_id, det_id % 200 AS patch_id, (x0 % 64) AS cx, (y0 % 64) AS cy FROM fx_detections),
+n AS (SELECT *, row_number() OVER (PARTITION BY patch_id ORDER BY sqrt((cx - 32) * (cx - 32) + (cy - 32) * (cy - 32)), det_id) AS k FROM d)
+SELECT patch_id, det_id AS local_id FROM n WHERE k = 1 AND sqrt((cx - 32) * (cx - 32) + (cy - 32) * (cy - 32)) <= 20""")
+def b27_nearest_to_center(spark, sf_dir):
+    d = fx.detections(spark, sf_dir).selectExpr("det_id AS local_id", "det_id % 200 AS patch_id", "bbox.xmin % 64 AS cx", "bbox.ymin % 64 AS cy")
+    return masks.nearest_to_center(d, 64, 20).select("patch_id", "local_id")
+
+
+# Geometry
+
+
+@query(f"WITH {DET} SELECT det_id, round(2 * (x0 + 0.5) + 1000, 6) AS xmin, round(2 * (x1 + 0.5) + 1000, 6) AS xmax, round(5000 - 2 * (y1 + 0.5), 6) AS ymin, round(5000 - 2 * (y0 + 0.5), 6) AS ymax FROM fx_detections")
+def c1_georeference(spark, sf_dir):
+    d = fx.detections(spark, sf_dir).withColumnRenamed("geometry", "polygon").withColumn("scene_id", F.lit(0).cast("long")).drop("bbox")
+    found = masks.georeferenced(d, fx.scenes(spark, sf_dir))
+    return found.select("det_id", *(r(f"bbox.{c}").alias(c) for c in ("xmin", "xmax", "ymin", "ymax")))
+
+
+@query(f"""WITH {DET} SELECT det_id, floor((x0 - 1000) / 2)::BIGINT AS col_min, floor((y0 - 5000) / -2)::BIGINT AS row_min, floor((x1 - 1000) / 2)::BIGINT AS col_max, floor((y1 - 5000) / -2)::BIGINT AS row_max FROM fx_detections""")
+def c4_pixel_index(spark, sf_dir):
+    t = fx.scenes(spark, sf_dir).select("transform")
+    i = geometry.pixel_index(F.col("bbox"), F.col("transform"))
+    return fx.detections(spark, sf_dir).crossJoin(F.broadcast(t)).select("det_id", i.alias("i")).select("det_id", *(F.col("i")[k].alias(n) for k, n in enumerate(("col_min", "row_min", "col_max", "row_max"))))
+
+
+@query(f"WITH {DET} SELECT det_id, round(w * h, 6) AS area, round((x0 + x1) / 2, 4) AS cx, round((y0 + y1) / 2, 4) AS cy, round(2 * sqrt(w * h / pi()), 6) AS diameter FROM fx_detections")
+def c6_measures(spark, sf_dir):
+    g = F.col("geometry")
+    d = fx.detections(spark, sf_dir).select("det_id", geometry.area(g).alias("a"), geometry.centroid(g).alias("c"))
+    return d.select("det_id", r("a").alias("area"), r("c.x", 4).alias("cx"), r("c.y", 4).alias("cy"), r(geometry.diameter(F.col("a"))).alias("diameter"))
+
+
+@query(f"WITH {DET} SELECT det_id, (2 * ceil(round(w, 6) / 1.5 - 1e-9) + 2 * ceil(round(h, 6) / 1.5 - 1e-9) + 1)::INT AS vertices FROM fx_detections WHERE (w % 3) <> 0 AND (h % 3) <> 0")
+def c7_densify(spark, sf_dir):
+    b = F.col("bbox")
+    uneven = lambda lo, hi: F.round(b[hi] - b[lo], 0) % 3 != 0
+    return fx.detections(spark, sf_dir).where(uneven("xmin", "xmax") & uneven("ymin", "ymax")).select("det_id", F.size(geometry.densify(F.col("geometry"), 1.5)).alias("vertices"))
+
+
+REGIONS = "regions AS (SELECT n_nationkey AS i, 80 * n_nationkey AS ax, 50 * n_nationkey AS ay FROM nation)"
+
+
+@query(f"WITH {DET}, {REGIONS} SELECT det_id FROM fx_detections WHERE scene_id = 0 AND EXISTS (SELECT 1 FROM regions WHERE x0 > ax AND x0 < ax + 60.5 AND y0 > ay AND y0 < ay + 90.5)")
+def c10_inside_regions(spark, sf_dir):
+    areas = fx.table(spark, sf_dir, "nation").select(F.lit(0).cast("long").alias("scene_id"), geometry.box_ring(geometry.box(80 * F.col("n_nationkey"), 50 * F.col("n_nationkey"), 80 * F.col("n_nationkey") + 60.5, 50 * F.col("n_nationkey") + 90.5)).alias("ring"))
+    d = fx.detections(spark, sf_dir).withColumn("center", geometry.point(F.col("bbox.xmin"), F.col("bbox.ymin")))
+    return spatial.inside_regions(d, areas, 64.0).select("det_id")
+
+
+# Joins
+
+
+@query(f"WITH {DET} SELECT det_id, x0 <= 12.8 OR y0 <= 12.8 OR 2010 - x1 <= 12.8 OR 2010 - y1 <= 12.8 AS is_at_edge FROM fx_detections")
+def d1_near_boundary(spark, sf_dir):
+    d = fx.detections(spark, sf_dir)
+    f = d.select("scene_id").distinct().withColumn("footprint", geometry.box_ring(geometry.box(F.lit(0), F.lit(0), F.lit(2010), F.lit(2010))))
+    return spatial.near_boundary(d, f, F.lit(12.8), 64.0).select("det_id", "is_at_edge")
+
+
+@query(f"WITH {DET} SELECT det_id FROM fx_detections")
+def d3_distinct(spark, sf_dir):
+    d = fx.detections(spark, sf_dir)
+    copies = d.where("det_id % 50 = 0").withColumn("det_id", F.col("det_id") + 10_000_000)
+    return nms.distinct_geometries(d.unionByName(copies)).select("det_id")
+
+
+_IOU = "iw * ih / (a.w * a.h + b.w * b.h - iw * ih)"
+_PAIRS = """pairs AS (SELECT a.det_id AS a_id, b.det_id AS b_id, a.score AS sa, b.score AS sb, a.scene_id, least(a.x1, b.x1) - greatest(a.x0, b.x0) AS iw, least(a.y1, b.y1) - greatest(a.y0, b.y0) AS ih, (a.x1 - a.x0) * (a.y1 - a.y0) AS aa, (b.x1 - b.x0) * (b.y1 - b.y0) AS ab
+  FROM fx_detections a JOIN fx_detections b ON a.scene_id = b.scene_id AND a.category_id = b.category_id AND a.det_id < b.det_id AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1)"""
+
+
+@query(f"WITH RECURSIVE {DET}, {_PAIRS}, e AS (SELECT CASE WHEN sa >= sb THEN a_id ELSE b_id END AS hi, CASE WHEN sa >= sb THEN b_id ELSE a_id END AS lo FROM pairs WHERE iw * ih / (aa + ab - iw * ih) > 0.2), "
+       """st AS (SELECT 0 AS i, list(DISTINCT hi) FILTER (hi NOT IN (SELECT lo FROM e)) AS kept, []::BIGINT[] AS dead FROM e
+  UNION ALL SELECT i + 1, (SELECT list(DISTINCT n) FROM (SELECT hi AS n FROM e UNION SELECT lo FROM e) x WHERE list_contains(st2.kept, n) OR (NOT list_contains(st2.d2, n) AND NOT EXISTS (SELECT 1 FROM e e2 WHERE e2.lo = n AND NOT list_contains(st2.d2, e2.hi)))), st2.d2
+  FROM (SELECT i, kept, (SELECT coalesce(list(DISTINCT lo), []) FROM e WHERE list_contains(st.kept, hi)) AS d2, dead FROM st) st2 WHERE i < 12)
+SELECT det_id FROM fx_detections WHERE det_id NOT IN (SELECT unnest(dead) FROM st WHERE i = 12)""")
+def d4_nms(spark, sf_dir):
+    return nms.nms(fx.detections(spark, sf_dir)).select("det_id")
+
+
+@query(f"WITH {DET}, {_PAIRS} SELECT a_id, b_id, round(iw * ih / (aa + ab - iw * ih), 6) AS iou FROM pairs WHERE iw * ih / (aa + ab - iw * ih) > 0.05")
+def d5_iou_pairs(spark, sf_dir):
+    side = lambda s: fx.detections(spark, sf_dir).select("scene_id", "category_id", F.col("det_id").alias(f"{s}_id"), F.col("bbox").alias(f"box_{s}"))
+    pairs = spatial.box_pairs(side("a"), side("b"), 32.0, ["scene_id", "category_id"]).where("a_id < b_id")
+    iou = geometry.iou(F.col("box_a"), F.col("box_b"))
+    return pairs.where(iou > 0.05).select("a_id", "b_id", r(iou).alias("iou"))
+
+
+@query(f"WITH {DET}, wins AS (SELECT c_custkey AS try_id, ((c_custkey * 131) % 1990)::DOUBLE AS wx, ((c_custkey * 71) % 1990)::DOUBLE AS wy FROM customer) SELECT try_id FROM wins WHERE NOT EXISTS (SELECT 1 FROM fx_detections WHERE scene_id = 0 AND x0 < wx + 12 AND x1 > wx AND y0 < wy + 12 AND y1 > wy)")
+def d6_object_free_windows(spark, sf_dir):
+    w = fx.table(spark, sf_dir, "customer").selectExpr("0L AS scene_id", "c_custkey AS try_id", "cast((c_custkey * 131) % 1990 AS double) AS wx", "cast((c_custkey * 71) % 1990 AS double) AS wy")
+    w = w.withColumn("box", geometry.box(F.col("wx"), F.col("wy"), F.col("wx") + 12, F.col("wy") + 12))
+    return spatial.without_objects(w, fx.detections(spark, sf_dir), 32.0).select("try_id")
+
+
+_DIST = "sqrt((r.x - m.x0) * (r.x - m.x0) + (r.y - m.y0) * (r.y - m.y0))"
+
+
+@query(f"""WITH {DET}, {REF}, c AS (SELECT r.id, m.det_id, {_DIST} AS dist, m.w * m.h AS ma, pi() * dia * dia / 4 AS ra FROM fx_refs r JOIN fx_detections m ON r.scene_id = m.scene_id AND abs(r.x - m.x0) <= 8 AND abs(r.y - m.y0) <= 8 AND {_DIST} <= greatest(dia / 2, 1)),
+n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, det_id) AS k FROM c) SELECT id AS ref_id, det_id AS model_id, round(ma / ra, 6) AS ratio FROM n WHERE k = 1""")
+def d7_nearest_matches(spark, sf_dir):
+    return spatial.nearest_matches(fx.references(spark, sf_dir), fx.models(spark, sf_dir)).select("ref_id", "model_id", r("ratio").alias("ratio"))
+
+
+@query(f"""WITH {DET}, {REF} SELECT det_id AS id FROM fx_detections m WHERE NOT EXISTS (SELECT 1 FROM fx_refs r WHERE r.scene_id = m.scene_id AND {_DIST} <= greatest(sqrt(m.w * m.h / pi()), 1))""")
+def d8_over_detections(spark, sf_dir):
+    return spatial.unmatched(fx.models(spark, sf_dir), fx.references(spark, sf_dir)).select("id")
+
+
+@query()
+def d7_match_statistics(spark, sf_dir):
+    return spatial.match_statistics(fx.references(spark, sf_dir), fx.models(spark, sf_dir))
+
+
+def _sweep_objects(spark, sf_dir):
+    d = fx.detections(spark, sf_dir).selectExpr("cast(15 * (det_id % 12) AS double) AS phi0", "det_id", "score", "bbox.xmin AS x", "bbox.ymin AS y")
+    t = fx.table(spark, sf_dir, "part").join(d.withColumnRenamed("det_id", "p_partkey"), "p_partkey").selectExpr("phi0", "p_partkey AS truth_id", "x + 1.5 AS x", "y - 0.5 AS y")
+    return t, d
+
+
+@query()
+def d9_recall_sweep(spark, sf_dir):
+    return sweeps.recall_sweep(*_sweep_objects(spark, sf_dir), 18.0)
+
+
+_NBR = """c AS (SELECT a.det_id AS id, b.det_id AS nbr, a.scene_id, b.x0 - a.x0 AS dx, b.y0 - a.y0 AS dy, sqrt((b.x0 - a.x0) * (b.x0 - a.x0) + (b.y0 - a.y0) * (b.y0 - a.y0)) AS dist
+  FROM fx_detections a JOIN fx_detections b ON a.scene_id = b.scene_id AND a.det_id <> b.det_id AND b.x0 BETWEEN a.x0 - 40 AND a.x0 + 40 AND b.y0 BETWEEN a.y0 - 40 AND a.y0 + 40),
+n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, nbr) AS k FROM c WHERE dist <= 40), kept AS (SELECT * FROM n WHERE k <= 4 AND dist >= 1.5)"""
+
+
+@query(f"WITH {DET}, {_NBR} SELECT id, nbr, round(dist, 6) AS dist FROM kept")
+def d10_neighbours(spark, sf_dir):
+    p = fx.models(spark, sf_dir).select("scene_id", "id", "x", "y")
+    return spatial.neighbours(p, 4, 1.5, 40.0).select("id", "nbr", r("dist").alias("dist"))
+
+
+@query(f"WITH {RECT} SELECT det_id, round((mh * (mw - 1))::DOUBLE / (mh * (mw + 1)), 6) AS iou FROM fx_rects")
+def d12_mask_iou(spark, sf_dir):
+    a = fx.mask_pixels(spark, sf_dir)
+    return masks.mask_iou(a, a.withColumn("col", F.col("col") + 1)).select("det_id", r("iou").alias("iou"))
+
+
+_FLV = f"""{ANG}, flv AS (SELECT det_id, f AS flavour, CASE WHEN (det_id + i) % 7 = 0 THEN NULL ELSE angle180 END AS angle180, (10 + (det_id * i) % 50)::DOUBLE AS area FROM fx_angles, (VALUES ('first', 1), ('second', 2), ('third', 3)) v(f, i) WHERE (det_id * i) % 11 <> 0)"""
+
+
+def _flavours(spark, sf_dir):
+    a = fx.angles(spark, sf_dir).select("det_id", "angle180").withColumn("f", F.explode(F.array(*(F.struct(F.lit(n).alias("flavour"), F.lit(i).alias("i")) for n, i in (("first", 1), ("second", 2), ("third", 3))))))
+    a = a.selectExpr("det_id", "f.flavour AS flavour", "CASE WHEN (det_id + f.i) % 7 = 0 THEN NULL ELSE angle180 END AS angle180", "cast(10 + (det_id * f.i) % 50 AS double) AS area", "f.i AS i").where("(det_id * i) % 11 <> 0").drop("i")
+    return a, fx.angles(spark, sf_dir).select("det_id", F.lit(12.0).alias("box_area"))
+
+
+@query(f"""WITH {_FLV}, ok AS (SELECT * FROM flv WHERE angle180 IS NOT NULL AND area <= 48)
+SELECT a.det_id, a.angle180 AS first, b.angle180 AS second, c.angle180 AS third FROM ok a JOIN ok b ON a.det_id = b.det_id AND b.flavour = 'second' JOIN ok c ON a.det_id = c.det_id AND c.flavour = 'third' WHERE a.flavour = 'first'""")
+def d11_aligned_flavours(spark, sf_dir):
+    return masks.aligned_flavours(_flavours(spark, sf_dir)[0], ["first", "second", "third"], _flavours(spark, sf_dir)[1])
+
+
+@query(f"""WITH {_FLV}, spine AS (SELECT det_id, f AS flavour, i FROM fx_angles, (VALUES ('first', 1), ('second', 2), ('third', 3)) v(f, i)),
+bad AS (SELECT s.det_id, s.flavour, row_number() OVER (PARTITION BY s.det_id ORDER BY i) AS k FROM spine s LEFT JOIN flv USING (det_id, flavour) WHERE NOT coalesce(angle180 IS NOT NULL AND area <= 48, false))
+SELECT flavour, count(*) AS n FROM bad WHERE k = 1 GROUP BY 1""")
+def d11_first_failures(spark, sf_dir):
+    return masks.first_failures(_flavours(spark, sf_dir)[0], ["first", "second", "third"], _flavours(spark, sf_dir)[1])
+
+
+# Orientation
+
+
+@query()
+def e1_ellipse_fits(spark, sf_dir):
+    t = F.transform(F.sequence(F.lit(0), F.lit(23)), lambda i: i * F.lit(0.26179938779914943))
+    ring = F.transform(t, lambda a: geometry.point(4 * F.cos(a) * F.sin(F.radians("angle180")) + F.sin(a) * F.cos(F.radians("angle180")), 4 * F.cos(a) * F.cos(F.radians("angle180")) - F.sin(a) * F.sin(F.radians("angle180"))))
+    d = fx.angles(spark, sf_dir).select("det_id", F.col("angle180").alias("truth"), ring.alias("geometry"))
+    return orientation.attach_orientations(d, 0.1).select("det_id", "truth", "angle180", "aspect_ra", "diameter_m")
+
+
+@query(f"WITH {ANG} SELECT det_id, CASE WHEN angle180 IS NOT NULL THEN true END AS fits FROM fx_angles")
+def e1_known_angles(spark, sf_dir):
+    d = e1_ellipse_fits(spark, sf_dir)
+    return d.select("det_id", F.when(F.col("truth").isNotNull(), (axial.distance(F.col("angle180"), F.col("truth")) < 1e-3) & (F.abs(F.col("aspect_ra") - 4) < 0.2)).alias("fits"))
+
+
+@query(f"""WITH {PIX}, m AS (SELECT det_id, sum(w) AS m, sum(w * col) / sum(w) AS mx, sum(w * -row) / sum(w) AS my FROM fx_pixels GROUP BY 1),
+s AS (SELECT p.det_id, sum(w * (col - mx) * (col - mx)) / max(m) AS xx, sum(w * (-row - my) * (-row - my)) / max(m) AS yy FROM fx_pixels p JOIN m ON p.det_id = m.det_id GROUP BY 1)
+SELECT det_id, CASE WHEN abs(xx - yy) < 1e-9 THEN NULL WHEN xx > yy THEN 90.0 ELSE 0.0 END::DOUBLE AS angle180, round(sqrt(greatest(xx, yy) / least(xx, yy)), 6) AS aspect_ra FROM s""")
+def e4_moments(spark, sf_dir):
+    found = orientation.moment_orientations(fx.mask_pixels(spark, sf_dir))
+    # squares have no axis
+    return found.select("det_id", F.when(F.col("aspect_ra") > 1 + 1e-6, r(F.pmod(r("angle180", 6), F.lit(180.0)))).alias("angle180"), r("aspect_ra").alias("aspect_ra"))
+
+
+@query()
+def e5_compare_tracers(spark, sf_dir):
+    return orientation.compare_tracers(fx.masks(spark, sf_dir))
+
+
+@query(f"""WITH {ANG} SELECT event_type, count(angle180) AS n, round(avg(coalesce(least({axial_sql('angle180', 0)}, {axial_sql('angle180', 90)}) <= 10, false)::INT), 6) AS grid_fraction,
+  round(avg(coalesce(least({axial_sql('angle180', 45)}, {axial_sql('angle180', 135)}) <= 10, false)::INT), 6) AS diagonal_fraction, round(20.0 / 90, 6)::DOUBLE AS uniform_fraction,
+  round(count(*) FILTER ({axial_sql('angle180', 135)} <= 10)::DOUBLE / nullif(count(*) FILTER ({axial_sql('angle180', 45)} <= 10), 0), 6) AS asymmetry FROM fx_angles GROUP BY 1""")
+def e7_fractions(spark, sf_dir):
+    found = orientation.scene_fractions(fx.angles(spark, sf_dir), ["event_type"])
+    return found.select("event_type", "n", *(r(c).alias(c) for c in ("grid_fraction", "diagonal_fraction", "uniform_fraction", "asymmetry")))
+
+
+@query(f"WITH {ANG} SELECT det_id, round({axial_sql('angle180', 135)}, 6) AS distance FROM fx_angles")
+def e6_axial_distance(spark, sf_dir):
+    return fx.angles(spark, sf_dir).select("det_id", r(axial.distance(F.col("angle180"), 135.0)).alias("distance"))
+
+
+@query(f"WITH {ANG} SELECT det_id FROM fx_angles WHERE aspect_ra > 1.35 AND diameter_m / 0.5 >= 8")
+def e10_well_resolved(spark, sf_dir):
+    return orientation.well_resolved(fx.angles(spark, sf_dir), 0.5).select("det_id")
+
+
+_DENS = f"""{ANG}, b AS (SELECT unnest(range(180)) AS bin), h AS (SELECT event_type, least(floor(angle180), 179)::BIGINT AS bin, count(*)::DOUBLE AS c FROM fx_angles WHERE angle180 IS NOT NULL GROUP BY ALL),
+k AS (SELECT i.bin AS i, j.bin AS j, exp(-0.5 * pow(least(abs(i.bin - j.bin), 180 - abs(i.bin - j.bin)) / 4.0, 2)) AS k FROM b i, b j), kn AS (SELECT i, j, k / sum(k) OVER (PARTITION BY i) AS k FROM k),
+d AS (SELECT event_type, i AS bin, sum(k * c) AS d FROM kn JOIN h ON kn.j = h.bin GROUP BY ALL), p AS (SELECT event_type, bin, 100 * d / sum(d) OVER (PARTITION BY event_type) AS percent FROM d)"""
+
+
+@query(f"WITH {_DENS} SELECT event_type, bin, bin + 0.5::DOUBLE AS center_deg, round(percent, 6) AS percent FROM p")
+def e12_density(spark, sf_dir):
+    return orientation.density(fx.angles(spark, sf_dir), ["event_type"]).select("event_type", "bin", "center_deg", r("percent").alias("percent"))
+
+
+@query(f"""WITH {_DENS}, m AS (SELECT event_type, arg_max(bin, percent) AS i FROM (SELECT * FROM p ORDER BY percent DESC, bin) GROUP BY 1),
+y AS (SELECT m.event_type, i, (SELECT percent FROM p WHERE p.event_type = m.event_type AND bin = (i + 179) % 180) AS y0, (SELECT percent FROM p WHERE p.event_type = m.event_type AND bin = i) AS y1, (SELECT percent FROM p WHERE p.event_type = m.event_type AND bin = (i + 1) % 180) AS y2 FROM m)
+SELECT event_type, round((i + 0.5 + coalesce(0.5 * (y0 - y2) / nullif(y0 - 2 * y1 + y2, 0), 0) + 180) % 180, 4) AS peak_deg FROM y""")
+def e13_peaks(spark, sf_dir):
+    dens = orientation.density(fx.angles(spark, sf_dir), ["event_type"])
+    return orientation.peaks(dens, ["event_type"]).select("event_type", r("peak_deg", 4).alias("peak_deg"))
+
+
+@query()
+def e14_bootstrap_peaks(spark, sf_dir):
+    return orientation.bootstrap_peaks(fx.angles(spark, sf_dir), ["event_type"], 200)
+
+
+@query(f"""WITH {ANG}, b AS (SELECT event_type, unnest([angle180, angle180 + 180]) AS a FROM fx_angles WHERE angle180 IS NOT NULL), c AS (SELECT event_type, least(floor(a * 72 / 360.0), 71)::BIGINT AS bin, count(*) AS c FROM b GROUP BY ALL)
+SELECT event_type, bin, round(c / sum(c) OVER (PARTITION BY event_type), 6) AS share FROM c""")
+def e15_rose(spark, sf_dir):
+    return orientation.rose(fx.angles(spark, sf_dir), ["event_type"]).select("event_type", "bin", r("share").alias("share"))
+
+
+@query(f"WITH {ANG} SELECT det_id, round((angle180 - 1.5 + 180) % 180, 6) AS geo_angle FROM fx_angles")
+def e16_geographic(spark, sf_dir):
+    a = fx.angles(spark, sf_dir).withColumn("scene_id", F.lit(0).cast("long"))
+    return orientation.geographic(a, fx.scenes(spark, sf_dir)).select("det_id", r("geo_angle").alias("geo_angle"))
+
+
+@query()
+def e17_structure_tensor(spark, sf_dir):
+    return texture.tensor_orientations(fx.patches(spark, sf_dir))
+
+
+@query()
+def e18_orientation_field(spark, sf_dir):
+    m = texture.halo(1.0, 2.0)
+    grid = tiles.plain_grid(fx.scenes(spark, sf_dir), 32, 1).selectExpr("scene_id", "tile_id", f"x0 - {m} AS x0", f"y0 - {m} AS y0", f"sw + {2 * m} AS sw", f"sh + {2 * m} AS sh")
+    field = texture.orientation_field(tiles.read_windows(grid, fx.blocks(spark, sf_dir), fx.BLOCK), 1.0, 2.0, m)
+    return field.groupBy("tile_id").agg(F.count("*").alias("n"), F.avg("coh").alias("coh"))
+
+
+def _located(spark, sf_dir):
+    """Detections with their size and a place on the raster's map."""
+    p = _points(spark, sf_dir).withColumnRenamed("point_id", "det_id")
+    return fx.angles(spark, sf_dir).join(p, "det_id").withColumn("center", geometry.point(F.col("x"), F.col("y"))).withColumn("bbox", geometry.box(F.col("x") - F.col("diameter_m"), F.col("y") - F.col("diameter_m"), F.col("x") + F.col("diameter_m"), F.col("y") + F.col("diameter_m"))).drop("x", "y", "user_id", "event_type")
+
+
+@query()
+def e19_object_texture(spark, sf_dir):
+    d = _located(spark, sf_dir)
+    cut = tiles.read_windows(tiles.centered_windows(d.selectExpr("scene_id", "det_id AS point_id", "center.x AS x", "center.y AS y"), fx.scenes(spark, sf_dir), 12), fx.blocks(spark, sf_dir), fx.BLOCK, "point_id")
+    return texture.object_texture(d.drop("scene_id"), spectrum.as_patches(cut, "point_id").withColumnRenamed("patch_id", "det_id"), 2.0)
+
+
+@query()
+def e20_regional_histogram(spark, sf_dir):
+    crops = tiles.valid_windows(fx.scenes(spark, sf_dir), fx.blocks(spark, sf_dir), fx.BLOCK, 48, 6)
+    return texture.regional_histogram(crops, [(1.0, 2.0), (2.0, 4.0)])
+
+
+WINS = "wins AS (SELECT n_nationkey::BIGINT AS window_id, (60 * n_nationkey)::DOUBLE AS wx, (45 * n_nationkey)::DOUBLE AS wy FROM nation)"
+
+
+@query(f"""WITH {DET}, {WINS}, inw AS (SELECT window_id, det_id, x0, y0 FROM wins JOIN fx_detections ON scene_id = 0 AND x0 <= wx + 400 AND x1 >= wx AND y0 <= wy + 400 AND y1 >= wy), full_ AS (SELECT window_id FROM inw GROUP BY 1 HAVING count(*) >= 20 ORDER BY window_id LIMIT 8),
+g AS (SELECT * FROM inw WHERE window_id IN (SELECT window_id FROM full_)), c AS (SELECT a.window_id, a.det_id, b.x0 - a.x0 AS dx, b.y0 - a.y0 AS dy, sqrt((b.x0 - a.x0) * (b.x0 - a.x0) + (b.y0 - a.y0) * (b.y0 - a.y0)) AS dist, b.det_id AS nbr FROM g a JOIN g b ON a.window_id = b.window_id AND a.det_id <> b.det_id),
+n AS (SELECT *, row_number() OVER (PARTITION BY window_id, det_id ORDER BY dist, nbr) AS k FROM c WHERE dist <= 120), z AS (SELECT window_id, least(floor(((degrees(atan2(dx, dy)) + 360) % 180) / 10), 17)::BIGINT AS bin, count(*) AS c FROM n WHERE k <= 8 AND dist >= 1.5 GROUP BY ALL),
+w AS (SELECT s.window_id, b.bin, 100.0 * coalesce(c, 0) / sum(coalesce(c, 0)) OVER (PARTITION BY s.window_id) AS percent FROM (SELECT DISTINCT window_id FROM z) s CROSS JOIN (SELECT unnest(range(18)) AS bin) b LEFT JOIN z ON z.window_id = s.window_id AND z.bin = b.bin)
+SELECT bin, (bin + 0.5) * 10::DOUBLE AS center_deg, round(avg(percent), 6) AS percent FROM w GROUP BY ALL""")
+def e21_direction_histogram(spark, sf_dir):
+    w = fx.table(spark, sf_dir, "nation").selectExpr("0L AS scene_id", "cast(n_nationkey AS long) AS window_id", "cast(60 * n_nationkey AS double) AS wx", "cast(45 * n_nationkey AS double) AS wy")
+    w = w.withColumn("box", geometry.box(F.col("wx"), F.col("wy"), F.col("wx") + 400, F.col("wy") + 400)).drop("wx", "wy")
+    inside = spatial.dense_windows(w, fx.detections(spark, sf_dir).select("scene_id", "det_id", "bbox"), 20, 8, 100.0)
+    points = inside.selectExpr("window_id", "det_id AS id", "bbox.xmin AS x", "bbox.ymin AS y")
+    hist = spatial.direction_histogram(spatial.neighbours(points, 8, 1.5, 120.0, on=["window_id"]))
+    return spatial.mean_direction_histogram(hist).select("bin", "center_deg", r("percent").alias("percent"))
+
+
+@query()
+def e22_grid_corrected(spark, sf_dir):
+    return orientation.grid_corrected_angles(fx.detections(spark, sf_dir), 1.0).select("det_id", "raw_angle", "smooth_angle", "smooth_aspect")
+
+
+@query(f"WITH {ANG} SELECT det_id, round(least(abs(angle180), abs(angle180 - 45), abs(angle180 - 90), abs(angle180 - 135), abs(angle180 - 180)), 6) AS grid_dist FROM fx_angles")
+def e23_grid_distance(spark, sf_dir):
+    return fx.angles(spark, sf_dir).select("det_id", r(axial.grid_distance(F.col("angle180"))).alias("grid_dist"))
+
+
+# Spectra
+
+
+@query("SELECT r AS row, c AS col, round(sqrt(((c - 32) / 64.0) * ((c - 32) / 64.0) + ((r - 32) / 64.0) * ((r - 32) / 64.0)), 6) AS radius, (SELECT count(*) FROM embeddings) AS n FROM (SELECT unnest(range(64)) AS r) CROSS JOIN (SELECT unnest(range(64)) AS c)")
+def f1_frequency_grid(spark, sf_dir):
+    n = fx.table(spark, sf_dir, "embeddings").agg(F.count("*").alias("n"))
+    return spectrum.frequency_grid(spark, 64).select("row", "col", r("radius").alias("radius")).crossJoin(F.broadcast(n))
+
+
+@query()
+def f2_profiles(spark, sf_dir):
+    return spectrum.profiles(fx.patches(spark, sf_dir), nbins=4)
+
+
+@query(f"WITH {PROF} SELECT label, bin, center_deg::DOUBLE AS center_deg, round(avg(value), 6) AS value FROM fx_profile GROUP BY ALL")
+def f3_ensemble(spark, sf_dir):
+    return spectrum.ensemble(fx.profile(spark, sf_dir), ["label"]).select("label", "bin", "center_deg", r("value").alias("value"))
+
+
+@query()
+def f4_bootstrap_band(spark, sf_dir):
+    return spectrum.bootstrap_band(fx.profile(spark, sf_dir), 100)
+
+
+def _con(axes: tuple[int, ...]) -> str:
+    near = " OR ".join(f"{axial_sql('center_deg', a)} <= 10" for a in axes)
+    return f"round(avg(value) FILTER ({near}) / avg(value) FILTER (NOT ({near})) - 1, 6)"
+
+
+@query(f"""WITH {PROF} SELECT patch_id, {_con((45, 135))} AS diag_contrast, {_con((0, 90))} AS card_contrast, {_con((0,))} AS c0, {_con((45,))} AS c45, {_con((90,))} AS c90, {_con((135,))} AS c135,
+  arg_max(center_deg, value)::DOUBLE AS peak_deg, arg_min(center_deg, value)::DOUBLE AS trough_deg, round((max(value) - min(value)) / avg(value), 6) AS modulation FROM fx_profile GROUP BY 1""")
+def f6_summary(spark, sf_dir):
+    found = spectrum.summary(fx.profile(spark, sf_dir), ["patch_id"])
+    return found.select("patch_id", *(r(c).alias(c) for c in ("diag_contrast", "card_contrast", "c0", "c45", "c90", "c135")), "peak_deg", "trough_deg", r("modulation").alias("modulation"))
+
+
+def _screened(spark, sf_dir):
+    w = tiles.read_windows(tiles.random_windows(fx.scenes(spark, sf_dir), 16, 200), fx.blocks(spark, sf_dir), fx.BLOCK, "try_id")
+    w = w.withColumn("box", geometry.box(1000 + 2 * F.col("x0"), 5000 - 2 * (F.col("y0") + F.col("sh")), 1000 + 2 * (F.col("x0") + F.col("sw")), 5000 - 2 * F.col("y0")))
+    b = _located(spark, sf_dir).where("det_id % 40 = 0").select("scene_id", "det_id", "bbox")
+    return spectrum.screened(w, b, 40.0, coherence_max=0.2)
+
+
+@query()
+def f7_flat_patches(spark, sf_dir):
+    return spectrum.flat_patches(_screened(spark, sf_dir), 30).select("try_id", "x0", "y0", "std", "coherence")
+
+
+@query()
+def f7_reject_counts(spark, sf_dir):
+    return spectrum.reject_counts(_screened(spark, sf_dir), 30)
+
+
+@query()
+def f8_object_patches(spark, sf_dir):
+    return spectrum.object_patches(_located(spark, sf_dir), fx.scenes(spark, sf_dir), fx.blocks(spark, sf_dir), fx.BLOCK, 16, 40, (0.5, 16)).select("point_id", "x0", "y0", "total")
+
+
+@query()
+def f9_injection_control(spark, sf_dir):
+    p = spark.createDataFrame([(1.0, 45.0), (1.0, 135.0), (2.0, 0.0)], "sigma double, angle_deg double")
+    return spectrum.control_summaries(spectrum.blurred(fx.patches(spark, sf_dir), p), ["sigma", "angle_deg"], nbins=4, tol=25)
+
+
+@query()
+def f10_null_ensemble(spark, sf_dir):
+    return spectrum.control_summaries(spectrum.surrogates(fx.patches(spark, sf_dir), spark.range(3).withColumnRenamed("id", "seed"), quantize=False), ["seed"], nbins=4, tol=25)
+
+
+@query()
+def f11_resampling_control(spark, sf_dir):
+    w = tiles.read_windows(tiles.random_windows(fx.scenes(spark, sf_dir), 32, 20), fx.blocks(spark, sf_dir), fx.BLOCK, "try_id")
+    p = spark.createDataFrame([(22.5, "nearest"), (22.5, "bilinear"), (22.5, "cubic"), (22.5, "lanczos")], "angle_deg double, kernel string")
+    return spectrum.control_summaries(spectrum.warped(spectrum.as_patches(w, "try_id"), p), ["kernel"], nbins=12)
+
+
+# Sweeps
+
+
+def _windows(spark, sf_dir, n=12):
+    w = tiles.read_windows(tiles.random_windows(fx.scenes(spark, sf_dir), 32, n), fx.blocks(spark, sf_dir), fx.BLOCK, "try_id")
+    return spectrum.as_patches(w, "try_id")
+
+
+def _alphas(spark):
+    return spark.createDataFrame([(a,) for a in (0.0, 22.5, 45.0, 90.0)], "alpha double")
+
+
+@query()
+def gs2_population_sweep(spark, sf_dir):
+    d = sweeps.threshold_measure(140, ["patch_id", "alpha"])(sweeps.rotated(_windows(spark, sf_dir), _alphas(spark), 1))
+    return sweeps.population_sweep(d, _alphas(spark), 50)
+
+
+@query(f"""WITH {SWEEP}, b AS (SELECT p_partkey, alpha, raw_peak AS ang0, (raw_peak + 2 * alpha) % 180 AS ang_back FROM fx_sweep)
+SELECT p_partkey AS patch_id, alpha, round({axial_sql('ang0', '(ang_back)')}, 6) AS residual, round(least(ang0, abs(ang0 - 45), abs(ang0 - 90), abs(ang0 - 135), abs(ang0 - 180)), 6) AS grid_dist0 FROM b""")
+def gs3_rotation_residuals(spark, sf_dir):
+    s = fx.sweep(spark, sf_dir)
+    base = s.selectExpr("p_partkey AS patch_id", "raw_peak AS angle180")
+    turned = s.selectExpr("p_partkey AS patch_id", "alpha", "raw_peak + alpha AS angle180")
+    return sweeps.rotation_residuals(base, turned).select("patch_id", "alpha", r("residual").alias("residual"), r("grid_dist0").alias("grid_dist0"))
+
+
+@query(f"""WITH {SWEEP}, s AS (SELECT phi0, alpha, min(raw_peak) AS raw_peak FROM fx_sweep GROUP BY ALL HAVING alpha % 90 <> 0), l AS (SELECT *, raw_peak - lag(raw_peak) OVER (PARTITION BY phi0 ORDER BY alpha) AS step, first_value(raw_peak) OVER (PARTITION BY phi0 ORDER BY alpha) AS f FROM s),
+u AS (SELECT phi0, alpha, f + sum(coalesce(CASE WHEN abs(step) < 90 THEN step WHEN (step + 90 + 360) % 180 - 90 = -90 AND step > 0 THEN 90 ELSE (step + 90 + 360) % 180 - 90 END, 0)) OVER (PARTITION BY phi0 ORDER BY alpha) AS raw FROM l)
+SELECT phi0, round(regr_slope(raw, alpha), 6) AS raw_slope, round(regr_slope(raw, alpha) + 1, 6) AS geo_slope, round(regr_intercept(raw, alpha), 6) AS intercept, count(*) AS n FROM u GROUP BY 1 HAVING count(*) >= 2""")
+def gs4_rotation_slope(spark, sf_dir):
+    s = fx.sweep(spark, sf_dir).groupBy("phi0", "alpha").agg(F.min("raw_peak").alias("raw_peak"))
+    found = sweeps.rotation_slope(s, ["phi0"]).where("n >= 2")
+    return found.select("phi0", *(r(c).alias(c) for c in ("raw_slope", "geo_slope", "intercept")), "n")
+
+
+@query(f"""WITH {ANG}, x AS (SELECT event_type, {axial_sql('angle180', 135)} AS residual FROM fx_angles WHERE angle180 IS NOT NULL), m AS (SELECT event_type, count(*) AS n, quantile_cont(residual, 0.5) AS median FROM x GROUP BY 1)
+SELECT x.event_type, least(floor(residual / 5), 17)::BIGINT AS bin, round(count(*) / (max(n) * 5.0), 6) AS density, round(max(median), 6) AS median FROM x JOIN m ON x.event_type = m.event_type GROUP BY ALL""")
+def gs5_residual_histogram(spark, sf_dir):
+    x = fx.angles(spark, sf_dir).withColumn("residual", axial.distance(F.col("angle180"), 135.0))
+    return sweeps.residual_histogram(x, ["event_type"]).select("event_type", "bin", r("density").alias("density"), r("median").alias("median"))
+
+
+@query(f"""WITH {ANG}, x AS (SELECT {axial_sql('angle180', 135)} AS residual, least(angle180, abs(angle180 - 45), abs(angle180 - 90), abs(angle180 - 135), abs(angle180 - 180)) AS g FROM fx_angles WHERE angle180 IS NOT NULL)
+SELECT floor(g / 7.5)::BIGINT AS bin, round(quantile_cont(residual, 0.5), 6) AS median, count(*) AS n FROM x WHERE g < 22.5 GROUP BY 1""")
+def gs6_snapping(spark, sf_dir):
+    a = F.col("angle180")
+    x = fx.angles(spark, sf_dir).withColumn("residual", axial.distance(a, 135.0)).withColumn("grid_dist0", axial.grid_distance(a))
+    return sweeps.snapping(x).select("bin", r("median").alias("median"), "n")
+
+
+@query(f"""WITH {SWEEP}, f AS (SELECT p_partkey // 18 AS patch_id, alpha, raw_peak AS angle180, (20 + p_partkey % 40)::DOUBLE AS area, (32 + p_partkey % 15)::DOUBLE AS cx, (32 + p_partkey % 9)::DOUBLE AS cy FROM fx_sweep),
+w AS (SELECT *, first_value(angle180) OVER (PARTITION BY patch_id ORDER BY alpha) AS ref, first_value(area) OVER (PARTITION BY patch_id ORDER BY alpha) AS a0 FROM f)
+SELECT patch_id, alpha, (ref - alpha + 180) % 180 AS ref_rot, (angle180 + alpha) % 180 AS ang_back, round({axial_sql('ref', '((angle180 + alpha) % 180)')}, 6) AS residual, round(area / a0, 6) AS area_ratio,
+  sqrt((cx - 32) * (cx - 32) + (cy - 32) * (cy - 32)) > 12 OR area / a0 < 0.6 OR area / a0 > 1.8 AS unstable FROM w""")
+def gs7_rotation_strip(spark, sf_dir):
+    f = fx.sweep(spark, sf_dir).selectExpr("p_partkey div 18 AS patch_id", "alpha", "raw_peak AS angle180", "cast(20 + p_partkey % 40 AS double) AS area", "cast(32 + p_partkey % 15 AS double) AS cx", "cast(32 + p_partkey % 9 AS double) AS cy", "64 AS n")
+    return sweeps.rotation_strip(f).select("patch_id", "alpha", "ref_rot", "ang_back", r("residual").alias("residual"), r("area_ratio").alias("area_ratio"), "unstable")
+
+
+@query()
+def gs8_resolution_sweep(spark, sf_dir):
+    p = spark.createDataFrame([(1.0,), (2.0,)], "factor double")
+    d = sweeps.threshold_measure(140, ["patch_id", "factor"])(sweeps.rescaled(_windows(spark, sf_dir), p))
+    return sweeps.resolution_sweep(d, 2.0, 50)
+
+
+@query()
+def gs9_kernel_sweep(spark, sf_dir):
+    p = spark.createDataFrame([(22.5, o) for o in (0, 1, 3)], "alpha double, order int")
+    d = sweeps.threshold_measure(140, ["patch_id", "order"])(sweeps.rotated(_windows(spark, sf_dir), p, None))
+    return sweeps.kernel_sweep(d)
+
+
+@query(f"WITH {SWEEP} SELECT (raw_peak + alpha) % 180 AS angle180 FROM fx_sweep")
+def gs10_pooled_angles(spark, sf_dir):
+    return sweeps.pooled_angles(fx.sweep(spark, sf_dir).withColumnRenamed("raw_peak", "angle180"))
+
+
+@query(f"""WITH {SWEEP}, x AS (SELECT p_partkey AS patch_id, a.alpha, raw_peak AS ang0, CASE WHEN (p_partkey + a.alpha::INT) % 5 <> 0 THEN (raw_peak + a.alpha) % 180 END AS ang, ((p_partkey * 7 + a.alpha::INT) % 100) / 100.0 AS iou FROM fx_sweep s, (VALUES (10.0), (20.0)) a(alpha))
+SELECT alpha::DOUBLE AS alpha, round(avg((NOT (ang IS NOT NULL AND iou >= 0.3))::INT), 6) AS dropout, count(*) AS n FROM x GROUP BY 1""")
+def gs12_same_mask(spark, sf_dir):
+    base = fx.sweep(spark, sf_dir).selectExpr("p_partkey AS patch_id", "raw_peak AS angle180")
+    pairs = base.select("patch_id", F.explode(F.array(F.lit(10.0), F.lit(20.0))).alias("alpha")).withColumn("iou", (F.col("patch_id") * 7 + F.col("alpha").cast("int")) % 100 / 100.0)
+    turned = pairs.join(base, "patch_id").where((F.col("patch_id") + F.col("alpha").cast("int")) % 5 != 0).select("patch_id", "alpha", "angle180")
+    return sweeps.dropout(sweeps.same_mask_residuals(base, turned, pairs)).select("alpha", r("dropout").alias("dropout"), "n")
+
+
+@query()
+def gs13_object_patches(spark, sf_dir):
+    return sweeps.object_patch_table(_located(spark, sf_dir), fx.scenes(spark, sf_dir), fx.blocks(spark, sf_dir), fx.BLOCK, 16, 60, 1.6, (0.5, 16)).select("point_id", "x0", "y0", "total")
+
+
+# Training data and scoring
+
+
+@query(f"""WITH {RECT} SELECT det_id, list_filter(list_concat(list_concat([12 * 1 + 1], flatten(list_transform(range(mw), lambda c: [mh, 12 - mh]))[:2 * mw - 1]), [12 * 12 - (12 * mw + mh + 1)]), lambda x: x >= 0)::VARCHAR AS counts FROM fx_rects WHERE mh < 12 AND mw < 11""")
+def g2_rle_encode(spark, sf_dir):
+    px = fx.mask_pixels(spark, sf_dir).withColumn("row", F.col("row") + 1).withColumn("col", F.col("col") + 1)
+    sizes = fx.rectangles(spark, sf_dir).select("det_id", F.lit(12).alias("height"), F.lit(12).alias("width"))
+    found = masks.rle_encode(px, sizes)
+    return found.select("det_id", F.concat(F.lit("["), F.array_join(F.col("counts").cast("array<string>"), ", "), F.lit("]")).alias("counts"))
+
+
+@query(f"WITH {PIX} SELECT det_id, row::INT + 1 AS row, col::INT + 1 AS col, 1.0::DOUBLE AS w FROM fx_pixels")
+def g2_rle_round_trip(spark, sf_dir):
+    px = fx.mask_pixels(spark, sf_dir).withColumn("row", F.col("row") + 1).withColumn("col", F.col("col") + 1)
+    sizes = fx.rectangles(spark, sf_dir).select("det_id", F.lit(12).alias("height"), F.lit(12).alias("width"))
+    return masks.rle_decode(masks.rle_encode(px, sizes).join(sizes, "det_id"))
+
+
+@query("""SELECT image_id, inst_id, x1, y1, x2, y2, area FROM (SELECT doc_id AS image_id, 0 AS inst_id, 8.0::DOUBLE AS x1, 12.0::DOUBLE AS y1, 9.0 + 4.0 * (doc_id % 5) AS x2, 12.0 + 6.0 * (doc_id % 4) AS y2, (1.0 + 4.0 * (doc_id % 5)) * 6.0 * (doc_id % 4) AS area FROM documents WHERE doc_id % 5 > 0 AND doc_id % 4 > 0
+  UNION ALL SELECT doc_id, 2, 32.0, 24.0, 49.0, 42.0, 17.0 * 18 FROM documents)""")
+def g4_targets(spark, sf_dir):
+    t = datasets.targets(datasets.parse_label_lines(fx.label_files(spark, sf_dir)))
+    return t.select("image_id", "inst_id", "box.*", "area")
+
+
+@query(f"WITH {DET} SELECT det_id, 2100 - x1 AS x1, 2100 - x0 AS x2 FROM fx_detections")
+def g5_flip(spark, sf_dir):
+    b = F.col("bbox")
+    d = fx.detections(spark, sf_dir).select("det_id", F.struct(b["xmin"].alias("x1"), b["ymin"].alias("y1"), b["xmax"].alias("x2"), b["ymax"].alias("y2")).alias("box"), F.lit(2100).alias("width"))
+    return datasets.flipped(d).select("det_id", "box.x1", "box.x2")
+
+
+def _coco(spark, sf_dir):
+    d = fx.detections(spark, sf_dir)
+    b = F.col("bbox")
+    image = (F.col("scene_id") * 10_000 + F.floor(b["xmin"] / 200) * 100 + F.floor(b["ymin"] / 200)).alias("image_id")
+    gt = d.where("det_id % 2 = 0").select(image, F.col("det_id").alias("inst_id"), F.lit(1).alias("label"), F.struct(b["xmin"].alias("x1"), b["ymin"].alias("y1"), b["xmax"].alias("x2"), b["ymax"].alias("y2")).alias("box"), F.lit(0).alias("iscrowd"))
+    s = (F.col("det_id") % 4).cast("double")
+    found = d.where("det_id % 2 = 0 OR det_id % 10 = 1").select(image, "det_id", "score", F.lit(1).alias("category_id"), geometry.box(b["xmin"] + s, b["ymin"], b["xmax"] + s, b["ymax"]).alias("box"))
+    return coco.ground_truth(gt), coco.predictions(found)
+
+
+@query()
+def g8_average_precision(spark, sf_dir):
+    gt, d = _coco(spark, sf_dir)
+    return coco.average_precision(gt, d, coco.box_overlaps(gt, d))
+
+
+@query()
+def sliced_prediction(spark, sf_dir):
+    """The first scene pipeline with the stand-in model: detections after suppression."""
+    t = fx.scenes(spark, sf_dir).withColumn("footprint", geometry.box_ring(geometry.box(F.lit(1000), 5000 - 2 * F.col("height"), F.lit(1256), F.lit(5000))))
+    names = spark.createDataFrame([(1, "boulder")], "category_id int, category_name string")
+    kept = pipeline.sliced_prediction(t, fx.blocks(spark, sf_dir), fx.BLOCK, tiles.threshold_predictor(150, 3), names, 32, 0.2, 0.6, 6)[1]
+    return kept.select("det_id", "score", "category_name", "is_at_edge", "bbox.*")
+
+
+@query()
+def predict_scene(spark, sf_dir):
+    """The second scene pipeline with the stand-in model: its orientation table."""
+    found = pipeline.predict_scene(fx.scenes(spark, sf_dir), fx.blocks(spark, sf_dir), fx.BLOCK, tiles.threshold_predictor(150, 3), 32, 0.2, 0.6, 8)[1]
+    return found.select("det_id", "score", "angle180", "aspect_ra", "diameter_m")
