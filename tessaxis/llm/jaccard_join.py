@@ -8,13 +8,14 @@ Each text is the set of its distinct n-word shingles, held as 64-bit hashes. Two
    has need not be kept: they take the first places of the order, and no other set shares them.
 2. Sets come back with their shared shingles in order, packed by node. A set whose unshared shingles fill its whole prefix
    (|x| - need + 1 places) can link with nothing and is done; so the later steps are as large as what texts share.
-3. Sets meet on prefix shingles. A pair must pass the length filter, the positional filter (matches so far plus what
-   remains behind the last match in either set) and the suffix filter (halves of the hash space bound the rest), and is
+3. Sets meet on prefix shingles. A pair must pass the length filter, the positional filter (what remains in either set
+   from the shingle where it meets) and the suffix filter (halves of the hash space bound the rest), and is
    then verified, once, by intersecting the two sets.
 4. Not all pairs of a group are made. Rounds link each set of a prefix shingle's group with one leader of the group and
    merge what links; sets of one component need no further comparing. After each round the pairs left (same shingle,
    different components) are counted; when they are few, or the rounds are spent, all of them are verified. Either way no
-   link between different components is lost.
+   link between different components is lost. A pair meets at its first common shingle: rows at a later one go if either
+   of the few shingles before it is common too.
 
 Texts with no words, null or empty, have no shingles and link with nothing. Rows with the same text, and repeated rows,
 are one node and so linked. Null keys take part in components but never name one, unless all keys of it are null.
@@ -22,14 +23,14 @@ are one node and so linked. Null keys take part in components but never name one
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessaxis.llm.common import free_shuffles, partitions, written
 from tessaxis.llm.shingles import Shingler, range_of, signature
 
 WORDS, PERCENT = 5, 75
-LEADER_ROUNDS, FEW_PAIRS = 4, 200_000
+LEADER_ROUNDS, FEW_PAIRS, LOOK_BACK = 4, 20_000, 12
 BATCH_SHINGLES = 1_500_000
 
 
@@ -188,13 +189,13 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").mapInPandas(run, "a long, b long")
 
 
-def candidates(met: DataFrame, percent: int) -> DataFrame:
-    """Pairs a < b from rows (a, n_a, pos_a, b, n_b, pos_b) of shared prefix shingles, by the length and positional filters."""
-    low, high = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-    fits = met.where(100 * low >= percent * high)
-    pairs = fits.groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("c"), F.max("pos_a").alias("pa"), F.max("pos_b").alias("pb"))
-    need = F.ceil((F.col("n_a") + F.col("n_b")) * percent / F.lit(100 + percent))
-    return pairs.where(F.col("c") + F.least(F.col("n_a") - F.col("pa") - 1, F.col("n_b") - F.col("pb") - 1) >= need).select("a", "b")
+def may_link(percent: int) -> Column:
+    """The positional filter on rows (n_a, pos_a, n_b, pos_b) of a common prefix shingle.
+
+    A pair that links passes at its first common shingle, behind which all others lie; so rows that fail can go.
+    """
+    need = F.expr(f"((n_a + n_b) * {percent} + {100 + percent - 1}) div {100 + percent}")
+    return F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= need
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -232,19 +233,21 @@ def node_components(sets: DataFrame, percent: int, rounds: int = LEADER_ROUNDS,
         if not left:
             break
         mine = now.join(open_.select("h"), "h").select("h", F.col("node").alias("x"), "n", "pos", "comp")
-        side = lambda d, c: d.select("h", F.col("x").alias(c), F.col("n").alias(f"n_{c}"), F.col("pos").alias(f"pos_{c}"), F.col("comp").alias(f"comp_{c}"))
         last = i == rounds or left <= few
+        named = lambda d, c: d.select("h", *(F.col(k).alias(f"{v}_{c}") for k, v in (("x", "x"), ("n", "n"), ("pos", "pos"), ("comp", "comp"), *[("before", "before")] * last)))
+        # a leader may be met behind the first common shingle, so its rows have the length filter alone
+        apart = (F.col("comp_a") != F.col("comp_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
         if last:
-            other, apart = side(mine, "b"), F.col("a") < F.col("b")
+            behind = Window.partitionBy("x").orderBy("pos").rowsBetween(-LOOK_BACK, -1)
+            mine = mine.withColumn("before", F.collect_list("h").over(behind))
+            other = named(mine, "b")
+            apart = (F.col("x_a") < F.col("x_b")) & apart & may_link(percent) & ~F.arrays_overlap("before_a", "before_b")
         else:
             # the leader changes from round to round: the first by a hash that the round salts
             order = F.struct(F.xxhash64("x", F.lit(i)).alias("o"), F.col("x"), F.col("n"), F.col("pos"), F.col("comp"))
-            lead = mine.groupBy("h").agg(F.min(order).alias("l")).select("h", "l.x", "l.n", "l.pos", "l.comp")
-            other, apart = side(lead, "b"), F.col("a") != F.col("b")
-        met = side(mine, "a").join(other, "h").where(apart & (F.col("comp_a") != F.col("comp_b")))
-        flip = F.col("a") > F.col("b")
-        turned = met.select(*(F.when(flip, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("a", "b"), ("n_a", "n_b"), ("pos_a", "pos_b"), ("b", "a"), ("n_b", "n_a"), ("pos_b", "pos_a"))))
-        found = candidates(turned, percent) if last else turned.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select("a", "b").distinct()
+            other = named(mine.groupBy("h").agg(F.min(order).alias("l")).select("h", "l.x", "l.n", "l.pos", "l.comp"), "b")
+        met = named(mine, "a").join(other, "h").where(apart)
+        found = met.select(F.least("x_a", "x_b").alias("a"), F.greatest("x_a", "x_b").alias("b")).distinct()
         fresh = verified(found, sets, percent)
         edges = written(fresh if edges is None else edges.union(fresh))
         labels = components(edges)

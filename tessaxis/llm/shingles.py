@@ -17,7 +17,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class Shingler:
-    """Hashes shingles of n words; a text of fewer words, but not none, has one shingle, its whole sequence."""
+    """Hashes shingles of n words to 56 bits, the upper ones of 64; a text of fewer words, but not none, has one shingle, its whole sequence."""
 
     def __init__(self, n: int):
         self.n, self._memo = n, {}
@@ -40,7 +40,7 @@ class Shingler:
         out = np.zeros(len(h) - k + 1, np.uint64)
         for i in range(k):
             out = mix(out * MIX + h[i : len(h) - k + 1 + i])
-        return np.unique(mix(out + np.uint64(k)))
+        return np.unique(mix(out + np.uint64(k)) << np.uint64(8))
 
 
 def signature(shingles: np.ndarray) -> int:
