@@ -13,10 +13,9 @@ RECALLS, MOST_PER_IMAGE = 101, 100
 
 
 def ground_truth(instances: DataFrame) -> DataFrame:
-    """image_id, gt_id (dense), category_id, box, area of the box."""
+    """image_id, gt_id (image and instance), category_id, box, area of the box, iscrowd."""
     b = F.col("box")
-    order = Window.orderBy("image_id", "inst_id")
-    return instances.select("image_id", F.row_number().over(order).cast("long").alias("gt_id"), F.col("label").alias("category_id"), geometry.box(b["x1"], b["y1"], b["x2"], b["y2"]).alias("box"), ((b["x2"] - b["x1"]) * (b["y2"] - b["y1"])).alias("area"), "iscrowd")
+    return instances.select("image_id", F.concat_ws("/", F.col("image_id").cast("string"), F.col("inst_id").cast("string")).alias("gt_id"), F.col("label").alias("category_id"), geometry.box(b["x1"], b["y1"], b["x2"], b["y2"]).alias("box"), ((b["x2"] - b["x1"]) * (b["y2"] - b["y1"])).alias("area"), "iscrowd")
 
 
 def predictions(dets: DataFrame, min_score: float = 0.05) -> DataFrame:

@@ -41,21 +41,22 @@ def ensemble(profiles_: DataFrame, by: list[str] = ()) -> DataFrame:
     return profiles_.groupBy(*by, "bin", "center_deg").agg(F.avg("value").alias("value"))
 
 
+#: The first probabilities, summed, of the Poisson distribution of mean 1.
+POISSON = [0.367879441, 0.735758882, 0.919698603, 0.981011843, 0.996340153, 0.999405815, 0.999916759, 0.999989751]
+
+
 def bootstrap_band(profiles_: DataFrame, n_boot: int = 400, ci: tuple[float, float] = (2.5, 97.5), seed: int = 0) -> DataFrame:
     """Mean profile with percentiles of its resamples over patches: bin, center_deg, value, lo, hi.
 
-    Each resample draws as many patches as there are, with replacement: draw j of replicate b is the patch of that rank.
+    How often a patch is in a resample is a Poisson draw by a hash, the limit of drawing with replacement for many
+    patches; so no task needs to number or count all patches.
     """
-    ids = profiles_.select("patch_id").distinct()
-    from pyspark.sql import Window
-
-    ranked = ids.withColumn("rank", F.row_number().over(Window.orderBy("patch_id")) - 1)
-    n = ranked.agg(F.count("*").alias("n"))
-    draws = ids.crossJoin(F.broadcast(n)).select("patch_id", "n", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("boot"))
-    draws = draws.groupBy("boot", F.pmod(F.xxhash64("patch_id", "boot", F.lit(seed)), F.col("n")).cast("int").alias("rank")).agg(F.count("*").alias("m"))
-    weights = draws.join(ranked, "rank").select("boot", "patch_id", "m")
-    rows = profiles_.where(F.col("value").isNotNull())
-    means = rows.join(weights, "patch_id").groupBy("boot", "bin").agg((F.sum(F.col("m") * F.col("value")) / F.sum("m")).alias("v"))
+    u = F.pmod(F.xxhash64("patch_id", "boot", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    times = F.lit(len(POISSON))
+    for i, p in reversed(list(enumerate(POISSON))):
+        times = F.when(u < p, F.lit(i)).otherwise(times)
+    rows = profiles_.where(F.col("value").isNotNull()).withColumn("boot", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))).withColumn("m", times)
+    means = rows.groupBy("boot", "bin").agg(F.try_divide(F.sum(F.col("m") * F.col("value")), F.sum("m")).alias("v"))
     band = means.groupBy("bin").agg(F.percentile("v", F.array(F.lit(ci[0] / 100), F.lit(ci[1] / 100))).alias("q"))
     return ensemble(profiles_).join(band, "bin").select("bin", "center_deg", "value", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
 

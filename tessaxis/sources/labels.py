@@ -9,7 +9,7 @@ SPLITS = ("train", "validation", "test")
 
 
 def read_label_files(spark: SparkSession, root: str) -> DataFrame:
-    """split, stem, text of root/<split>/labels/*.txt."""
+    """split, stem, text of root/<split>/labels/*.txt; empty files give no row, like missing ones."""
     files = spark.read.text(f"{root}/*/labels/*.txt", wholetext=True).withColumn("path", F.input_file_name())
     return files.select(F.regexp_extract("path", r"([^/]+)/labels/[^/]+$", 1).alias("split"), F.regexp_extract("path", r"([^/]+)\.txt$", 1).alias("stem"), F.col("value").alias("text"))
 
@@ -19,9 +19,9 @@ def write_label_files(labels: DataFrame, path: str) -> None:
     labels.select("dataset", "file_stem", "text").repartition("dataset", "file_stem").write.mode("overwrite").partitionBy("dataset", "file_stem").text(path)
 
 
-def read_annotations(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of an annotation file: dataset, file_name, file_stem, annotations."""
-    rows = spark.read.schema(f"dataset string, file_name string, annotations {ANNOTATIONS}").json(path, multiLine=True)
+def read_annotations(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Rows of an annotation file, one array or, without multi_line, an object a line: dataset, file_name, file_stem, annotations."""
+    rows = spark.read.schema(f"dataset string, file_name string, annotations {ANNOTATIONS}").json(path, multiLine=multi_line)
     return rows.withColumn("file_stem", F.regexp_replace("file_name", r"\.png$", ""))
 
 
