@@ -12,9 +12,9 @@ Each text is the set of its distinct n-word shingles, held as 64-bit hashes. Two
    from the shingle where it meets) and the suffix filter (halves of the hash space bound the rest), and is
    then verified, once, by intersecting the two sets.
 4. Not all pairs of a group are made. Rounds link each set of a prefix shingle's group with one leader of the group and
-   merge what links; sets of one component need no further comparing. After each round the pairs left (same shingle,
-   different components) are counted; when they are few, or the rounds are spent, all of them are verified. Either way no
-   link between different components is lost. A pair meets at its first common shingle: rows at a later one go if either
+   merge what links; sets of one component need no further comparing, and shingles whose sets are in one component are
+   done. After the rounds all pairs left (same shingle, different components) are verified, so no link between different
+   components is lost. A pair meets at its first common shingle: rows at a later one go if either
    of the few shingles before it is common too.
 
 Texts with no words, null or empty, have no shingles and link with nothing. Rows with the same text, and repeated rows,
@@ -30,7 +30,7 @@ from tessaxis.llm.common import free_shuffles, partitions, written
 from tessaxis.llm.shingles import Shingler, range_of, signature
 
 WORDS, PERCENT = 5, 75
-LEADER_ROUNDS, FEW_PAIRS, LOOK_BACK = 4, 20_000, 12
+LEADER_ROUNDS, LOOK_BACK = 3, 12
 BATCH_SHINGLES = 1_500_000
 
 
@@ -59,15 +59,22 @@ def node_rows(df: DataFrame, key: str, text: str, n_words: int) -> DataFrame:
 
 def _pack(h: np.ndarray) -> bytes:
     """Sorted hashes as differences, byte plane by byte plane, so that the codec of the shuffle finds the zero bytes."""
-    return np.diff(h, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+    return _planes(np.diff(h, prepend=np.uint64(0)))
+
+
+def _planes(values: np.ndarray) -> bytes:
+    return values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+
+
+def _from_planes(data: bytes, kind) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 def _unpack(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+    return np.cumsum(_from_planes(data, np.uint64), dtype=np.uint64)
 
 
-def shared_shingles(df: DataFrame, text: str, n_words: int, percent: int, ranges: int) -> DataFrame:
+def shared_shingles(df: DataFrame, text: str, n_words: int, percent: int, ranges: int, buckets: int) -> DataFrame:
     """node, n and shared (uint64 bytes, in rarity order) of the sets that may link with another, once each."""
 
     def deal(batches):
@@ -87,7 +94,7 @@ def shared_shingles(df: DataFrame, text: str, n_words: int, percent: int, ranges
                 a, b = cuts[r], cuts[r + 1]
                 if a < b:
                     used, own = np.unique(at[a:b], return_inverse=True)
-                    yield r, names[used].tobytes(), sizes[used].tobytes(), _pack(h[a:b]), own.astype(np.uint16).tobytes()
+                    yield r, names[used].tobytes(), _planes(sizes[used]), _pack(h[a:b]), own.astype(np.uint16).tobytes()
             nodes.clear()
             sets.clear()
 
@@ -110,7 +117,7 @@ def shared_shingles(df: DataFrame, text: str, n_words: int, percent: int, ranges
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         h = np.concatenate([_unpack(x) for x in pdf["hashes"]])
         node = np.concatenate([np.frombuffer(a, np.int64)[np.frombuffer(o, np.uint16)] for a, o in zip(pdf["nodes"], pdf["own"], strict=True)])
-        size = np.concatenate([np.frombuffer(a, np.int32)[np.frombuffer(o, np.uint16)] for a, o in zip(pdf["sizes"], pdf["own"], strict=True)])
+        size = np.concatenate([_from_planes(a, np.int32)[np.frombuffer(o, np.uint16)] for a, o in zip(pdf["sizes"], pdf["own"], strict=True)])
         order = np.lexsort((node, h))
         h, node, size = h[order], node[order], size[order]
         fresh = np.ones(len(h), bool)
@@ -122,7 +129,7 @@ def shared_shingles(df: DataFrame, text: str, n_words: int, percent: int, ranges
         h, node, size, df_ = h[keep], node[keep], size[keep], df_[keep]
         order = np.lexsort((h, df_, node))
         h, node, size, df_ = h[order], node[order], size[order], df_[order].astype(np.uint32)
-        bucket = range_of(node.view(np.uint64), ranges).astype(np.int32)
+        bucket = range_of(node.view(np.uint64), buckets).astype(np.int32)
         rows = []
         for b in np.unique(bucket):
             at = bucket == b
@@ -215,45 +222,34 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def node_components(sets: DataFrame, percent: int, rounds: int = LEADER_ROUNDS, few: int = FEW_PAIRS) -> DataFrame:
-    """node, comp of the linked sets."""
-    rows = prefixes(sets, percent)
-    many = rows.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
-    rows = written(rows.join(many.select("h"), "h"))
-    edges, labels = None, None
+def node_components(sets: DataFrame, percent: int, rounds: int = LEADER_ROUNDS) -> DataFrame | None:
+    """node, comp of the linked sets; None if no shingle is shared."""
+    rows, edges, labels = prefixes(sets, percent), None, None
     for i in range(rounds + 1):
-        now = rows if labels is None else rows.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        if labels is None:
-            now = now.withColumn("comp", F.col("node"))
-        now = written(now)
-        by_comp = now.groupBy("h", "comp").agg(F.count("*").alias("m"))
-        groups = by_comp.groupBy("h").agg(F.count("*").alias("comps"), F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("mm")).where("comps > 1")
-        open_ = written(groups.withColumn("pairs", (F.col("m") * F.col("m") - F.col("mm")) / 2))
-        left = open_.agg(F.sum("pairs")).first()[0] or 0
-        if not left:
+        last = i == rounds
+        comp = F.col("node") if labels is None else F.coalesce("comp", "node")
+        now = (rows if labels is None else rows.join(labels, "node", "left")).select("h", "node", "n", "pos", comp.alias("comp"))
+        # the leader changes from round to round: the first by a hash that the round salts
+        order = F.struct(F.xxhash64("node", F.lit(i)).alias("o"), F.col("node"), F.col("n"), F.col("comp"))
+        groups = now.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(order).alias("lead")).where("lo <> hi")
+        mine = written(now.join(groups.select("h", "lead.node", "lead.n", "lead.comp").toDF("h", "node_l", "n_l", "comp_l"), "h"))
+        if mine.isEmpty():
             break
-        mine = now.join(open_.select("h"), "h").select("h", F.col("node").alias("x"), "n", "pos", "comp")
-        last = i == rounds or left <= few
-        named = lambda d, c: d.select("h", *(F.col(k).alias(f"{v}_{c}") for k, v in (("x", "x"), ("n", "n"), ("pos", "pos"), ("comp", "comp"), *[("before", "before")] * last)))
-        # a leader may be met behind the first common shingle, so its rows have the length filter alone
-        apart = (F.col("comp_a") != F.col("comp_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
         if last:
-            behind = Window.partitionBy("x").orderBy("pos").rowsBetween(-LOOK_BACK, -1)
-            mine = mine.withColumn("before", F.collect_list("h").over(behind))
-            other = named(mine, "b")
-            apart = (F.col("x_a") < F.col("x_b")) & apart & may_link(percent) & ~F.arrays_overlap("before_a", "before_b")
+            behind = Window.partitionBy("node").orderBy("pos").rowsBetween(-LOOK_BACK, -1)
+            ahead = mine.select("h", "node", "n", "pos", "comp", F.collect_list("h").over(behind).alias("before"))
+            side = lambda c: ahead.select("h", *(F.col(k).alias(f"{k}_{c}") for k in ("node", "n", "pos", "comp", "before")))  # noqa: B023, E731
+            apart = (F.col("node_a") < F.col("node_b")) & (F.col("comp_a") != F.col("comp_b")) & may_link(percent) & ~F.arrays_overlap("before_a", "before_b")
+            met = side("a").join(side("b"), "h").where(apart).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "n_a", "n_b")
         else:
-            # the leader changes from round to round: the first by a hash that the round salts
-            order = F.struct(F.xxhash64("x", F.lit(i)).alias("o"), F.col("x"), F.col("n"), F.col("pos"), F.col("comp"))
-            other = named(mine.groupBy("h").agg(F.min(order).alias("l")).select("h", "l.x", "l.n", "l.pos", "l.comp"), "b")
-        met = named(mine, "a").join(other, "h").where(apart)
-        found = met.select(F.least("x_a", "x_b").alias("a"), F.greatest("x_a", "x_b").alias("b")).distinct()
+            # a leader may be met behind the first common shingle, so its rows have the length filter alone
+            met = mine.where("comp <> comp_l").select(F.least("node", "node_l").alias("a"), F.greatest("node", "node_l").alias("b"), F.col("n").alias("n_a"), F.col("n_l").alias("n_b"))
+        found = met.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select("a", "b").distinct()
         fresh = verified(found, sets, percent)
         edges = written(fresh if edges is None else edges.union(fresh))
         labels = components(edges)
+        rows = mine.select("h", "node", "n", "pos")
         free_shuffles(sets.sparkSession)
-        if last:
-            break
     return labels
 
 
@@ -261,7 +257,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n_wo
     """One row per row of df: key, n_shingles and component_id (the smallest key that links reach)."""
     spark = df.sparkSession
     nodes = written(node_rows(df, key, text, n_words))
-    sets = written(shared_shingles(df, text, n_words, percent, 4 * max(4, partitions(df))))
+    sets = written(shared_shingles(df, text, n_words, percent, 2 * max(4, partitions(df)), max(4, partitions(df))))
     free_shuffles(spark)
     labels = node_components(sets, percent)
     first = nodes.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(key).alias("first"), F.count("*").alias("copies"))
