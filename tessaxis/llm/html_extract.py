@@ -108,19 +108,17 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
 
 
 def learn_weights(counts: dict[tuple[str, bool], int]) -> dict[str, float]:
-    """Weights from counts of (kind, in content): words by the log odds of lying in content, tags by those of lying outside."""
-    inside, outside = sum(v for (_, x), v in counts.items() if x), sum(v for (_, x), v in counts.items() if not x)
-    if not inside or not outside:
-        return {}
+    """Weights from counts of (kind, in content): words by the log odds of lying in content, tags by their share outside it."""
     out = {}
     for kind in {k for k, _ in counts}:
-        odds = math.log((counts.get((kind, True), 0) + 1) / (inside + 2)) - math.log((counts.get((kind, False), 0) + 1) / (outside + 2))
+        inside, outside = counts.get((kind, True), 0), counts.get((kind, False), 0)
+        odds = math.log((inside + 1) / (outside + 1))
         if kind == "":
-            out[kind] = max(odds, 1.0)
+            out[kind] = min(max(odds, 1.0), 3.0)
         elif kind == "/":
             out[kind] = min(max(odds, -2.0), 1.0)
         else:
-            out[kind] = min(max(-odds, 0.02), 3.0)
+            out[kind] = max(3 * (outside + 0.1) / (inside + outside + 1), 0.02)
     return out
 
 
