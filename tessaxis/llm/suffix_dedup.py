@@ -151,7 +151,7 @@ def _split(values: np.ndarray, n: int):
 def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """One row per row of df: key, n_bytes, starts and ends (the removed runs, half-open, in bytes) and kept (binary)."""
     spark, parts = df.sparkSession, 4 * max(4, partitions(df))
-    bucket_of = lambda doc: range_of(mix(doc.view(np.uint64)), parts).astype(np.int64)
+    bucket_of = lambda doc: doc % parts
     docs = df.select(F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1)).alias("k"), F.col(key).alias("key"), F.xxhash64(key, text).alias("doc"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("data"))
 
     def deal(batches):
@@ -280,7 +280,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
     found = written(dealt.groupBy("r").applyInPandas(meet, "b int, docs binary, starts binary, ends binary, asked binary, hashes binary, places binary, near binary"))
     del dealt
     free_shuffles(spark)
-    by_bucket = _with_bucket(docs, parts)
+    by_bucket = docs.withColumn("b", F.pmod("doc", F.lit(parts)).cast("int"))
     asked = found.where(F.octet_length("asked") > 0).select("b", "asked", "hashes", "places", "near")
     around = by_bucket.groupBy("b").cogroup(asked.groupBy("b")).applyInPandas(fetch, "r int, hashes binary, keys binary, docs binary, places binary, sizes binary, right binary, left binary")
     more = written(around.groupBy("r").applyInPandas(repeats, "b int, docs binary, starts binary, ends binary"))
@@ -290,12 +290,3 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
     done = by_bucket.groupBy("b").cogroup(spans.groupBy("b")).applyInPandas(cut, f"key {kind}, n_bytes long, starts array<long>, ends array<long>, kept binary")
     return done.withColumnRenamed("key", key)
 
-
-def _with_bucket(docs: DataFrame, parts: int) -> DataFrame:
-    """docs with the bucket of each document's hash."""
-
-    def run(batches):
-        for pdf in batches:
-            yield pdf.assign(b=range_of(mix(pdf["doc"].to_numpy(np.int64).view(np.uint64)), parts).astype(np.int32))
-
-    return docs.mapInPandas(run, ", ".join(f"{n} {t}" for n, t in docs.dtypes) + ", b int")
