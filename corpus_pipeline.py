@@ -4,6 +4,7 @@ that the stage before it kept. Clean documents are never dropped."""
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessaxis.llm import bpe_codec, decontaminate, exact_dedup, jaccard_join, toxicity
 from tessaxis.llm.common import crc_mod, table, written
@@ -12,25 +13,30 @@ from tessaxis.llm.common import crc_mod, table, written
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model, learned from the labels of the other fifths, scores under 0.5."""
     labels = table(spark, sf_dir, "labels").where(crc_mod("doc_id", 5) != 0)
-    scored = toxicity.score(docs, toxicity.fit(docs, labels), out="_score")
-    return scored.where("_score < 0.5").select(*docs.columns)
+    free = max(docs.columns, key=len) + "_score"
+    scored = toxicity.score(docs, toxicity.fit(docs, labels), out=free)
+    return scored.where(F.col(free) < 0.5).select(*docs.columns)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.drop_copies(docs)
 
 
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs but for the rows that gone names by doc_id and text_hash; other rows of these ids stay."""
+    named = written(gone.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")))
+    return docs.join(named, docs["doc_id"].eqNullSafe(named["_id"]) & (F.xxhash64(docs["text"]) == named["_hash"]), "left_anti")
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each component; documents with no links and without doc_id stay."""
+    """The document with the smallest doc_id of each component; of one without any doc_id all stay."""
     labels = jaccard_join.near_duplicates(docs)
-    gone = written(labels.where("doc_id <> component_id").select("doc_id"))
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return _without(docs, labels.where("NOT doc_id <=> component_id"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
-    gone = written(found.where("contaminated").select("doc_id"))
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return _without(docs, found.where("contaminated"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -40,27 +40,27 @@ def windows(benchmark: DataFrame, documents: DataFrame, text: str = "text", item
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", n: int = WINDOW) -> DataFrame:
-    """One row per row of documents: key, _row, n_words, n_hit, items (sorted as strings) and contaminated (a twentieth of the words or more)."""
+    """One row per row of documents: key, text_hash (xxhash64), n_words, n_hit, items (sorted as strings) and contaminated (a twentieth of the words or more)."""
     found = written(windows(benchmark, documents, text, item, n))
     bytes_ = found.agg(F.sum(F.aggregate("words", F.lit(64), lambda a, w: a + F.octet_length(w) + 8))).first()[0] or 0
     # a row with the empty word marks the end of each document, so that one pass gives documents without hits too
     marker = found.sparkSession.range(1).select(*(F.lit("" if c == "anchor" else None).cast(t).alias(c) for c, t in found.dtypes))
     anchors = found.unionByName(marker)
-    docs = documents.select(F.col(key).alias(key), F.monotonically_increasing_id().alias("_row"), word_list(text).alias("_w"))
-    exploded = docs.select(key, "_row", "_w", F.posexplode(F.concat("_w", F.array(F.lit("")))).alias("pos", "anchor"))
+    docs = documents.select(F.col(key).alias(key), F.monotonically_increasing_id().alias("_row"), F.xxhash64(text).alias("text_hash"), word_list(text).alias("_w"))
+    exploded = docs.select(key, "_row", "text_hash", "_w", F.posexplode(F.concat("_w", F.array(F.lit("")))).alias("pos", "anchor"))
     start = F.col("pos") - F.col("at")
     lies = (start >= 0) & (start + F.size("words") <= F.size("_w"))
     same = F.slice("_w", F.greatest(start + 1, F.lit(1)), F.size("words")) == F.col("words")
     if bytes_ <= BROADCAST_BYTES:
         hits = exploded.join(F.broadcast(anchors), "anchor").where(F.col("words").isNull() | (lies & same))
     else:
-        ahead = exploded.select(key, "_row", F.size("_w").alias("_n"), "pos", "anchor")
+        ahead = exploded.select(key, "_row", "text_hash", F.size("_w").alias("_n"), "pos", "anchor")
         placed = ahead.join(anchors, "anchor").where(F.col("words").isNull() | ((start >= 0) & (start + F.size("words") <= F.col("_n"))))
         hits = placed.join(docs.select("_row", "_w"), "_row").where(F.col("words").isNull() | same)
-    hits = hits.select(key, "_row", F.when(F.col("words").isNull(), F.size("_w")).alias("n_words"), F.col("item").alias("_item"), F.when(F.col("words").isNotNull(), F.struct(start.alias("a"), (start + F.size("words")).alias("b"))).alias("span"))
-    per = hits.groupBy("_row").agg(F.first(key, ignorenulls=True).alias(key), F.max("n_words").cast("long").alias("n_words"), F.collect_set(F.col("_item").cast("string")).alias("items"), F.collect_set("span").alias("spans"))
+    hits = hits.select(key, "_row", "text_hash", F.when(F.col("words").isNull(), F.size("_w")).alias("n_words"), F.col("item").alias("_item"), F.when(F.col("words").isNotNull(), F.struct(start.alias("a"), (start + F.size("words")).alias("b"))).alias("span"))
+    per = hits.groupBy("_row").agg(F.first(key, ignorenulls=True).alias(key), F.first("text_hash").alias("text_hash"), F.max("n_words").cast("long").alias("n_words"), F.collect_set(F.col("_item").cast("string")).alias("items"), F.collect_set("span").alias("spans"))
     # the union of the spans: sorted by start, each adds what lies beyond the furthest end so far
     zero = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
     union = F.aggregate(F.array_sort("spans"), zero, lambda s, x: F.struct(F.greatest(s["end"], x["b"]).alias("end"), (s["n"] + F.greatest(x["b"] - F.greatest(x["a"], s["end"]), F.lit(0))).alias("n")))
     n_hit = union["n"]
-    return per.select(key, "_row", "n_words", n_hit.alias("n_hit"), F.array_sort("items").alias("items")).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+    return per.select(key, "text_hash", "n_words", n_hit.alias("n_hit"), F.array_sort("items").alias("items")).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))

@@ -55,7 +55,8 @@ def drop_copies(df: DataFrame, key: str = "doc_id", text: str = "text", tracked:
     rank = F.struct(F.col("_key").isNull().alias("n"), F.col("_key").alias("k"))
     named = F.broadcast(heavy_digests(digests, "_digest", tracked))
     winners = written(digests.join(named, "_digest").groupBy("_digest").agg(F.min(rank).alias("_first")))
-    marked = df.withColumn("_digest", digest(text)).join(F.broadcast(winners), "_digest", "left")
-    may_stay = marked.where(F.col("_first").isNull() | F.col("_first.k").eqNullSafe(F.col(key)))
-    order = Window.partitionBy("_digest").orderBy(F.col(key).asc_nulls_last())
-    return may_stay.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").select(*df.columns)
+    rows = df.select(F.struct(*df.columns).alias("_doc"), F.col(key).alias("_key"), digest(text).alias("_digest"))
+    marked = rows.join(F.broadcast(winners), "_digest", "left")
+    may_stay = marked.where(F.col("_first").isNull() | F.col("_first.k").eqNullSafe(F.col("_key")))
+    order = Window.partitionBy("_digest").orderBy(F.col("_key").asc_nulls_last())
+    return may_stay.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").select("_doc.*")

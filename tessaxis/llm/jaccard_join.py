@@ -46,16 +46,16 @@ def least_overlap(a, b, percent: int = PERCENT):
 
 
 def node_rows(df: DataFrame, key: str, text: str, n_words: int) -> DataFrame:
-    """key, n (shingles) and node (hash of the set; null without shingles) of each row."""
+    """key, text_hash, n (shingles) and node (hash of the set; null without shingles) of each row."""
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches):
         shingle = Shingler(n_words)
         for pdf in batches:
             sets = [shingle(x) for x in pdf[text]]
-            yield pd.DataFrame({key: pdf[key], "n": [len(x) for x in sets], "node": pd.array([signature(x) if len(x) else None for x in sets], "Int64")})
+            yield pd.DataFrame({key: pdf[key], "text_hash": pdf["text_hash"], "n": [len(x) for x in sets], "node": pd.array([signature(x) if len(x) else None for x in sets], "Int64")})
 
-    return df.select(key, text).mapInPandas(run, f"{key} {kind}, n long, node long")
+    return df.select(key, text, F.xxhash64(text).alias("text_hash")).mapInPandas(run, f"{key} {kind}, text_hash long, n long, node long")
 
 
 def _pack(h: np.ndarray) -> bytes:
@@ -238,7 +238,7 @@ def node_components(sets: DataFrame, percent: int, rounds: int = LEADER_ROUNDS)
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n_words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One row per row of df: key, n_shingles and component_id (the smallest key that links reach)."""
+    """One row per row of df: key, text_hash (xxhash64), n_shingles and component_id (the smallest key that links reach)."""
     spark = df.sparkSession
     nodes = written(node_rows(df, key, text, n_words))
     sets = written(shared_shingles(df, text, n_words, percent, 2 * max(4, partitions(df)), max(4, partitions(df))))
@@ -253,4 +253,4 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n_wo
         named = first.select("node", F.col("first").alias("component_id"), F.col("copies").alias("size"))
     # a row alone in its component needs no join: only components of two rows or more are looked up
     found = nodes.join(written(named.where("size > 1").drop("size")), "node", "left")
-    return found.select(key, F.col("n").alias("n_shingles"), F.coalesce("component_id", key).alias("component_id"))
+    return found.select(key, "text_hash", F.col("n").alias("n_shingles"), F.coalesce("component_id", key).alias("component_id"))
