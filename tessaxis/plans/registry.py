@@ -520,10 +520,13 @@ def e23_grid_distance(spark, sf_dir):
 # Spectra
 
 
-@query("SELECT r AS row, c AS col, round(sqrt(((c - 32) / 64.0) * ((c - 32) / 64.0) + ((r - 32) / 64.0) * ((r - 32) / 64.0)), 6) AS radius, (SELECT count(*) FROM embeddings) AS n FROM (SELECT unnest(range(64)) AS r) CROSS JOIN (SELECT unnest(range(64)) AS c)")
+@query("""SELECT vec_id AS patch_id, round(sum(sqrt(pow((((i - 1) % 8) - 4) / 8.0, 2) + pow((((i - 1) // 8) - 4) / 8.0, 2)) * embedding[i]::DOUBLE), 4) AS weighted
+FROM (SELECT *, unnest(range(1, 65)) AS i FROM embeddings) GROUP BY 1""")
 def f1_frequency_grid(spark, sf_dir):
-    n = fx.table(spark, sf_dir, "embeddings").agg(F.count("*").alias("n"))
-    return spectrum.frequency_grid(spark, 64).select("row", "col", r("radius").alias("radius")).crossJoin(F.broadcast(n))
+    """Each patch's values weighted by the radius of the frequency grid."""
+    px = fx.patches(spark, sf_dir).select("patch_id", F.posexplode("pixels").alias("i", "v")).select("patch_id", F.floor(F.col("i") / 8).alias("row"), (F.col("i") % 8).cast("long").alias("col"), "v")
+    found = px.join(F.broadcast(spectrum.frequency_grid(spark, 8)), ["row", "col"])
+    return found.groupBy("patch_id").agg(r(F.sum(F.col("radius") * F.col("v")), 4).alias("weighted"))
 
 
 @query()
