@@ -31,7 +31,7 @@ from tessaxis.llm.shingles import Shingler, range_of, signature
 from tessaxis.plans.graphs import components
 
 WORDS, PERCENT = 5, 75
-LEADER_ROUNDS, LOOK_BACK = 3, 12
+LEADER_ROUNDS, LOOK_BACK = 4, 12
 BATCH_SHINGLES = 1_500_000
 
 
