@@ -168,6 +168,44 @@ def test_lm_is_a_distribution(spark):
     assert got["score"] == pytest.approx(want) and got["n_known"] == 5
 
 
+def test_lm_grows_and_tests_every_candidate(spark):
+    rng = random.Random(5)
+    lines = [" ".join(f"w{rng.randrange(3000)}" for _ in range(60)) for _ in range(1500)] + ["p q r s"] * 130
+    for _ in range(100):
+        # the next of u and v depends on the two before, not on one alone
+        w = [rng.randrange(2), rng.randrange(2)]
+        while len(w) < 40:
+            w.append(w[-1] ^ w[-2] ^ (rng.random() < 0.1))
+        lines.append(" ".join("uv"[x] for x in w))
+    rng.shuffle(lines)
+    tree, table, n, v = suffix_tree_lm.fit(spark.createDataFrame(list(enumerate(lines)), SCHEMA))
+    of = tree.symbols
+    assert 130 < 0.002 * n and (of[b"p"],) in tree.states and (of[b"r"],) in tree.states
+    pairs = [(of[a], of[b]) for a in (b"u", b"v") for b in (b"u", b"v")]
+    assert all(x in tree.states for x in pairs)
+    names = {k: w for w, k in of.items()}
+    candidates = [len(level["code"]) for level in tree.levels]
+    counts: Counter = Counter()
+    for x in lines:
+        w = words(x)
+        counts.update(tuple(w[i : i + d]) for d in (1, 2, 3) for i in range(len(w) - d + 1))
+    assert candidates == [sum(c >= 100 and len(k) == d for k, c in counts.items()) for d in (1, 2, 3)] and len(names) == len(of)
+    # what a state's symbols lost or gained, asked from the table for each pair that is not broadcast
+    text = "p q r s u v v u zz"
+    want, history = 0.0, []
+    for i in [of.get(w, -1) for w in words(text)] + [of[b"\n"]]:
+        state = next(tree.states[tuple(history[k:])] for k in range(len(history) + 1) if tuple(history[k:]) in tree.states)
+        want += tree.log_p[state][i] + (0 if i >= 0 else -tree.log_p[0][-1] + math.log10(1 / (n + v + 1)))
+        history.append(i)
+    old, suffix_tree_lm.PAIR_SHARE = suffix_tree_lm.PAIR_SHARE, 2.0
+    try:
+        got = suffix_tree_lm.score(spark.createDataFrame([(1, text)], SCHEMA), (tree, table, n, v)).first()
+    finally:
+        suffix_tree_lm.PAIR_SHARE = old
+    again = suffix_tree_lm.score(spark.createDataFrame([(1, text)], SCHEMA), (tree, table, n, v)).first()
+    assert got["score"] == pytest.approx(want) and again["score"] == pytest.approx(want)
+
+
 def test_lm_awkward(spark, awkward):
     model = suffix_tree_lm.fit(awkward)
     got = suffix_tree_lm.score(awkward, model).collect()
