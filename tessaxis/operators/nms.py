@@ -15,30 +15,30 @@ from tessaxis.sources.stages import written
 
 
 def overlap_edges(dets: DataFrame, threshold: float, by_class: bool = True, cell: float = 32.0, key: str = "det_id") -> DataFrame:
-    """hi, lo: pairs of keys with IoU over the threshold, hi being ahead in the order."""
+    """scene_id, hi, lo: pairs of keys of a scene with IoU over the threshold, hi being ahead in the order."""
     on = ["scene_id", "category_id"] if by_class else ["scene_id"]
     side = lambda s: dets.select(*on, F.col(key).alias(f"k_{s}"), F.col("score").alias(f"s_{s}"), F.col("bbox").alias(f"box_{s}"))
     pairs = box_pairs(side("a"), side("b"), cell, on).where((F.col("k_a") < F.col("k_b")) & (geometry.iou(F.col("box_a"), F.col("box_b")) > threshold))
     a_first = F.col("s_a") >= F.col("s_b")
-    return pairs.select(F.when(a_first, F.col("k_a")).otherwise(F.col("k_b")).alias("hi"), F.when(a_first, F.col("k_b")).otherwise(F.col("k_a")).alias("lo"))
+    return pairs.select("scene_id", F.when(a_first, F.col("k_a")).otherwise(F.col("k_b")).alias("hi"), F.when(a_first, F.col("k_b")).otherwise(F.col("k_a")).alias("lo"))
 
 
 def suppressed(edges: DataFrame) -> DataFrame:
-    """The keys (lo) that greedy suppression drops."""
+    """scene_id and the keys (lo) that greedy suppression drops; a key counts within its scene."""
     left, dropped = written(edges), None
     while not left.isEmpty():
-        tops = left.select(F.col("hi").alias("k")).distinct().join(left.select(F.col("lo").alias("k")).distinct(), "k", "left_anti")
-        gone = written(left.join(tops.withColumnRenamed("k", "hi"), "hi", "left_semi").select("lo").distinct())
+        tops = left.select("scene_id", "hi").distinct().join(left.select("scene_id", F.col("lo").alias("hi")).distinct(), ["scene_id", "hi"], "left_anti")
+        gone = written(left.join(tops, ["scene_id", "hi"], "left_semi").select("scene_id", "lo").distinct())
         dropped = gone if dropped is None else dropped.union(gone)
-        rest = left.join(gone, "lo", "left_anti").join(gone.withColumnRenamed("lo", "hi"), "hi", "left_anti")
+        rest = left.join(gone, ["scene_id", "lo"], "left_anti").join(gone.withColumnRenamed("lo", "hi"), ["scene_id", "hi"], "left_anti")
         left = written(rest)
-    return dropped if dropped is not None else edges.select("lo").limit(0)
+    return dropped if dropped is not None else edges.select("scene_id", "lo").limit(0)
 
 
 def nms(dets: DataFrame, threshold: float = 0.2, by_class: bool = True, cell: float = 32.0, key: str = "det_id") -> DataFrame:
-    """The detections that stay. dets: key, scene_id, category_id, score and bbox; sort by score for the usual order."""
+    """The detections that stay. dets: key (unique in a scene), scene_id, category_id, score and bbox; sort by score for the usual order."""
     gone = suppressed(overlap_edges(dets, threshold, by_class, cell, key))
-    return dets.join(gone.withColumnRenamed("lo", key), key, "left_anti")
+    return dets.join(gone.withColumnRenamed("lo", key), ["scene_id", key], "left_anti")
 
 
 def distinct_geometries(dets: DataFrame, key: str = "det_id", geometry_column: str = "geometry") -> DataFrame:

@@ -18,13 +18,13 @@ def _points(ring) -> np.ndarray:
     return np.array([(v["x"], v["y"]) for v in ring], float).reshape(-1, 2)
 
 
-def ellipse_fits(df: DataFrame, ring: str = "geometry", spacing: float | None = None) -> DataFrame:
+def ellipse_fits(df: DataFrame, ring: str = "geometry", spacing: float | Column | None = None) -> DataFrame:
     """df with angle180 and aspect_ra of the ellipse fitted to each ring (y north); null where the fit fails.
 
     With a spacing, rings are densified first. All vertices count, the repeated closing one too.
     """
     schema = T.StructType([f for f in df.schema.fields if f.name not in ("angle180", "aspect_ra")] + [T.StructField(n, T.DoubleType()) for n in ("angle180", "aspect_ra")])
-    source = df.withColumn("_ring", geometry.densify(F.col(ring), spacing) if spacing else F.col(ring)).drop("angle180", "aspect_ra")
+    source = df.withColumn("_ring", geometry.densify(F.col(ring), spacing) if isinstance(spacing, Column) or spacing else F.col(ring)).drop("angle180", "aspect_ra")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -37,7 +37,7 @@ def ellipse_fits(df: DataFrame, ring: str = "geometry", spacing: float | None =
     return source.mapInPandas(run, schema)
 
 
-def attach_orientations(dets: DataFrame, res: float, ring: str = "geometry") -> DataFrame:
+def attach_orientations(dets: DataFrame, res: float | Column, ring: str = "geometry") -> DataFrame:
     """dets with angle180, aspect_ra and diameter_m; failed fits keep their row."""
     return ellipse_fits(dets, ring, res).withColumn("diameter_m", geometry.diameter(geometry.area(F.col(ring))))
 
@@ -47,7 +47,7 @@ def sample_rows(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
     return df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
 
 
-def orientations(dets: DataFrame, res: float, sample: int | None = None, seed: int = 0, key: str = "det_id") -> DataFrame:
+def orientations(dets: DataFrame, res: float | Column, sample: int | None = None, seed: int = 0, key: str = "det_id") -> DataFrame:
     """Orientation table: fits of all or of `sample` detections, failures dropped."""
     return attach_orientations(sample_rows(dets, sample, key, seed) if sample else dets, res).dropna(subset=["angle180"])
 

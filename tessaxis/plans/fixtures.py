@@ -113,6 +113,23 @@ def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+PIECE = 8
+
+
+def piece_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raster's blocks as scenes of PIECE block rows each."""
+    b = blocks(spark, sf_dir)
+    return b.withColumn("scene_id", F.floor(F.col("block_row") / PIECE)).withColumn("block_row", (F.col("block_row") % PIECE).cast("int"))
+
+
+def piece_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scenes of piece_blocks, at their places on the raster's map; every second one has twice the res."""
+    side = PIECE * BLOCK
+    each = scenes(spark, sf_dir).where("height > 0").withColumn("scene_id", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("height") - 1) / side))))
+    each = each.withColumn("res", 2.0 + 2.0 * (F.col("scene_id") % 2)).withColumn("transform", F.struct(F.col("res").alias("a"), F.lit(0.0).alias("b"), F.lit(1000.0).alias("c"), F.lit(0.0).alias("d"), (-F.col("res")).alias("e"), (5000.0 - 2 * side * F.col("scene_id")).alias("f")))
+    return each.withColumn("height", F.least(F.lit(side), F.col("height") - side * F.col("scene_id")).cast("int"))
+
+
 def grid_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scenes of many sizes, one a nation."""
     return table(spark, sf_dir, "nation").selectExpr("cast(n_nationkey AS long) AS scene_id", "cast(300 + 97 * n_nationkey AS int) AS width", "cast(250 + 61 * n_nationkey AS int) AS height")

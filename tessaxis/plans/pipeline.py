@@ -14,7 +14,7 @@ def sliced_prediction(scenes: DataFrame, blocks: DataFrame, block: int, predicto
     """All detections of the scenes, and those that stay after suppression within each class.
 
     Detections near a scene's footprint or well inside their slice stay; of equal geometries the first stays. det_id counts
-    the rows in order of tile and model. scenes need a footprint column.
+    the rows of a scene in order of tile and model. scenes need a footprint column.
     """
     if not has_mask:
         raise ValueError("detections need masks: areas and outlines come from them")
@@ -34,8 +34,8 @@ def predict_scene(scenes: DataFrame, blocks: DataFrame, block: int, predictor_fa
     found = masks.component_detections(raw, slice_size, min_area, tracer)
     keyed = written(found.withColumn("det_id", F.shiftleft("tile_id", 20) + F.col("local_id")).withColumn("bbox", geometry.bounds(F.col("polygon"))))
     kept = masks.georeferenced(nms.nms(keyed, iou, False, float(slice_size)).drop("bbox"), scenes)
-    res = scenes.agg(F.max("res")).first()[0] or 1.0
-    return kept, orientation.orientations(kept, res)
+    located = kept.join(F.broadcast(scenes.select("scene_id", F.when(F.col("res") > 0, F.col("res")).otherwise(1.0).alias("_res"))), "scene_id")
+    return kept, orientation.orientations(located, F.col("_res")).drop("_res")
 
 
 def multi_scale(runs: dict[int, DataFrame], iou: float = 0.2, cell: float = 64.0) -> DataFrame:
@@ -44,5 +44,5 @@ def multi_scale(runs: dict[int, DataFrame], iou: float = 0.2, cell: float = 64.0
     for size, dets in runs.items():
         one = dets.withColumn("slice_size", F.lit(size))
         whole = one if whole is None else whole.unionByName(one)
-    keyed = whole.withColumn("det_id", F.xxhash64("slice_size", "det_id"))
+    keyed = whole.withColumn("det_id", F.xxhash64("scene_id", "slice_size", "det_id"))
     return nms.nms(nms.distinct_geometries(keyed), iou, True, cell)

@@ -740,14 +740,16 @@ def g8_average_precision(spark, sf_dir):
 @query()
 def sliced_prediction(spark, sf_dir):
     """The first scene pipeline with the stand-in model: detections after suppression."""
-    t = fx.scenes(spark, sf_dir).withColumn("footprint", geometry.box_ring(geometry.box(F.lit(1000), 5000 - 2 * F.col("height"), F.lit(1256), F.lit(5000))))
+    t = fx.piece_scenes(spark, sf_dir)
+    top = F.col("transform.f")
+    t = t.withColumn("footprint", geometry.box_ring(geometry.box(F.lit(1000.0), top - F.col("res") * F.col("height"), 1000 + F.col("res") * F.col("width"), top)))
     names = spark.createDataFrame([(1, "boulder")], "category_id int, category_name string")
-    kept = pipeline.sliced_prediction(t, fx.blocks(spark, sf_dir), fx.BLOCK, tiles.threshold_predictor(138, 4), names, 32, 0.2, 0.5, 3)[1]
-    return kept.select("det_id", "score", "category_name", "is_at_edge", "bbox.*")
+    kept = pipeline.sliced_prediction(t, fx.piece_blocks(spark, sf_dir), fx.BLOCK, tiles.threshold_predictor(138, 4), names, 32, 0.2, 0.5, 3)[1]
+    return kept.select("scene_id", "det_id", "score", "category_name", "is_at_edge", "bbox.*")
 
 
 @query()
 def predict_scene(spark, sf_dir):
     """The second scene pipeline with the stand-in model: its orientation table."""
-    found = pipeline.predict_scene(fx.scenes(spark, sf_dir), fx.blocks(spark, sf_dir), fx.BLOCK, tiles.threshold_predictor(138, 8), 32, 0.2, 0.5, 8)[1]
-    return found.select("det_id", "score", "angle180", "aspect_ra", "diameter_m")
+    found = pipeline.predict_scene(fx.piece_scenes(spark, sf_dir), fx.piece_blocks(spark, sf_dir), fx.BLOCK, tiles.threshold_predictor(138, 8), 32, 0.2, 0.5, 8)[1]
+    return found.select("scene_id", "det_id", "score", "angle180", "aspect_ra", "diameter_m")

@@ -222,6 +222,23 @@ def test_empty_inputs(spark):
     assert tiles.detect(cut, tiles.threshold_predictor(1)).count() == 0
 
 
+def test_scenes_do_not_mix(spark):
+    from tessaxis.plans import pipeline
+
+    scenes, blocks = fx.piece_scenes(spark, SF), fx.piece_blocks(spark, SF)
+    run = lambda t: pipeline.predict_scene(t, blocks.join(t.select("scene_id"), "scene_id"), fx.BLOCK, tiles.threshold_predictor(138, 8), 32, 0.2, 0.5, 8)[1]
+    of = lambda df: sorted((r["scene_id"], r["det_id"], round(r["angle180"], 6), round(r["aspect_ra"], 6)) for r in df.collect())
+    some = scenes.where("scene_id < 3")
+    assert of(run(some)) == sorted(x for i in range(3) for x in of(run(scenes.where(f"scene_id = {i}"))))
+    # the same keys in two scenes: one suppressed in the first, clean in the second
+    box = lambda x: (float(x), 0.0, x + 10.0, 10.0)
+    rows = [(0, 1, 1, 0.9, box(0)), (0, 2, 1, 0.8, box(1)), (1, 1, 1, 0.9, box(0)), (1, 2, 1, 0.8, box(50))]
+    d = spark.createDataFrame(rows, "scene_id long, det_id long, category_id int, score double, bbox struct<xmin:double,ymin:double,xmax:double,ymax:double>")
+    assert sorted((r["scene_id"], r["det_id"]) for r in nms.nms(d).collect()) == [(0, 1), (1, 1), (1, 2)]
+    whole = pipeline.multi_scale({32: d.withColumn("geometry", F.to_json("bbox"))})
+    assert whole.count() == 3
+
+
 def test_mask_needed(spark):
     from tessaxis.plans import pipeline
 
