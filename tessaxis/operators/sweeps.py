@@ -98,7 +98,12 @@ def detect_orientations(scenes: DataFrame, blocks: DataFrame, block: int, size:
             yield pd.DataFrame({"scene_id": pdf["scene_id"], "patch_id": pdf["tile_id"], "n": pdf["sh"], "pixels": [np.frombuffer(x, np.uint8).astype(float) for x in pdf["pixels"]]})
 
     found = measure(cut.mapInPandas(run, "scene_id long, patch_id long, n int, pixels array<double>"))
-    return found.where(F.col("angle180").isNotNull() & (F.col("aspect_ra") >= aspect_min))
+    return elongated(found, aspect_min)
+
+
+def elongated(dets: DataFrame, aspect_min: float = 1.35) -> DataFrame:
+    """Detections with an angle and aspect_min or more: near-round ones have arbitrary angles."""
+    return dets.where(F.col("angle180").isNotNull() & (F.col("aspect_ra") >= aspect_min))
 
 
 def population_sweep(dets: DataFrame, alphas: DataFrame, n_boot: int = 200, seed: int = 0) -> DataFrame:

@@ -591,17 +591,20 @@ def f10_null_ensemble(spark, sf_dir):
 
 @query()
 def f11_resampling_control(spark, sf_dir):
-    w = tiles.read_windows(tiles.random_windows(fx.scenes(spark, sf_dir), 32, 20), fx.blocks(spark, sf_dir), fx.BLOCK, "try_id")
     p = spark.createDataFrame([(22.5, "nearest"), (22.5, "bilinear"), (22.5, "cubic"), (22.5, "lanczos")], "angle_deg double, kernel string")
-    return spectrum.control_summaries(spectrum.warped(spectrum.as_patches(w, "try_id"), p), ["kernel"], nbins=12)
+    return spectrum.control_summaries(spectrum.warped(_windows(spark, sf_dir), p), ["kernel"], nbins=12)
 
 
 # Sweeps
 
 
-def _windows(spark, sf_dir, n=12):
-    w = tiles.read_windows(tiles.random_windows(fx.scenes(spark, sf_dir), 32, n), fx.blocks(spark, sf_dir), fx.BLOCK, "try_id")
-    return spectrum.as_patches(w, "try_id")
+def _windows(spark, sf_dir):
+    """All full tiles of the raster, without overlap."""
+    return spectrum.as_patches(tiles.read_windows(tiles.plain_grid(fx.scenes(spark, sf_dir), 32), fx.blocks(spark, sf_dir), fx.BLOCK), "tile_id")
+
+
+def _measured(patches, by):
+    return sweeps.elongated(sweeps.threshold_measure(140, ["patch_id", by])(patches))
 
 
 def _alphas(spark):
@@ -610,7 +613,7 @@ def _alphas(spark):
 
 @query()
 def gs2_population_sweep(spark, sf_dir):
-    d = sweeps.threshold_measure(140, ["patch_id", "alpha"])(sweeps.rotated(_windows(spark, sf_dir), _alphas(spark), 1))
+    d = _measured(sweeps.rotated(_windows(spark, sf_dir), _alphas(spark), 1), "alpha")
     return sweeps.population_sweep(d, _alphas(spark), 50)
 
 
@@ -659,14 +662,14 @@ def gs7_rotation_strip(spark, sf_dir):
 @query()
 def gs8_resolution_sweep(spark, sf_dir):
     p = spark.createDataFrame([(1.0,), (2.0,)], "factor double")
-    d = sweeps.threshold_measure(140, ["patch_id", "factor"])(sweeps.rescaled(_windows(spark, sf_dir), p))
+    d = _measured(sweeps.rescaled(_windows(spark, sf_dir), p), "factor")
     return sweeps.resolution_sweep(d, 2.0, 50)
 
 
 @query()
 def gs9_kernel_sweep(spark, sf_dir):
     p = spark.createDataFrame([(22.5, o) for o in (0, 1, 3)], "alpha double, order int")
-    d = sweeps.threshold_measure(140, ["patch_id", "order"])(sweeps.rotated(_windows(spark, sf_dir), p, None))
+    d = _measured(sweeps.rotated(_windows(spark, sf_dir), p, None), "order")
     return sweeps.kernel_sweep(d)
 
 

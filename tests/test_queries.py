@@ -52,6 +52,13 @@ def test_other_queries_give_rows(spark, name):
     assert registry.QUERIES[name](spark, SF).count() > 0
 
 
+def test_sweeps_take_all_tiles(spark):
+    scene = fx.scenes(spark, SF).first()
+    assert registry._windows(spark, SF).count() == (scene["width"] // 32) * (scene["height"] // 32)
+    whole = sweeps.detect_orientations(fx.scenes(spark, SF), fx.blocks(spark, SF), fx.BLOCK, 32, sweeps.threshold_measure(140, ["scene_id", "patch_id"])).count()
+    assert whole == registry.gs2_population_sweep(spark, SF).where("alpha = 0").first()["n"] == registry.gs8_resolution_sweep(spark, SF).where("factor = 1").first()["n"]
+
+
 def test_offsets(spark):
     def of(full, size, overlap):
         return spark.range(1).select(tiles.slice_offsets(F.lit(full), size, overlap).alias("o")).first()["o"]
