@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessaxis.sources.stages import written
+from tessaxis.sources.stages import dropped, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -19,7 +19,9 @@ def components(edges: DataFrame) -> DataFrame:
         low = labels.join(seen, "node").select("node", F.col("comp").alias("was"), F.least("comp", "near").alias("low"))
         roots = low.groupBy("was").agg(F.min("low").alias("low"))
         to = roots.join(roots.select(F.col("was").alias("low"), F.col("low").alias("lower")), "low", "left").select("was", F.coalesce("lower", "low").alias("comp"))
-        new = written(low.join(to, "was").select("node", "was", "comp"))
+        last, new = labels, written(low.join(to, "was").select("node", "was", "comp"))
+        dropped(last)
         labels = new.select("node", "comp")
         if new.where("was <> comp").isEmpty():
+            dropped(both)
             return labels

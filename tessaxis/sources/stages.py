@@ -1,34 +1,77 @@
 """Stages: tables written once and read again, to resume a run or to cut lineage."""
 
+import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
+from contextlib import contextmanager, suppress
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark deletes a query's shuffle files at its end; a table that is written needs them no more.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one where that is unset."""
+    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one where that is unset in local mode."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessaxis-"))
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="tessaxis-"))
     return sc.getCheckpointDir()
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def _delete_at_exit(spark: SparkSession, path: str) -> None:
+    with suppress(Exception):  # the session may have ended
+        _delete(spark, path)
+
+
+@contextmanager
+def _cleanup(spark: SparkSession):
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder."""
-    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df as a Parquet table in the shared folder, which goes when the program ends."""
+    spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    with _cleanup(spark):
+        df.write.parquet(path)
+    atexit.register(_delete_at_exit, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables of written() that nothing reads any more."""
+    for df in tables:
+        for folder in {x.rpartition("/")[0] for x in df.inputFiles()}:
+            if not re.fullmatch(r".*/[0-9a-f]{32}", folder):
+                raise ValueError(f"{folder} is no table of written()")
+            _delete(df.sparkSession, folder)
+
+
+def _complete(spark: SparkSession, path: str) -> bool:
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark)
 
 
 def stage(spark: SparkSession, path: str, build: Callable[[], DataFrame], force: bool = False) -> DataFrame:
-    """The table at path, or what build() gives, written there. A path names its parameters; unreadable ones are built again."""
-    if not force:
-        try:
+    """The table at path, or what build() gives, written there. A path names its parameters; what lacks the writer's success mark or can't be read is built again."""
+    if not force and _complete(spark, path):
+        with suppress(AnalysisException):
             return spark.read.parquet(path)
-        except AnalysisException:
-            pass
     build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
