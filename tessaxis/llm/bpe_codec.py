@@ -10,21 +10,21 @@ through; an output column replaces an input column of its name.
 
 import base64
 import re
-from collections.abc import Iterator
 from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tessaxis.llm.common import in_slices, put, with_field
+
 #: The characters with the Unicode property White_Space.
 WHITE_SPACE = r"\t\n\x0b\x0c\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A place where a text can be cut: between another character and white space.
 SAFE = re.compile(f"(?<=[^{WHITE_SPACE}])(?=[{WHITE_SPACE}])")
 
-PART_CHARS, SLICE = 1 << 16, 1 << 20
+PART_CHARS = 1 << 16
 _codecs: dict = {}
 
 
@@ -71,32 +71,10 @@ def codec(rank_path: str, pattern: str) -> Codec:
     return _codecs[rank_path, pattern]
 
 
-def in_slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE) -> Iterator[pa.RecordBatch]:
-    """Each batch in slices of about `most` bytes or list items of one column, so that few become Python objects at a time."""
-    for batch in batches:
-        values = batch.column(column)
-        sizes = pc.list_value_length(values) if pa.types.is_list(values.type) else pc.binary_length(values)
-        total, start = np.cumsum(sizes.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)), 0
-        while start < len(total):
-            done = total[start - 1] if start else 0
-            end = max(start + 1, int(np.searchsorted(total, done + most, "right")))
-            yield batch.slice(start, end - start)
-            start = end
-
-
 def id_list(ids: pa.ListScalar) -> list[int]:
     return ids.values.to_numpy().tolist() if ids.is_valid else []
 
 
-def _with(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
-    return T.StructType([f for f in df.schema.fields if f.name != name] + [T.StructField(name, kind)])
-
-
-def _put(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
-    names = [x for x in batch.schema.names if x != name]
-    return pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), values], [*names, name])
-
-
 def encode(df: DataFrame, rank_path: str, pattern: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
     """df with an array<int> column of the text's token ids, as the library's encode_ordinary gives them."""
 
@@ -105,9 +83,9 @@ def encode(df: DataFrame, rank_path: str, pattern: str, text: str = "text", ids:
         for batch in in_slices(batches, text):
             lists = [c.encode(x.as_py()).astype(np.int32) for x in batch.column(text)]
             ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
-            yield _put(batch, ids, pa.ListArray.from_arrays(ends, np.concatenate([np.array([], np.int32), *lists])))
+            yield put(batch, ids, pa.ListArray.from_arrays(ends, np.concatenate([np.array([], np.int32), *lists])))
 
-    return df.mapInArrow(run, _with(df, ids, T.ArrayType(T.IntegerType())))
+    return df.mapInArrow(run, with_field(df, ids, T.ArrayType(T.IntegerType())))
 
 
 def decode(df: DataFrame, rank_path: str, pattern: str, ids: str = "token_ids", decoded: str = "decoded") -> DataFrame:
@@ -116,6 +94,6 @@ def decode(df: DataFrame, rank_path: str, pattern: str, ids: str = "token_ids",
     def run(batches):
         c = codec(rank_path, pattern)
         for batch in in_slices(batches, ids):
-            yield _put(batch, decoded, pa.array([c.decode(id_list(x)) for x in batch.column(ids)], pa.binary()))
+            yield put(batch, decoded, pa.array([c.decode(id_list(x)) for x in batch.column(ids)], pa.binary()))
 
-    return df.mapInArrow(run, _with(df, decoded, T.BinaryType()))
+    return df.mapInArrow(run, with_field(df, decoded, T.BinaryType()))

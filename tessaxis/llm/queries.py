@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessaxis.llm import bpe_codec, chat_format, decontaminate, exact_dedup, html_extract, jaccard_join, suffix_dedup, suffix_tree_lm, token_counts, toxicity
-from tessaxis.llm.common import crc_mod, table
+from tessaxis.llm.common import crc_mod, in_slices, table
 
 
 def _bpe() -> tuple[str, str]:
@@ -81,7 +81,7 @@ def bpe_digests(df: DataFrame) -> DataFrame:
     """Digests of encoded and decoded rows."""
 
     def run(batches):
-        for batch in bpe_codec.in_slices(batches, "token_ids"):
+        for batch in in_slices(batches, "token_ids"):
             ids = batch.column("token_ids")
             told = [hashlib.sha256(" ".join(map(str, bpe_codec.id_list(x))).encode()).hexdigest() for x in ids]
             decoded = [hashlib.sha256(x.as_py() or b"").hexdigest() for x in batch.column("decoded")]

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessaxis.llm.common import free_shuffles, partitions, written
+from tessaxis.llm.common import partitions, written
 from tessaxis.llm.shingles import mix, range_of
 
 LENGTH, GRAM = 100, 32
@@ -279,13 +279,11 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
     dealt = docs.select("k", "doc", "data").mapInPandas(deal, "r int, keys binary, docs binary, own binary, hashes binary, whole binary, place binary, near binary")
     found = written(dealt.groupBy("r").applyInPandas(meet, "b int, docs binary, starts binary, ends binary, asked binary, hashes binary, places binary, near binary"))
     del dealt
-    free_shuffles(spark)
     by_bucket = docs.withColumn("b", F.pmod("doc", F.lit(parts)).cast("int"))
     asked = found.where(F.octet_length("asked") > 0).select("b", "asked", "hashes", "places", "near")
     around = by_bucket.groupBy("b").cogroup(asked.groupBy("b")).applyInPandas(fetch, "r int, hashes binary, keys binary, docs binary, places binary, sizes binary, right binary, left binary")
     more = written(around.groupBy("r").applyInPandas(repeats, "b int, docs binary, starts binary, ends binary"))
     del around
-    free_shuffles(spark)
     spans = found.where(F.octet_length("docs") > 0).select("b", "docs", "starts", "ends").unionByName(more)
     done = by_bucket.groupBy("b").cogroup(spans.groupBy("b")).applyInPandas(cut, f"key {kind}, n_bytes long, starts array<long>, ends array<long>, kept binary")
     return done.withColumnRenamed("key", key)

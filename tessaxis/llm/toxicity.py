@@ -5,7 +5,11 @@ bits. The model is fitted on a bounded sample of labelled rows: at most SAMPLE_R
 terms that go with the label in the sample (a z-score of Z_LEAST or more) get parameters: a weight and a factor vector,
 whose products learn pairs that an additive model misses. The score is the sigmoid of bias + weights + pair products.
 
-Null and empty texts have no terms and get the bias's score. Without labelled rows of both kinds every score is 0.
+At most TERMS_MOST terms get parameters, those of the highest z-scores; of rows with one key the greatest text and label
+are learned from. Texts are scored in slices of Arrow batches, by bytes, so that few are Python strings at a time.
+
+Null and empty texts have no terms and get the bias's score. Without labelled rows of both kinds every score is 0. Keys
+may be of any type; rows with null keys are scored but not learned from. An output column replaces a column of its name.
 Labels, lang, source and doc_id are no inputs of a score.
 """
 
@@ -15,11 +19,14 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessaxis.llm.common import in_slices, put, with_field
+
 SAMPLE_ROWS, Z_LEAST, TERMS_MOST = 12_000, 5.0, 50_000
 FACTORS, EPOCHS, RATE, DECAY = 8, 12, 0.1, 1e-4
 MEMO_ENTRIES = 100_000
@@ -110,13 +117,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "do
     """A model from at most `sample` labelled rows; the labels given are all that may be learned from."""
     chosen = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).cast("int").alias("_y"))
     chosen = chosen.orderBy(F.xxhash64(key), key).limit(sample)
-    rows = docs.select(key, text).join(F.broadcast(chosen), key).groupBy(key, "_y").agg(F.max(text).alias("_t"))
+    rows = docs.select(key, text).join(F.broadcast(chosen), key).groupBy(key, "_y").agg(F.max(text).alias("_t")).select(F.col(key).cast("string").alias("k"), F.col("_y").alias("y"), F.col("_t").alias("x"))
 
     def hashed(batches):
-        for pdf in batches:
-            for at in range(0, len(pdf), 200):
-                part = pdf.iloc[at : at + 200]
-                yield pd.DataFrame({"k": part[key].astype("int64"), "y": part["_y"], "x": [np.fromiter(terms(t), np.int64) for t in part["_t"]]})
+        for batch in in_slices(batches, "x"):
+            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("y"), pa.array([sorted(terms(t.as_py())) for t in batch.column("x")], pa.list_(pa.int64()))], ["k", "y", "x"])
 
     def learn(batches):
         found = sorted((r for pdf in batches for r in zip(pdf["k"], pdf["y"], (x.astype(np.uint32) for x in pdf["x"]), strict=True)), key=lambda r: r[0])
@@ -132,7 +137,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "do
             yield pd.DataFrame({"t": [-1, *kept], "w": [bias, *w], "v": [np.zeros(FACTORS), *v]})
 
     # one task learns: its input is the bounded sample
-    model = rows.mapInPandas(hashed, "k long, y int, x array<long>").repartition(1).mapInPandas(learn, "t long, w double, v array<double>").collect()
+    model = rows.mapInArrow(hashed, "k string, y int, x array<long>").repartition(1).mapInPandas(learn, "t long, w double, v array<double>").collect()
     if not model:
         return None
     terms_ = [r for r in model if r["t"] >= 0]
@@ -144,11 +149,10 @@ def score(docs: DataFrame, model: FactorizationMachine | None, text: str = "text
     if model is None:
         return docs.withColumn(out, F.lit(0.0))
     sent = docs.sparkSession.sparkContext.broadcast((model.index, model.bias, model.w, model.v))
-    schema = T.StructType([f for f in docs.schema.fields if f.name != out] + [T.StructField(out, T.DoubleType())])
 
     def run(batches):
         machine = FactorizationMachine(*sent.value)
-        for pdf in batches:
-            yield pdf.assign(**{out: [machine.score(x) for x in pdf[text]]})[schema.names]
+        for batch in in_slices(batches, text):
+            yield put(batch, out, pa.array([machine.score(x.as_py()) for x in batch.column(text)], pa.float64()))
 
-    return docs.mapInPandas(run, schema)
+    return docs.mapInArrow(run, with_field(docs, out, T.DoubleType()))
