@@ -65,7 +65,7 @@ def op3_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = suffix_tree_lm.fit(docs.where(crc_mod("doc_id", 7).isin(0, 1, 3, 4, 5, 6)))
     scored = suffix_tree_lm.score(docs, model)
-    return scored.select("doc_id", (crc_mod("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", F.lit(model[2]).cast("long").alias("train_tokens"), "base_score", "score")
+    return scored.select("doc_id", (crc_mod("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
