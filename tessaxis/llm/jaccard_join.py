@@ -81,7 +81,7 @@ def heavy_shingles(nodes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """
     pairs = nodes.where("often is not null").select(F.explode(F.arrays_zip("often", "many")).alias("x"))
     total = nodes.where("node is not null").count()
-    found = pairs.groupBy(F.col("x.often").alias("h")).agg(F.sum("x.many").alias("c")).where(F.col("c") > HEAVY_SHARE / 2 * total).toPandas()
+    found = pairs.groupBy(F.col("x.often").alias("h")).agg(F.sum("x.many").alias("c")).where(F.col("c") > HEAVY_SHARE / 2 * total).toArrow().to_pandas()
     h, c = found["h"].to_numpy(np.int64).view(np.uint64), found["c"].to_numpy(np.int64)
     order = np.argsort(h)
     return h[order], c[order]
