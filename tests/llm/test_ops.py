@@ -134,43 +134,74 @@ def lm_base(rows, training):
     return out, n
 
 
-def test_lm_base_and_gain(spark, docs):
+class BruteTree:
+    """The model by dictionaries of word tuples, one token after another."""
+
+    def __init__(self, training, m=suffix_tree_lm):
+        lists = [[*words(t), b"\n"] for t in training]
+        unigram = Counter(w for x in lists for w in x)
+        self.n, self.v = sum(unigram.values()), len(unigram)
+        self.share = {w: (c + 1) / (self.n + self.v + 1) for w, c in unigram.items()}
+        least = m.least_count(self.n)
+        self.alphabet = {w for w, c in unigram.items() if c >= least or w == b"\n"}
+        self.other = 1 - sum(self.share[w] for w in self.alphabet)
+        after = {}
+        for x in lists:
+            for i in range(len(x)):
+                for d in range(1, m.MAX_DEPTH + 1):
+                    if i >= d and all(w in self.alphabet for w in x[i - d : i]):
+                        after.setdefault(tuple(x[i - d : i]), Counter())[self.symbol(x[i])] += 1
+        self.kept, self.left = {}, {}
+        for ctx in sorted(after, key=len):
+            total = sum(after[ctx].values())
+            if total < least:
+                continue
+            kept = {s: c for s, c in after[ctx].items() if 5 * c >= least}
+            left = 1 - sum(c - m.DISCOUNT for c in kept.values()) / total
+            p = {s: (c - m.DISCOUNT) / total + left * self.p(ctx[1:], s) for s, c in kept.items()}
+            kl = sum(x * math.log(x / self.p(ctx[1:], s)) for s, x in p.items()) + max(1 - sum(p.values()), 0) * math.log(left)
+            if kl >= m.DIVERGENCE and kl * total >= m.GAIN:
+                self.kept[ctx], self.left[ctx] = p, left
+
+    def symbol(self, w):
+        return w if w in self.alphabet else None
+
+    def p(self, ctx, s):
+        """The share of a symbol (None: the class of other words) after a context of symbols."""
+        for k in range(len(ctx)):
+            if ctx[k:] in self.left:
+                return self.kept[ctx[k:]].get(s) or self.left[ctx[k:]] * self.p(ctx[k + 1 :], s)
+        return self.other if s is None else self.share[s]
+
+    def score(self, text, depth=suffix_tree_lm.MAX_DEPTH):
+        x, total = [*words(text), b"\n"], 0.0
+        for i, w in enumerate(x):
+            s, ctx = self.symbol(w), tuple(self.symbol(u) for u in x[max(0, i - depth) : i])
+            inside = 1.0 if s else self.share.get(w, 1 / (self.n + self.v + 1)) / self.other
+            total += math.log10(self.p(ctx, s) * inside)
+        return total
+
+
+def test_lm_query_like_brute_force(spark, docs):
     got = {r["doc_id"]: r for r in queries.op3_suffix_tree_lm(spark, SF).collect()}
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in docs}
-    base, n = lm_base(docs.values(), [t for i, t in docs.items() if not held[i]])
-    for (i, _), (tokens, known, score) in zip(docs.items(), base, strict=True):
+    training = [t for i, t in docs.items() if not held[i]]
+    base, n = lm_base(docs.values(), training)
+    brute = BruteTree(training)
+    assert len(brute.left) > 30 and any(len(x) > 1 for x in brute.left)
+    for (i, t), (tokens, known, score) in zip(docs.items(), base, strict=True):
         r = got[i]
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[i], tokens, known, n) and r["base_score"] == pytest.approx(score)
-    assert sum(r["score"] for r in got.values() if r["held_out"]) > sum(r["base_score"] for r in got.values() if r["held_out"])
-
-
-def test_lm_is_a_distribution(spark):
-    rng = random.Random(2)
-    lines = []
-    for _ in range(300):
-        w, text = "a", []
-        for _ in range(40):
-            w = rng.choice({"a": "bbbc", "b": "cccd", "c": "aad", "d": "ab"}[w])
-            text.append(w)
-        lines.append((len(lines), " ".join(text)))
-    df = spark.createDataFrame(lines, SCHEMA)
-    tree, table, n, v = suffix_tree_lm.fit(df)
-    assert len(tree.states) > 4 and np.allclose((10**tree.log_p).sum(1), 1)
-    # the chance of each next symbol in the state of the longest suffix, by hand
-    text = "a b c zz a"
-    ids = [tree.symbols.get(w, -1) for w in words(text)] + [tree.symbols[b"\n"]]
-    want, history = 0.0, []
-    for i in ids:
-        state = next(tree.states[tuple(history[k:])] for k in range(len(history) + 1) if tuple(history[k:]) in tree.states)
-        want += tree.log_p[state][i] if i >= 0 else tree.log_p[state][-1] - tree.log_p[0][-1] + math.log10(1 / (n + v + 1))
-        history.append(i)
-    got = suffix_tree_lm.score(spark.createDataFrame([(1, text)], SCHEMA), (tree, table, n, v)).first()
-    assert got["score"] == pytest.approx(want) and got["n_known"] == 5
-
-
-def test_lm_grows_and_tests_every_candidate(spark):
+        assert r["score"] == pytest.approx(brute.score(t))
+
+
+@pytest.mark.parametrize("head, hot, batch", [(5e-7, 1000, 1_000_000), (2.0, 3, 500)])
+def test_lm_like_brute_force(spark, monkeypatch, head, hot, batch):
+    """With states of three words, all values joined, hot contexts in parts and small batches."""
+    for name, value in (("HEAD_SHARE", head), ("HOT", hot), ("BATCH_PAIRS", batch), ("GROUP_PAIRS", batch), ("MIN_COUNT", 5), ("GAIN", 5.0)):
+        monkeypatch.setattr(suffix_tree_lm, name, value)
     rng = random.Random(5)
-    lines = [" ".join(f"w{rng.randrange(3000)}" for _ in range(60)) for _ in range(1500)] + ["p q r s"] * 130
+    lines = [" ".join(f"w{rng.randrange(300)}" for _ in range(30)) for _ in range(200)] + ["p q r s"] * 30
     for _ in range(100):
         # the next of u and v depends on the two before, not on one alone
         w = [rng.randrange(2), rng.randrange(2)]
@@ -178,32 +209,20 @@ def test_lm_grows_and_tests_every_candidate(spark):
             w.append(w[-1] ^ w[-2] ^ (rng.random() < 0.1))
         lines.append(" ".join("uv"[x] for x in w))
     rng.shuffle(lines)
-    tree, table, n, v = suffix_tree_lm.fit(spark.createDataFrame(list(enumerate(lines)), SCHEMA))
-    of = tree.symbols
-    assert 130 < 0.002 * n and (of[b"p"],) in tree.states and (of[b"r"],) in tree.states
-    pairs = [(of[a], of[b]) for a in (b"u", b"v") for b in (b"u", b"v")]
-    assert all(x in tree.states for x in pairs)
-    names = {k: w for w, k in of.items()}
-    candidates = [len(level["code"]) for level in tree.levels]
-    counts: Counter = Counter()
-    for x in lines:
-        w = words(x)
-        counts.update(tuple(w[i : i + d]) for d in (1, 2, 3) for i in range(len(w) - d + 1))
-    assert candidates == [sum(c >= 100 and len(k) == d for k, c in counts.items()) for d in (1, 2, 3)] and len(names) == len(of)
-    # what a state's symbols lost or gained, asked from the table for each pair that is not broadcast
-    text = "p q r s u v v u zz"
-    want, history = 0.0, []
-    for i in [of.get(w, -1) for w in words(text)] + [of[b"\n"]]:
-        state = next(tree.states[tuple(history[k:])] for k in range(len(history) + 1) if tuple(history[k:]) in tree.states)
-        want += tree.log_p[state][i] + (0 if i >= 0 else -tree.log_p[0][-1] + math.log10(1 / (n + v + 1)))
-        history.append(i)
-    old, suffix_tree_lm.PAIR_SHARE = suffix_tree_lm.PAIR_SHARE, 2.0
-    try:
-        got = suffix_tree_lm.score(spark.createDataFrame([(1, text)], SCHEMA), (tree, table, n, v)).first()
-    finally:
-        suffix_tree_lm.PAIR_SHARE = old
-    again = suffix_tree_lm.score(spark.createDataFrame([(1, text)], SCHEMA), (tree, table, n, v)).first()
-    assert got["score"] == pytest.approx(want) and again["score"] == pytest.approx(want)
+    brute = BruteTree(lines)
+    assert all(x in brute.left for x in ((b"p",), (b"u", b"v"), (b"v", b"u")))
+    for ctx in [(), *list(brute.left)[:: max(1, len(brute.left) // 20)]]:
+        assert sum(brute.p(ctx, s) for s in [*brute.alphabet, None]) == pytest.approx(1)
+    rows = [(i, x) for i, x in enumerate(lines[:60])] + [(-1, "p q r s u v v u zz P Q r"), (-2, None), (-3, "u"), (None, "zz u v u")]
+    model = suffix_tree_lm.fit(spark.createDataFrame(list(enumerate(lines)), SCHEMA).repartition(3))
+    got = {r["doc_id"]: r["score"] for r in suffix_tree_lm.score(spark.createDataFrame(rows, SCHEMA), model).collect()}
+    assert got == {i: pytest.approx(brute.score(x)) for i, x in rows}
+
+
+def test_lm_gain_on_held_out(spark):
+    """Held-out texts gain a twentieth of a log10 a token over the base at least."""
+    sums = queries.op3_suffix_tree_lm(spark, SF.replace("0.001", "0.01")).where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    assert sums[0] - sums[1] > 0.05 * sums[2]
 
 
 def test_lm_awkward(spark, awkward):
