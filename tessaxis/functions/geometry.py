@@ -117,11 +117,11 @@ def diameter(area_: Column) -> Column:
 
 
 def densify(ring: Column, spacing: float) -> Column:
-    """Vertices added evenly on each edge, so that none is longer than spacing; the ring is closed."""
+    """Vertices added evenly on each edge, so that none is longer than spacing (to nine digits of a spacing); the ring is closed."""
 
     def on_edge(e):
         dx, dy = e["q"]["x"] - e["p"]["x"], e["q"]["y"] - e["p"]["y"]
-        n = F.greatest(F.ceil(F.hypot(dx, dy) / spacing), F.lit(1))
+        n = F.greatest(F.ceil(F.round(F.hypot(dx, dy) / spacing, 9)), F.lit(1))
         return F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: point(e["p"]["x"] + dx * i / n, e["p"]["y"] + dy * i / n))
 
     return F.concat(F.flatten(F.transform(edges(ring), on_edge)), F.slice(ring, 1, 1))

@@ -2,7 +2,7 @@
 
 A raster is a row of `scenes` (scene_id, width, height, transform a..f, res, crs, convergence_deg, footprint) and rows of
 `blocks` (scene_id, block_row, block_col, h, w, pixels: uint8 bytes by rows) of one size. Windows are cut from blocks by
-an equi-join on block numbers; each window's parts are put together in a task of their own group. Outside is 0.
+an equi-join on block numbers; the parts of a few windows at a time are put together in tasks. Outside is 0.
 """
 
 from collections.abc import Callable, Iterator
@@ -11,7 +11,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+STITCHED = 32
 RAW_DETECTION = "scene_id long, tile_id long, x0 int, y0 int, sw int, sh int, local_id int, box struct<x1:double,y1:double,x2:double,y2:double>, score double, category_id int, mask struct<h:int,w:int,data:binary>"
 
 
@@ -49,9 +51,12 @@ def read_windows(windows: DataFrame, blocks: DataFrame, block: int, key: str = "
     kind = windows.schema[key].dataType.simpleString()
 
     def stitch(pdf: pd.DataFrame) -> pd.DataFrame:
-        f = pdf.iloc[0]
-        out = np.zeros((int(f["sh"]), int(f["sw"])), np.uint8)
+        made: dict = {}
         for p in pdf.itertuples():
+            name = (p.scene_id, p.key, p.x0, p.y0, p.sw, p.sh)
+            out = made.get(name)
+            if out is None:
+                out = made[name] = np.zeros((int(p.sh), int(p.sw)), np.uint8)
             if p.pixels is not None and not pd.isna(p.h):
                 data = np.frombuffer(p.pixels, np.uint8).reshape(int(p.h), int(p.w))
                 y, x = p.block_row * block - p.y0, p.block_col * block - p.x0
@@ -59,9 +64,12 @@ def read_windows(windows: DataFrame, blocks: DataFrame, block: int, key: str = "
                 yb, xb = min(y + data.shape[0], out.shape[0]), min(x + data.shape[1], out.shape[1])
                 if ya < yb and xa < xb:
                     out[ya:yb, xa:xb] = data[ya - y : yb - y, xa - x : xb - x]
-        return pd.DataFrame([(f["scene_id"], f[key], f["x0"], f["y0"], f["sw"], f["sh"], out.tobytes())], columns=["scene_id", key, "x0", "y0", "sw", "sh", "pixels"])
+        return pd.DataFrame([(*name, out.tobytes()) for name, out in made.items()], columns=["scene_id", key, "x0", "y0", "sw", "sh", "pixels"])
 
-    return parts.groupBy("scene_id", key).applyInPandas(stitch, f"scene_id long, {key} {kind}, x0 int, y0 int, sw int, sh int, pixels binary")
+    # a group of STITCHED neighbours in the numbering costs a task little more than one window
+    together = F.floor(F.col("key") / STITCHED) if isinstance(windows.schema[key].dataType, T.IntegralType) else F.xxhash64("key")
+    grouped = parts.withColumnRenamed(key, "key").withColumn("together", together).groupBy("scene_id", "together")
+    return grouped.applyInPandas(stitch, f"scene_id long, {key} {kind}, x0 int, y0 int, sw int, sh int, pixels binary")
 
 
 def tiles(scenes: DataFrame, blocks: DataFrame, block: int, size: int, overlap: float = 0.2) -> DataFrame:

@@ -131,8 +131,8 @@ def piece_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grid_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scenes of many sizes, one a nation."""
-    return table(spark, sf_dir, "nation").selectExpr("cast(n_nationkey AS long) AS scene_id", "cast(300 + 97 * n_nationkey AS int) AS width", "cast(250 + 61 * n_nationkey AS int) AS height")
+    """Scenes of many sizes, one a customer."""
+    return table(spark, sf_dir, "customer").selectExpr("cast(c_custkey AS long) AS scene_id", "cast(300 + 97 * (c_custkey % 25) AS int) AS width", "cast(250 + 61 * (c_custkey % 25) AS int) AS height")
 
 
 def sweep(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ REF = """fx_refs AS (SELECT p_partkey AS id, (7 * p_partkey + 1) // 4000 AS scen
 RECT = "fx_rects AS (SELECT c_custkey AS det_id, (3 + c_custkey % 9)::INT AS mh, (3 + c_custkey % 7)::INT AS mw FROM customer)"
 PIX = RECT + """, fx_pixels AS (SELECT det_id, r AS row, c AS col, mh, mw, CASE WHEN r = 0 OR c = 0 OR r = mh - 1 OR c = mw - 1 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS w
   FROM (SELECT *, unnest(range(mw)) AS c FROM (SELECT *, unnest(range(mh)) AS r FROM fx_rects)))"""
-SCN = "fx_scenes AS (SELECT n_nationkey::BIGINT AS scene_id, (300 + 97 * n_nationkey)::INT AS width, (250 + 61 * n_nationkey)::INT AS height FROM nation)"
+SCN = "fx_scenes AS (SELECT c_custkey::BIGINT AS scene_id, (300 + 97 * (c_custkey % 25))::INT AS width, (250 + 61 * (c_custkey % 25))::INT AS height FROM customer)"
 RASTER = """fx_raster AS (SELECT (vec_id // 16) * 8 + (i - 1) // 8 AS row, (vec_id % 16) * 8 + (i - 1) % 8 AS col, least(greatest(floor(128 + 100 * embedding[i]::DOUBLE + 0.5), 0), 255)::INT AS v
   FROM (SELECT *, unnest(range(1, 65)) AS i FROM embeddings))"""
 PROF = "fx_profile AS (SELECT vec_id AS patch_id, label, i - 1 AS bin, (i - 0.5) * 5 AS center_deg, 1 + embedding[i]::DOUBLE AS value FROM (SELECT *, unnest(range(1, 37)) AS i FROM embeddings))"
@@ -242,21 +242,20 @@ def c6_measures(spark, sf_dir):
     return d.select("det_id", r("a").alias("area"), r("c.x", 4).alias("cx"), r("c.y", 4).alias("cy"), r(geometry.diameter(F.col("a"))).alias("diameter"))
 
 
-@query(f"WITH {DET} SELECT det_id, (2 * ceil(round(w, 6) / 1.5 - 1e-9) + 2 * ceil(round(h, 6) / 1.5 - 1e-9) + 1)::INT AS vertices FROM fx_detections WHERE (w % 3) <> 0 AND (h % 3) <> 0")
+@query(f"WITH {DET} SELECT det_id, (2 * ceil(round(w / 1.5::DOUBLE, 9)) + 2 * ceil(round(h / 1.5::DOUBLE, 9)) + 1)::INT AS vertices FROM fx_detections")
 def c7_densify(spark, sf_dir):
-    b = F.col("bbox")
-    uneven = lambda lo, hi: F.round(b[hi] - b[lo], 0) % 3 != 0
-    return fx.detections(spark, sf_dir).where(uneven("xmin", "xmax") & uneven("ymin", "ymax")).select("det_id", F.size(geometry.densify(F.col("geometry"), 1.5)).alias("vertices"))
+    return fx.detections(spark, sf_dir).select("det_id", F.size(geometry.densify(F.col("geometry"), 1.5)).alias("vertices"))
 
 
 REGIONS = "regions AS (SELECT n_nationkey AS i, 80 * n_nationkey AS ax, 50 * n_nationkey AS ay FROM nation)"
 
 
-@query(f"WITH {DET}, {REGIONS} SELECT det_id FROM fx_detections WHERE scene_id = 0 AND EXISTS (SELECT 1 FROM regions WHERE x0 > ax AND x0 < ax + 60.5 AND y0 > ay AND y0 < ay + 90.5)")
+@query(f"WITH {DET}, {REGIONS} SELECT det_id FROM fx_detections WHERE EXISTS (SELECT 1 FROM regions WHERE x0 > ax AND x0 < ax + 60.5 AND y0 > ay AND y0 < ay + 90.5)")
 def c10_inside_regions(spark, sf_dir):
-    areas = fx.table(spark, sf_dir, "nation").select(F.lit(0).cast("long").alias("scene_id"), geometry.box_ring(geometry.box(80 * F.col("n_nationkey"), 50 * F.col("n_nationkey"), 80 * F.col("n_nationkey") + 60.5, 50 * F.col("n_nationkey") + 90.5)).alias("ring"))
+    """Each scene has the same regions."""
+    rings = fx.table(spark, sf_dir, "nation").select(geometry.box_ring(geometry.box(80 * F.col("n_nationkey"), 50 * F.col("n_nationkey"), 80 * F.col("n_nationkey") + 60.5, 50 * F.col("n_nationkey") + 90.5)).alias("ring"))
     d = fx.detections(spark, sf_dir).withColumn("center", geometry.point(F.col("bbox.xmin"), F.col("bbox.ymin")))
-    return spatial.inside_regions(d, areas, 64.0).select("det_id")
+    return spatial.inside_regions(d, d.select("scene_id").distinct().crossJoin(F.broadcast(rings)), 64.0).select("det_id")
 
 
 # Joins
@@ -298,9 +297,9 @@ def d5_iou_pairs(spark, sf_dir):
     return pairs.where(iou > 0.05).select("a_id", "b_id", r(iou).alias("iou"))
 
 
-@query(f"WITH {DET}, wins AS (SELECT c_custkey AS try_id, ((c_custkey * 131) % 1990)::DOUBLE AS wx, ((c_custkey * 71) % 1990)::DOUBLE AS wy FROM customer) SELECT try_id FROM wins WHERE NOT EXISTS (SELECT 1 FROM fx_detections WHERE scene_id = 0 AND x0 < wx + 12 AND x1 > wx AND y0 < wy + 12 AND y1 > wy)")
+@query(f"WITH {DET}, wins AS (SELECT c_custkey AS try_id, ((c_custkey * 131) % 1990)::DOUBLE AS wx, ((c_custkey * 71) % 1990)::DOUBLE AS wy FROM customer) SELECT try_id FROM wins WHERE NOT EXISTS (SELECT 1 FROM fx_detections WHERE scene_id = try_id // 400 AND x0 < wx + 12 AND x1 > wx AND y0 < wy + 12 AND y1 > wy)")
 def d6_object_free_windows(spark, sf_dir):
-    w = fx.table(spark, sf_dir, "customer").selectExpr("0L AS scene_id", "c_custkey AS try_id", "cast((c_custkey * 131) % 1990 AS double) AS wx", "cast((c_custkey * 71) % 1990 AS double) AS wy")
+    w = fx.table(spark, sf_dir, "customer").selectExpr("c_custkey div 400 AS scene_id", "c_custkey AS try_id", "cast((c_custkey * 131) % 1990 AS double) AS wx", "cast((c_custkey * 71) % 1990 AS double) AS wy")
     w = w.withColumn("box", geometry.box(F.col("wx"), F.col("wy"), F.col("wx") + 12, F.col("wy") + 12))
     return spatial.without_objects(w, fx.detections(spark, sf_dir), 32.0).select("try_id")
 
@@ -490,18 +489,20 @@ def e20_regional_histogram(spark, sf_dir):
     return texture.regional_histogram(crops, [(1.0, 2.0), (2.0, 4.0)])
 
 
-WINS = "wins AS (SELECT n_nationkey::BIGINT AS window_id, (60 * n_nationkey)::DOUBLE AS wx, (45 * n_nationkey)::DOUBLE AS wy FROM nation)"
+WINS = "wins AS (SELECT scene_id, (25 * scene_id + n_nationkey)::BIGINT AS window_id, (60 * n_nationkey)::DOUBLE AS wx, (45 * n_nationkey)::DOUBLE AS wy FROM nation, (SELECT DISTINCT scene_id FROM fx_detections))"
 
 
-@query(f"""WITH {DET}, {WINS}, inw AS (SELECT window_id, det_id, x0, y0 FROM wins JOIN fx_detections ON scene_id = 0 AND x0 <= wx + 400 AND x1 >= wx AND y0 <= wy + 400 AND y1 >= wy), full_ AS (SELECT window_id FROM inw GROUP BY 1 HAVING count(*) >= 20 ORDER BY window_id LIMIT 8),
+@query(f"""WITH {DET}, {WINS}, inw AS (SELECT window_id, det_id, x0, y0 FROM wins JOIN fx_detections USING (scene_id) WHERE x0 <= wx + 400 AND x1 >= wx AND y0 <= wy + 400 AND y1 >= wy), full_ AS (SELECT window_id FROM inw GROUP BY 1 HAVING count(*) >= 20 ORDER BY window_id LIMIT 8),
 g AS (SELECT * FROM inw WHERE window_id IN (SELECT window_id FROM full_)), c AS (SELECT a.window_id, a.det_id, b.x0 - a.x0 AS dx, b.y0 - a.y0 AS dy, sqrt((b.x0 - a.x0) * (b.x0 - a.x0) + (b.y0 - a.y0) * (b.y0 - a.y0)) AS dist, b.det_id AS nbr FROM g a JOIN g b ON a.window_id = b.window_id AND a.det_id <> b.det_id),
 n AS (SELECT *, row_number() OVER (PARTITION BY window_id, det_id ORDER BY dist, nbr) AS k FROM c WHERE dist <= 120), z AS (SELECT window_id, least(floor(((degrees(atan2(dx, dy)) + 360) % 180) / 10), 17)::BIGINT AS bin, count(*) AS c FROM n WHERE k <= 8 AND dist >= 1.5 GROUP BY ALL),
 w AS (SELECT s.window_id, b.bin, 100.0 * coalesce(c, 0) / sum(coalesce(c, 0)) OVER (PARTITION BY s.window_id) AS percent FROM (SELECT DISTINCT window_id FROM z) s CROSS JOIN (SELECT unnest(range(18)) AS bin) b LEFT JOIN z ON z.window_id = s.window_id AND z.bin = b.bin)
 SELECT bin, (bin + 0.5) * 10::DOUBLE AS center_deg, round(avg(percent), 6) AS percent FROM w GROUP BY ALL""")
 def e21_direction_histogram(spark, sf_dir):
-    w = fx.table(spark, sf_dir, "nation").selectExpr("0L AS scene_id", "cast(n_nationkey AS long) AS window_id", "cast(60 * n_nationkey AS double) AS wx", "cast(45 * n_nationkey AS double) AS wy")
+    d = fx.detections(spark, sf_dir)
+    w = d.select("scene_id").distinct().crossJoin(F.broadcast(fx.table(spark, sf_dir, "nation").select("n_nationkey")))
+    w = w.selectExpr("scene_id", "cast(25 * scene_id + n_nationkey AS long) AS window_id", "cast(60 * n_nationkey AS double) AS wx", "cast(45 * n_nationkey AS double) AS wy")
     w = w.withColumn("box", geometry.box(F.col("wx"), F.col("wy"), F.col("wx") + 400, F.col("wy") + 400)).drop("wx", "wy")
-    inside = spatial.dense_windows(w, fx.detections(spark, sf_dir).select("scene_id", "det_id", "bbox"), 20, 8, 100.0)
+    inside = spatial.dense_windows(w, d.select("scene_id", "det_id", "bbox"), 20, 8, 100.0)
     points = inside.selectExpr("window_id", "det_id AS id", "bbox.xmin AS x", "bbox.ymin AS y")
     hist = spatial.direction_histogram(spatial.neighbours(points, 8, 1.5, 120.0, on=["window_id"]))
     return spatial.mean_direction_histogram(hist).select("bin", "center_deg", r("percent").alias("percent"))
@@ -557,9 +558,10 @@ def f6_summary(spark, sf_dir):
 
 
 def _screened(spark, sf_dir):
-    w = tiles.read_windows(tiles.random_windows(fx.scenes(spark, sf_dir), 16, 200), fx.blocks(spark, sf_dir), fx.BLOCK, "try_id")
+    """Windows clear of the largest objects; a hundred tries for each patch of the quota."""
+    w = tiles.read_windows(tiles.random_windows(fx.scenes(spark, sf_dir), 16, 3000), fx.blocks(spark, sf_dir), fx.BLOCK, "try_id")
     w = w.withColumn("box", geometry.box(1000 + 2 * F.col("x0"), 5000 - 2 * (F.col("y0") + F.col("sh")), 1000 + 2 * (F.col("x0") + F.col("sw")), 5000 - 2 * F.col("y0")))
-    b = _located(spark, sf_dir).where("det_id % 40 = 0").select("scene_id", "det_id", "bbox")
+    b = _located(spark, sf_dir).where("diameter_m >= 12").select("scene_id", "det_id", "bbox")
     return spectrum.screened(w, b, 40.0, coherence_max=0.2)
 
 
