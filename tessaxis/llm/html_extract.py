@@ -1,13 +1,23 @@
 """Main text of web pages as the maximum-scoring contiguous run of words and tags.
 
-A page is read as words and tags in page order. Words score positive and tags negative, both by weights learned from
-labelled pages: a bounded sample of pages whose article or main element marks the content. One linear scan finds the
-contiguous region of the highest sum. Elements that are never article text (menus, footers, forms, scripts, and elements
-whose class, id or role names an advert, a notice or comments) are left out before the scan.
+A page is read as words and tags in page order. Words score by where they stand, tags cost; a linear scan finds the
+contiguous region of the highest sum. All weights are log odds from labelled pages: a bounded sample of pages whose article
+or main element marks the content.
+
+- Words below a page's article or main element, outside it, and of pages without one have a weight each.
+- An element's name, if it is one of ROLES, and the words of its class, id and role are keys. A key's weight is the log odds
+  of its words lying in content. Names in HINTS, alone or with other such words (cookie-notice, but not share-price), start
+  with PRIOR words outside content, so pages without examples of them profit too. Words below an element with a key of
+  DROP or less score by it (below article or main not at all), and are no text of the region even where it spans them: an
+  advert inside an article.
+- Tags cost by their share outside content, at most TAG_MOST, and next to nothing below article or main.
+
+Only what is no text at all (scripts, styles, the head and the like) is left out before the scan.
 
 The text of the region: character references decoded, white space inside a block turned into one space, blocks trimmed
-and joined by one space. Null and empty pages, and pages without content, give the empty text. Repeated rows are handled
-one by one; a column of the input named text is replaced.
+and joined by one space. Null and empty pages, and pages without content, give the empty text. A tag that never ends, an
+open comment and an open script take the rest of the page. Reading takes time in proportion to a page's length. Repeated
+rows are handled one by one; a column of the input named text is replaced.
 """
 
 import html as entities
@@ -15,76 +25,151 @@ import math
 import re
 from collections import Counter
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessaxis.llm.common import in_slices, put, with_field
+
 SAMPLE_PAGES = 1000
+PRIOR, TAG_MOST, CLIP, DROP = 50, 0.3, 3.0, -1.0
 
 # Names of HTML elements and what they are for.
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "noembed", "xmp"}
-NEVER = {"head", "nav", "footer", "aside", "form", "menu", "button", "select", "dialog", "object", "canvas", "audio", "video", "map"} | RAW
+NO_TEXT = {"head", "object", "canvas", "audio", "video", "map"} | RAW
+ROLES = {"nav", "footer", "aside", "form", "menu", "button", "select", "dialog", "header"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 ENDS_ITSELF = {"p", "li", "dd", "dt", "tr", "td", "th", "option"}
-HINTS = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "banner", "cookie", "cookies", "consent", "gdpr", "notice", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "signup", "comment", "comments", "respond", "disqus", "replies", "sidebar", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "footer", "masthead", "share", "social", "related", "recommended", "pagination", "pager", "toolbar", "complementary", "contentinfo", "search"}
+LISTS = {"table", "ul", "ol", "dl"}
 CONTENT = {"article", "main"}
+# Words in names of elements that are no article text, and words that go with them.
+HINTS = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "banner", "cookie", "cookies", "consent", "gdpr", "notice", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "signup", "comment", "comments", "respond", "disqus", "replies", "sidebar", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "footer", "masthead", "share", "social", "related", "recommended", "pagination", "pager", "toolbar", "complementary", "contentinfo", "search"}
+GENERIC = {"area", "bar", "block", "box", "btn", "button", "buttons", "container", "content", "form", "header", "inner", "item", "items", "left", "link", "links", "list", "main", "message", "outer", "page", "panel", "primary", "right", "secondary", "section", "site", "slot", "top", "bottom", "unit", "widget", "wrap", "wrapper"}
 
-LEXER = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.DOTALL)
-NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
-
+NAME = re.compile(r"</?([A-Za-z][A-Za-z0-9:-]*)")
+REST = re.compile(r"(?:\"[^\"]*\"|'[^']*'|[^'\">])*>")
+NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 
-def _hinted(attributes: str) -> bool:
-    return bool(attributes) and any(HINTS.intersection(re.split(r"[^a-z0-9]+", "".join(m.groups("")[1:]).lower())) for m in NAMED.finditer(attributes))
+#: text, weight key of its place ("in", "out" or "free", "" for a tag), tag name, keys of elements around it, in content
+Token = tuple[str, str, str, frozenset, bool]
 
 
-def tokens(page: str) -> list[tuple[str, str, bool]]:
-    """(kind, text, in content): kind is "" for text, "/" for text in a link, else a tag's name; in content: below article or main."""
-    out: list[tuple[str, str, bool]] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # name, left out, in a link, in content
+def lexed(page: str):
+    """Yields (text, name, closing, attributes): text with name "", else a tag."""
     at, n = 0, len(page)
-    while at <= n:
-        m = LEXER.search(page, at)
-        out_, link, content = stack[-1][1:] if stack else (False, False, False)
-        if (text := page[at : m.start() if m else n]) and not out_:
-            out.append(("/" if link else "", text, content))
+    while at < n:
+        lt = page.find("<", at)
+        if lt < 0:
+            yield page[at:], "", False, ""
+            return
+        m = NAME.match(page, lt)
+        if not m and page[lt + 1 : lt + 2] not in ("!", "?"):
+            nxt = page.find("<", lt + 1)
+            nxt = n if nxt < 0 else nxt
+            yield page[at:nxt], "", False, ""
+            at = nxt
+            continue
+        if lt > at:
+            yield page[at:lt], "", False, ""
+        comment = page.startswith("<!--", lt)
+        end = page.find("-->" if comment else ">", lt)
+        if end < 0:
+            return
         if not m:
-            break
-        at = m.end()
-        if not m[2]:
+            at = end + (3 if comment else 1)
             continue
-        name = m[2].lower()
-        if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
-            if not (stack and stack[-1][1]):
-                out.append((name, "", bool(stack) and stack[-1][3]))
+        # a quote that never ends is no quote: the tag ends at the next bracket
+        rest = REST.match(page, m.end())
+        at = rest.end() if rest else end + 1
+        name, attributes, closing = m[1].lower(), page[m.end() : at - 1], page[lt + 1] == "/"
+        yield "", name, closing, attributes
+        if name in RAW and not closing and not attributes.endswith("/"):
+            close = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.IGNORECASE).search(page, at)
+            if not close:
+                return
+            at = close.start()
+
+
+def hinted(name: str) -> bool:
+    parts = [x for x in re.split(r"[-_]+|(?<=[a-z])(?=[A-Z])", name) if x]
+    low = {x.lower() for x in parts}
+    return bool(low & HINTS) and low <= HINTS | GENERIC
+
+
+def keys_of(name: str, attributes: str) -> set[str]:
+    found = {name} if name in ROLES else set()
+    if attributes:
+        for m in NAMED.finditer(attributes):
+            found.update("." + x for x in "".join(m.groups("")).split())
+    return found
+
+
+def tokens(page: str) -> list[Token]:
+    out: list[Token] = []
+    stack: list[tuple[str, bool, frozenset, bool]] = []  # name, no text, keys, in content
+    opened: Counter = Counter()
+
+    def pop(size):
+        for x in stack[size:]:
+            opened[x[0]] -= 1
+        del stack[size:]
+
+    labelled = False
+    for text, name, closing, attributes in lexed(page):
+        _, silent, keys, content = stack[-1] if stack else ("", False, frozenset(), False)
+        if not name:
+            if not silent:
+                out.append((text, "in" if content else "out", "", keys, content))
             continue
-        if name in RAW and not m[3].endswith("/"):
-            end = re.compile(rf"</{name}\s*>", re.IGNORECASE).search(page, at)
-            at = end.end() if end else n
+        if closing:
+            if opened[name]:
+                size = len(stack) - 1
+                while stack[size][0] != name:
+                    size -= 1
+                pop(size)
+            if not (stack and stack[-1][1]):
+                above = stack[-1] if stack else ("", False, frozenset(), False)
+                out.append(("", "", name, above[2], above[3]))
             continue
-        if name in ENDS_ITSELF and any(x[0] == name for x in stack[-6:]):
-            i = max(i for i, x in enumerate(stack) if x[0] == name)
-            if not any(x[0] in {"table", "ul", "ol", "dl"} for x in stack[i + 1 :]):
-                del stack[i:]
-        above = stack[-1][1:] if stack else (False, False, False)
-        gone = name in NEVER or (name == "header" and not above[2]) or (name not in CONTENT | {"html", "body"} and _hinted(m[3]))
-        state = ((above[0] or gone) and name not in CONTENT, above[1] or name == "a", above[2] or name in CONTENT)
-        if not state[0]:
-            out.append((name, "", above[2]))
-        if name not in VOID and not m[3].endswith("/"):
-            stack.append((name, *state))
-    return out
-
-
-def score(kind: str, text: str, weights: dict[str, float]) -> float:
-    if kind in ("", "/"):
-        return weights.get(kind, 1.0 if not kind else -0.5) * len(text.split())
-    return -abs(weights.get(kind, 0.3))
+        if name in ENDS_ITSELF and opened[name]:
+            for i in range(len(stack) - 1, max(len(stack) - 7, -1), -1):
+                if stack[i][0] == name:
+                    pop(i)
+                    break
+                if stack[i][0] in LISTS:
+                    break
+            _, silent, keys, content = stack[-1] if stack else ("", False, frozenset(), False)
+        own = keys_of(name, attributes)
+        if content:
+            own.discard("header")  # of the article
+        if name in CONTENT:
+            labelled = labelled or not keys & ROLES
+            keys, content = keys & ROLES, True
+        state = (name, silent or name in NO_TEXT, keys | own if own else keys, content)
+        if not state[1]:
+            out.append(("", "", name, keys, content))
+        if name not in VOID and not attributes.endswith("/"):
+            stack.append(state)
+            opened[name] += 1
+    return out if labelled else [(t, "free" if k else "", name, keys, False) for t, k, name, keys, _ in out]
+
+
+def worst(keys: frozenset, weights: dict[str, float]) -> float:
+    """The least weight of the keys; a name with a hint starts low, others count for nothing unless they were seen."""
+    return min((weights.get(k, -CLIP if k in ROLES or hinted(k[1:]) else 0.0) for k in keys), default=0.0)
+
+
+def score(token: Token, weights: dict[str, float]) -> float:
+    text, place, name, keys, content = token
+    if not place:
+        return -0.01 if content else -min(weights.get("<" + name, 0.1), TAG_MOST)
+    low = worst(keys, weights)
+    if low <= DROP:
+        # what is dropped anyway must not part an article that spans it
+        return {"in": 0.0, "free": low / CLIP, "out": low}[place] * len(text.split())
+    return weights.get(place, {"in": 1.0, "free": 1.0, "out": -1.0}[place]) * len(text.split())
 
 
 def best_region(scores: list[float]) -> tuple[int, int]:
@@ -101,54 +186,66 @@ def best_region(scores: list[float]) -> tuple[int, int]:
 
 def main_text(page: str | None, weights: dict[str, float]) -> str:
     found = tokens(page or "")
-    a, b = best_region([score(k, t, weights) for k, t, _ in found])
-    text = "".join(t if k in ("", "/") else "" if k in INLINE else "\n" for k, t, _ in found[a:b])
+    a, b = best_region([score(t, weights) for t in found])
+    text = "".join((t if worst(keys, weights) > DROP else "") if place else "" if name in INLINE else "\n" for t, place, name, keys, _ in found[a:b])
     # references are decoded after the tags are gone, so that decoded brackets stay text
     return " ".join(entities.unescape(text).split())
 
 
+def counts_of(page: str) -> Counter:
+    """Words (tags for keys with <) by key and whether they lie in content, of one labelled page."""
+    counts: Counter = Counter()
+    for text, place, name, keys, content in tokens(page):
+        if not place:
+            counts["<" + name, content] += 1
+        elif n := len(text.split()):
+            counts[place, content] += n
+            for k in keys:
+                counts[k, content] += n
+    return counts
+
+
 def learn_weights(counts: dict[tuple[str, bool], int]) -> dict[str, float]:
-    """Weights from counts of (kind, in content): words by the log odds of lying in content, tags by their share outside it."""
-    out = {}
-    for kind in {k for k, _ in counts}:
-        inside, outside = counts.get((kind, True), 0), counts.get((kind, False), 0)
-        odds = math.log((inside + 1) / (outside + 1))
-        if kind == "":
-            out[kind] = min(max(odds, 1.0), 3.0)
-        elif kind == "/":
-            out[kind] = min(max(odds, -2.0), 1.0)
-        else:
-            out[kind] = max(3 * (outside + 0.1) / (inside + outside + 1), 0.02)
+    """Log odds of lying in content, clipped, from counts of (key, in content); costs of tags by their share outside."""
+    out, inside, outside = {}, counts.get(("in", True), 0), counts.get(("out", False), 0)
+    for k in {k for k, _ in counts}:
+        a, b = counts.get((k, True), 0), counts.get((k, False), 0)
+        if k.startswith("<"):
+            out[k] = TAG_MOST * (b + 0.1) / (a + b + 1)
+        elif k not in ("in", "out", "free"):
+            low = PRIOR if k in ROLES or hinted(k[1:]) else 0
+            out[k] = max(-CLIP, min(CLIP, math.log((a + 1) / (b + low + 1))))
+    if inside:
+        # a word of a page whose place says nothing: its odds over all words
+        out |= {"in": 1.0, "out": -CLIP, "free": max(0.2, min(1.0, math.log((inside + 1) / (outside + 1))))}
     return out
 
 
 def fit(pages: DataFrame, sample: int = SAMPLE_PAGES) -> dict[str, float]:
-    """Weights from at most `sample` pages with one article or main element, chosen by a hash of their keys."""
+    """Weights from at most `sample` pages with an article or main element, chosen by a hash of their keys; the sum of the sample's counts comes to the driver."""
     labelled = pages.where(F.col("html").rlike("(?i)<(article|main)[\\s>]")).select("html", F.xxhash64("page_id", "url").alias("h"))
     last = labelled.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
     if last is None:
         return {}
 
     def run(batches):
-        for pdf in batches:
+        for batch in in_slices(batches, "html"):
             counts: Counter = Counter()
-            for page in pdf["html"]:
-                for kind, text, content in tokens(page):
-                    counts[kind, content] += len(text.split()) if kind in ("", "/") else 1
-            yield pd.DataFrame([(k, c, n) for (k, c), n in counts.items()], columns=["kind", "content", "n"])
+            for page in batch.column("html"):
+                counts.update(counts_of(page.as_py()))
+            k = list(counts)
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in k], pa.string()), pa.array([x for _, x in k], pa.bool_()), pa.array([counts[x] for x in k], pa.int64())], ["key", "content", "n"])
 
-    counted = labelled.where(F.col("h") <= last).limit(sample).select("html").mapInPandas(run, "kind string, content boolean, n long")
-    top = counted.groupBy("kind", "content").agg(F.sum("n").alias("n")).orderBy(F.desc("n")).limit(1000)
-    return learn_weights({(r["kind"], r["content"]): r["n"] for r in top.collect()})
+    counted = labelled.where(F.col("h") <= last).limit(sample).select("html").mapInArrow(run, "key string, content boolean, n long")
+    return learn_weights({(r["key"], r["content"]): r["n"] for r in counted.groupBy("key", "content").agg(F.sum("n").alias("n")).collect()})
 
 
 def extract(pages: DataFrame, sample: int = SAMPLE_PAGES) -> DataFrame:
     """pages with the column text: the main text of html."""
     weights = fit(pages, sample)
-    schema = T.StructType([f for f in pages.schema.fields if f.name != "text"] + [T.StructField("text", T.StringType())])
 
     def run(batches):
-        for pdf in batches:
-            yield pdf.assign(text=[main_text(x, weights) for x in pdf["html"]])[schema.names]
+        for batch in in_slices(batches, "html"):
+            yield put(batch, "text", pa.array([main_text(x.as_py(), weights) for x in batch.column("html")], pa.string()))
 
-    return pages.mapInPandas(run, schema)
+    return pages.mapInArrow(run, with_field(pages, "text", T.StringType()))
