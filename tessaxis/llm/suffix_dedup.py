@@ -7,14 +7,16 @@ earlier in the same document. Strings are judged on the input; overlaps count; m
    ones). It depends on the window's content only, so equal windows have their anchors at the same offset. Neighbouring
    windows share anchors, so about one place in 35 is one. Anchors are dealt out by the hash of their GRAM bytes, packed.
 2. Anchors whose hash no other place has cannot lie in a repeat. Of anchors whose windows, all those they stand for, are
-   the same bytes, all but the first are repeats as a whole; only the first, if others share its hash, goes on.
+   the same bytes (two 64-bit hashes agree, of the gram and of all bytes), all but the first are repeats as a whole; only
+   the first, if others share its hash, goes on. A batch of documents keeps its own first one before anchors are dealt out,
+   so a hash that very many places have costs its group one row a batch, and one for each other surrounding.
 3. For these the bytes around them are fetched. The suffixes that start at anchors of one hash are sorted (suffix array),
    with the longest common prefixes of neighbours; a scan with a stack gives the intervals of the common-prefix tree. In
    each interval the members are split by what precedes them, in the same way from right to left; where the left
    extensions differ and left and right together reach `length`, the members are a maximal repeat with all occurrences.
 4. Each occurrence but a group's earliest is removed. Spans meet the documents again, by packed rows, and are merged.
 
-Null texts are empty. Rows with null keys come after all others. Rows with the same key and text are one document, and
+Null texts are empty. Rows with null keys, and keys that are no whole numbers, come after all others. Rows with the same key and text are one document, and
 each gets its result; rows that share only the key are ordered by a hash of key and text.
 """
 
@@ -27,7 +29,7 @@ from tessaxis.llm.common import partitions, written
 from tessaxis.llm.shingles import mix, range_of
 
 LENGTH, GRAM = 100, 32
-SEGMENT, BATCH_ANCHORS, BATCH_DOCS = 1 << 19, 300_000, 60_000
+SEGMENT, BATCH_ANCHORS, BATCH_DOCS, GROUP_BYTES = 1 << 19, 300_000, 60_000, 16 << 20
 _PLACE = np.uint64((1 << 20) - 1)
 
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -46,11 +48,11 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[size]
 
 
-def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> np.ndarray:
+def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM, segment: int = SEGMENT) -> np.ndarray:
     """Rows (place, first window, last window, hash of the gram, hash of all bytes of the windows) of a document's anchors."""
     out = [np.zeros((5, 0), np.uint64)]
-    for begin in range(0, len(data) - length + 1, SEGMENT):
-        b = data[begin : begin + SEGMENT + length - 1]
+    for begin in range(0, len(data) - length + 1, segment):
+        b = data[begin : begin + segment + length - 1]
         n = len(b)
         power, inverse = _power(n)
         sums = np.r_[np.uint64(0), np.cumsum(_TABLE[b] * inverse[:n], dtype=np.uint64)]
@@ -66,10 +68,24 @@ def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> np.ndar
         last = np.r_[first[1:] - 1, len(least) - 1]
         place = (least[first] & _PLACE).astype(np.int64)
         whole = mix(mix((sums[last + length] - sums[first]) * power[first]) + mix((place - first).astype(np.uint64) * np.uint64(1024) + (last - first).astype(np.uint64)))
-        out.append(np.stack([(place + begin).astype(np.uint64), (first + begin).astype(np.uint64), (last + begin).astype(np.uint64), h[place], whole]))
+        found = np.stack([(place + begin).astype(np.uint64), (first + begin).astype(np.uint64), (last + begin).astype(np.uint64), h[place], whole])
+        if out[-1].shape[1] and found[0, 0] == out[-1][0, -1]:
+            # one anchor on both sides of the border: its windows are one run
+            found[1, 0], found[4, 0] = out[-1][1, -1], mix(found[4, :1] + mix(out[-1][4, -1:]))[0]
+            out[-1] = out[-1][:, :-1]
+        out.append(found)
     return np.concatenate(out, axis=1)
 
 
+def sure_repeats(h: np.ndarray, whole: np.ndarray, k: np.ndarray, d: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Which anchors have the windows of another one that is earlier in the order of keys, documents and places."""
+    order = np.lexsort((place, d, k, whole, h))
+    same = np.r_[False, (h[order][1:] == h[order][:-1]) & (whole[order][1:] == whole[order][:-1])] if len(h) else np.array([], bool)
+    out = np.empty(len(h), bool)
+    out[order] = same
+    return out
+
+
 def intervals(lcp: list[int], least: int) -> list[tuple[int, int, int]]:
     """(common prefix, first, last member) of the common-prefix intervals of `least` or more; lcp[i] is of members i-1 and i, lcp[0] unused."""
     found, stack = [], []
@@ -148,11 +164,12 @@ def _split(values: np.ndarray, n: int):
             yield i, order[cuts[i] : cuts[i + 1]]
 
 
-def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
-    """One row per row of df: key, n_bytes, starts and ends (the removed runs, half-open, in bytes) and kept (binary)."""
-    spark, parts = df.sparkSession, 4 * max(4, partitions(df))
+def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, segment: int = SEGMENT) -> DataFrame:
+    """One row per row of df: key, n_bytes, starts and ends (the removed runs, half-open, in bytes) and kept (binary). Anchors are found in segments of a document."""
+    size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    parts = max(4 * max(4, partitions(df)), -(-size // GROUP_BYTES))
     bucket_of = lambda doc: doc % parts
-    docs = df.select(F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1)).alias("k"), F.col(key).alias("key"), F.xxhash64(key, text).alias("doc"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("data"))
+    docs = df.select(F.coalesce(F.col(key).try_cast("long"), F.lit((1 << 63) - 1)).alias("k"), F.col(key).alias("key"), F.xxhash64(key, text).alias("doc"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("data"))
 
     def deal(batches):
         keys, names, rows, held = [], [], [], 0
@@ -164,6 +181,17 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
             x, own = x[:, order], own[order]
             k, d = np.array(keys, np.int64), np.array(names, np.int64)
             out = []
+            # copies inside a batch need not meet others: only the first of them goes to its hash's group; repeated rows are one
+            gone = sure_repeats(x[3], x[4], k[own], d[own], x[0])
+            again = np.zeros(len(own), bool)
+            fresh = np.lexsort((x[4], x[0], d[own]))
+            again[fresh[1:]] = (d[own][fresh][1:] == d[own][fresh][:-1]) & (x[0][fresh][1:] == x[0][fresh][:-1])
+            sure = np.flatnonzero(gone & ~again)
+            none = b""
+            for b, at in _split(bucket_of(d[own[sure]]), parts):
+                at = sure[at]
+                out.append((parts + b, none, d[own[at]].tobytes(), none, none, x[1, at].astype(np.uint32).tobytes(), (x[2, at] + np.uint64(length)).astype(np.uint32).tobytes(), none))
+            x, own = x[:, ~gone], own[~gone]
             for r, at in _split(range_of(x[3], parts).astype(np.int64), parts):
                 used, at_doc = np.unique(own[at], return_inverse=True)
                 place = x[0, at]
@@ -174,7 +202,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
 
         for pdf in batches:
             for k, d, data in zip(pdf["k"], pdf["doc"], pdf["data"], strict=True):
-                x = anchors(np.frombuffer(data, np.uint8), length)
+                x = anchors(np.frombuffer(data, np.uint8), length, GRAM, segment)
                 if x.shape[1]:
                     keys.append(k), names.append(d), rows.append(x)
                     held += x.shape[1]
@@ -184,8 +212,10 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
         if rows:
             yield flush()
 
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+    def meet(group: tuple[int], pdf: pd.DataFrame) -> pd.DataFrame:
         cat = np.concatenate
+        if group[0] >= parts:  # spans that are sure: they go with their documents
+            return pd.DataFrame([(group[0] - parts, b"".join(pdf["docs"]), b"".join(pdf["whole"]), b"".join(pdf["place"]), b"", b"", b"", b"")], columns=["b", "docs", "starts", "ends", "asked", "hashes", "places", "near"])
         h = cat([np.cumsum(np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64) for x in pdf["hashes"]])
         own = [np.frombuffer(x, np.uint16) for x in pdf["own"]]
         k = cat([np.frombuffer(x, np.int64)[o] for x, o in zip(pdf["keys"], own, strict=True)])
