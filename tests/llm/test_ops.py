@@ -4,18 +4,21 @@ import hashlib
 import math
 import os
 import random
+import time
 import zlib
 from collections import Counter
+from html.parser import HTMLParser
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.conftest import SF
 from tessaxis.llm import bpe_codec, chat_format, decontaminate, exact_dedup, html_extract, jaccard_join, queries, suffix_dedup, suffix_tree_lm, token_counts, toxicity
-from tessaxis.llm.common import words
+from tessaxis.llm.common import in_slices, words
 
 RANKS, PATTERN = queries._bpe()
 
@@ -300,6 +303,34 @@ def test_near_duplicates(spark, rounds, monkeypatch):
     assert sorted(tuple(r) for r in got.collect()) == sorted(brute_components(rows))
 
 
+def test_near_duplicates_query_like_brute_force(spark, docs):
+    got = sorted(map(tuple, queries.op5_jaccard_join(spark, SF).select("doc_id", "n_shingles", "component_id").collect()))
+    assert got == sorted(brute_components(sorted(docs.items())))
+
+
+def test_near_but_unlinked_group_makes_few_pairs(spark, monkeypatch):
+    """Of 400 sets that all share a part but hardly link, only pairs that may link become rows, and no link is lost."""
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(90)]
+    rows = []
+    for i in range(400):
+        copy = list(base)
+        for j in rng.sample(range(90), 4):
+            copy[j] = f"z{i}-{j}"
+        rows.append((i, " ".join(copy)))
+    seen = []
+    verified = jaccard_join.verified
+
+    def counted(pairs, sets, percent):
+        seen.append(pairs.count())
+        return verified(pairs, sets, percent)
+
+    monkeypatch.setattr(jaccard_join, "verified", counted)
+    got = jaccard_join.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3)).drop("text_hash")
+    assert sorted(tuple(r) for r in got.collect()) == sorted(brute_components(rows))
+    assert sum(seen) < 400 * 399 / 2 / 10
+
+
 def test_near_duplicates_awkward(spark, awkward):
     got = sorted(map(str, map(tuple, jaccard_join.near_duplicates(awkward).drop("text_hash").collect())))
     assert got == sorted(map(str, brute_components(AWKWARD)))
@@ -384,6 +415,51 @@ def test_extraction_awkward(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def test_extraction_query_like_the_articles(spark):
+    """Each page's text is that of its article, read by another parser; the scan, not the reader, leaves out the rest."""
+    got = {r["page_id"]: r for r in queries.op8_html_extract(spark, SF).collect()}
+    pages = spark.read.parquet(f"{SF}/pages.parquet").collect()
+    weights = html_extract.fit(spark.read.parquet(f"{SF}/pages.parquet"))
+    assert len(got) == len(pages) >= 50
+
+    class Article(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.inside, self.parts = False, []
+
+        def handle_starttag(self, tag, attrs):
+            self.inside = self.inside or tag == "article"
+            self.parts.append("" if tag in html_extract.INLINE else " ")
+
+        def handle_endtag(self, tag):
+            self.inside = self.inside and tag not in ("article", "footer")
+            self.parts.append("" if tag in html_extract.INLINE else " ")
+
+        def handle_data(self, data):
+            self.parts.append(data if self.inside else "")
+
+    for page in pages:
+        gold = Article()
+        gold.feed((page["html"] or "").replace("<footer", "</article><footer"))
+        want = " ".join("".join(gold.parts).split())
+        assert (got[page["page_id"]]["text"], got[page["page_id"]]["n_chars"]) == (want, len(want))
+        found = html_extract.tokens(page["html"] or "")
+        a, b = html_extract.best_region([html_extract.score(t, weights) for t in found])
+        assert any(place and text.split() for text, place, *_ in found[:a] + found[b:])
+
+
+def test_extraction_keeps_names_that_only_resemble():
+    page = '<nav><a href=1>x</a></nav><article><h1>Markets</h1><p class="share-price">Price 5</p><div class="search-engines">Engines are good</div><div class="cookie-notice">No</div><p>End.</p></article>'
+    assert html_extract.main_text(page, {}) == "Markets Price 5 Engines are good End."
+
+
+def test_extraction_takes_linear_time():
+    start = time.process_time()
+    for page in ("<a " * 100_000, "<div>" * 30_000 + "</b>" * 30_000, "<a '>" * 50_000, '<a "' * 50_000 + ">", "<!--" * 50_000, "<script " * 50_000, "<" * 50_000, "word " * 200_000):
+        html_extract.main_text(page, {})
+    assert time.process_time() - start < 8
+
+
 def test_best_region_is_best():
     rng = random.Random(5)
     for _ in range(200):
@@ -410,6 +486,28 @@ def test_toxicity_learns_pairs(spark):
     assert np.mean([(r["score"] >= 0.5) == r["toxic"] for r in held]) > 0.97
 
 
+def test_toxicity_query_on_held_out_labels(spark):
+    """Labelled documents that the query may not learn from are told apart."""
+    sf = SF.replace("0.001", "0.1")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    rows = queries.op9_toxicity(spark, sf).where("held_out").join(labels, "doc_id").select("toxic", "score", "predicted").collect()
+    assert sum(r["toxic"] == r["predicted"] for r in rows) >= 0.95 * len(rows) and len(rows) > 500
+    toxic, clean = [r["score"] for r in rows if r["toxic"]], [r["score"] for r in rows if not r["toxic"]]
+    auc = sum((a > b) + (a == b) / 2 for a in toxic for b in clean) / (len(toxic) * len(clean))
+    assert auc >= 0.95
+
+
+def test_toxicity_slices_and_string_keys(spark, monkeypatch):
+    """A hundred texts of a megabyte are scored a few at a time; keys may be strings."""
+    batch = pa.RecordBatch.from_pydict({"text": ["fool " * 200_000] * 100})
+    assert max(x.num_rows for x in in_slices(iter([batch]), "text")) <= 2
+    rows = [(f"d{i}", "you fool" if i % 2 else "you friend") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    labels = df.select("doc_id", F.col("text").contains("fool").cast("int").alias("toxic"))
+    got = toxicity.score(df, toxicity.fit(df, labels)).collect()
+    assert all((r["score"] >= 0.5) == ("fool" in r["text"]) for r in got)
+
+
 def test_toxicity_awkward(spark, awkward, docs):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     model = toxicity.fit(spark.read.parquet(f"{SF}/documents.parquet"), labels)
@@ -448,6 +546,29 @@ def test_repeats_like_brute_force(spark):
     assert got == brute_repeats(rows)
 
 
+@pytest.mark.parametrize("segment", [101, 230, 1 << 19])
+def test_repeats_across_segments_of_long_texts(spark, segment):
+    """Passages that start, end or lie at a segment's border, many copies in a batch, repeated rows, keys that are strings."""
+    rng = random.Random(segment)
+    passages = ["".join(rng.choices("abcdefgh ", k=rng.randint(100, 260))) for _ in range(6)]
+    rows = []
+    for i in range(60):
+        parts = [rng.choice(passages) if rng.random() < 0.5 else "".join(rng.choices("abcdefgh", k=rng.randint(1, 150))) for _ in range(rng.randint(1, 9))]
+        rows.append((i, "".join(parts)))
+    rows += [(100 + i, passages[0] + passages[1]) for i in range(80)]
+    want = brute_repeats(rows)
+    df = spark.createDataFrame([*rows, rows[7]], SCHEMA).repartition(3)
+    got = [(r["doc_id"], bytes(r["kept"])) for r in suffix_dedup.remove_repeats(df.select(F.col("doc_id").cast("string"), "text"), segment=segment).collect()]
+    assert {int(k): v for k, v in got} == want and len(got) == len(rows) + 1
+
+
+def test_repeats_query_like_brute_force(spark, docs):
+    got = {r["doc_id"]: r for r in queries.op10_suffix_dedup(spark, SF).collect()}
+    for i, kept in brute_repeats(sorted(docs.items())).items():
+        r, n = got[i], len((docs[i] or "").encode())
+        assert (r["n_bytes"], r["n_removed"], r["kept_sha256"]) == (n, n - len(kept), hashlib.sha256(kept).hexdigest())
+
+
 def test_maximal_repeats_have_all_occurrences():
     texts = [b"..LEFTanchorRIGHT..", b"##LEFTanchorRIGHT##", b"!!!!!!anchorRIGHT!!", b"@@LEFTanchor@@@@@@@"]
     at = [t.index(b"anchor") for t in texts]
