@@ -14,7 +14,7 @@ Each text is the set of its distinct n-word shingles, held as 64-bit hashes. Two
 3. Sets meet on prefix shingles. A pair must pass the length filter, the positional filter (what remains in either set
    from the shingle where it meets) and the suffix filter (what the parities of both sets' shingles in SKETCH_BITS parts of
    the hash space say of their difference) before it is a row; it is then verified, once, by intersecting the two sets.
-4. Not all pairs of a group are made. Rounds link each set of a prefix shingle's group with one leader of the group and
+4. Groups of up to SMALL_GROUP sets compare all pairs, which are few. Of larger ones, rounds link each set of a prefix shingle's group with one leader of the group and
    merge what links; sets of one component need no further comparing, and shingles whose sets are in one component are
    done. Rounds go on while they merge much and more pairs than rows are open. After the rounds all pairs left (same
    shingle, different components) meet inside the join, so no link between different components is lost; only those that
@@ -40,7 +40,7 @@ from tessaxis.llm.shingles import Shingler, mix, range_of, signature
 from tessaxis.plans.graphs import components
 
 WORDS, PERCENT = 5, 75
-OPEN_PAIRS, MERGED_SHARE, LOOK_BACK = 4, 1 / 32, 12
+SMALL_GROUP, OPEN_PAIRS, MERGED_SHARE, LOOK_BACK = 8, 4, 1 / 32, 12
 BATCH_SHINGLES, GROUP_SHINGLES = 1_500_000, 1_500_000
 HEAVY_SHARE, SKETCH_BITS, NODE_SLICE = 1 / 250, 512, 1 << 24
 
@@ -257,41 +257,48 @@ def differ_little(percent: int) -> Column:
     return F.col("alone_a") + F.col("alone_b") + bits <= F.col("n_a") + F.col("n_b") - 2 * need
 
 
+def met_pairs(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: the pairs of different components that meet in rows (h, node, n, pos, comp) and pass all filters."""
+    behind = Window.partitionBy("node").orderBy("pos").rowsBetween(-LOOK_BACK, -1)
+    known = sets.select("node", (F.col("n") - F.octet_length("shared") / 8).cast("long").alias("alone"), "sketch")
+    ahead = rows.select("h", "node", "n", "pos", "comp", F.collect_list("h").over(behind).alias("before")).join(known, "node")
+    side = lambda c: ahead.select("h", *(F.col(k).alias(f"{k}_{c}") for k in ("node", "n", "pos", "comp", "before", "alone", "sketch")))
+    length = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    apart = (F.col("node_a") < F.col("node_b")) & (F.col("comp_a") != F.col("comp_b")) & length & may_link(percent) & differ_little(percent) & ~F.arrays_overlap("before_a", "before_b")
+    return side("a").join(side("b"), "h").where(apart).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+
+
 def node_components(sets: DataFrame, percent: int, rounds: int | None = None) -> DataFrame | None:
     """node, comp of the linked sets; None if no shingle is shared. rounds fixes the number of leader rounds."""
-    rows, edges, labels, done, mine = prefixes(sets, percent), None, None, 0, None
+    rows, labels, done = prefixes(sets, percent).withColumn("comp", F.col("node")), None, 0
+    edges, mine = None, None
     while True:
-        comp = F.col("node") if labels is None else F.coalesce("comp", "node")
-        now = (rows if labels is None else rows.join(labels, "node", "left")).select("h", "node", "n", "pos", comp.alias("comp"))
         # the leader changes from round to round: the first by a hash that the round salts
         order = F.struct(F.xxhash64("node", F.lit(done)).alias("o"), F.col("node"), F.col("n"), F.col("comp"))
-        groups = now.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"), F.min(order).alias("lead")).where("lo <> hi")
-        before, mine = mine, written(now.join(groups.select("h", "m", "lead.node", "lead.n", "lead.comp").toDF("h", "m", "node_l", "n_l", "comp_l"), "h"))
+        groups = rows.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"), F.min(order).alias("lead")).where("lo <> hi")
+        before, mine = mine, written(rows.join(groups.select("h", "m", "lead.node", "lead.n", "lead.comp").toDF("h", "m", "node_l", "n_l", "comp_l"), "h"))
         if before is not None:
             dropped(before)
-        pairs, n_rows, n_sets = mine.agg(F.sum((F.col("m") - 1) / 2), F.count("*"), F.count_distinct("node")).first()
-        if not n_rows:
+        large = mine if done or rounds == 0 else mine.where(F.col("m") > SMALL_GROUP)
+        pairs, n_rows, n_sets = large.agg(F.sum((F.col("m") - 1) / 2), F.count("*"), F.count_distinct("node")).first()
+        if not n_rows and (done or mine.isEmpty()):
             return labels
-        merged = n_sets if not done else fresh.count()  # noqa: F821
-        last = done == rounds if rounds is not None else pairs <= OPEN_PAIRS * n_rows or merged < MERGED_SHARE * n_sets
+        last = done == rounds if rounds is not None else done > 0 and (pairs <= OPEN_PAIRS * n_rows or merged < MERGED_SHARE * n_sets)  # noqa: F821
         if last:
-            behind = Window.partitionBy("node").orderBy("pos").rowsBetween(-LOOK_BACK, -1)
-            known = sets.select("node", (F.col("n") - F.octet_length("shared") / 8).cast("long").alias("alone"), "sketch")
-            ahead = mine.select("h", "node", "n", "pos", "comp", F.collect_list("h").over(behind).alias("before")).join(known, "node")
-            side = lambda c: ahead.select("h", *(F.col(k).alias(f"{k}_{c}") for k in ("node", "n", "pos", "comp", "before", "alone", "sketch")))  # noqa: B023, E731
-            length = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-            apart = (F.col("node_a") < F.col("node_b")) & (F.col("comp_a") != F.col("comp_b")) & length & may_link(percent) & differ_little(percent) & ~F.arrays_overlap("before_a", "before_b")
-            found = side("a").join(side("b"), "h").where(apart).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+            found = met_pairs(large, sets, percent)
         else:
             # a leader may be met behind the first common shingle, so its rows have the length filter alone
-            met = mine.where("comp <> comp_l").select(F.least("node", "node_l").alias("a"), F.greatest("node", "node_l").alias("b"), F.col("n").alias("n_a"), F.col("n_l").alias("n_b"))
-            found = met.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select("a", "b").distinct()
+            led = large.where("comp <> comp_l").select(F.least("node", "node_l").alias("a"), F.greatest("node", "node_l").alias("b"), F.col("n").alias("n_a"), F.col("n_l").alias("n_b"))
+            found = led.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select("a", "b").distinct()
+            if not done:
+                # groups of a few sets make few pairs and are done at once
+                found = found.union(met_pairs(mine.where(F.col("m") <= SMALL_GROUP), sets, percent)).distinct()
         fresh = written(verified(found, sets, percent))
         edges = fresh if edges is None else edges.union(fresh)
-        labels = components(edges)
-        if last:
+        labels, merged = components(edges), fresh.count()
+        if last or not n_rows:
             return labels
-        rows, done = mine.select("h", "node", "n", "pos"), done + 1
+        rows, done = large.select("h", "node", "n", "pos").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")), done + 1
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n_words: int = WORDS, percent: int = PERCENT) -> DataFrame:
