@@ -41,8 +41,8 @@ from tessaxis.plans.graphs import components
 
 WORDS, PERCENT = 5, 75
 SMALL_GROUP, OPEN_PAIRS, MERGED_SHARE, LOOK_BACK = 8, 4, 1 / 32, 12
-BATCH_SHINGLES, GROUP_SHINGLES = 1_500_000, 1_500_000
-HEAVY_SHARE, SKETCH_BITS, NODE_SLICE = 1 / 250, 512, 1 << 24
+BATCH_SHINGLES, GROUP_SHINGLES = 750_000, 1_000_000
+HEAVY_SHARE, SKETCH_BITS, NODE_SLICE = 1 / 250, 512, 1 << 22
 
 
 def prefix_places(n: int, percent: int = PERCENT) -> int:

@@ -6,7 +6,7 @@ import xxhash
 from tessaxis.llm.common import words
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
-MEMO_ENTRIES = 200_000
+MEMO_ENTRIES = 60_000
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -29,7 +29,7 @@ from tessaxis.llm.common import in_slices, put, with_field
 
 SAMPLE_ROWS, Z_LEAST, TERMS_MOST = 12_000, 5.0, 50_000
 FACTORS, EPOCHS, RATE, DECAY = 8, 12, 0.1, 1e-4
-MEMO_ENTRIES = 100_000
+MEMO_ENTRIES = 30_000
 _WORD = re.compile(r"\w+")
 
 
