@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Spark deletes a query's shuffle files at its end; a table that is written needs them no more.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows that a task hands to Python at once: texts are long, and both sides hold a batch.
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,19 +38,23 @@ def _delete_at_exit(spark: SparkSession, path: str) -> None:
 
 
 @contextmanager
-def _cleanup(spark: SparkSession):
-    before = spark.conf.get(CLEANUP, "false")
+def _settings(spark: SparkSession):
+    """The session's settings while a table is written."""
+    before = {CLEANUP: spark.conf.get(CLEANUP, "false"), BATCH: spark.conf.get(BATCH, "10000")}
+    rows = int(before[BATCH])
     spark.conf.set(CLEANUP, "true")
+    spark.conf.set(BATCH, str(min(rows, BATCH_ROWS) if rows > 0 else BATCH_ROWS))
     try:
         yield
     finally:
-        spark.conf.set(CLEANUP, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder, which goes when the program ends."""
     spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    with _cleanup(spark):
+    with _settings(spark):
         df.write.parquet(path)
     atexit.register(_delete_at_exit, spark, path)
     return spark.read.schema(df.schema).parquet(path)
