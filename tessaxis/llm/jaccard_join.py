@@ -14,8 +14,8 @@ Each text is the set of its distinct n-word shingles, held as 64-bit hashes. Two
 3. Sets meet on prefix shingles. A pair must pass the length filter, the positional filter (what remains in either set
    from the shingle where it meets) and the suffix filter (what the parities of both sets' shingles in SKETCH_BITS parts of
    the hash space say of their difference) before it is a row; it is then verified, once, by intersecting the two sets.
-4. Groups of up to SMALL_GROUP sets compare all pairs, which are few. Of larger ones, rounds link each set of a prefix shingle's group with one leader of the group and
-   merge what links; sets of one component need no further comparing, and shingles whose sets are in one component are
+4. Groups of up to SMALL_GROUP sets compare all pairs, which are few. Of larger ones, rounds link each set of a prefix
+   shingle's group with one leader of the group and merge what links; sets of one component need no further comparing, and shingles whose sets are in one component are
    done. Rounds go on while they merge much and more pairs than rows are open. After the rounds all pairs left (same
    shingle, different components) meet inside the join, so no link between different components is lost; only those that
    pass the filters become rows. A pair meets at its first common shingle: rows at a later one go if either of the few
@@ -41,7 +41,7 @@ from tessaxis.plans.graphs import components
 
 WORDS, PERCENT = 5, 75
 SMALL_GROUP, OPEN_PAIRS, MERGED_SHARE, LOOK_BACK = 8, 4, 1 / 32, 12
-BATCH_SHINGLES, GROUP_SHINGLES = 750_000, 1_000_000
+BATCH_SHINGLES, GROUP_SHINGLES = 400_000, 600_000
 HEAVY_SHARE, SKETCH_BITS, NODE_SLICE = 1 / 250, 512, 1 << 22
 
 

@@ -6,7 +6,8 @@ terms that go with the label in the sample (a z-score of Z_LEAST or more) get pa
 whose products learn pairs that an additive model misses. The score is the sigmoid of bias + weights + pair products.
 
 At most TERMS_MOST terms get parameters, those of the highest z-scores; of rows with one key the greatest text and label
-are learned from. Texts are scored in slices of Arrow batches, by bytes, so that few are Python strings at a time.
+are learned from. Scoring sends the texts alone to Python and only scores back; texts become Python strings in slices of
+Arrow batches, by bytes, so that few do at a time.
 
 Null and empty texts have no terms and get the bias's score. Without labelled rows of both kinds every score is 0. Keys
 may be of any type; rows with null keys are scored but not learned from. An output column replaces a column of its name.
@@ -16,6 +17,7 @@ Labels, lang, source and doc_id are no inputs of a score.
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -23,9 +25,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tessaxis.llm.common import in_slices, put, with_field
+from tessaxis.llm.common import in_slices
 
 SAMPLE_ROWS, Z_LEAST, TERMS_MOST = 12_000, 5.0, 50_000
 FACTORS, EPOCHS, RATE, DECAY = 8, 12, 0.1, 1e-4
@@ -150,9 +151,11 @@ def score(docs: DataFrame, model: FactorizationMachine | None, text: str = "text
         return docs.withColumn(out, F.lit(0.0))
     sent = docs.sparkSession.sparkContext.broadcast((model.index, model.bias, model.w, model.v))
 
-    def run(batches):
+    @F.arrow_udf("double")
+    def run(values: Iterator[pa.Array]) -> Iterator[pa.Array]:
         machine = FactorizationMachine(*sent.value)
-        for batch in in_slices(batches, text):
-            yield put(batch, out, pa.array([machine.score(x.as_py()) for x in batch.column(text)], pa.float64()))
+        for texts in values:
+            slices = in_slices([pa.RecordBatch.from_arrays([texts], ["x"])], "x")
+            yield pa.array([machine.score(x.as_py()) for part in slices for x in part.column("x")], pa.float64())
 
-    return docs.mapInArrow(run, with_field(docs, out, T.DoubleType()))
+    return docs.withColumn(out, run(F.col(text)))
