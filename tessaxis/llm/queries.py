@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessaxis.llm import bpe_codec, chat_format, decontaminate, exact_dedup, html_extract, jaccard_join, suffix_dedup, suffix_tree_lm, token_counts, toxicity
+from tessaxis.llm import bpe_codec, chat_format, decontaminate, exact_dedup, html_extract, jaccard_join, merkle, packing, prefix_trie, suffix_dedup, suffix_tree_lm, token_counts, toxicity
 from tessaxis.llm.common import crc_mod, in_slices, table
 
 
@@ -119,10 +119,30 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", n_removed.cast("long").alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_token_counts, op3_suffix_tree_lm, op4_decontamination, op5_jaccard_join, op6_bpe_codec, op7_exact_dedup, op8_html_extract, op9_toxicity, op10_suffix_dedup)}
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), _tokenizer(), end_id=1)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest, held against rows of which a third have their text in lower case."""
+    docs, columns = table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"]
+    changed = F.when(crc_mod("doc_id", 3) == 0, merkle.leaf(docs, columns, {"text": merkle.lowered("text")}))
+    return merkle.manifest(docs, columns, changed=changed)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(prefix_trie.rebuilt(prefix_trie.conversations(table(spark, sf_dir, "conversations"))))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_token_counts, op3_suffix_tree_lm, op4_decontamination, op5_jaccard_join, op6_bpe_codec, op7_exact_dedup, op8_html_extract, op9_toxicity, op10_suffix_dedup, op11_packing, op12_merkle, op13_prefix_trie)}
 
 _ASCII = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+#: CRC-32 of a text of ASCII characters, as a number.
+_CRC = "xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split({0}, ''), lambda c: ord(c)::UBIGINT)), lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]), lambda v, _: CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384::UBIGINT) ELSE v >> 1 END)), 4294967295::UBIGINT)"
+_FIELD = "coalesce(octet_length(encode({0}::VARCHAR)) || ':' || {0}::VARCHAR, '-')"
+
 ORACLES = {
     "op1_chat_format": r"""
 WITH rows AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -148,4 +168,33 @@ FROM docs LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)"
 WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents),
 g AS (SELECT *, min(doc_id) OVER (PARTITION BY text_sha256) AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size FROM t)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g""",
+    "op12_merkle": rf"""
+WITH RECURSIVE docs AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n,
+  sha256({" || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "text"))}) AS leaf,
+  CASE WHEN {_CRC.format("doc_id::VARCHAR")} % 3 = 0 THEN sha256({" || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars"))} || {_FIELD.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}) END AS tampered FROM documents),
+tree AS (SELECT lang, 0 AS lvl, pos, leaf AS h, n FROM docs
+  UNION ALL SELECT lang, lvl + 1, pos // 8, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 7) // 8 FROM tree WHERE n > 1 GROUP BY lang, lvl, pos // 8),
+subs AS (SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM tree WHERE n = 1),
+top AS (SELECT 0 AS lvl, pos, subroot AS h, n FROM subs
+  UNION ALL SELECT lvl + 1, pos // 8, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 7) // 8 FROM top WHERE n > 1 GROUP BY lvl, pos // 8),
+walk AS (SELECT doc_id, lang, 0 AS lvl, pos, n, coalesce(tampered, leaf) AS cur, '' AS proof FROM docs
+  UNION ALL SELECT w.doc_id, w.lang, w.lvl + 1, w.pos // 8, (any_value(w.n) + 7) // 8, sha256(string_agg(CASE WHEN t.pos = w.pos THEN w.cur ELSE t.h END, '' ORDER BY t.pos)),
+    any_value(w.proof) || coalesce(string_agg(t.h, '' ORDER BY t.pos) FILTER (t.pos <> w.pos), '')
+  FROM walk w JOIN tree t ON t.lang IS NOT DISTINCT FROM w.lang AND t.lvl = w.lvl AND t.pos // 8 = w.pos // 8 WHERE w.n > 1 GROUP BY w.doc_id, w.lang, w.lvl, w.pos),
+up AS (SELECT w.doc_id, w.lang, 0 AS lvl, s.pos, s.n, w.cur, w.proof, s.subroot FROM walk w JOIN subs s ON s.lang IS NOT DISTINCT FROM w.lang WHERE w.n = 1
+  UNION ALL SELECT w.doc_id, w.lang, w.lvl + 1, w.pos // 8, (any_value(w.n) + 7) // 8, sha256(string_agg(CASE WHEN t.pos = w.pos THEN w.cur ELSE t.h END, '' ORDER BY t.pos)),
+    any_value(w.proof) || coalesce(string_agg(t.h, '' ORDER BY t.pos) FILTER (t.pos <> w.pos), ''), any_value(w.subroot)
+  FROM up w JOIN top t ON t.lvl = w.lvl AND t.pos // 8 = w.pos // 8 WHERE w.n > 1 GROUP BY w.doc_id, w.lang, w.lvl, w.pos)
+SELECT d.doc_id, d.leaf, u.subroot, r.h AS root, sha256(u.proof) AS proof_sha256, u.cur AS folded_root, u.cur = r.h AS verified
+FROM docs d JOIN up u ON u.doc_id = d.doc_id AND u.n = 1, (SELECT h FROM top WHERE n = 1) r""",
+    "op13_prefix_trie": rf"""
+WITH own AS (SELECT conv_id, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} ORDER BY turn NULLS FIRST, role, text) AS turns FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1),
+built AS (SELECT o.conv_id, list_concat(coalesce(b.turns, [])[:h], o.turns[h + 1:]) AS turns FROM (SELECT *, ({_CRC.format("conv_id::VARCHAR")} % 9)::BIGINT AS h FROM own) o LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 5),
+steps AS (SELECT conv_id, len(turns) AS size, unnest(range(0, len(turns) + 1)) AS depth, turns FROM built),
+nodes AS (SELECT depth, turns[:depth] AS path, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (size = depth), '')) AS ends_sha256 FROM steps GROUP BY 1, 2),
+kids AS (SELECT depth - 1 AS depth, path[:depth - 1] AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1, 2),
+full_ AS (SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN n.depth > 0 THEN (n_convs - 1) * octet_length(encode(n.path[n.depth]['t'])) ELSE 0 END AS own FROM nodes n LEFT JOIN kids k USING (depth, path)),
+sums AS (SELECT depth, path, sum((n_children = 0)::INT)::BIGINT AS n_leaves, sum(own)::BIGINT AS saved_tokens FROM (SELECT n_children, own, unnest(range(0, depth + 1)) AS depth, path AS whole FROM full_) x, LATERAL (SELECT x.whole[:x.depth] AS path) GROUP BY 1, 2)
+SELECT f.conv_id, f.depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children, s.n_leaves, s.saved_tokens, f.ends_sha256
+FROM full_ f JOIN sums s USING (depth, path) LEFT JOIN nodes p ON p.depth = f.depth - 1 AND p.path = f.path[:f.depth - 1]""",
 }
