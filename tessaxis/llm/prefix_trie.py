@@ -30,6 +30,8 @@ from tessaxis.llm.common import partitions, written
 
 #: Stems that are peeled together, and ids that are joined to one string, at most.
 MOST, BLOCK = 2000, 4096
+#: Crowded prefixes, of 16 bytes, that are sent to all tasks; more are joined under so many salts.
+CROWDED_MOST, SALTS = 200_000, 64
 EMPTY = hashlib.sha256(b"").hexdigest()
 
 
@@ -110,8 +112,13 @@ def _merged(stems: DataFrame) -> DataFrame:
 def _placed(stems: DataFrame, most: int) -> DataFrame:
     """stems with cut: the depth just below the last prefix on their path that more than `most` stems share."""
     steps = stems.select("key", F.posexplode("chain").alias("depth", "prefix"))
-    crowded = steps.groupBy("prefix").agg(F.count("*").alias("c")).where(F.col("c") > most).select("prefix")
-    last = steps.join(crowded, "prefix").groupBy("key").agg((F.max("depth") + 1).alias("cut"))
+    crowded = written(steps.groupBy("prefix").agg(F.count("*").alias("c")).where(F.col("c") > most).select("prefix"))
+    if crowded.count() <= CROWDED_MOST:
+        on = steps.join(F.broadcast(crowded), "prefix")
+    else:  # a crowded prefix has many steps by its nature: they are spread over SALTS keys
+        salted = steps.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
+        on = salted.join(crowded.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["prefix", "salt"])
+    last = on.groupBy("key").agg((F.max("depth") + 1).alias("cut"))
     return stems.join(last, "key", "left").withColumn("cut", F.coalesce("cut", F.lit(0)))
 
 

@@ -239,9 +239,10 @@ def brute_rebuilt(rows):
     return out
 
 
-@pytest.mark.parametrize(("most", "block"), [(2000, 4096), (3, 2), (10, 7)])
-def test_trie_like_brute_force(spark, monkeypatch, most, block):
+@pytest.mark.parametrize(("most", "block", "sent"), [(2000, 4096, 9), (3, 2, 0), (10, 7, 10_000)])
+def test_trie_like_brute_force(spark, monkeypatch, most, block, sent):
     monkeypatch.setattr(prefix_trie, "BLOCK", block)
+    monkeypatch.setattr(prefix_trie, "CROWDED_MOST", sent)
     rng = random.Random(most)
     turns = [("user", "a"), ("assistant", "é漢"), ("user", ""), ("", "b")]
     chats = {i: [rng.choice(turns[: 1 + d % 4]) for d in range(rng.choice([0, 1, 2, 3, 4, 8]))] for i in range(120)}
