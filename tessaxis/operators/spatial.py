@@ -2,6 +2,10 @@
 
 A pair of boxes is made once: in the cell that holds the lower left corner of their intersection. All joins take a key
 column besides the boxes, and a scene column that both sides share.
+
+box_pairs() has one grid, for boxes of about one size. sized_pairs() has a grid for each power of two: a box lies in the
+few cells of its own size's grid and is looked up in the grids of larger boxes, so that rows stay proportional to the table
+whatever the sizes are.
 """
 
 from pyspark.sql import Column, DataFrame, Window
@@ -26,6 +30,43 @@ def box_pairs(a: DataFrame, b: DataFrame, cell: float, on: list[str], pad: float
     return left.join(right, [*on, "cx", "cy"]).where(meets & here).drop("cx", "cy")
 
 
+#: Smaller boxes, points too, count as of this power of two.
+LEAST_LEVEL = -20
+
+
+def level(box: Column, pad: float = 0.0) -> Column:
+    """The power of two that the longer side of a box, widened by pad, fits in."""
+    side = F.greatest(box["xmax"] - box["xmin"], box["ymax"] - box["ymin"]) + 2 * pad
+    return F.greatest(F.ceil(F.log2(F.when(side > 0, side))), F.lit(LEAST_LEVEL)).cast("int")
+
+
+def sized_pairs(a: DataFrame, b: DataFrame, on: list[str], pad: float = 0.0) -> DataFrame:
+    """As box_pairs(), for boxes of any sizes: each pair is made in the grid of the larger one of its boxes.
+
+    Each row is at most four rows for each level that the other side has, some tens at most for all sizes of doubles.
+    """
+    own_a, own_b = a.withColumn("_own", level(F.col("box_a"))), b.withColumn("_own", level(F.col("box_b"), pad))
+    of = lambda df: F.array(*(F.lit(r[0]) for r in df.select("_own").distinct().orderBy("_own").collect())).cast("array<int>")
+    levels_a, levels_b = of(own_a), of(own_b)
+
+    def at(df: DataFrame, box: Column, levels: Column, wide: float) -> DataFrame:
+        df = df.withColumn("_level", F.explode(levels))
+        cell = F.pow(F.lit(2.0), F.col("_level"))
+        span = lambda lo, hi: F.explode(F.sequence(F.floor((box[lo] - wide) / cell), F.floor((box[hi] + wide) / cell)))
+        return df.withColumn("cx", span("xmin", "xmax")).withColumn("cy", span("ymin", "ymax")).drop("_own")
+
+    def joined(levels_of_a: Column, levels_of_b: Column) -> DataFrame:
+        left, right = at(own_a, F.col("box_a"), levels_of_a, 0.0), at(own_b, F.col("box_b"), levels_of_b, pad)
+        x, y = F.greatest(F.col("box_a.xmin"), F.col("box_b.xmin") - pad), F.greatest(F.col("box_a.ymin"), F.col("box_b.ymin") - pad)
+        meets = (x <= F.least(F.col("box_a.xmax"), F.col("box_b.xmax") + pad)) & (y <= F.least(F.col("box_a.ymax"), F.col("box_b.ymax") + pad))
+        cell = F.pow(F.lit(2.0), F.col("_level"))
+        here = (F.floor(x / cell) == F.col("cx")) & (F.floor(y / cell) == F.col("cy"))
+        return left.join(right, [*on, "_level", "cx", "cy"]).where(meets & here).drop("_level", "cx", "cy")
+
+    alone = F.array("_own")
+    return joined(alone, F.filter(levels_a, lambda v: v >= F.col("_own"))).unionByName(joined(F.filter(levels_b, lambda v: v > F.col("_own")), alone))
+
+
 def near_boundary(dets: DataFrame, footprints: DataFrame, distance: Column, cell: float, key: str = "det_id") -> DataFrame:
     """dets with is_at_edge: the ring `geometry` comes within a distance of the boundary of its scene's footprint.
 
@@ -67,19 +108,20 @@ def point_pairs(a: DataFrame, b: DataFrame, radius: float, on: list[str]) -> Dat
     return left.join(right, [*on, "cx", "cy"]).drop("cx", "cy").withColumn("dist", dist).where(F.col("dist") <= radius)
 
 
-def nearest_matches(refs: DataFrame, models: DataFrame, min_radius: float = 1.0, max_radius: float | None = None, on: list[str] = ("scene_id",)) -> DataFrame:
+def nearest_matches(refs: DataFrame, models: DataFrame, min_radius: float = 1.0, on: list[str] = ("scene_id",)) -> DataFrame:
     """Each reference with its nearest model row, if that is within max(half its diameter, min_radius).
 
-    Both sides: id, x, y, area and the scene. The cell is the largest radius that can be accepted. Ties go to the lower id.
-    Several references may share one model row.
+    Both sides: id, x, y, area and the scene. Each reference looks in the grid of its own radius, so a large one makes no
+    more pairs for the small ones. Ties go to the lower id. Several references may share one model row.
     """
     on = list(on)
     dia = geometry.diameter(F.col("area"))
-    radius = max_radius or float(max(refs.agg(F.max(dia)).first()[0] or 0.0, 2 * min_radius) / 2) or 1.0
-    a = refs.select(*on, F.col("id").alias("ref_id"), F.col("x").alias("x_a"), F.col("y").alias("y_a"), F.col("area").alias("ref_area"), dia.alias("ref_dia"))
-    b = models.select(*on, F.col("id").alias("model_id"), F.col("x").alias("x_b"), F.col("y").alias("y_b"), F.col("area").alias("model_area"))
+    r = F.greatest(dia / 2, F.lit(min_radius))
+    at = lambda d: geometry.box(F.col("x") - d, F.col("y") - d, F.col("x") + d, F.col("y") + d)
+    a = refs.select(*on, F.col("id").alias("ref_id"), F.col("x").alias("x_a"), F.col("y").alias("y_a"), F.col("area").alias("ref_area"), dia.alias("ref_dia"), r.alias("_r"), at(r).alias("box_a"))
+    b = models.select(*on, F.col("id").alias("model_id"), F.col("x").alias("x_b"), F.col("y").alias("y_b"), F.col("area").alias("model_area"), at(F.lit(0.0)).alias("box_b"))
     best = F.min(F.struct("dist", "model_id", "model_area")).alias("m")
-    near = point_pairs(a, b, radius, on).where(F.col("dist") <= F.greatest(F.col("ref_dia") / 2, F.lit(min_radius)))
+    near = sized_pairs(a, b, on).withColumn("dist", F.hypot(F.col("x_a") - F.col("x_b"), F.col("y_a") - F.col("y_b"))).where(F.col("dist") <= F.col("_r"))
     found = near.groupBy(*on, "ref_id", "ref_area", "ref_dia").agg(best)
     return found.select(*on, "ref_id", "m.model_id", "m.dist", "ref_area", "m.model_area", (F.col("m.model_area") / F.col("ref_area")).alias("ratio"), "ref_dia")
 

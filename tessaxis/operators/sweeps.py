@@ -8,11 +8,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessaxis.functions import axial, images
 from tessaxis.operators import masks, orientation, tiles
+from tessaxis.sources.stages import dropped, written
 
 Measure = Callable[[DataFrame], DataFrame]
 
@@ -193,34 +195,96 @@ def pooled_angles(dets: DataFrame) -> DataFrame:
     return dets.where(F.col("angle180").isNotNull()).select(axial.folded(F.col("angle180") + F.col("alpha")).alias("angle180"))
 
 
-def greedy_matches(truth: DataFrame, dets: DataFrame, radius: float, key: str = "phi0") -> DataFrame:
+#: Truths that are matched together at most.
+TRUTHS_A_BLOCK = 2000
+
+
+def greedy_matches(truth: DataFrame, dets: DataFrame, radius: float, key: str = "phi0", most: int = TRUTHS_A_BLOCK) -> DataFrame:
     """One-to-one matches in the order of truth ids, each with the nearest detection left within radius: key, truth_id, det_id, dist, score.
 
-    Only objects that candidates connect must be matched together, so each component of the candidate graph is a group.
-    truth: key, truth_id, x, y; dets: key, det_id, x, y, score.
+    truth: key, truth_id, x, y; dets: key, det_id, x, y, score. In rounds: truths are dealt out by blocks, cells of the
+    plane with at most `most` truths each. A truth is final as soon as no earlier one that is still open, in its block or
+    in another, can want its nearest detection left; inside a block this is decided in order, so that chains of truths
+    cross a block in one round. A task holds one truth's candidates and the ids that its block has used.
     """
     from tessaxis.operators.spatial import point_pairs
-    from tessaxis.plans.graphs import components
 
-    a = truth.select(key, "truth_id", F.col("x").alias("x_a"), F.col("y").alias("y_a"))
+    # cells that hold about `most` truths, wide enough for a detection's candidates to lie in four at most
+    (n, w, h) = truth.agg(F.count("*") / F.greatest(F.count_distinct(key), F.lit(1)), F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
+    w, h = sorted((w or 0.0, h or 0.0))
+    side = max((w * h * most / max(n, 1)) ** 0.5, 8 * radius)
+    side = max(h * most / max(n, 1), side) if side > w else side
+    cell = lambda c: F.floor(F.col(c) / side)
+    order = Window.partitionBy(key, "cx", "cy").orderBy("truth_id")
+    a = truth.select(key, "truth_id", F.col("x").alias("x_a"), F.col("y").alias("y_a"), cell("x").alias("cx"), cell("y").alias("cy"))
+    a = a.withColumn("chunk", F.floor((F.row_number().over(order) - 1) / most)).select(key, "truth_id", "x_a", "y_a", F.struct("cx", "cy", "chunk").alias("block"))
     b = dets.select(key, "det_id", "score", F.col("x").alias("x_b"), F.col("y").alias("y_b"))
-    pairs = point_pairs(a, b, radius, [key]).select(key, "truth_id", "det_id", "score", "dist")
-    named = pairs.withColumn("a", F.to_json(F.struct(F.lit("t").alias("s"), F.col(key).alias("k"), F.col("truth_id").alias("i")))).withColumn("b", F.to_json(F.struct(F.lit("d").alias("s"), F.col(key).alias("k"), F.col("det_id").alias("i"))))
-    comp = components(named.select("a", "b"))
-    grouped = named.join(comp.withColumnRenamed("node", "a"), "a").drop("a", "b")
-    kind = truth.schema[key].dataType.simpleString()
-
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        used, rows = set(), []
-        for t, part in pdf.sort_values(["truth_id", "dist", "det_id"]).groupby("truth_id"):
-            free = part[~part["det_id"].isin(used)]
-            if len(free):
-                f = free.iloc[0]
-                used.add(f["det_id"])
-                rows.append((f[key], t, f["det_id"], f["dist"], f["score"]))
-        return pd.DataFrame(rows, columns=[key, "truth_id", "det_id", "dist", "score"])
-
-    return grouped.groupBy("comp").applyInPandas(match, f"{key} {kind}, truth_id long, det_id long, dist double, score double")
+    left = written(point_pairs(a, b, radius, [key]).select(key, "truth_id", "det_id", "score", "dist", "block"))
+    found = []
+    while not left.isEmpty():
+        decided = written(_decided(left, key))
+        found.append(decided.where("det_id IS NOT NULL"))
+        rest = left.join(decided.select(key, "truth_id"), [key, "truth_id"], "left_anti").join(found[-1].select(key, "det_id"), [key, "det_id"], "left_anti")
+        last, left = left, written(rest)
+        dropped(last)
+    if not found:
+        return left.select(key, "truth_id", "det_id", "dist", "score")
+    out = found[0]
+    for x in found[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def _decided(pairs: DataFrame, key: str) -> DataFrame:
+    """Truths that are final: key, truth_id and the detection taken, null if none is left."""
+    firsts = pairs.groupBy(key, "det_id", "block").agg(F.min("truth_id").alias("t"))
+    two = firsts.groupBy(key, "det_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("t", "block"))), 1, 2).alias("two"))
+    first, second = F.col("two")[0], F.try_element_at("two", F.lit(2))
+    other = F.when(first["block"] == F.col("block"), second["t"]).otherwise(first["t"]).alias("other")  # the first truth of other blocks that may take the detection
+    known = pairs.join(two, [key, "det_id"]).select(key, "block", "truth_id", "dist", "det_id", "score", other)
+    schema = ", ".join(f"`{c}` {pairs.schema[c].dataType.simpleString()}" for c in (key, "truth_id", "det_id", "dist", "score"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = truth = None
+        wanted: list[tuple] = []
+        used: set = set()
+        unsure: set = set()
+
+        def decide(rows: list[tuple]) -> None:
+            """The truth whose candidates, nearest first, are in `wanted`."""
+            free = [w for w in wanted if w[0] not in used]
+            if free and (free[0][0] in unsure or free[0][3] is not None and free[0][3] < truth):
+                unsure.update(w[0] for w in free)
+            elif free:
+                used.add(free[0][0])
+                rows.append((place[0], truth, *free[0][:3]))
+            else:
+                rows.append((place[0], truth, None, None, None))
+
+        names = [key, "truth_id", "det_id", "dist", "score"]
+        kinds: list = []
+        for batch in batches:
+            rows: list[tuple] = []
+            columns = [batch.column(c).to_pylist() for c in (key, "cx", "cy", "chunk", "truth_id", "det_id", "dist", "score", "other")]
+            for k, cx, cy, chunk, t, *candidate in zip(*columns, strict=True):
+                if (k, cx, cy, chunk, t) != (*(place or (None,) * 4), truth):
+                    if wanted:
+                        decide(rows)
+                    if (k, cx, cy, chunk) != place:
+                        place, used, unsure = (k, cx, cy, chunk), set(), set()
+                    truth, wanted = t, []
+                wanted.append(candidate)
+            kinds = [batch.schema.field(c).type for c in names]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 5, kinds, strict=True)], names)
+        if wanted:
+            rows = []
+            decide(rows)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 5, kinds, strict=True)], names)
+
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    flat = known.select(key, "block.cx", "block.cy", "block.chunk", "truth_id", "dist", "det_id", "score", "other")
+    place = [key, "cx", "cy", "chunk"]
+    return flat.repartition(parts, *place).sortWithinPartitions(*place, "truth_id", "dist", "det_id").mapInArrow(run, schema)
 
 
 def recall_sweep(truth: DataFrame, dets: DataFrame, radius: float, key: str = "phi0") -> DataFrame:

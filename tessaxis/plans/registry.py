@@ -318,9 +318,12 @@ def d8_over_detections(spark, sf_dir):
     return spatial.unmatched(fx.models(spark, sf_dir), fx.references(spark, sf_dir)).select("id")
 
 
-@query()
+@query(f"""WITH {DET}, {REF}, c AS (SELECT r.id, m.det_id, {_DIST} AS dist, m.w * m.h AS ma, pi() * dia * dia / 4 AS ra, {_DIST} <= greatest(dia / 2, 1) AS near, {_DIST} <= greatest(sqrt(m.w * m.h / pi()), 1) AS back FROM fx_refs r JOIN fx_detections m ON r.scene_id = m.scene_id AND abs(r.x - m.x0) <= 20 AND abs(r.y - m.y0) <= 20),
+n AS (SELECT ma / ra AS ratio FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, det_id) AS k FROM c WHERE near) WHERE k = 1), s AS (SELECT (SELECT count(*) FROM fx_refs) AS n_ref, (SELECT count(*) FROM fx_detections) AS n_model, (SELECT count(DISTINCT det_id) FROM c WHERE back) AS n_back)
+SELECT n_ref, n_model, count(*) AS n_matched, round(count(*) / n_ref, 6) AS recall, round(quantile_cont(ratio, 0.5), 6) AS median_ratio, round((n_model - n_back) / n_model, 6) AS over_detection_frac FROM n, s GROUP BY n_ref, n_model, n_back""")
 def d7_match_statistics(spark, sf_dir):
-    return spatial.match_statistics(fx.references(spark, sf_dir), fx.models(spark, sf_dir))
+    found = spatial.match_statistics(fx.references(spark, sf_dir), fx.models(spark, sf_dir))
+    return found.select("n_ref", "n_model", "n_matched", *(r(c).alias(c) for c in ("recall", "median_ratio", "over_detection_frac")))
 
 
 def _sweep_objects(spark, sf_dir):
@@ -329,9 +332,17 @@ def _sweep_objects(spark, sf_dir):
     return t, d
 
 
-@query()
+@query(f"""WITH RECURSIVE {DET}, d AS (SELECT (15 * (det_id % 12))::DOUBLE AS phi0, det_id, score, x0 AS x, y0 AS y FROM fx_detections),
+t AS (SELECT phi0, p_partkey AS truth_id, x + 1.5 AS x, y - 0.5 AS y, row_number() OVER (PARTITION BY phi0 ORDER BY p_partkey) AS i FROM part JOIN d ON p_partkey = det_id),
+c AS (SELECT t.phi0, i, det_id, score, sqrt((t.x - d.x) * (t.x - d.x) + (t.y - d.y) * (t.y - d.y)) AS dist FROM t JOIN d ON t.phi0 = d.phi0 AND abs(t.x - d.x) <= 18 AND abs(t.y - d.y) <= 18),
+m AS (SELECT DISTINCT phi0, 0::BIGINT AS i, []::BIGINT[] AS used, NULL::DOUBLE AS score FROM t
+  UNION ALL SELECT m.phi0, t.i, CASE WHEN count(c.det_id) > 0 THEN list_append(m.used, arg_min(c.det_id, {{'a': c.dist, 'b': c.det_id}})) ELSE m.used END, arg_min(c.score, {{'a': c.dist, 'b': c.det_id}})
+  FROM m JOIN t ON t.phi0 = m.phi0 AND t.i = m.i + 1 LEFT JOIN c ON c.phi0 = t.phi0 AND c.i = t.i AND c.dist <= 18 AND NOT list_contains(m.used, c.det_id) GROUP BY m.phi0, t.i, m.used),
+n AS (SELECT phi0, count(*) AS n_det, avg(score) AS mean_conf_all FROM d GROUP BY 1)
+SELECT m.phi0, count(*) FILTER (i > 0) AS n_truth, any_value(n_det) AS n_det, count(score) AS n_matched, round(count(score) / count(*) FILTER (i > 0), 6) AS recall, round(avg(score), 6) AS mean_conf_matched, round(any_value(mean_conf_all), 6) AS mean_conf_all FROM m JOIN n ON n.phi0 = m.phi0 GROUP BY 1""")
 def d9_recall_sweep(spark, sf_dir):
-    return sweeps.recall_sweep(*_sweep_objects(spark, sf_dir), 18.0)
+    found = sweeps.recall_sweep(*_sweep_objects(spark, sf_dir), 18.0)
+    return found.select("phi0", "n_truth", "n_det", "n_matched", *(r(c).alias(c) for c in ("recall", "mean_conf_matched", "mean_conf_all")))
 
 
 _NBR = """c AS (SELECT a.det_id AS id, b.det_id AS nbr, a.scene_id, b.x0 - a.x0 AS dx, b.y0 - a.y0 AS dy, sqrt((b.x0 - a.x0) * (b.x0 - a.x0) + (b.y0 - a.y0) * (b.y0 - a.y0)) AS dist
@@ -727,19 +738,51 @@ def g5_flip(spark, sf_dir):
 
 
 def _coco(spark, sf_dir):
+    """Each detection as a truth, one in 37 a crowd; each once more as a detection, moved by up to three units, one in ten of another class."""
     d = fx.detections(spark, sf_dir)
-    b = F.col("bbox")
+    b, k = F.col("bbox"), F.col("det_id")
     image = (F.col("scene_id") * 10_000 + F.floor(b["xmin"] / 200) * 100 + F.floor(b["ymin"] / 200)).alias("image_id")
-    gt = d.where("det_id % 2 = 0").select(image, F.col("det_id").alias("inst_id"), F.lit(1).alias("label"), F.struct(b["xmin"].alias("x1"), b["ymin"].alias("y1"), b["xmax"].alias("x2"), b["ymax"].alias("y2")).alias("box"), F.lit(0).alias("iscrowd"))
-    s = (F.col("det_id") % 4).cast("double")
-    found = d.where("det_id % 2 = 0 OR det_id % 10 = 1").select(image, "det_id", "score", F.lit(1).alias("category_id"), geometry.box(b["xmin"] + s, b["ymin"], b["xmax"] + s, b["ymax"]).alias("box"))
+    gt = d.select(image, k.alias("inst_id"), F.col("category_id").alias("label"), F.struct(b["xmin"].alias("x1"), b["ymin"].alias("y1"), b["xmax"].alias("x2"), b["ymax"].alias("y2")).alias("box"), (k % 37 == 0).cast("int").alias("iscrowd"))
+    s = (k % 4).cast("double")
+    found = d.select(image, "det_id", "score", F.when(k % 10 == 1, (F.col("category_id") + 1) % 3).otherwise(F.col("category_id")).alias("category_id"), geometry.box(b["xmin"] + s, b["ymin"], b["xmax"] + s, b["ymax"]).alias("box"))
     return coco.ground_truth(gt), coco.predictions(found)
 
 
-@query()
+def _coco_sql(pairs: str) -> str:
+    """pairs: SQL of iw * ih, the intersection, and of both areas, of d and g."""
+    i, ad, ag = pairs.split(" / ")
+    return f"""WITH RECURSIVE {DET}, g AS (SELECT scene_id * 10000 + floor(x0 / 200)::BIGINT * 100 + floor(y0 / 200)::BIGINT AS image, det_id AS g, category_id AS cat, x0, y0, x1, y1, det_id % 37 = 0 AS crowd FROM fx_detections),
+d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image, cat ORDER BY score DESC, det_id) AS rk FROM (SELECT scene_id * 10000 + floor(x0 / 200)::BIGINT * 100 + floor(y0 / 200)::BIGINT AS image, det_id,
+  CASE WHEN det_id % 10 = 1 THEN (category_id + 1) % 3 ELSE category_id END AS cat, score, x0 + det_id % 4 AS x0, y0, x1 + det_id % 4 AS x1, y1 FROM fx_detections) WHERE score >= 0.05) WHERE rk <= 100),
+o AS (SELECT d.image, d.cat, rk, g, crowd, {i} AS i, {ad} AS ad, {ag} AS ag FROM d JOIN g ON d.image = g.image AND d.cat = g.cat AND d.x0 <= g.x1 + 1 AND g.x0 <= d.x1 + 1 AND d.y0 <= g.y1 + 1 AND g.y0 <= d.y1 + 1),
+p AS (SELECT *, i / (CASE WHEN crowd THEN ad ELSE ad + ag - i END) AS iou FROM o WHERE i > 0),
+m AS (SELECT image, cat, t, 0::BIGINT AS rk, NULL::BIGINT AS det_id, NULL::DOUBLE AS score, []::BIGINT[] AS used, false AS hit, false AS ign FROM (SELECT DISTINCT image, cat FROM d), (SELECT unnest([0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95])::DOUBLE AS t)
+  UNION ALL SELECT m.image, m.cat, m.t, d.rk, d.det_id, d.score, CASE WHEN count(p.g) FILTER (NOT p.crowd) > 0 THEN list_append(m.used, arg_max(p.g, {{'iou': p.iou, 'g': p.g}}) FILTER (NOT p.crowd)) ELSE m.used END,
+    count(p.g) FILTER (NOT p.crowd) > 0, count(p.g) FILTER (NOT p.crowd) = 0 AND count(p.g) > 0
+  FROM m JOIN d ON d.image = m.image AND d.cat = m.cat AND d.rk = m.rk + 1 LEFT JOIN p ON p.image = d.image AND p.cat = d.cat AND p.rk = d.rk AND p.iou >= m.t AND (p.crowd OR NOT list_contains(m.used, p.g)) GROUP BY m.image, m.cat, m.t, d.rk, d.det_id, d.score, m.used),
+c AS (SELECT cat, t, hit, sum(hit::INT) OVER w AS tps, count(*) OVER w AS k FROM m WHERE rk > 0 AND NOT ign WINDOW w AS (PARTITION BY cat, t ORDER BY score DESC, image, det_id ROWS UNBOUNDED PRECEDING)),
+n AS (SELECT cat, count(*) AS n FROM g WHERE NOT crowd GROUP BY 1),
+r AS (SELECT n.cat, t, j, coalesce(max(tps / k) FILTER (tps * 100 >= j * n), 0) AS best FROM n CROSS JOIN (SELECT unnest(range(101)) AS j) LEFT JOIN c ON c.cat = n.cat AND hit GROUP BY ALL),
+a AS (SELECT cat, t, sum(best) / 101 AS ap FROM r GROUP BY 1, 2)
+SELECT round(avg(ap), 6) AS ap, round(avg(ap) FILTER (t = 0.5), 6) AS ap50, round(avg(ap) FILTER (t = 0.75), 6) AS ap75 FROM a"""
+
+
+@query(_coco_sql("((least(d.x1, g.x1) - greatest(d.x0, g.x0)) * (least(d.y1, g.y1) - greatest(d.y0, g.y0)) * (least(d.x1, g.x1) > greatest(d.x0, g.x0))::INT * (least(d.y1, g.y1) > greatest(d.y0, g.y0))::INT) / ((d.x1 - d.x0) * (d.y1 - d.y0)) / ((g.x1 - g.x0) * (g.y1 - g.y0))"))
 def g8_average_precision(spark, sf_dir):
     gt, d = _coco(spark, sf_dir)
-    return coco.average_precision(gt, d, coco.box_overlaps(gt, d))
+    return coco.average_precision(gt, d, coco.box_overlaps(gt, d)).select(*(r(c).alias(c) for c in ("ap", "ap50", "ap75")))
+
+
+def _box_runs(df, key):
+    """Masks of all whole pixels that boxes touch, as runs down the columns."""
+    b = F.col("box")
+    return df.select("image_id", "category_id", key, F.explode(F.sequence(F.floor(b["xmin"]), F.floor(b["xmax"]))).alias("col"), F.floor(b["ymin"]).alias("r0"), F.floor(b["ymax"]).alias("r1"))
+
+
+@query(_coco_sql("(greatest(least(floor(d.x1), floor(g.x1)) - greatest(floor(d.x0), floor(g.x0)) + 1, 0) * greatest(least(floor(d.y1), floor(g.y1)) - greatest(floor(d.y0), floor(g.y0)) + 1, 0)) / ((floor(d.x1) - floor(d.x0) + 1) * (floor(d.y1) - floor(d.y0) + 1)) / ((floor(g.x1) - floor(g.x0) + 1) * (floor(g.y1) - floor(g.y0) + 1))"))
+def g8_mask_average_precision(spark, sf_dir):
+    gt, d = _coco(spark, sf_dir)
+    return coco.average_precision(gt, d, coco.mask_overlaps(gt, d, _box_runs(gt, "gt_id"), _box_runs(d, "det_id"))).select(*(r(c).alias(c) for c in ("ap", "ap50", "ap75")))
 
 
 @query()

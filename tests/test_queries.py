@@ -47,7 +47,7 @@ def test_same_as_sql(spark, duck, name):
     assert rows(got, sorted(got.columns)) == rows(want, sorted(got.columns))
 
 
-@pytest.mark.parametrize("name", ["scene_orientation", "sliced_prediction", "predict_scene", "e18_orientation_field", "f7_reject_counts", "gs2_population_sweep", "d9_recall_sweep"])
+@pytest.mark.parametrize("name", ["scene_orientation", "sliced_prediction", "predict_scene", "e18_orientation_field", "f7_reject_counts", "gs2_population_sweep"])
 def test_other_queries_give_rows(spark, name):
     assert registry.QUERIES[name](spark, SF).count() > 0
 
@@ -114,35 +114,150 @@ def test_nms_like_sequential(spark):
     assert nms.nms(df.where("det_id < 0")).count() == 0
 
 
-def test_greedy_matches(spark):
+def greedy(truth, dets, radius):
+    """truth: id, x, y in order; dets: id, x, y."""
+    used, out, size = set(), {}, 2 * radius
+    cells = {}
+    for j, a, b in dets:
+        cells.setdefault((a // size, b // size), []).append((j, a, b))
+    for i, x, y in truth:
+        near = [(math.hypot(x - a, y - b), j) for u in (-1, 0, 1) for v in (-1, 0, 1) for j, a, b in cells.get((x // size + u, y // size + v), []) if j not in used]
+        if near and min(near)[0] <= radius:
+            used.add(min(near)[1])
+            out[i] = min(near)[1]
+    return out
+
+
+def matched(spark, truth, dets, radius, most):
+    t = spark.createDataFrame([(0.0, i, float(x), float(y)) for i, x, y in truth], "phi0 double, truth_id long, x double, y double")
+    d = spark.createDataFrame([(0.0, i, float(x), float(y), 0.5) for i, x, y in dets], "phi0 double, det_id long, x double, y double, score double")
+    return {r["truth_id"]: r["det_id"] for r in sweeps.greedy_matches(t, d, radius, most=most).collect()}
+
+
+@pytest.mark.parametrize("most", [1, 7, 2000])
+def test_greedy_matches(spark, most):
     rng = np.random.default_rng(6)
-    t = [(0.0, i, float(x), float(y)) for i, (x, y) in enumerate(rng.integers(0, 60, (60, 2)))]
-    d = [(0.0, i, float(x), float(y), float(i) / 100) for i, (x, y) in enumerate(rng.integers(0, 60, (40, 2)))]
-    used, want = set(), {}
-    for _, i, x, y in t:
-        near = sorted((math.hypot(x - a, y - b), j) for _, j, a, b, _ in d if j not in used)
-        if near and near[0][0] <= 7:
-            used.add(near[0][1])
-            want[i] = near[0][1]
-    got = sweeps.greedy_matches(spark.createDataFrame(t, "phi0 double, truth_id long, x double, y double"), spark.createDataFrame(d, "phi0 double, det_id long, x double, y double, score double"), 7.0)
-    assert {r["truth_id"]: r["det_id"] for r in got.collect()} == want
-
-
-def test_average_precision(spark):
+    t = [(i, int(x), int(y)) for i, (x, y) in enumerate(rng.integers(0, 90, (80, 2)))]
+    d = [(i, int(x), int(y)) for i, (x, y) in enumerate(rng.integers(0, 90, (60, 2)))]
+    assert matched(spark, t, d, 7.0, most) == greedy(t, d, 7.0)
+    assert matched(spark, t, [], 7.0, most) == {}
+
+
+def test_greedy_matches_of_one_large_component(spark, monkeypatch):
+    """A chain of 10^5 pairs with truths in order along it: rounds are few, as blocks decide chains inside them."""
+    n, radius = 20_000, 4.0
+    t = [(i, 1.5 * i, 0) for i in range(n)]
+    d = [(i, 1.5 * i + 1 + i % 2, i % 3 / 4) for i in range(n)]
+    rounds, real = [], sweeps._decided
+    monkeypatch.setattr(sweeps, "_decided", lambda *a: rounds.append(1) or real(*a))
+    assert matched(spark, t, d, radius, 4000) == greedy(t, d, radius)
+    assert len(rounds) <= 8
+
+
+def brute_precision(gt, dets, overlap):
+    """COCO scoring, one image, class and threshold after the other. gt: image, id, class, crowd; dets: image, id, class, score; overlap(det, gt, crowd)."""
+    by_threshold = {}
+    for c in sorted({g[2] for g in gt if not g[3]}):
+        for t in coco.THRESHOLDS:
+            marks = []
+            for image in {d[0] for d in dets}:
+                own = sorted((d for d in dets if d[0] == image and d[2] == c), key=lambda d: (-d[3], d[1]))[: coco.MOST_PER_IMAGE]
+                used = set()
+                for d in own:
+                    near = [(overlap(d, g, g[3]), g[1], g[3]) for g in gt if g[0] == image and g[2] == c]
+                    free = max(((o, i) for o, i, crowd in near if not crowd and i not in used and o >= t), default=None)
+                    if free:
+                        used.add(free[1])
+                    elif any(crowd and o >= t for o, _, crowd in near):
+                        continue
+                    marks.append((-d[3], image, d[1], free is not None))
+            n, tps, points = sum(g[2] == c and not g[3] for g in gt), 0, []
+            for k, (*_, hit) in enumerate(sorted(marks), 1):
+                tps += hit
+                points.append((tps, tps / k))
+            best = [max((p for s, p in points if s * 100 >= j * n), default=0) for j in range(coco.RECALLS)]
+            by_threshold.setdefault(t, []).append(sum(best) / coco.RECALLS)
+    mean = lambda x: sum(x) / len(x)
+    return mean([mean(x) for x in by_threshold.values()]), mean(by_threshold[0.5]), mean(by_threshold[0.75])
+
+
+@pytest.mark.parametrize("most", [0, coco.RANGES_MOST])
+def test_average_precision(spark, monkeypatch, most):
+    """Boxes and masks, three classes, crowds (one as large as the image), equal scores, equal truths, a crowded image."""
+    monkeypatch.setattr(coco, "RANGES_MOST", most)
     rng = np.random.default_rng(7)
-    gt = [(i % 5, i, 1, 10.0 * (i // 5), 0.0, 10.0 * (i // 5) + 8, 8.0) for i in range(40)]
-    det = [(i % 5, i, float(rng.random()), 1, 10.0 * (i // 5) + i % 3, 0.0, 10.0 * (i // 5) + 8 + i % 3, 8.0) for i in range(60)]
-    g = spark.createDataFrame(gt, "image_id long, inst_id long, label int, x1 double, y1 double, x2 double, y2 double").withColumn("box", F.struct("x1", "y1", "x2", "y2")).withColumn("iscrowd", F.lit(0))
-    d = spark.createDataFrame(det, "image_id long, det_id long, score double, category_id int, x1 double, y1 double, x2 double, y2 double").withColumn("box", geometry.box(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")))
-    truth, found = coco.ground_truth(g), coco.predictions(d)
-    r = coco.average_precision(truth, found, coco.box_overlaps(truth, found)).first()
-    kept = {x["det_id"]: x["score"] for x in found.collect()}
-    of = {}
-    for t in coco.THRESHOLDS:
-        hit = lambda i: i < 40 and (8 - i % 3) * 8 / (2 * 64 - (8 - i % 3) * 8) >= t  # noqa: B023, E731
-        ids = list(kept)
-        of[t] = coco.numpy_average_precision(np.array([kept[i] for i in ids]), np.array([hit(i) for i in ids]), 40)
-    assert r["ap"] == pytest.approx(np.mean(list(of.values()))) and r["ap50"] == pytest.approx(of[0.5]) and r["ap75"] == pytest.approx(of[0.75])
+    box = lambda: (x := int(rng.integers(0, 60)), y := int(rng.integers(0, 60)), x + int(rng.integers(3, 14)), y + int(rng.integers(3, 14)))
+    gt = [(i % 4, i, i % 3, int(i % 11 == 5), box()) for i in range(90)] + [(1, 500, 2, 1, (0, 0, 80, 80)), (9, 501, 0, 0, box()), (2, 502, 1, 0, (5, 5, 15, 15)), (2, 503, 1, 0, (5, 5, 15, 15))]
+    moved = lambda b, k: tuple(v + k * s for v, s in zip(b, (1, 0, 1, 1), strict=True))
+    dets = [(g[0], 10 * j + k, g[2] if j % 7 else (g[2] + 1) % 4, float(rng.integers(0, 20)) / 20, moved(g[4], k)) for j, g in enumerate(gt) for k in range(int(rng.integers(0, 3)))]
+    dets += [(3, 5000 + i, 0, 0.05 + i % 50 / 100, box()) for i in range(150)]
+    g = spark.createDataFrame([(a, b, c, d, tuple(map(float, e))) for a, b, c, d, e in gt], "image_id long, inst_id long, label int, iscrowd int, box struct<x1:double,y1:double,x2:double,y2:double>")
+    d = spark.createDataFrame([(a, b, c, s, tuple(map(float, e))) for a, b, c, s, e in dets], f"image_id long, det_id long, category_id int, score double, box {geometry.BOX}")
+    dets = [x for x in dets if x[3] >= 0.05]
+    truth, found = coco.ground_truth(g), coco.predictions(d.repartition(5))
+
+    def box_overlap(a, b, crowd):
+        a, b = a[4], b[4]
+        i = max(0, min(a[2], b[2]) - max(a[0], b[0])) * max(0, min(a[3], b[3]) - max(a[1], b[1]))
+        of = lambda r: (r[2] - r[0]) * (r[3] - r[1])
+        return i / (of(a) if crowd else of(a) + of(b) - i)
+
+    got = tuple(coco.average_precision(truth, found, coco.box_overlaps(truth, found)).first())
+    assert got == pytest.approx(brute_precision(gt, dets, box_overlap)) and 0 < got[2] < got[1] < 1
+
+    # masks: the boxes' pixels without a hole in the middle and the last corner
+    def px(b):
+        mx, my = (b[0] + b[2]) // 2, (b[1] + b[3]) // 2
+        return {(r, c) for r in range(b[1], b[3]) for c in range(b[0], b[2])} - {(my, mx), (b[3] - 1, b[2] - 1)}
+
+    def mask_overlap(a, b, crowd):
+        a, b = px(a[4]), px(b[4])
+        return len(a & b) / len(a if crowd else a | b)
+
+    pixels = lambda rows, key: coco.column_runs(spark.createDataFrame([(x[0], x[2], x[1], r, c) for x in rows for r, c in px(x[4])], f"image_id long, category_id int, {key} long, row int, col int"), "image_id", "category_id", key)
+    kept = {(r["image_id"], r["det_id"]) for r in found.collect()}
+    masks_ = coco.mask_overlaps(truth, found, pixels(gt, "gt_id"), pixels([x for x in dets if (x[0], x[1]) in kept], "det_id"))
+    assert tuple(coco.average_precision(truth, found, masks_).first()) == pytest.approx(brute_precision(gt, dets, mask_overlap))
+    none = coco.average_precision(truth, found.limit(0), coco.box_overlaps(truth, found.limit(0))).first()
+    assert tuple(none) == (0, 0, 0)
+
+
+def test_pairs_of_any_sizes(spark):
+    rng = np.random.default_rng(8)
+    sides = [0.0, 0.3, 1.0, 2.0, 8.0, 700.0]
+    rows = [(i, float(x), float(y), float(rng.choice(sides)), float(rng.choice(sides))) for i, (x, y) in enumerate(rng.uniform(-50, 1000, (300, 2)))]
+    df = spark.createDataFrame(rows, "id long, x double, y double, w double, h double").withColumn("s", F.lit(1))
+    side = lambda t: df.select("s", F.col("id").alias(f"id_{t}"), geometry.box(F.col("x"), F.col("y"), F.col("x") + F.col("w"), F.col("y") + F.col("h")).alias(f"box_{t}"))
+    for pad in (0.0, 5.0):
+        got = sorted((r["id_a"], r["id_b"]) for r in spatial.sized_pairs(side("a"), side("b"), ["s"], pad).collect())
+        meet = lambda a, b, i, n: a[i] <= b[i] + b[n] + pad and b[i] - pad <= a[i] + a[n]  # noqa: B023, E731
+        assert got == sorted((a[0], b[0]) for a in rows for b in rows if meet(a, b, 1, 3) and meet(a, b, 2, 4))
+
+
+def test_one_large_object_makes_no_more_pairs_of_small_ones(spark):
+    n = 3000
+    at = lambda k: ((k * 7919) % 10007 / 10.0, (k * 6007) % 10009 / 10.0)
+    small = [(i, *at(i), 3.0) for i in range(n)]
+    models = spark.createDataFrame([(i, x + 0.5, y, a) for i, x, y, a in small], "id long, x double, y double, area double").withColumn("scene_id", F.lit(0))
+
+    def pairs(refs):
+        made = spatial.nearest_matches(spark.createDataFrame(refs, "id long, x double, y double, area double").withColumn("scene_id", F.lit(0)), models)
+        made.collect()
+        plan = made._jdf.queryExecution().executedPlan()
+        plan = plan.finalPhysicalPlan() if hasattr(plan, "finalPhysicalPlan") else plan
+        counts, todo = [], [plan]
+        while todo:
+            node = todo.pop()
+            name = node.nodeName()
+            if "Join" in name and node.metrics().contains("numOutputRows"):
+                counts.append(node.metrics().apply("numOutputRows").value())
+            if name in ("ShuffleQueryStage", "BroadcastQueryStage"):
+                todo.append(node.plan())
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+        return made.count(), sum(counts)
+
+    (matched, alone), (more, both) = pairs(small), pairs([*small, (n, 500.0, 500.0, 10.0**6 * math.pi)])
+    assert matched <= more <= matched + 1 and both - alone <= 2 * n  # the large one meets each model once
 
 
 def test_edges_and_closing(spark):
