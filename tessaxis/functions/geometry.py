@@ -141,10 +141,14 @@ def iou(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(w * h, of(a) + of(b) - w * h), F.lit(0.0))
 
 
+def right_of(p: Column, e: Column) -> Column:
+    """The edge (p, q) crosses the height of a point to its right; of an edge's ends the lower one belongs to it."""
+    return ((e["p"]["y"] > p["y"]) != (e["q"]["y"] > p["y"])) & (p["x"] < (e["q"]["x"] - e["p"]["x"]) * F.try_divide(p["y"] - e["p"]["y"], e["q"]["y"] - e["p"]["y"]) + e["p"]["x"])
+
+
 def contains(ring: Column, p: Column) -> Column:
     """Even-odd test of a point against a ring."""
-    hits = F.filter(edges(ring), lambda e: ((e["p"]["y"] > p["y"]) != (e["q"]["y"] > p["y"])) & (p["x"] < (e["q"]["x"] - e["p"]["x"]) * F.try_divide(p["y"] - e["p"]["y"], e["q"]["y"] - e["p"]["y"]) + e["p"]["x"]))
-    return F.size(hits) % 2 == 1
+    return F.size(F.filter(edges(ring), lambda e: right_of(p, e))) % 2 == 1
 
 
 def _to_segment(p: Column, e: Column) -> Column:

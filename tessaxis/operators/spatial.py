@@ -8,10 +8,15 @@ few cells of its own size's grid and is looked up in the grids of larger boxes,
 whatever the sizes are.
 """
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessaxis.functions import axial, geometry
+from tessaxis.sources.stages import written
 
 
 def cells(df: DataFrame, box: Column, cell: float, pad: float = 0.0) -> DataFrame:
@@ -70,21 +75,95 @@ def sized_pairs(a: DataFrame, b: DataFrame, on: list[str], pad: float = 0.0) ->
 def near_boundary(dets: DataFrame, footprints: DataFrame, distance: Column, cell: float, key: str = "det_id") -> DataFrame:
     """dets with is_at_edge: the ring `geometry` comes within a distance of the boundary of its scene's footprint.
 
-    footprints: scene_id, footprint (ring) and what `distance` needs. A semi-join: each detection stays one row.
+    footprints: scene_id, footprint (ring) and what `distance` needs. A semi-join: each detection stays one row. An edge
+    of a footprint is a row only in the cells along it, so a slanting one has rows by its length, not by its box.
     """
     rims = footprints.select("scene_id", distance.alias("_d"), F.explode(geometry.edges(F.col("footprint"))).alias("_rim"))
-    rims = rims.withColumn("box_b", geometry.box(F.least("_rim.p.x", "_rim.q.x") - F.col("_d"), F.least("_rim.p.y", "_rim.q.y") - F.col("_d"), F.greatest("_rim.p.x", "_rim.q.x") + F.col("_d"), F.greatest("_rim.p.y", "_rim.q.y") + F.col("_d")))
+    p, q, d = F.col("_rim.p"), F.col("_rim.q"), F.col("_d")
+    at = lambda v: F.floor(v / cell)
+    rims = rims.withColumn("cx", F.explode(F.sequence(at(F.least(p["x"], q["x"]) - d), at(F.greatest(p["x"], q["x"]) + d))))
+    # the part of the edge in a column of cells, widened by the distance
+    run = q["x"] - p["x"]
+    part = lambda x: F.least(F.greatest(F.try_divide(x - p["x"], run), F.lit(0.0)), F.lit(1.0))
+    y = lambda x, end: F.when(run == 0, end).otherwise(p["y"] + part(x) * (q["y"] - p["y"]))
+    y0, y1 = y(F.col("cx") * cell - d, p["y"]), y((F.col("cx") + 1) * cell + d, q["y"])
+    slack = 1e-9 * (F.abs(y0) + F.abs(y1) + d)
+    rims = rims.withColumn("cy", F.explode(F.sequence(at(F.least(y0, y1) - d - slack), at(F.greatest(y0, y1) + d + slack))))
     own = dets.select("scene_id", F.col(key), F.col("geometry").alias("_ring"), geometry.bounds(F.col("geometry")).alias("box_a"))
     close = F.exists(geometry.edges(F.col("_ring")), lambda e: geometry.segment_distance(e, F.col("_rim")) <= F.col("_d"))
-    hit = box_pairs(own, rims, cell, ["scene_id"]).where(close).select("scene_id", key).distinct().withColumn("is_at_edge", F.lit(True))
+    hit = cells(own, F.col("box_a"), cell).join(rims, ["scene_id", "cx", "cy"]).where(close).select("scene_id", key).distinct().withColumn("is_at_edge", F.lit(True))
     return dets.join(hit, ["scene_id", key], "left").withColumn("is_at_edge", F.coalesce("is_at_edge", F.lit(False)))
 
 
+#: Edges in a cell of a region's cover that need no finer cells, and halvings below the wanted size for others.
+FEW_EDGES, FINER = 4, 6
+
+
+def region_cells(ring: np.ndarray, cell: float) -> list[tuple[int, int, int, bool]]:
+    """Cells of power-of-two sides that cover a ring (closed, vertices by rows) without overlap: level, cx, cy, whether all of it is inside.
+
+    Cells without an edge are inside or left out; those with edges are halved down to the wanted size, with many edges
+    further. So there are as many as the boundary is long, not as the area is large.
+    """
+    p, q = ring[:-1], ring[1:]
+    low, high = ring.min(0), ring.max(0)
+    top = int(np.ceil(np.log2(max((high - low).max(), cell, 1e-6))))
+    least, found = int(np.floor(np.log2(cell))), []
+    first, last = np.floor(low / 2.0**top).astype(int), np.floor(high / 2.0**top).astype(int)
+    todo = [(top, x, y, np.arange(len(p))) for x in range(first[0], last[0] + 1) for y in range(first[1], last[1] + 1)]
+    while todo:
+        level, x, y, near = todo.pop()
+        side = 2.0**level
+        middle, half = np.array([x + 0.5, y + 0.5]) * side, side / 2 * (1 + 1e-9) + 1e-12 * (abs(x) + abs(y) + 1) * side
+        a, b = p[near] - middle, q[near] - middle
+        normal = np.column_stack([b[:, 1] - a[:, 1], a[:, 0] - b[:, 0]])
+        touches = (np.minimum(a, b) <= half).all(1) & (np.maximum(a, b) >= -half).all(1) & (np.abs((normal * a).sum(1)) <= np.abs(normal).sum(1) * half)
+        near = near[touches]
+        if not len(near):
+            up = (p[:, 1] > middle[1]) != (q[:, 1] > middle[1])
+            cross = (q[up, 0] - p[up, 0]) * (middle[1] - p[up, 1]) / (q[up, 1] - p[up, 1]) + p[up, 0]
+            if (middle[0] < cross).sum() % 2:
+                found.append((level, x, y, True))
+        elif level <= least and (len(near) <= FEW_EDGES or level <= least - FINER):
+            found.append((level, x, y, False))
+        else:
+            todo += [(level - 1, 2 * x + i, 2 * y + j, near) for i in (0, 1) for j in (0, 1)]
+    return found
+
+
 def inside_regions(dets: DataFrame, regions: DataFrame, cell: float, key: str = "det_id") -> DataFrame:
-    """The rows whose centroid (column center) lies in one of the regions (scene_id, ring): a left semi join."""
-    own = dets.select("scene_id", key, "center", geometry.box(F.col("center.x"), F.col("center.y"), F.col("center.x"), F.col("center.y")).alias("box_a"))
-    areas = regions.select("scene_id", F.col("ring").alias("_ring"), geometry.bounds(F.col("ring")).alias("box_b"))
-    hit = box_pairs(own, areas, cell, ["scene_id"]).where(geometry.contains(F.col("_ring"), F.col("center"))).select("scene_id", key).distinct()
+    """The rows whose centroid (column center) lies in one of the regions (scene_id, ring): a left semi join.
+
+    A region is covered by cells: centroids in its inner cells need no test; for those in border cells the edges at their
+    height are counted, each edge being a row at its own height's grid. No row carries a ring.
+    """
+    regions = written(regions.where(F.size("ring") > 0).select("scene_id", geometry.close_ring(F.col("ring")).alias("ring"), F.monotonically_increasing_id().alias("_region")))
+    kind = regions.schema["scene_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, ring in enumerate(batch.column("ring")):
+                points = ring.values
+                xy = np.column_stack([points.field("x").to_numpy(zero_copy_only=False), points.field("y").to_numpy(zero_copy_only=False)])
+                rows = region_cells(xy, cell) if np.isfinite(xy).all() else []
+                columns = list(zip(*rows, strict=True)) or [()] * 4
+                same = lambda c: batch.column(c).take(pa.array([i] * len(rows), pa.int64()))  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([same("scene_id"), same("_region"), pa.array(columns[0], pa.int32()), *(pa.array(c, pa.int64()) for c in columns[1:3]), pa.array(columns[3], pa.bool_())], ["scene_id", "_region", "_level", "cx", "cy", "inner"])
+
+    cover = written(regions.mapInArrow(run, f"scene_id {kind}, _region long, _level int, cx long, cy long, inner boolean"))
+    of = lambda df: F.array(*(F.lit(r[0]) for r in df.select("_level").distinct().orderBy("_level").collect())).cast("array<int>")
+    at = lambda v: F.floor(v / F.pow(F.lit(2.0), F.col("_level")))
+    own = dets.select("scene_id", key, "center").where("center IS NOT NULL").withColumn("_level", F.explode(of(cover)))
+    met = own.withColumn("cx", at(F.col("center.x"))).withColumn("cy", at(F.col("center.y"))).join(cover, ["scene_id", "_level", "cx", "cy"]).drop("_level", "cx", "cy")
+    e = F.col("e")
+    height = F.abs(e["p"]["y"] - e["q"]["y"])
+    edges = regions.select("scene_id", "_region", F.explode(geometry.edges(F.col("ring"))).alias("e")).where(height > 0)
+    edges = edges.withColumn("_level", F.greatest(F.ceil(F.log2(height)), F.lit(LEAST_LEVEL)).cast("int"))
+    edges = edges.withColumn("cy", F.explode(F.sequence(at(F.least(e["p"]["y"], e["q"]["y"])), at(F.greatest(e["p"]["y"], e["q"]["y"])))))
+    border = met.where("NOT inner").withColumn("_level", F.explode(of(edges))).withColumn("cy", at(F.col("center.y")))
+    crossed = border.join(edges, ["scene_id", "_region", "_level", "cy"]).where(geometry.right_of(F.col("center"), e))
+    odd = crossed.groupBy("scene_id", key, "_region").agg(F.count("*").alias("c")).where("c % 2 = 1")
+    hit = met.where("inner").select("scene_id", key).unionByName(odd.select("scene_id", key)).distinct()
     return dets.join(hit, ["scene_id", key], "left_semi")
 
 

@@ -260,6 +260,52 @@ def test_one_large_object_makes_no_more_pairs_of_small_ones(spark):
     assert matched <= more <= matched + 1 and both - alone <= 2 * n  # the large one meets each model once
 
 
+def star(n, x, y, r):
+    """A ring with n points, every second one nearer the middle."""
+    return [(x + (r if i % 2 else r / 2.5) * math.cos(2 * math.pi * i / n), y + (r if i % 2 else r / 2.5) * math.sin(2 * math.pi * i / n)) for i in range(n)]
+
+
+def test_inside_regions_like_the_even_odd_rule(spark):
+    rng = np.random.default_rng(9)
+    rings = [star(41, 500, 500, 480), star(6, 100, 900, 30), [(0, 0), (50, 0), (50, 50), (0, 50), (0, 0)], [(10, 700), (30, 720), (10, 720), (30, 700)], star(3001, 700, 200, 150), [(5, 5), (9, 9)], []]
+    points = [(i, float(x), float(y)) for i, (x, y) in enumerate(np.vstack([rng.uniform(-20, 1020, (1500, 2)), rng.integers(0, 60, (200, 2)), rings[0][:20]]))]
+
+    def inside(x, y, ring):
+        odd = False
+        for (a, b), (c, d) in zip(ring, [*ring[1:], *ring[:1]], strict=True):
+            odd ^= (b > y) != (d > y) and x < (c - a) * (y - b) / (d - b) + a
+        return odd
+
+    d = spark.createDataFrame([(s, i, (x, y)) for s in (0, 1) for i, x, y in points] + [(0, -1, None)], f"scene_id long, det_id long, center {geometry.POINT}")
+    r = spark.createDataFrame([(0, [tuple(map(float, v)) for v in ring]) for ring in rings] + [(1, [tuple(map(float, v)) for v in rings[2]])], f"scene_id long, ring {geometry.RING}")
+    for cell in (4.0, 64.0):
+        got = {(x["scene_id"], x["det_id"]) for x in spatial.inside_regions(d, r, cell).collect()}
+        assert got == {(0, i) for i, x, y in points if any(inside(x, y, ring) for ring in rings if ring)} | {(1, i) for i, x, y in points if inside(x, y, rings[2])}
+
+
+def test_cover_grows_with_the_boundary():
+    ring = lambda r: np.array([*star(40, 0.3, 0.7, r), star(40, 0.3, 0.7, r)[0]])
+    small, large = (len(spatial.region_cells(ring(r), 8.0)) for r in (500.0, 4000.0))
+    assert small < large < 12 * small  # eight times the boundary, 64 times the area
+    assert sum(4.0**k for k, *_, inner in spatial.region_cells(ring(500.0), 8.0) if inner) <= 500.0**2 * math.pi
+
+
+def test_near_slanting_boundary(spark):
+    rng = np.random.default_rng(10)
+    rim = [(0.0, 0.0), (1000.0, 700.0), (300.0, 1000.0), (-50.0, 400.0), (-50.0, 100.0)]
+    boxes = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(-100, 1100, (800, 2)))]
+    d = spark.createDataFrame(boxes, "det_id long, x double, y double").withColumn("scene_id", F.lit(0)).withColumn("geometry", geometry.box_ring(geometry.box(F.col("x"), F.col("y"), F.col("x") + 6, F.col("y") + 6)))
+    f = spark.createDataFrame([(0, rim)], f"scene_id int, footprint {geometry.RING}")
+    t = np.linspace(0, 1, 4001)[:, None]
+    line = np.vstack([np.array(a) + t * (np.array(b) - np.array(a)) for a, b in zip(rim, [*rim[1:], rim[0]], strict=True)])
+    far = lambda x, y: np.hypot(np.maximum(np.maximum(x - line[:, 0], line[:, 0] - x - 6), 0), np.maximum(np.maximum(y - line[:, 1], line[:, 1] - y - 6), 0)).min()
+    want = {i: far(x, y) for i, x, y in boxes}
+    inside_box = {i for i, v in want.items() if v == 0}
+    got = {r["det_id"]: r["is_at_edge"] for r in spatial.near_boundary(d, f, F.lit(12.0), 16.0).collect()}
+    assert got.keys() == want.keys() and all(got[i] == (v <= 12) for i, v in want.items() if abs(v - 12) > 0.2 and i not in inside_box)
+    assert all(got[i] for i in inside_box)
+
+
 def test_edges_and_closing(spark):
     ring = lambda pts: F.array(*(geometry.point(F.lit(float(x)), F.lit(float(y))) for x, y in pts))
     r = spark.range(1).select(geometry.off_edges(ring([(10, 10), (20, 10), (20, 20)]), 512, 512), geometry.off_edges(ring([(-0.5, 10), (20, 10), (20, 20)]), 512, 512), F.size(geometry.close_ring(ring([(0, 0), (1, 0), (1, 1)]))), geometry.area(ring([(0, 0), (2, 0), (2, 1), (0, 1)]))).first()
