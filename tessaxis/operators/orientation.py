@@ -7,6 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,8 +16,21 @@ from pyspark.sql import types as T
 from tessaxis.functions import axial, geometry, images
 
 
-def _points(ring) -> np.ndarray:
-    return np.array([(v["x"], v["y"]) for v in ring], float).reshape(-1, 2)
+def _fitted(df: DataFrame, names: list[str], fit) -> DataFrame:
+    """df without its column _ring, with double columns that fit(x, y, n) gives for all rings of a batch; NaN becomes null."""
+    kept = [f for f in df.schema.fields if f.name not in ("_ring", *names)]
+    schema = T.StructType([*kept, *(T.StructField(n, T.DoubleType()) for n in names)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rings = batch.column("_ring")
+            points = rings.flatten()
+            n = pc.list_value_length(rings).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            found = fit(*(points.field(c).to_numpy(zero_copy_only=False) for c in ("x", "y")), n)
+            made = [pa.array(v, pa.float64(), mask=np.isnan(v)) for v in found]
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), *made], schema.names)
+
+    return df.select(*(f.name for f in kept), "_ring").mapInArrow(run, schema)
 
 
 def ellipse_fits(df: DataFrame, ring: str = "geometry", spacing: float | Column | None = None) -> DataFrame:
@@ -23,18 +38,8 @@ def ellipse_fits(df: DataFrame, ring: str = "geometry", spacing: float | Column
 
     With a spacing, rings are densified first. All vertices count, the repeated closing one too.
     """
-    schema = T.StructType([f for f in df.schema.fields if f.name not in ("angle180", "aspect_ra")] + [T.StructField(n, T.DoubleType()) for n in ("angle180", "aspect_ra")])
-    source = df.withColumn("_ring", geometry.densify(F.col(ring), spacing) if isinstance(spacing, Column) or spacing else F.col(ring)).drop("angle180", "aspect_ra")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            fits = [images.fit_ellipse(_points(r)) if r is not None and len(r) else None for r in pdf["_ring"]]
-            out = pdf.drop(columns="_ring")
-            for i, n in enumerate(("angle180", "aspect_ra")):
-                out[n] = pd.Series([f[i] if f else None for f in fits], index=out.index, dtype="Float64")
-            yield out[schema.names]
-
-    return source.mapInPandas(run, schema)
+    rings = geometry.densify(F.col(ring), spacing) if isinstance(spacing, Column) or spacing else F.col(ring)
+    return _fitted(df.withColumn("_ring", rings), ["angle180", "aspect_ra"], images.fit_ellipses)
 
 
 def attach_orientations(dets: DataFrame, res: float | Column, ring: str = "geometry") -> DataFrame:
@@ -196,27 +201,22 @@ def smoothed_ring_angles(df: DataFrame, res: float, smooth_px: float = 2.0, ring
 
     Rings of under 8 vertices, and failed second fits, keep the raw fit.
     """
-    names = ("raw_angle", "raw_aspect", "smooth_angle", "smooth_aspect")
-    schema = T.StructType(list(df.schema.fields) + [T.StructField(n, T.DoubleType()) for n in names])
-
-    def one(r):
-        if r is None or not len(r):
-            return (None,) * 4
-        p = _points(r)
-        raw = images.fit_ellipse(p)
-        open_ = p[:-1] if (p[0] == p[-1]).all() else p
-        fit = images.fit_ellipse(np.stack([images.gaussian(v, smooth_px, circular=True) for v in open_.T], 1)) if len(open_) >= 8 else None
-        return (*(raw or (None, None)), *(fit or raw or (None, None)))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = [one(r) for r in pdf["_ring"]]
-            out = pdf.drop(columns="_ring")
-            for i, n in enumerate(names):
-                out[n] = pd.Series([x[i] for x in found], index=out.index, dtype="Float64")
-            yield out[schema.names]
 
-    return df.withColumn("_ring", geometry.densify(F.col(ring), res)).mapInPandas(run, schema)
+    def both(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+        raw = images.fit_ellipses(x, y, n)
+        ends = np.cumsum(n)
+        first, last = (ends - n)[n > 0], ends[n > 0] - 1
+        closed = np.zeros(len(n), bool)
+        closed[n > 0] = (x[first] == x[last]) & (y[first] == y[last])
+        own = np.ones(len(x), bool)
+        own[ends[closed] - 1] = False  # the closing vertex is no further one
+        n = n - closed
+        fit = images.fit_ellipses(images.smooth_rings(x[own], n, smooth_px), images.smooth_rings(y[own], n, smooth_px), n)
+        done = (n >= 8) & ~np.isnan(fit[0])
+        return [*raw, *(np.where(done, f, r) for f, r in zip(fit, raw, strict=True))]
+
+    names = ["raw_angle", "raw_aspect", "smooth_angle", "smooth_aspect"]
+    return _fitted(df.withColumn("_ring", geometry.densify(F.col(ring), res)), names, both)
 
 
 def grid_corrected_angles(dets: DataFrame, res: float, smooth_px: float = 2.0, n: int = 20_000, aspect_min: float = 1.0, seed: int = 0, key: str = "det_id") -> DataFrame:

@@ -104,8 +104,8 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The raster's scene: pixels of 2 map units, origin (1000, 5000), whole block rows only."""
-    size = table(spark, sf_dir, "embeddings").selectExpr("cast((count(*) div 16) * 8 AS int) AS height")
+    """The raster's scene: pixels of 2 map units, origin (1000, 5000); blocks that its last row lacks are 0."""
+    size = table(spark, sf_dir, "embeddings").selectExpr("cast((count(*) + 15) div 16 * 8 AS int) AS height")
     return size.selectExpr(
         "0L AS scene_id", "128 AS width", "height",
         "named_struct('a', 2.0D, 'b', 0.0D, 'c', 1000.0D, 'd', 0.0D, 'e', -2.0D, 'f', 5000.0D) AS transform",

@@ -86,7 +86,7 @@ def a4_sample(spark, sf_dir):
     return layers.sample_n(fx.detections(spark, sf_dir), 500, "det_id", 3).select("det_id", "score")
 
 
-@query(f"""WITH {RASTER}, h AS (SELECT (max(row) + 1) // 8 * 8 AS n, (count(*) // 64 // 16 * 8)::INT AS height FROM fx_raster),
+@query(f"""WITH {RASTER}, h AS (SELECT (max(row) + 1) // 8 * 8 AS n, ((count(*) // 64 + 15) // 16 * 8)::INT AS height FROM fx_raster),
 offs AS (SELECT height, CASE WHEN height <= 20 THEN [0] WHEN (height - 20) % 16 = 0 THEN range(0, height - 19, 16) ELSE list_append(range(0, height - 19, 16), height - 20) END AS yo, list_append(range(0, 109, 16), 108) AS xo FROM h),
 t AS (SELECT yi, xi, yo[yi] AS y0, xo[xi] AS x0, len(xo) AS nx, height FROM (SELECT *, unnest(range(1, len(xo) + 1)) AS xi FROM (SELECT *, unnest(range(1, len(yo) + 1)) AS yi FROM offs)))
 SELECT ((yi - 1) * nx + xi - 1)::BIGINT AS tile_id, x0::INT AS x0, y0::INT AS y0, sum(v)::BIGINT AS total FROM t JOIN fx_raster ON row >= y0 AND row < y0 + 20 AND col >= x0 AND col < x0 + 20 GROUP BY ALL""")
@@ -113,7 +113,7 @@ def a6_centered_windows(spark, sf_dir):
     return tiles.with_statistics(cut).select("point_id", "x0", "y0", "total")
 
 
-@query(f"""WITH {PTS}, h AS (SELECT (count(*) // 16 * 8)::INT AS height FROM embeddings)
+@query(f"""WITH {PTS}, h AS (SELECT ((count(*) + 15) // 16 * 8)::INT AS height FROM embeddings)
 SELECT point_id, greatest(cc - 14, 0)::INT AS x0, greatest(rr - 14, 0)::INT AS y0, (least(cc + 14, 128) - greatest(cc - 14, 0))::INT AS sw, (least(rr + 14, height) - greatest(rr - 14, 0))::INT AS sh FROM pts, h
 WHERE least(cc + 14, 128) > greatest(cc - 14, 0) AND least(rr + 14, height) > greatest(rr - 14, 0)""")
 def a7_clamped_windows(spark, sf_dir):
@@ -482,9 +482,10 @@ def e18_orientation_field(spark, sf_dir):
 
 
 def _located(spark, sf_dir):
-    """Detections with their size and a place on the raster's map."""
-    p = _points(spark, sf_dir).withColumnRenamed("point_id", "det_id")
-    return fx.angles(spark, sf_dir).join(p, "det_id").withColumn("center", geometry.point(F.col("x"), F.col("y"))).withColumn("bbox", geometry.box(F.col("x") - F.col("diameter_m"), F.col("y") - F.col("diameter_m"), F.col("x") + F.col("diameter_m"), F.col("y") + F.col("diameter_m"))).drop("x", "y", "user_id", "event_type")
+    """All detections with their size and a place on the upper 200 units of the raster's map."""
+    x, y, half = 1000 + (F.col("det_id") * 37) % 260, 5000 - (F.col("det_id") * 53) % 200, F.col("diameter_m")
+    a = fx.angles(spark, sf_dir).drop("user_id", "event_type").withColumn("scene_id", F.lit(0).cast("long"))
+    return a.withColumn("center", geometry.point(x, y)).withColumn("bbox", geometry.box(x - half, y - half, x + half, y + half))
 
 
 @query()
@@ -569,11 +570,10 @@ def f6_summary(spark, sf_dir):
 
 
 def _screened(spark, sf_dir):
-    """Windows clear of the largest objects; a hundred tries for each patch of the quota."""
+    """Windows and the tests they fail, objects of any size among them; a hundred tries for each patch of the quota."""
     w = tiles.read_windows(tiles.random_windows(fx.scenes(spark, sf_dir), 16, 3000), fx.blocks(spark, sf_dir), fx.BLOCK, "try_id")
     w = w.withColumn("box", geometry.box(1000 + 2 * F.col("x0"), 5000 - 2 * (F.col("y0") + F.col("sh")), 1000 + 2 * (F.col("x0") + F.col("sw")), 5000 - 2 * F.col("y0")))
-    b = _located(spark, sf_dir).where("diameter_m >= 12").select("scene_id", "det_id", "bbox")
-    return spectrum.screened(w, b, 40.0, coherence_max=0.2)
+    return spectrum.screened(w, _located(spark, sf_dir).select("scene_id", "det_id", "bbox"), 40.0, coherence_max=0.2)
 
 
 @query()

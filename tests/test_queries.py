@@ -59,6 +59,17 @@ def test_sweeps_take_all_tiles(spark):
     assert whole == registry.gs2_population_sweep(spark, SF).where("alpha = 0").first()["n"] == registry.gs8_resolution_sweep(spark, SF).where("factor = 1").first()["n"]
 
 
+def test_all_objects_block_windows(spark):
+    reasons = {(r["x0"], r["y0"]): r["reason"] for r in registry._screened(spark, SF).select("x0", "y0", "reason").collect()}
+    boxes = np.array([tuple(r["bbox"]) for r in registry._located(spark, SF).select("bbox").collect()])
+    assert len(boxes) == fx.angles(spark, SF).count()
+    for (x, y), reason in reasons.items():
+        left, top = 1000 + 2 * x, 5000 - 2 * y
+        met = ((boxes[:, 0] < left + 32) & (boxes[:, 2] > left) & (boxes[:, 1] < top) & (boxes[:, 3] > top - 32)).any()
+        assert (reason == "boulder") == met or met and reason == "valid"
+    assert {"boulder", None} <= set(reasons.values())
+
+
 def test_offsets(spark):
     def of(full, size, overlap):
         return spark.range(1).select(tiles.slice_offsets(F.lit(full), size, overlap).alias("o")).first()["o"]
