@@ -125,6 +125,17 @@ def test_nms_like_sequential(spark):
     assert nms.nms(df.where("det_id < 0")).count() == 0
 
 
+def test_nms_of_long_chains_in_few_rounds(spark, monkeypatch):
+    """Chains of boxes that each overlap only their neighbours, scores falling along them: one inside a block, one across blocks."""
+    chain = [(i, 0.3 * i, 100.0) for i in range(1000)] + [(2000 + i, 5.0 * i, 700.0) for i in range(400)]
+    df = spark.createDataFrame([(i, x, y, 1 - i / 10_000) for i, x, y in chain], "det_id long, x double, y double, score double").withColumn("scene_id", F.lit(0)).withColumn("category_id", F.lit(1))
+    df = df.withColumn("bbox", geometry.box(F.col("x"), F.col("y"), F.col("x") + F.when(F.col("det_id") < 2000, 0.5).otherwise(8.0), F.col("y") + 8))
+    rounds, real = [], nms._decided
+    monkeypatch.setattr(nms, "_decided", lambda e: rounds.append(1) or real(e))
+    got = {r["det_id"] for r in nms.nms(df, 0.2).collect()}
+    assert got == {i for i, *_ in chain if i % 2 == 0} and len(rounds) <= 5  # the second chain crosses four borders of blocks
+
+
 def greedy(truth, dets, radius):
     """truth: id, x, y in order; dets: id, x, y."""
     used, out, size = set(), {}, 2 * radius
