@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessaxis.functions import geometry, images
+from tessaxis.sources.stages import written
 
 MASK = "struct<h:int,w:int,data:binary>"
 
@@ -101,17 +102,26 @@ def validity(df: DataFrame, min_area: int = 4, mask: str = "mask") -> DataFrame:
     return _map_masks(df, {"is_valid": "boolean"}, one, mask)
 
 
+def _sized(raw: DataFrame, slice_size: int, downscale: bool, area_rule: str) -> DataFrame:
+    return with_area(resized(raw, slice_size, slice_size, "area") if downscale else raw, area_rule)
+
+
+def _traced(sized: DataFrame, tracer: str, mask_rule: str) -> DataFrame:
+    found = _map_masks(sized, {"mask": MASK}, lambda a, _: (to_mask(a > 0),)) if mask_rule == "positive" else sized
+    return contours(found, tracer)
+
+
+_DRAWN = "polygon IS NOT NULL AND size(polygon) >= 3"
+
+
 def detections(raw: DataFrame, categories: DataFrame, slice_size: int, min_area: float = 6, downscale: bool = True, tracer: str = "isoline", area_rule: str = "ones", mask_rule: str = "as is", demote: bool = True) -> DataFrame:
     """Detection rows in scene pixels from raw detections: the first path.
 
     Masks are brought to the slice's size by area means, or kept and their polygons scaled; rows of min_area or less, of
     failed or short contours and of unknown classes go. categories: category_id, category_name.
     """
-    found = resized(raw, slice_size, slice_size, "area") if downscale else raw
-    found = with_area(found, area_rule).where(F.col("area") > min_area)
-    if mask_rule == "positive":
-        found = _map_masks(found, {"mask": MASK}, lambda a, _: (to_mask(a > 0),))
-    found = contours(found, tracer).where(F.col("polygon").isNotNull() & (F.size("polygon") >= 3))
+    found = _sized(raw, slice_size, downscale, area_rule).where(F.col("area") > min_area)
+    found = _traced(found, tracer, mask_rule).where(_DRAWN)
     if not downscale:
         found = found.withColumn("polygon", geometry.rescale(F.col("polygon"), F.col("mask.h"), float(slice_size)))
     found = found.withColumn("is_within_slice", geometry.well_inside(F.col("polygon"), slice_size))
@@ -122,6 +132,17 @@ def detections(raw: DataFrame, categories: DataFrame, slice_size: int, min_area:
     return named.select("scene_id", "tile_id", "local_id", "score", "polygon", "category_id", "category_name", "is_within_slice")
 
 
+def rejects(raw: DataFrame, categories: DataFrame, slice_size: int, min_area: float = 6, downscale: bool = True, tracer: str = "isoline", area_rule: str = "ones", mask_rule: str = "as is") -> DataFrame:
+    """Why detections() of the same parameters leaves rows out: scene_id, reason (area, contour or category, the first that holds), n."""
+    sized = written(_sized(raw, slice_size, downscale, area_rule).select("scene_id", "category_id", "area", "mask"))
+    large = sized.where(F.col("area") > min_area)
+    drawn = _traced(large, tracer, mask_rule).select("scene_id", "category_id", F.expr(_DRAWN).alias("ok"))
+    known = drawn.join(F.broadcast(categories.select("category_id", F.lit(True).alias("named")).distinct()), "category_id", "left")
+    small = sized.where(~F.coalesce(F.col("area") > min_area, F.lit(False))).select("scene_id", F.lit("area").alias("reason"))
+    others = known.select("scene_id", F.when(~F.col("ok"), "contour").when(F.col("named").isNull(), "category").alias("reason")).where("reason IS NOT NULL")
+    return small.unionByName(others).groupBy("scene_id", "reason").agg(F.count("*").alias("n"))
+
+
 def component_detections(raw: DataFrame, inference_size: int, min_area: float = 4, tracer: str = "border") -> DataFrame:
     """Detection rows in scene pixels: the second path. Nearest resampling, rows under min_area go, largest part, contour."""
     found = with_area(resized(raw, inference_size, inference_size, "nearest"), "sum").where(F.col("area") >= min_area)
@@ -130,11 +151,6 @@ def component_detections(raw: DataFrame, inference_size: int, min_area: float =
     return found.withColumn("polygon", scaled).select("scene_id", "tile_id", "local_id", "score", "polygon", "category_id")
 
 
-def rejects(raw: DataFrame, kept: DataFrame, keys: list[str] = ("scene_id", "tile_id", "local_id")) -> DataFrame:
-    """How many raw detections of each scene were dropped: scene_id, n."""
-    return raw.join(kept.select(*keys), list(keys), "left_anti").groupBy("scene_id").agg(F.count("*").alias("n"))
-
-
 def georeferenced(dets: DataFrame, scenes: DataFrame) -> DataFrame:
     """dets with geometry (closed map ring) and bbox."""
     found = dets.join(F.broadcast(scenes.select("scene_id", "transform")), "scene_id")

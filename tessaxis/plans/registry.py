@@ -10,7 +10,7 @@ from tessaxis.functions import axial, geometry
 from tessaxis.operators import coco, datasets, masks, nms, orientation, spatial, spectrum, sweeps, texture, tiles
 from tessaxis.plans import fixtures as fx
 from tessaxis.plans import pipeline
-from tessaxis.sources import layers
+from tessaxis.sources import layers, stages
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -76,6 +76,19 @@ def a2_layer_bounds(spark, sf_dir):
     return b.groupBy("scene_id").agg(F.count("*").alias("n"), F.min("xmin").alias("xmin"), F.max("xmax").alias("xmax"), F.min("ymin").alias("ymin"), F.max("ymax").alias("ymax"))
 
 
+@query(f"WITH {DET} SELECT count(*) AS n, min(x0) AS xmin, max(x1) AS xmax, min(y0) AS ymin, max(y1) AS ymax FROM fx_detections")
+def a2_read_bounds(spark, sf_dir):
+    """The bounds of a layer that was written."""
+    layer = stages.written(fx.detections(spark, sf_dir))
+    b = layers.read_bounds(spark, layer.inputFiles()[0].rpartition("/")[0])
+    return b.agg(F.count("*").alias("n"), F.min("xmin").alias("xmin"), F.max("xmax").alias("xmax"), F.min("ymin").alias("ymin"), F.max("ymax").alias("ymax"))
+
+
+@query(f"""WITH {DET}, s AS (SELECT ((count(*) + 15) // 16 * 8 + 63) // 64 AS n FROM embeddings) SELECT det_id, (2 + 2 * (scene_id % 2))::DOUBLE AS res, '+proj=sinu' AS crs FROM fx_detections, s WHERE scene_id < n""")
+def a17_metadata(spark, sf_dir):
+    return layers.with_metadata(fx.detections(spark, sf_dir).select("det_id", "scene_id"), fx.piece_scenes(spark, sf_dir)).select("det_id", "res", "crs")
+
+
 @query(f"WITH {DET} SELECT det_id, x0 AS xmin, y0 AS ymin FROM fx_detections WHERE x0 <= 900 AND x1 >= 300 AND y0 <= 700 AND y1 >= 200")
 def a3_box_scan(spark, sf_dir):
     return layers.in_box(fx.detections(spark, sf_dir), 300, 200, 900, 700).select("det_id", F.col("bbox.xmin").alias("xmin"), F.col("bbox.ymin").alias("ymin"))
@@ -210,6 +223,26 @@ def b21_named_classes(spark, sf_dir):
     return masks.by_class(fx.detections(spark, sf_dir).join(F.broadcast(names), "category_id"))
 
 
+def _raw(spark, sf_dir):
+    """Raw detections, a third of them of a class without name."""
+    return fx.masks(spark, sf_dir).selectExpr("det_id div 100 AS scene_id", "0L AS tile_id", "det_id AS local_id", "0.5D AS score", "cast(det_id % 3 AS int) AS category_id", "10 AS x0", "20 AS y0", "mask")
+
+
+@query(f"""WITH {RECT} SELECT det_id // 100 AS scene_id, CASE WHEN mh * mw <= 12 THEN 'area' ELSE 'category' END AS reason, count(*) AS n FROM fx_rects WHERE mh * mw <= 12 OR det_id % 3 = 2 GROUP BY ALL""")
+def b22_rejects(spark, sf_dir):
+    names = spark.createDataFrame([(0, "boulder"), (1, "rock")], "category_id int, category_name string")
+    return masks.rejects(_raw(spark, sf_dir), names, 64, 12, downscale=False)
+
+
+@query(f"""WITH {RECT} SELECT det_id AS local_id, CASE det_id % 3 WHEN 0 THEN 'boulder' ELSE 'rock' END AS category_name, round(64.0 / (mh + 2) + 10, 6) AS xmin, round(64.0 / (mh + 2) * mh + 20, 6) AS ymax, round((mh - 1) * (mw - 1) * pow(64.0 / (mh + 2), 2), 4) AS area FROM fx_rects WHERE mh * mw > 12 AND det_id % 3 < 2""")
+def b30_row_variant(spark, sf_dir):
+    """Areas of cells that are not 0, masks of positive cells, borders followed, polygons scaled to the slice."""
+    names = spark.createDataFrame([(0, "boulder"), (1, "rock")], "category_id int, category_name string")
+    found = masks.detections(_raw(spark, sf_dir), names, 64, 12, downscale=False, tracer="border", area_rule="nonzero", mask_rule="positive", demote=False)
+    box = geometry.bounds(F.col("polygon"))
+    return found.select("local_id", "category_name", r(box["xmin"]).alias("xmin"), r(box["ymax"]).alias("ymax"), r(geometry.area(F.col("polygon")), 4).alias("area"))
+
+
 @query(f"""WITH {DET}, d AS (SELECT det_id, det_id % 200 AS patch_id, (x0 % 64) AS cx, (y0 % 64) AS cy FROM fx_detections),
 n AS (SELECT *, row_number() OVER (PARTITION BY patch_id ORDER BY sqrt((cx - 32) * (cx - 32) + (cy - 32) * (cy - 32)), det_id) AS k FROM d)
 SELECT patch_id, det_id AS local_id FROM n WHERE k = 1 AND sqrt((cx - 32) * (cx - 32) + (cy - 32) * (cy - 32)) <= 20""")
@@ -235,6 +268,14 @@ def c4_pixel_index(spark, sf_dir):
     return fx.detections(spark, sf_dir).crossJoin(F.broadcast(t)).select("det_id", i.alias("i")).select("det_id", *(F.col("i")[k].alias(n) for k, n in enumerate(("col_min", "row_min", "col_max", "row_max"))))
 
 
+@query(f"""WITH {DET} SELECT det_id, 2 * (floor((x0 - 1000) / 2) + 0.5) + 1000 AS first_x, 5000 - 2 * (floor((y0 - 5000) / -2) + 0.5) AS first_y, 2 * (floor((x1 - 1000) / 2) + 0.5) + 1000 AS third_x, 5000 - 2 * (floor((y1 - 5000) / -2) + 0.5) AS third_y, 5 AS vertices FROM fx_detections""")
+def c5_pixel_box_ring(spark, sf_dir):
+    t = F.col("transform")
+    ring = geometry.pixel_box_ring(geometry.pixel_index(F.col("bbox"), t), t)
+    d = fx.detections(spark, sf_dir).crossJoin(F.broadcast(fx.scenes(spark, sf_dir).select("transform"))).select("det_id", ring.alias("g"))
+    return d.select("det_id", *(F.col("g")[i][c].alias(f"{n}_{c}") for i, n in ((0, "first"), (2, "third")) for c in "xy"), F.size("g").alias("vertices"))
+
+
 @query(f"WITH {DET} SELECT det_id, round(w * h, 6) AS area, round((x0 + x1) / 2, 4) AS cx, round((y0 + y1) / 2, 4) AS cy, round(2 * sqrt(w * h / pi()), 6) AS diameter FROM fx_detections")
 def c6_measures(spark, sf_dir):
     g = F.col("geometry")
@@ -504,20 +545,30 @@ def e20_regional_histogram(spark, sf_dir):
 WINS = "wins AS (SELECT scene_id, (25 * scene_id + n_nationkey)::BIGINT AS window_id, (60 * n_nationkey)::DOUBLE AS wx, (45 * n_nationkey)::DOUBLE AS wy FROM nation, (SELECT DISTINCT scene_id FROM fx_detections))"
 
 
-@query(f"""WITH {DET}, {WINS}, inw AS (SELECT window_id, det_id, x0, y0 FROM wins JOIN fx_detections USING (scene_id) WHERE x0 <= wx + 400 AND x1 >= wx AND y0 <= wy + 400 AND y1 >= wy), full_ AS (SELECT window_id FROM inw GROUP BY 1 HAVING count(*) >= 20 ORDER BY window_id LIMIT 8),
+_DIRS = f"""WITH {DET}, {WINS}, inw AS (SELECT window_id, det_id, x0, y0 FROM wins JOIN fx_detections USING (scene_id) WHERE x0 <= wx + 400 AND x1 >= wx AND y0 <= wy + 400 AND y1 >= wy), full_ AS (SELECT window_id FROM inw GROUP BY 1 HAVING count(*) >= 20 ORDER BY window_id LIMIT 8),
 g AS (SELECT * FROM inw WHERE window_id IN (SELECT window_id FROM full_)), c AS (SELECT a.window_id, a.det_id, b.x0 - a.x0 AS dx, b.y0 - a.y0 AS dy, sqrt((b.x0 - a.x0) * (b.x0 - a.x0) + (b.y0 - a.y0) * (b.y0 - a.y0)) AS dist, b.det_id AS nbr FROM g a JOIN g b ON a.window_id = b.window_id AND a.det_id <> b.det_id),
 n AS (SELECT *, row_number() OVER (PARTITION BY window_id, det_id ORDER BY dist, nbr) AS k FROM c WHERE dist <= 120), z AS (SELECT window_id, least(floor(((degrees(atan2(dx, dy)) + 360) % 180) / 10), 17)::BIGINT AS bin, count(*) AS c FROM n WHERE k <= 8 AND dist >= 1.5 GROUP BY ALL),
-w AS (SELECT s.window_id, b.bin, 100.0 * coalesce(c, 0) / sum(coalesce(c, 0)) OVER (PARTITION BY s.window_id) AS percent FROM (SELECT DISTINCT window_id FROM z) s CROSS JOIN (SELECT unnest(range(18)) AS bin) b LEFT JOIN z ON z.window_id = s.window_id AND z.bin = b.bin)
-SELECT bin, (bin + 0.5) * 10::DOUBLE AS center_deg, round(avg(percent), 6) AS percent FROM w GROUP BY ALL""")
+w AS (SELECT s.window_id, b.bin, 100.0 * coalesce(c, 0) / sum(coalesce(c, 0)) OVER (PARTITION BY s.window_id) AS percent FROM (SELECT DISTINCT window_id FROM z) s CROSS JOIN (SELECT unnest(range(18)) AS bin) b LEFT JOIN z ON z.window_id = s.window_id AND z.bin = b.bin)"""
+
+
+@query(f"""{_DIRS} SELECT bin, (bin + 0.5) * 10::DOUBLE AS center_deg, round(avg(percent), 6) AS percent FROM w GROUP BY ALL""")
 def e21_direction_histogram(spark, sf_dir):
+    return spatial.mean_direction_histogram(_directions(spark, sf_dir)).select("bin", "center_deg", r("percent").alias("percent"))
+
+
+@query(f"""{_DIRS} SELECT window_id, arg_max((bin + 0.5) * 10, {{'p': round(percent, 9), 'b': -bin}})::DOUBLE AS peak_deg FROM w GROUP BY 1""")
+def e21_window_peaks(spark, sf_dir):
+    return spatial.window_peaks(_directions(spark, sf_dir).withColumn("percent", r("percent", 9)))
+
+
+def _directions(spark, sf_dir):
     d = fx.detections(spark, sf_dir)
     w = d.select("scene_id").distinct().crossJoin(F.broadcast(fx.table(spark, sf_dir, "nation").select("n_nationkey")))
     w = w.selectExpr("scene_id", "cast(25 * scene_id + n_nationkey AS long) AS window_id", "cast(60 * n_nationkey AS double) AS wx", "cast(45 * n_nationkey AS double) AS wy")
     w = w.withColumn("box", geometry.box(F.col("wx"), F.col("wy"), F.col("wx") + 400, F.col("wy") + 400)).drop("wx", "wy")
     inside = spatial.dense_windows(w, d.select("scene_id", "det_id", "bbox"), 20, 8, 100.0)
     points = inside.selectExpr("window_id", "det_id AS id", "bbox.xmin AS x", "bbox.ymin AS y")
-    hist = spatial.direction_histogram(spatial.neighbours(points, 8, 1.5, 120.0, on=["window_id"]))
-    return spatial.mean_direction_histogram(hist).select("bin", "center_deg", r("percent").alias("percent"))
+    return spatial.direction_histogram(spatial.neighbours(points, 8, 1.5, 120.0, on=["window_id"]))
 
 
 @query()

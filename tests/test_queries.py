@@ -434,3 +434,28 @@ def test_mask_needed(spark):
 
     with pytest.raises(ValueError):
         pipeline.sliced_prediction(None, None, 8, None, None, has_mask=False)
+
+
+def test_rejects_have_their_reasons(spark):
+    mask = lambda a: (a.shape[0], a.shape[1], bytearray(np.ascontiguousarray(a, np.float32).tobytes()))
+    full = np.pad(np.ones((6, 6)), 2)
+    rows = [(0, 0, 0, 0.9, 1, 0, 0, mask(full)), (0, 0, 1, 0.9, 2, 0, 0, mask(full)), (0, 0, 2, 0.9, 1, 0, 0, mask(full * 0)), (1, 0, 0, 0.9, 2, 0, 0, mask(full * 0)), (1, 0, 1, 0.9, 1, 0, 0, mask(full * 0.4))]
+    raw = spark.createDataFrame(rows, f"scene_id long, tile_id long, local_id long, score double, category_id int, x0 int, y0 int, mask {masks.MASK}")
+    names = spark.createDataFrame([(1, "boulder")], "category_id int, category_name string")
+    of = lambda **k: sorted(tuple(r) for r in masks.rejects(raw, names, 10, downscale=False, **k).collect())
+    assert of() == [(0, "area", 1), (0, "category", 1), (1, "area", 2)]
+    assert of(min_area=-1) == [(0, "category", 1), (0, "contour", 1), (1, "contour", 2)]
+    assert of(area_rule="nonzero", mask_rule="positive") == [(0, "area", 1), (0, "category", 1), (1, "area", 1)]
+    kept = masks.detections(raw, names, 10, downscale=False)
+    assert kept.count() + sum(n for *_, n in of()) == len(rows)
+
+
+def test_detections_in_place_reach_the_border_tiles(spark):
+    raster = np.zeros((72, 72), np.uint8)
+    raster[50:56, 58:68] = 200  # in the border tile of 32 x 32
+    raster[5:12, 10:30] = 200
+    blocks = [(0, i, j, 8, 8, bytearray(raster[8 * i : 8 * i + 8, 8 * j : 8 * j + 8].tobytes())) for i in range(9) for j in range(9)]
+    b = spark.createDataFrame(blocks, "scene_id long, block_row int, block_col int, h int, w int, pixels binary")
+    s = spark.createDataFrame([(0, 72, 72)], "scene_id long, width int, height int")
+    found = sweeps.detections_in_place(s, b, 8, 40, sweeps.threshold_measure(140, ["scene_id", "patch_id", "x0", "y0"])).collect()
+    assert sorted((round(r["cx_img"]), round(r["cy_img"])) for r in found) == [(20, 8), (62, 52)]
