@@ -4,7 +4,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessaxis.functions import axial, images
@@ -75,19 +75,27 @@ def object_texture(dets: DataFrame, patches: DataFrame, res: float, aspect_min:
     return found.select("det_id", "mask_ang", "aspect", "diameter_m", F.col("az").alias("st_ang"), F.col("coh").alias("st_coh"))
 
 
-def regional_histogram(crops: DataFrame, scales: list[tuple[float, float]], coherent_share: float = 0.25, bin_deg: int = 10, key: str = "try_id") -> DataFrame:
-    """Mean over crops of their coherence-weighted azimuth histograms in percent: scale, bin, center_deg, percent.
+def regional_histogram(crops: DataFrame, scales: list[tuple[float, float]], coherent_share: float = 0.25, bin_deg: int = 10) -> DataFrame:
+    """Mean over crops (sh, sw, pixels) of their coherence-weighted azimuth histograms in percent: scale, bin, center_deg, percent.
 
-    In each crop and scale only the most coherent pixels that are not 0 count; the threshold is over all its pixels.
+    In each crop and scale only the most coherent pixels that are not 0 count; the threshold is over all its pixels. Crops
+    without such pixels do not count. A crop's field is made and summed in one task, which hands on a number for each bin.
     """
-    n, out = 180 // bin_deg, None
-    for i, (g, s) in enumerate(scales):
-        field = orientation_field(crops, g, s, key=key)
-        limit = field.groupBy(key).agg(F.percentile("coh", 1 - coherent_share).alias("limit"))
-        kept = field.join(limit, key).where((F.col("coh") >= F.col("limit")) & (F.col("value") > 0))
-        sums = kept.groupBy(key, F.least(F.floor(F.col("az") / bin_deg), F.lit(n - 1)).alias("bin")).agg(F.sum("coh").alias("c"))
-        percent = sums.withColumn("percent", 100 * F.col("c") / F.sum("c").over(Window.partitionBy(key)))
-        many = percent.agg(F.count_distinct(key).alias("crops"))
-        one = percent.groupBy("bin").agg(F.sum("percent").alias("s")).crossJoin(F.broadcast(many)).select(F.lit(i).alias("scale"), "bin", ((F.col("bin") + 0.5) * bin_deg).alias("center_deg"), (F.col("s") / F.col("crops")).alias("percent"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    n = 180 // bin_deg
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for pixels, h in zip(pdf["pixels"], pdf["sh"], strict=True):
+                a = np.frombuffer(pixels, np.uint8).reshape(h, -1)
+                for i, (g, s) in enumerate(scales):
+                    az, coh = images.orientation_field(a, g, s)
+                    kept = (coh >= np.percentile(coh, 100 * (1 - coherent_share))) & (a > 0)
+                    sums = np.bincount(np.minimum(az[kept] // bin_deg, n - 1).astype(int), coh[kept], n)
+                    if sums.sum() > 0:
+                        rows.append((i, 100 * sums / sums.sum()))
+            yield pd.DataFrame(rows, columns=["scale", "percents"])
+
+    each = crops.select("sh", "pixels").mapInPandas(run, "scale int, percents array<double>")
+    long = each.select("scale", F.posexplode("percents").alias("bin", "percent"))
+    return long.groupBy("scale", F.col("bin").cast("long").alias("bin")).agg(F.avg("percent").alias("percent")).select("scale", "bin", ((F.col("bin") + 0.5) * bin_deg).alias("center_deg"), "percent")

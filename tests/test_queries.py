@@ -459,3 +459,18 @@ def test_detections_in_place_reach_the_border_tiles(spark):
     s = spark.createDataFrame([(0, 72, 72)], "scene_id long, width int, height int")
     found = sweeps.detections_in_place(s, b, 8, 40, sweeps.threshold_measure(140, ["scene_id", "patch_id", "x0", "y0"])).collect()
     assert sorted((round(r["cx_img"]), round(r["cy_img"])) for r in found) == [(20, 8), (62, 52)]
+
+
+def test_regional_histogram_of_stripes(spark):
+    """Crops of stripes at two azimuths weigh alike, whatever their contrast; a crop of zeros does not count."""
+    y, x = np.mgrid[:48, :48]
+    stripes = lambda t, c: (128 + c * np.sin(2 * np.pi * t / 6)).astype(np.uint8)
+    crops = [(1, stripes(x, 20)), (2, stripes(y, 60)), (3, np.zeros((48, 48), np.uint8))]
+    df = spark.createDataFrame([(i, 0, 0, 48, 48, bytearray(a.tobytes())) for i, a in crops], "try_id long, x0 int, y0 int, sw int, sh int, pixels binary")
+    from tessaxis.operators import texture
+
+    got = texture.regional_histogram(df, [(1.0, 2.0), (2.0, 3.0)]).collect()
+    assert len(got) == 36 and all(abs(sum(r["percent"] for r in got if r["scale"] == i) - 100) < 1e-9 for i in (0, 1))
+    for i in (0, 1):
+        by = {r["bin"]: r["percent"] for r in got if r["scale"] == i}
+        assert by[0] + by[17] == pytest.approx(50, abs=1) and by[8] + by[9] == pytest.approx(50, abs=1)
