@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessaxis.functions import axial, geometry
 from tessaxis.sources.stages import written
@@ -220,18 +221,78 @@ def match_statistics(refs: DataFrame, models: DataFrame, min_radius: float = 1.0
     return counts.select("n_ref", "n_model", "n_matched", F.try_divide("n_matched", "n_ref").alias("recall"), "median_ratio", F.try_divide("n_over", "n_model").alias("over_detection_frac"))
 
 
+#: Bits of a place inside a cell of the largest distance, along each axis, that order points along a curve.
+CURVE_BITS = 24
+
+
+def _curve(x: Column, y: Column, side: float) -> list[Column]:
+    """Sort keys along a Z-order curve: the cell of the given side, then the interleaved bits of the place in it."""
+
+    def spread(v: Column) -> Column:
+        at = F.least(F.floor((v / side - F.floor(v / side)) * 2**CURVE_BITS), F.lit(2**CURVE_BITS - 1))
+        for shift, keep in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+            at = at.bitwiseOR(F.shiftleft(at, shift)).bitwiseAND(F.lit(keep))
+        return at
+
+    return [F.floor(x / side).alias("_cx"), F.floor(y / side).alias("_cy"), spread(x).bitwiseOR(F.shiftleft(spread(y), 1)).alias("_z")]
+
+
+def reach(places: DataFrame, k: int, dmax: float, on: list[str]) -> DataFrame:
+    """Distinct places (on, x, y) with r: dmax, or a smaller radius that surely holds k other places.
+
+    Places are sorted along a curve over all tasks; the k before and the k after one in its batch give the bound.
+    """
+    keyed = places.select(*on, "x", "y", *_curve(F.col("x"), F.col("y"), dmax))
+    order = [*on, "_cx", "_cy", "_z", "x", "y"]
+    placed = keyed.repartitionByRange(*order).sortWithinPartitions(*order).drop("_z")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            x, y = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("x", "y"))
+            # rows of one scene are neighbours in the order; so are those of a cell
+            new = np.zeros(n, bool)
+            for c in on:
+                codes = batch.column(c).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+                new[1:] |= codes[1:] != codes[:-1]
+            group = np.cumsum(new)
+            dist = np.full((2 * k, n), np.inf)
+            for j in range(1, min(k, n - 1) + 1):
+                d = np.where(group[j:] == group[:-j], np.hypot(x[j:] - x[:-j], y[j:] - y[:-j]), np.inf)
+                dist[2 * j - 2, j:], dist[2 * j - 1, : n - j] = d, d
+            r = np.minimum(np.partition(dist, k - 1, axis=0)[k - 1] * (1 + 1e-9), dmax)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*on, "x", "y")), pa.array(r)], [*on, "x", "y", "r"])
+
+    schema = T.StructType([f for f in placed.schema.fields if f.name in (*on, "x", "y")]).add("r", "double")
+    return placed.drop("_cx", "_cy").mapInArrow(run, schema)
+
+
 def neighbours(points: DataFrame, k: int, dmin: float, dmax: float, on: list[str] = ("scene_id",)) -> DataFrame:
     """The k nearest other points of each (id, x, y) up to dmax away, ranked before those nearer than dmin are left out.
 
-    Exact: the k nearest within dmax are the first k of all within dmax. Ties go to the lower id. Columns: id, nbr, dist,
-    azimuth.
+    Exact, at any density: each distinct place first learns a radius that holds k others, then meets the places in that
+    radius in the grid of its size, so a crowded part of the plane makes pairs by k, not by its square. A place offers its
+    k + 1 lowest ids, however many points lie there. Ties go to the lower id; points without a finite place or a scene have
+    no neighbours. Columns: on, id, nbr, dist, azimuth.
     """
     on = list(on)
-    side = lambda s: points.select(*on, F.col("id").alias(f"id_{s}"), F.col("x").alias(f"x_{s}"), F.col("y").alias(f"y_{s}"))
-    pairs = point_pairs(side("a"), side("b"), dmax, on).where("id_a <> id_b")
-    rank = F.row_number().over(Window.partitionBy(*on, "id_a").orderBy("dist", "id_b"))
-    kept = pairs.withColumn("_rank", rank).where((F.col("_rank") <= k) & (F.col("dist") >= dmin))
-    return kept.select(*on, F.col("id_a").alias("id"), F.col("id_b").alias("nbr"), "dist", axial.azimuth(F.col("x_b") - F.col("x_a"), F.col("y_b") - F.col("y_a")).alias("azimuth"))
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    known = points.select(*on, "id", F.col("x").cast("double"), F.col("y").cast("double")).where(finite("x") & finite("y")).dropna(subset=on)
+    known = known.withColumns({"x": F.col("x") + 0.0, "y": F.col("y") + 0.0})  # one zero
+    here = Window.partitionBy(*on, "x", "y").orderBy("id")
+    offered = written(known.withColumn("_n", F.row_number().over(here)).where(F.col("_n") <= k + 1))
+    asking = written(reach(offered.where("_n = 1"), k, dmax, on))
+    at = lambda d: geometry.box(F.col("x") - d, F.col("y") - d, F.col("x") + d, F.col("y") + d)
+    a = asking.select(*on, F.col("x").alias("x_a"), F.col("y").alias("y_a"), F.col("r").alias("_r"), at(F.col("r")).alias("box_a"))
+    b = offered.select(*on, F.col("id").alias("nbr"), F.col("x").alias("x_b"), F.col("y").alias("y_b"), at(F.lit(0.0)).alias("box_b"))
+    near = sized_pairs(a, b, on).withColumn("dist", F.hypot(F.col("x_a") - F.col("x_b"), F.col("y_a") - F.col("y_b"))).where("dist <= _r")
+    nearest = Window.partitionBy(*on, "x_a", "y_a").orderBy("dist", "nbr")
+    first = near.withColumn("_rank", F.row_number().over(nearest)).where(F.col("_rank") <= k + 1)
+    azimuth = axial.azimuth(F.col("x_b") - F.col("x_a"), F.col("y_b") - F.col("y_a"))
+    listed = first.groupBy(*on, F.col("x_a").alias("x"), F.col("y_a").alias("y")).agg(F.array_sort(F.collect_list(F.struct("dist", "nbr", azimuth.alias("azimuth")))).alias("_found"))
+    # a point's own id is left out of its place's list before the first k are taken
+    found = known.join(listed, [*on, "x", "y"]).select(*on, "id", F.explode(F.slice(F.filter("_found", lambda v: v["nbr"] != F.col("id")), 1, k)).alias("_f"))
+    return found.select(*on, "id", "_f.nbr", "_f.dist", "_f.azimuth").where(F.col("dist") >= dmin)
 
 
 def direction_histogram(azimuths: DataFrame, bin_deg: int = 10, by: list[str] = ("window_id",)) -> DataFrame:

@@ -404,6 +404,27 @@ def test_layers_and_stages(spark, tmp_path):
     assert len(calls) == 1 and stages.stage(spark, str(tmp_path / "st"), build, force=True).count() == 3 and len(calls) == 2
 
 
+def test_neighbours_of_crowded_points(spark, monkeypatch):
+    """Points thinly spread, in two dense clusters and 300 at one place: as brute force, with pairs by k and not by the clusters' squares."""
+    rng, k, dmin, dmax = np.random.default_rng(8), 4, 0.02, 40.0
+    xy = np.concatenate([rng.uniform(-200, 600, (150, 2)), rng.normal(50, 0.05, (1200, 2)), rng.normal([300, -80], 1.0, (800, 2)), np.full((300, 2), 7.25)])
+    scene = np.where(np.arange(len(xy)) % 5 == 0, 1, 0)
+    rows = [(int(s), i, float(x), float(y)) for i, (s, (x, y)) in enumerate(zip(scene, xy, strict=True))]
+    odd = [(0, 9001, None, 1.0), (0, 9002, float("nan"), 1.0), (None, 9003, 50.0, 50.0), (2, 9004, 50.0, 50.0), (0, 9005, float("inf"), 7.0)]
+    df = spark.createDataFrame(rows + odd, "scene_id long, id long, x double, y double").withColumn("dist", F.lit("other"))
+    made, real = [], spatial.sized_pairs
+    monkeypatch.setattr(spatial, "sized_pairs", lambda *a, **b: made.append(real(*a, **b)) or made[-1])
+    got = {(r["id"], r["nbr"]): r["dist"] for r in spatial.neighbours(df.repartition(7), k, dmin, dmax).collect()}
+    want = {}
+    for i in range(len(xy)):
+        d = np.where((scene == scene[i]) & (np.arange(len(xy)) != i), np.hypot(*(xy - xy[i]).T), np.inf)
+        for j in np.lexsort((np.arange(len(xy)), d))[:k]:
+            if dmin <= d[j] <= dmax:
+                want[i, int(j)] = d[j]
+    assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-9 for p in want)
+    assert made[0].count() < 12 * k * len(xy)  # all pairs up to dmax would be about a million
+
+
 def test_empty_inputs(spark):
     d = fx.detections(spark, SF).limit(0)
     assert masks.georeferenced(d.withColumnRenamed("geometry", "polygon"), fx.scenes(spark, SF)).count() == 0
