@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessaxis.functions import geometry, images
+from tessaxis.functions import geometry
 from tessaxis.operators import masks
 
 ANNOTATIONS = "array<struct<bbox:array<double>,segmentation:struct<size:array<int>,counts:array<int>>>>"
@@ -97,7 +97,7 @@ def decode_annotations(rows: DataFrame) -> DataFrame:
 
 def holes_filled(df: DataFrame, smaller_than: int = 64) -> DataFrame:
     """Masks whose holes of under so many pixels are filled."""
-    return masks._map_masks(df, {"mask": masks.MASK}, lambda a, _: (masks.to_mask(images.fill_holes(a > 0, smaller_than)),))
+    return masks.apply(df, masks.filling(smaller_than))
 
 
 def label_lines(rows: DataFrame, min_area: float, max_area: float) -> DataFrame:
@@ -105,9 +105,10 @@ def label_lines(rows: DataFrame, min_area: float, max_area: float) -> DataFrame:
 
     Coordinates, both divided by the mask's height, have three decimals. Images without instances left get an empty text.
     """
-    kept = masks.with_area(holes_filled(decode_annotations(rows)), "nonzero").where((F.col("area") > min_area) & (F.col("area") < max_area))
-    traced = masks.contours(kept, "isoline").where(F.col("polygon").isNotNull())
-    h = F.col("mask.h")
+    decoded = decode_annotations(rows).withColumn("h", F.col("mask.h"))
+    within = masks.keeping(lambda v: (v > min_area) & (v < max_area))
+    traced = masks.apply(decoded, masks.filling(64), masks.measuring("nonzero"), within, masks.tracing(), keep_mask=False).where(F.col("polygon").isNotNull())
+    h = F.col("h")
     words = F.flatten(F.transform("polygon", lambda v: F.array(F.round(v["x"] / h, 3).cast("string"), F.round(v["y"] / h, 3).cast("string"))))
     lines = traced.select("dataset", "file_stem", "inst_id", F.concat_ws(" ", F.lit("0"), words).alias("line"))
     text = lines.groupBy("dataset", "file_stem").agg(F.array_sort(F.collect_list(F.struct("inst_id", "line"))).alias("l"))

@@ -3,16 +3,17 @@
 A mask is STRUCT<h, w, data: float32 bytes by rows>; mask_pixels is its exploded form (det_id, row, col, w).
 """
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from tessaxis.functions import geometry, images
-from tessaxis.sources.stages import written
+from tessaxis.functions import geometry, packed
 
 MASK = "struct<h:int,w:int,data:binary>"
 
@@ -26,104 +27,163 @@ def to_mask(a: np.ndarray) -> dict:
     return {"h": a.shape[0], "w": a.shape[1], "data": a.tobytes()}
 
 
-def _map_masks(df: DataFrame, new: dict[str, str], run_row, mask: str = "mask") -> DataFrame:
-    """df with new columns from a function of a mask and its row; where it gives None or fails, they are null."""
-    schema = T.StructType([f for f in df.schema.fields if f.name not in new] + T._parse_datatype_string(", ".join(f"{k} {v}" for k, v in new.items())).fields)
+class Step(NamedTuple):
+    """What happens to all masks of a batch: new columns and their types, and (masks, columns) to the same. A step may drop rows.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for row in pdf.to_dict("records"):
-                try:
-                    found = run_row(to_array(row[mask]), row)
-                except (ValueError, ArithmeticError, np.linalg.LinAlgError, TypeError):
-                    found = None
-                rows.append(found if found is not None else (None,) * len(new))
-            out = pdf.drop(columns=[c for c in new if c in pdf])
-            for k, values in zip(new, zip(*rows, strict=True) if rows else [()] * len(new), strict=True):
-                out[k] = pd.Series(list(values), index=out.index, dtype=object)
-            yield out[schema.names]
+    cells: cells that it needs for each mask, if more than the mask has.
+    """
+
+    new: dict[str, str]
+    run: Callable[[packed.Masks, dict[str, pa.Array]], tuple[packed.Masks, dict[str, pa.Array]]]
+    cells: int = 1
+
+
+#: Cells that one slice of a batch holds, if its first mask is not larger.
+SLICE_CELLS = 1 << 20
+
+
+def apply(df: DataFrame, *steps: Step, mask: str = "mask", keep_mask: bool = True) -> DataFrame:
+    """df after steps on its masks, in one pass through Python. What a step gives for null or broken masks is null."""
+    new = {k: v for s in steps for k, v in s.new.items()}
+    same = [f for f in df.schema.fields if f.name not in new and f.name != mask]
+    schema = T.StructType(same + T._parse_datatype_string(", ".join(f"{k} {v}" for k, v in new.items())).fields if new else same)
+    if keep_mask:
+        schema = schema.add(mask, T._parse_datatype_string(MASK))
+    out = to_arrow_schema(schema)
+    least = max(s.cells for s in steps)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whole = batch.column(mask)
+            sides = [whole.field(c).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("h", "w")]
+            group = np.cumsum(np.maximum(sides[0] * sides[1], least)) // SLICE_CELLS
+            borders = [0, *(np.flatnonzero(np.diff(group)) + 1), batch.num_rows]
+            for lo, hi in zip(borders[:-1], borders[1:], strict=True):
+                part = batch.slice(lo, hi - lo)
+                m, columns = packed.from_arrow(part.column(mask)), {f.name: part.column(f.name) for f in same}
+                for step in steps:
+                    m, columns = step.run(m, columns)
+                columns[mask] = packed.to_arrow(m) if keep_mask else None
+                yield pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) for f in out], schema=out)
+
+    return df.mapInArrow(run, schema)
+
+
+def _nulls(values: np.ndarray, ok: np.ndarray) -> pa.Array:
+    return pa.array(values, mask=~ok)
+
+
+def resizing(h: int, w: int, how: str) -> Step:
+    return Step({}, lambda m, c: (packed.resized(m, h, w, how), c), h * w)
+
+
+def cutting(level: float = 0.5, strict: bool = False) -> Step:
+    """Cells of `level` or more (strict: over it) become 1, others 0."""
+    return Step({}, lambda m, c: (m.with_data(m.data > level if strict else m.data >= level), c))
+
+
+def measuring(rule: str = "ones") -> Step:
+    count = {"ones": lambda v: v == 1, "nonzero": lambda v: v != 0, "sum": lambda v: v}[rule]
+    return Step({"area": "double"}, lambda m, c: (m, c | {"area": _nulls(packed.sums(m, count(m.data)), m.ok)}))
+
+
+def keeping(test: Callable[[np.ndarray], np.ndarray], column: str = "area") -> Step:
+    """Only rows whose column, not null, passes a test."""
+
+    def run(m, c):
+        v = c[column]
+        flag = test(v.to_numpy(zero_copy_only=False)) & v.is_valid().to_numpy(zero_copy_only=False)
+        return m.taken(flag), {k: x.filter(pa.array(flag)) for k, x in c.items()}
+
+    return Step({}, run)
+
+
+LARGEST = Step({}, lambda m, c: (packed.largest_parts(m), c))
 
-    return df.mapInPandas(run, schema)
+
+def filling(smaller_than: int | None = None) -> Step:
+    return Step({}, lambda m, c: (m.with_data(packed.holes_filled(m, m.data > 0, smaller_than)), c))
+
+
+def _cut(m, c):
+    small, row0, col0 = packed.cropped(m)
+    return small, c | {"row0": _nulls(row0, m.ok), "col0": _nulls(col0, m.ok)}
+
+
+CROP = Step({"row0": "int", "col0": "int"}, _cut)
+TRACERS = {"isoline": packed.traced_isolines, "border": packed.traced_borders}
+
+
+def tracing(tracer: str = "isoline") -> Step:
+    trace = TRACERS[tracer]
+    return Step({"polygon": geometry.RING}, lambda m, c: (m, c | {"polygon": packed.rings(*trace(m))}))
+
+
+def checking(min_area: int = 4) -> Step:
+    def run(m, c):
+        flag = m.data > 0
+        ok = (packed.sums(m, flag) >= min_area) & (packed.part_counts(m, flag, eight=True) == 1) & (packed.isoline_counts(m.with_data(flag)) == 1)
+        return m, c | {"is_valid": _nulls(ok, m.ok)}
+
+    return Step({"is_valid": "boolean"}, run)
 
 
 def resized(df: DataFrame, h: int, w: int, how: str, mask: str = "mask") -> DataFrame:
     """Masks resampled to h x w: area, nearest, bilinear or cubic."""
-    return _map_masks(df, {mask: MASK}, lambda a, _: (to_mask(images.resize(a, h, w, how)),), mask)
+    return apply(df, resizing(h, w, how), mask=mask)
 
 
 def binarised(df: DataFrame, level: float = 0.5, mask: str = "mask") -> DataFrame:
     """Cells of `level` or more become 1, others 0."""
-    return _map_masks(df, {mask: MASK}, lambda a, _: (to_mask(a >= level),), mask)
+    return apply(df, cutting(level), mask=mask)
 
 
 def with_area(df: DataFrame, rule: str = "ones", mask: str = "mask") -> DataFrame:
     """df with area: the count of cells that are exactly 1 ("ones"), not 0 ("nonzero"), or the sum ("sum")."""
-    count = {"ones": lambda a: (a == 1).sum(), "nonzero": np.count_nonzero, "sum": np.sum}[rule]
-    return _map_masks(df, {"area": "double"}, lambda a, _: (float(count(a)),), mask)
+    return apply(df, measuring(rule), mask=mask)
 
 
 def kept_component(df: DataFrame, mask: str = "mask") -> DataFrame:
     """Masks reduced to their largest 4-connected part with holes filled."""
-    return _map_masks(df, {mask: MASK}, lambda a, _: (to_mask(images.largest_component(a > 0)),), mask)
+    return apply(df, LARGEST, mask=mask)
 
 
 def cropped(df: DataFrame, mask: str = "mask") -> DataFrame:
     """Masks cut to their box, with the box's row0 and col0."""
-
-    def one(a, _):
-        small, r, c = images.crop(a)
-        return to_mask(small), r, c
-
-    return _map_masks(df, {mask: MASK, "row0": "int", "col0": "int"}, one, mask)
-
-
-TRACERS = {"isoline": images.trace_isoline, "border": images.trace_border}
+    return apply(df, CROP, mask=mask)
 
 
 def contours(df: DataFrame, tracer: str = "isoline", mask: str = "mask") -> DataFrame:
     """df with polygon: the mask's contour, (x, y) = (column, row); null for empty masks."""
-    trace = TRACERS[tracer]
-
-    def one(a, _):
-        p = trace(a)
-        return ([{"x": float(x), "y": float(y)} for x, y in p],) if p is not None else None
-
-    return _map_masks(df, {"polygon": geometry.RING}, one, mask)
+    return apply(df, tracing(tracer), mask=mask)
 
 
 def validity(df: DataFrame, min_area: int = 4, mask: str = "mask") -> DataFrame:
     """df with is_valid: enough area, one 8-connected part and one contour (no holes)."""
+    return apply(df, checking(min_area), mask=mask)
 
-    def one(a, _):
-        m = a > 0
-        return (bool(m.sum() >= min_area and images.components(m, eight=True)[1] == 1 and len(images.isoline(m)) == 1),)
-
-    return _map_masks(df, {"is_valid": "boolean"}, one, mask)
 
+def _sizing(slice_size: int, downscale: bool, area_rule: str) -> list[Step]:
+    return [resizing(slice_size, slice_size, "area")] * downscale + [measuring(area_rule)]
 
-def _sized(raw: DataFrame, slice_size: int, downscale: bool, area_rule: str) -> DataFrame:
-    return with_area(resized(raw, slice_size, slice_size, "area") if downscale else raw, area_rule)
 
-
-def _traced(sized: DataFrame, tracer: str, mask_rule: str) -> DataFrame:
-    found = _map_masks(sized, {"mask": MASK}, lambda a, _: (to_mask(a > 0),)) if mask_rule == "positive" else sized
-    return contours(found, tracer)
+def _drawing(tracer: str, mask_rule: str) -> list[Step]:
+    return [cutting(0, strict=True)] * (mask_rule == "positive") + [tracing(tracer)]
 
 
 _DRAWN = "polygon IS NOT NULL AND size(polygon) >= 3"
 
 
 def detections(raw: DataFrame, categories: DataFrame, slice_size: int, min_area: float = 6, downscale: bool = True, tracer: str = "isoline", area_rule: str = "ones", mask_rule: str = "as is", demote: bool = True) -> DataFrame:
-    """Detection rows in scene pixels from raw detections: the first path.
+    """Detection rows in scene pixels from raw detections: the first path, one pass over the masks.
 
     Masks are brought to the slice's size by area means, or kept and their polygons scaled; rows of min_area or less, of
     failed or short contours and of unknown classes go. categories: category_id, category_name.
     """
-    found = _sized(raw, slice_size, downscale, area_rule).where(F.col("area") > min_area)
-    found = _traced(found, tracer, mask_rule).where(_DRAWN)
+    own = raw.select("scene_id", "tile_id", "local_id", "score", "category_id", "x0", "y0", F.col("mask.h").alias("_h"), "mask")
+    found = apply(own, *_sizing(slice_size, downscale, area_rule), keeping(lambda v: v > min_area), *_drawing(tracer, mask_rule), keep_mask=False).where(_DRAWN)
     if not downscale:
-        found = found.withColumn("polygon", geometry.rescale(F.col("polygon"), F.col("mask.h"), float(slice_size)))
+        found = found.withColumn("polygon", geometry.rescale(F.col("polygon"), F.col("_h"), float(slice_size)))
     found = found.withColumn("is_within_slice", geometry.well_inside(F.col("polygon"), slice_size))
     if demote:
         found = found.withColumn("score", geometry.demoted(F.col("score"), F.col("is_within_slice")))
@@ -134,19 +194,19 @@ def detections(raw: DataFrame, categories: DataFrame, slice_size: int, min_area:
 
 def rejects(raw: DataFrame, categories: DataFrame, slice_size: int, min_area: float = 6, downscale: bool = True, tracer: str = "isoline", area_rule: str = "ones", mask_rule: str = "as is") -> DataFrame:
     """Why detections() of the same parameters leaves rows out: scene_id, reason (area, contour or category, the first that holds), n."""
-    sized = written(_sized(raw, slice_size, downscale, area_rule).select("scene_id", "category_id", "area", "mask"))
-    large = sized.where(F.col("area") > min_area)
-    drawn = _traced(large, tracer, mask_rule).select("scene_id", "category_id", F.expr(_DRAWN).alias("ok"))
+    own = raw.select("scene_id", "category_id", "mask")
+    drawn = apply(own, *_sizing(slice_size, downscale, area_rule), *_drawing(tracer, mask_rule), keep_mask=False)
     known = drawn.join(F.broadcast(categories.select("category_id", F.lit(True).alias("named")).distinct()), "category_id", "left")
-    small = sized.where(~F.coalesce(F.col("area") > min_area, F.lit(False))).select("scene_id", F.lit("area").alias("reason"))
-    others = known.select("scene_id", F.when(~F.col("ok"), "contour").when(F.col("named").isNull(), "category").alias("reason")).where("reason IS NOT NULL")
-    return small.unionByName(others).groupBy("scene_id", "reason").agg(F.count("*").alias("n"))
+    large, ok = F.coalesce(F.col("area") > min_area, F.lit(False)), F.expr(_DRAWN)
+    reason = F.when(~large, "area").when(~ok, "contour").when(F.col("named").isNull(), "category")
+    return known.select("scene_id", reason.alias("reason")).where("reason IS NOT NULL").groupBy("scene_id", "reason").agg(F.count("*").alias("n"))
 
 
 def component_detections(raw: DataFrame, inference_size: int, min_area: float = 4, tracer: str = "border") -> DataFrame:
-    """Detection rows in scene pixels: the second path. Nearest resampling, rows under min_area go, largest part, contour."""
-    found = with_area(resized(raw, inference_size, inference_size, "nearest"), "sum").where(F.col("area") >= min_area)
-    found = contours(kept_component(found), tracer).where(F.col("polygon").isNotNull() & (F.size("polygon") >= 3))
+    """Detection rows in scene pixels: the second path. Nearest resampling, rows under min_area go, largest part, contour; one pass."""
+    own = raw.select("scene_id", "tile_id", "local_id", "score", "category_id", "x0", "y0", "sw", "sh", "mask")
+    steps = resizing(inference_size, inference_size, "nearest"), measuring("sum"), keeping(lambda v: v >= min_area), LARGEST, tracing(tracer)
+    found = apply(own, *steps, keep_mask=False).where(_DRAWN)
     scaled = F.transform("polygon", lambda v: geometry.point(v["x"] * F.col("sw") / inference_size + F.col("x0"), v["y"] * F.col("sh") / inference_size + F.col("y0")))
     return found.withColumn("polygon", scaled).select("scene_id", "tile_id", "local_id", "score", "polygon", "category_id")
 
@@ -177,14 +237,17 @@ def pixels(df: DataFrame, key: str = "det_id", mask: str = "mask") -> DataFrame:
     """Masks exploded to (key, row, col, w), cells over 0 only."""
     kind = df.schema[key].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for k, m in zip(pdf[key], pdf[mask], strict=True):
-                a = to_array(m)
-                r, c = np.nonzero(a > 0)
-                yield pd.DataFrame({key: k, "row": r.astype("int32"), "col": c.astype("int32"), "w": a[r, c].astype(float)})
-
-    return df.select(key, mask).mapInPandas(run, f"{key} {kind}, row int, col int, w double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m = packed.from_arrow(batch.column(mask))
+            r, _ = packed.runs(m, m.data > 0)
+            n = r.last - r.first
+            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            row, col, cell = np.repeat(r.row, n), np.repeat(r.column, n) + step, np.repeat(r.first, n) + step
+            keys = batch.column(key).take(pa.array(np.repeat(r.mask, n)))
+            yield pa.RecordBatch.from_arrays([keys, pa.array(row.astype(np.int32)), pa.array(col.astype(np.int32)), pa.array(m.data[cell].astype(float))], [key, "row", "col", "w"])
+
+    return df.select(key, mask).mapInArrow(run, f"{key} {kind}, row int, col int, w double")
 
 
 def block_means(px: DataFrame, factor: int, key: str = "det_id") -> DataFrame:

@@ -202,8 +202,7 @@ def b13_borders(spark, sf_dir):
 
 @query(f"WITH {RECT} SELECT det_id, mh * mw >= 12 AS is_valid, (mh * mw)::DOUBLE AS area, 1 AS row0, 1 AS col0 FROM fx_rects")
 def b15_valid_masks(spark, sf_dir):
-    found = masks.validity(masks.with_area(masks.kept_component(fx.masks(spark, sf_dir))), 12)
-    return masks.cropped(found).select("det_id", "is_valid", "area", "row0", "col0")
+    return masks.apply(fx.masks(spark, sf_dir), masks.LARGEST, masks.measuring(), masks.checking(12), masks.CROP, keep_mask=False).select("det_id", "is_valid", "area", "row0", "col0")
 
 
 @query(f"""WITH {DET}, d AS (SELECT det_id, score, x0 % 128 AS px, y0 % 128 AS py, x1 - x0 AS w, y1 - y0 AS h FROM fx_detections)

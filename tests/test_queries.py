@@ -425,6 +425,25 @@ def test_neighbours_of_crowded_points(spark, monkeypatch):
     assert made[0].count() < 12 * k * len(xy)  # all pairs up to dmax would be about a million
 
 
+def test_steps_on_masks(spark):
+    """Steps one by one give what one pass gives; null and broken masks give nulls, rows that fail a test go."""
+    rng = np.random.default_rng(6)
+    cells = [np.asarray(rng.random((h, w)) < 0.7, np.float32) for h, w in rng.integers(1, 20, (25, 2))]
+    rows = [(i, masks.to_mask(a), f"m{i}") for i, a in enumerate(cells)] + [(90, None, None), (91, {"h": 3, "w": 3, "data": b"12"}, "x"), (92, {"h": 0, "w": 0, "data": b""}, "y")]
+    df = spark.createDataFrame(rows, f"det_id long, mask {masks.MASK}, area string").drop("area").withColumn("note", F.lit("n"))
+    once = masks.apply(df, masks.resizing(8, 8, "nearest"), masks.measuring("sum"), masks.LARGEST, masks.checking(4), masks.CROP, masks.tracing("border"))
+    chain = masks.contours(masks.cropped(masks.validity(masks.kept_component(masks.with_area(masks.resized(df, 8, 8, "nearest"), "sum")), 4)), "border")
+    order = sorted(once.columns)
+    assert once.select(order).orderBy("det_id").collect() == chain.select(order).orderBy("det_id").collect()
+    bad = {r["det_id"]: r for r in once.collect() if r["det_id"] >= 90}
+    assert all(bad[i]["mask"] is None and bad[i]["area"] is None and bad[i]["polygon"] is None and bad[i]["note"] == "n" for i in (90, 91, 92))
+    assert masks.with_area(df).where("det_id = 92").first()["area"] == 0
+    kept = masks.apply(df, masks.measuring("nonzero"), masks.keeping(lambda v: v > 40), keep_mask=False)
+    assert {r["det_id"]: r["area"] for r in kept.collect()} == {i: a.sum() for i, a in enumerate(cells) if a.sum() > 40}
+    px = masks.pixels(df.where("det_id < 91"))
+    assert {(r["det_id"], r["row"], r["col"]) for r in px.collect()} == {(i, y, x) for i, a in enumerate(cells) for y, x in zip(*map(list, np.nonzero(a)), strict=True)}
+
+
 def test_empty_inputs(spark):
     d = fx.detections(spark, SF).limit(0)
     assert masks.georeferenced(d.withColumnRenamed("geometry", "polygon"), fx.scenes(spark, SF)).count() == 0
