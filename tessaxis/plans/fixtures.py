@@ -130,6 +130,38 @@ def piece_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.withColumn("height", F.least(F.lit(side), F.col("height") - side * F.col("scene_id")).cast("int"))
 
 
+BLOB_BLOCK, BLOBS_A_ROW = 16, 16
+
+
+def blob_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three rasters of 16 x 16 blocks, 16 a row: each customer is a block with one rectangle of one brightness on black."""
+    import numpy as np
+    import pandas as pd
+
+    def run(batches):
+        for pdf in batches:
+            made = np.zeros((len(pdf), BLOB_BLOCK, BLOB_BLOCK), np.uint8)
+            for a, x, y, w, h, v in zip(made, *(pdf[c] for c in ("x", "y", "w", "h", "v")), strict=True):
+                a[y : y + h, x : x + w] = v
+            yield pdf[["scene_id", "block_row", "block_col"]].assign(h=BLOB_BLOCK, w=BLOB_BLOCK, pixels=[a.tobytes() for a in made])
+
+    rows = table(spark, sf_dir, "customer").selectExpr("cast(c_custkey AS long) AS k").selectExpr(
+        "k % 3 AS scene_id", f"cast(k div 3 div {BLOBS_A_ROW} AS int) AS block_row", f"cast(k div 3 % {BLOBS_A_ROW} AS int) AS block_col",
+        "cast(2 + 7 * k % 3 AS int) AS x", "cast(2 + k % 4 AS int) AS y", "cast(4 + k % 5 AS int) AS w", "cast(3 + k div 5 % 7 AS int) AS h", "cast(160 + 13 * k % 90 AS int) AS v",
+    )
+    return rows.mapInPandas(run, "scene_id long, block_row int, block_col int, h int, w int, pixels binary")
+
+
+def blob_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scenes of blob_blocks: pixels of 2 map units, origin (1000, 5000), with footprints."""
+    size = table(spark, sf_dir, "customer").selectExpr("cast(c_custkey AS long) AS k").groupBy(F.expr("k % 3").alias("scene_id")).agg(F.expr(f"cast((max(k div 3) div {BLOBS_A_ROW} + 1) * {BLOB_BLOCK} AS int)").alias("height"))
+    each = size.selectExpr(
+        "scene_id", f"{BLOB_BLOCK * BLOBS_A_ROW} AS width", "height", "2.0D AS res",
+        "named_struct('a', 2.0D, 'b', 0.0D, 'c', 1000.0D, 'd', 0.0D, 'e', -2.0D, 'f', 5000.0D) AS transform",
+    )
+    return each.withColumn("footprint", geometry.box_ring(geometry.box(F.lit(1000.0), 5000 - 2.0 * F.col("height"), 1000 + 2.0 * F.col("width"), F.lit(5000.0))))
+
+
 def grid_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scenes of many sizes, one a customer."""
     return table(spark, sf_dir, "customer").selectExpr("cast(c_custkey AS long) AS scene_id", "cast(300 + 97 * (c_custkey % 25) AS int) AS width", "cast(250 + 61 * (c_custkey % 25) AS int) AS height")

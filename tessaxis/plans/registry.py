@@ -851,3 +851,44 @@ def predict_scene(spark, sf_dir):
     """The second scene pipeline with the stand-in model: its orientation table."""
     found = pipeline.predict_scene(fx.piece_scenes(spark, sf_dir), fx.piece_blocks(spark, sf_dir), fx.BLOCK, tiles.threshold_predictor(138, 8), 32, 0.2, 0.5, 8)[1]
     return found.select("scene_id", "det_id", "score", "angle180", "aspect_ra", "diameter_m")
+
+
+_STARTS = "CASE WHEN {s} <= 64 THEN [0] WHEN ({s} - 64) % 48 = 0 THEN range(0, {s} - 63, 48) ELSE list_append(range(0, {s} - 63, 48), {s} - 64) END"
+#: What the stand-in model finds in tiles of 64 with a quarter of overlap: rectangles cut by the tiles, in pixels of the scene.
+BLOBS = f"""fx_blobs AS (SELECT k % 3 AS scene_id, k // 3 AS blob, 16 * (k // 3 % 16) + 2 + 7 * k % 3 AS x0, 16 * (k // 48) + 2 + k % 4 AS y0, 4 + k % 5 AS w, 3 + k // 5 % 7 AS h, 160 + 13 * k % 90 AS v FROM (SELECT c_custkey AS k FROM customer)),
+sizes AS (SELECT scene_id, 256 AS width, (max(blob) // 16 + 1) * 16 AS height FROM fx_blobs GROUP BY 1), offs AS (SELECT *, {_STARTS.format(s='width')} AS xo, {_STARTS.format(s='height')} AS yo FROM sizes),
+tiled AS (SELECT scene_id, width, height, (yi - 1) * len(xo) + xi - 1 AS tile_id, xo[xi] AS tx, yo[yi] AS ty FROM (SELECT *, unnest(range(1, len(xo) + 1)) AS xi FROM (SELECT *, unnest(range(1, len(yo) + 1)) AS yi FROM offs))),
+parts AS (SELECT t.*, blob, v / 255::DOUBLE AS score, greatest(b.x0, tx) AS x0, greatest(b.y0, ty) AS y0, least(b.x0 + w, tx + 64) AS x1, least(b.y0 + h, ty + 64) AS y1 FROM tiled t JOIN fx_blobs b ON t.scene_id = b.scene_id AND b.x0 < tx + 64 AND b.x0 + w > tx AND b.y0 < ty + 64 AND b.y0 + h > ty),
+found AS (SELECT *, row_number() OVER (PARTITION BY scene_id, tile_id ORDER BY y0, x0) - 1 AS local_id FROM parts WHERE (x1 - x0) * (y1 - y0) >= 3)"""
+_STAYS = """r AS (SELECT *, row_number() OVER (PARTITION BY scene_id, blob ORDER BY score DESC, det_id) AS n FROM c),
+g AS (SELECT scene_id, blob, n, [{{'i': det_id, 'a': xa, 'b': ya, 'c': xb, 'd': yb}}] AS l FROM r WHERE n = 1 UNION ALL SELECT r.scene_id, r.blob, r.n, CASE WHEN len(list_filter(l, lambda p: greatest(least(p.c, xb) - greatest(p.a, xa), 0) * greatest(least(p.d, yb) - greatest(p.b, ya), 0)
+  > {iou} * ((p.c - p.a) * (p.d - p.b) + (xb - xa) * (yb - ya) - greatest(least(p.c, xb) - greatest(p.a, xa), 0) * greatest(least(p.d, yb) - greatest(p.b, ya), 0)))) > 0 THEN l ELSE list_append(l, {{'i': det_id, 'a': xa, 'b': ya, 'c': xb, 'd': yb}}) END
+  FROM g JOIN r ON r.scene_id = g.scene_id AND r.blob = g.blob AND r.n = g.n + 1),
+stays AS (SELECT scene_id, unnest(arg_max(l, n)).i AS det_id FROM g GROUP BY scene_id, blob)"""
+
+
+@query(f"""WITH {BLOBS} SELECT scene_id, tile_id::BIGINT AS tile_id, local_id::INT AS local_id, round(score, 9) AS score, (x0 - tx)::DOUBLE AS x1, (y0 - ty)::DOUBLE AS y1, (x1 - tx)::DOUBLE AS x2, (y1 - ty)::DOUBLE AS y2, ((x1 - x0) * (y1 - y0))::DOUBLE AS area FROM found WHERE score >= 0.7""")
+def b4_detect_blobs(spark, sf_dir):
+    """The stand-in model on tiles of three scenes: boxes, scores and areas of masks."""
+    cut = tiles.tiles(fx.blob_scenes(spark, sf_dir), fx.blob_blocks(spark, sf_dir), fx.BLOB_BLOCK, 64, 0.25)
+    raw = tiles.detect(cut, tiles.threshold_predictor(150, 3), min_score=0.7).select("scene_id", "tile_id", "local_id", "score", "box", "mask")
+    return masks.apply(raw, masks.measuring(), keep_mask=False).select("scene_id", "tile_id", "local_id", r("score", 9).alias("score"), "box.*", "area")
+
+
+@query(f"""WITH RECURSIVE {BLOBS}, kept AS (SELECT scene_id, blob, tile_id * 1048576 + local_id AS det_id, x0 AS xa, y0 AS ya, x1 AS xb, y1 AS yb, score AS whole, least(x0, width - x1, y0, height - y1) <= 6.4 AS is_at_edge,
+  x0 - tx - 0.5 >= 3.2 AND x1 - tx - 0.5 <= 60.8 AND y0 - ty - 0.5 >= 3.2 AND y1 - ty - 0.5 <= 60.8 AS inside FROM found WHERE score >= 0.7 AND (x1 - x0) * (y1 - y0) > 6),
+c AS (SELECT *, CASE WHEN inside THEN whole ELSE 0.10 END AS score FROM kept WHERE inside OR is_at_edge QUALIFY row_number() OVER (PARTITION BY scene_id, xa, ya, xb, yb ORDER BY det_id) = 1), {_STAYS.format(iou=0.2)}
+SELECT scene_id, det_id::BIGINT AS det_id, round(score, 9) AS score, 'boulder' AS category_name, is_at_edge, (1000 + 2 * xa)::DOUBLE AS xmin, (5000 - 2 * yb)::DOUBLE AS ymin, (1000 + 2 * xb)::DOUBLE AS xmax, (5000 - 2 * ya)::DOUBLE AS ymax FROM c JOIN stays USING (scene_id, det_id)""")
+def sliced_prediction_blobs(spark, sf_dir):
+    """The first scene pipeline on rectangles of known places in three scenes."""
+    names = spark.createDataFrame([(1, "boulder")], "category_id int, category_name string")
+    kept = pipeline.sliced_prediction(fx.blob_scenes(spark, sf_dir), fx.blob_blocks(spark, sf_dir), fx.BLOB_BLOCK, tiles.threshold_predictor(150, 3), names, 64, 0.25, 0.7, 6)[1]
+    return kept.select("scene_id", "det_id", r("score", 9).alias("score"), "category_name", "is_at_edge", "bbox.*")
+
+
+@query(f"""WITH RECURSIVE {BLOBS}, c AS (SELECT scene_id, blob, tile_id * 1048576 + local_id AS det_id, score, x0 AS xa, y0 AS ya, x1 - 1 AS xb, y1 - 1 AS yb FROM found WHERE score >= 0.7 AND (x1 - x0) * (y1 - y0) >= 4 AND x1 - x0 > 1 AND y1 - y0 > 1), {_STAYS.format(iou=0.5)}
+SELECT scene_id, det_id::BIGINT AS det_id, round(score, 9) AS score, (1001 + 2 * xa)::DOUBLE AS xmin, (4999 - 2 * yb)::DOUBLE AS ymin, (1001 + 2 * xb)::DOUBLE AS xmax, (4999 - 2 * ya)::DOUBLE AS ymax FROM c JOIN stays USING (scene_id, det_id)""")
+def predict_scene_blobs(spark, sf_dir):
+    """The second scene pipeline on the same rectangles: outlines through pixel centers after suppression."""
+    kept = pipeline.predict_scene(fx.blob_scenes(spark, sf_dir), fx.blob_blocks(spark, sf_dir), fx.BLOB_BLOCK, tiles.threshold_predictor(150, 3), 64, 0.25, 0.7, 4)[0]
+    return kept.select("scene_id", "det_id", r("score", 9).alias("score"), "bbox.*")
