@@ -81,7 +81,7 @@ def threshold_measure(level: float, by: list[str], min_pixels: int = 5) -> Measu
 def detections_in_place(scenes: DataFrame, blocks: DataFrame, block: int, size: int, measure: Measure) -> DataFrame:
     """Detections of non-overlapping tiles, border tiles of 32 pixels or more included, at scene pixels; failed fits stay."""
     grid = tiles.plain_grid(scenes, size, ragged_least=32)
-    cut = tiles.read_windows(grid, blocks, block)
+    cut = tiles.read_grid(grid, blocks, block, size)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -93,7 +93,7 @@ def detections_in_place(scenes: DataFrame, blocks: DataFrame, block: int, size:
 
 def detect_orientations(scenes: DataFrame, blocks: DataFrame, block: int, size: int, measure: Measure, aspect_min: float = 1.35) -> DataFrame:
     """Detections of full non-overlapping tiles with an angle and aspect_min or more."""
-    cut = tiles.read_windows(tiles.plain_grid(scenes, size), blocks, block)
+    cut = tiles.read_grid(tiles.plain_grid(scenes, size), blocks, block, size)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

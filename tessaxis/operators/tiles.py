@@ -2,13 +2,15 @@
 
 A raster is a row of `scenes` (scene_id, width, height, transform a..f, res, crs, convergence_deg, footprint) and rows of
 `blocks` (scene_id, block_row, block_col, h, w, pixels: uint8 bytes by rows) of one size. Windows are cut from blocks by
-an equi-join on block numbers; the parts of a few windows at a time are put together in tasks. Outside is 0.
+an equi-join on block numbers; the parts of a few windows at a time are put together in tasks. Tiles that cover a raster
+are cut by strips: blocks go to the strip of tiles that they lie in, and only those of its rim to others. Outside is 0.
 """
 
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -72,9 +74,53 @@ def read_windows(windows: DataFrame, blocks: DataFrame, block: int, key: str = "
     return grouped.applyInPandas(stitch, f"scene_id long, {key} {kind}, x0 int, y0 int, sw int, sh int, pixels binary")
 
 
+def strip_side(block: int, size: int, step: int, pixels: int = 1 << 24) -> int:
+    """The side of a strip, whole blocks long, whose canvas and whose tiles of a size and step each have about so many pixels at most."""
+    side = int(pixels**0.5)
+    return max(min(side - size, side * step // size) // block, 1) * block
+
+
+def in_strips(blocks: DataFrame, block: int, size: int, side: int) -> DataFrame:
+    """blocks with the strips (strip_row, strip_col) whose tiles may touch them: their own, and those just before them that reach over by a tile."""
+    first = lambda c: F.greatest(F.floor((F.col(c) * block - size - side + 1) / side) + 1, F.lit(0).cast("long"))
+    spread = lambda c: F.explode(F.sequence(first(c), F.floor((F.col(c) * block + block - 1) / side)))
+    return blocks.withColumn("strip_row", spread("block_row")).withColumn("strip_col", spread("block_col"))
+
+
+def read_grid(grid: DataFrame, blocks: DataFrame, block: int, size: int, step: int | None = None, side: int | None = None) -> DataFrame:
+    """As read_windows(), for tiles of at most `size` that cover a raster: each goes to the strip that holds its corner.
+
+    Strips are squares of `side` pixels. A block is shuffled once to its own strip, and again only if it lies in the rim of
+    a tile's size beyond another one, so about (1 + size / side) ^ 2 times the raster moves, whatever the overlap.
+    """
+    side = side or strip_side(block, size, step or size)
+    strip = ["scene_id", "strip_row", "strip_col"]
+    at = lambda c: F.floor(F.col(c) / side)
+    wanted = grid.select("scene_id", "tile_id", "x0", "y0", "sw", "sh").withColumns({"strip_row": at("y0"), "strip_col": at("x0")})
+    parts = in_strips(blocks.select("scene_id", "block_row", "block_col", "h", "w", "pixels"), block, size, side)
+    parts = parts.join(wanted.select(*strip).distinct(), strip, "left_semi")
+    kind = grid.schema["scene_id"].dataType.simpleString()
+
+    def stitch(windows: pa.Table, found: pa.Table) -> pa.Table:
+        x0, y0, sw, sh = (windows.column(c).to_numpy().astype(np.int64) for c in ("x0", "y0", "sw", "sh"))
+        top, left = (y0.min(), x0.min()) if len(x0) else (0, 0)
+        canvas = np.zeros((int((y0 + sh).max() - top), int((x0 + sw).max() - left)) if len(x0) else (0, 0), np.uint8)
+        for row, col, h, w, data in zip(*(found.column(c).to_pylist() for c in ("block_row", "block_col", "h", "w")), found.column("pixels"), strict=True):
+            if None in (row, col, h, w) or not data.is_valid:
+                continue
+            y, x = row * block - top, col * block - left
+            ya, xa, yb, xb = max(y, 0), max(x, 0), min(y + h, canvas.shape[0]), min(x + w, canvas.shape[1])
+            if ya < yb and xa < xb:
+                canvas[ya:yb, xa:xb] = np.frombuffer(data.as_buffer(), np.uint8).reshape(h, w)[ya - y : yb - y, xa - x : xb - x]
+        cut = [canvas[y - top : y - top + h, x - left : x - left + w].tobytes() for x, y, w, h in zip(x0, y0, sw, sh, strict=True)]
+        return windows.select(["scene_id", "tile_id", "x0", "y0", "sw", "sh"]).append_column("pixels", pa.array(cut, pa.binary()))
+
+    return wanted.groupBy(*strip).cogroup(parts.groupBy(*strip)).applyInArrow(stitch, f"scene_id {kind}, tile_id {grid.schema['tile_id'].dataType.simpleString()}, x0 int, y0 int, sw int, sh int, pixels binary")
+
+
 def tiles(scenes: DataFrame, blocks: DataFrame, block: int, size: int, overlap: float = 0.2) -> DataFrame:
     """All overlapping tiles of the scenes with their pixels."""
-    return read_windows(tile_grid(scenes, size, overlap), blocks, block)
+    return read_grid(tile_grid(scenes, size, overlap), blocks, block, size, max(round(size * (1 - overlap)), 1))
 
 
 def random_windows(scenes: DataFrame, size: int, tries: int, seed: int = 0) -> DataFrame:

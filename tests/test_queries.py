@@ -444,6 +444,19 @@ def test_steps_on_masks(spark):
     assert {(r["det_id"], r["row"], r["col"]) for r in px.collect()} == {(i, y, x) for i, a in enumerate(cells) for y, x in zip(*map(list, np.nonzero(a)), strict=True)}
 
 
+@pytest.mark.parametrize(("size", "overlap", "side"), [(20, 0.2, 24), (20, 0.75, 40), (32, 0.0, 32), (9, 0.5, 8), (64, 0.25, None)])
+def test_tiles_by_strips(spark, size, overlap, side):
+    """Strips give the pixels that windows one by one give; blocks move by the strips' rims, not by the overlap."""
+    scenes, blocks = fx.piece_scenes(spark, SF), fx.piece_blocks(spark, SF).where("block_row <> 3 OR block_col <> 5")
+    grid = tiles.tile_grid(scenes, size, overlap)
+    want = {(r["scene_id"], r["tile_id"]): bytes(r["pixels"]) for r in tiles.read_windows(grid, blocks, fx.BLOCK).collect()}
+    got = tiles.read_grid(grid, blocks, fx.BLOCK, size, side=side).collect()
+    assert len(got) == len(want) and {(r["scene_id"], r["tile_id"]): bytes(r["pixels"]) for r in got} == want
+    side = side or tiles.strip_side(fx.BLOCK, size, size)
+    total = lambda df: df.agg(F.sum(F.length("pixels"))).first()[0]
+    assert total(tiles.in_strips(blocks, fx.BLOCK, size, side)) <= (1 + -(-size // fx.BLOCK) * fx.BLOCK / side) ** 2 * total(blocks)
+
+
 def test_empty_inputs(spark):
     d = fx.detections(spark, SF).limit(0)
     assert masks.georeferenced(d.withColumnRenamed("geometry", "polygon"), fx.scenes(spark, SF)).count() == 0
