@@ -52,8 +52,8 @@ def sized_pairs(a: DataFrame, b: DataFrame, on: list[str], pad: float = 0.0) ->
     Each row is at most four rows for each level that the other side has, some tens at most for all sizes of doubles.
     """
     own_a, own_b = a.withColumn("_own", level(F.col("box_a"))), b.withColumn("_own", level(F.col("box_b"), pad))
-    of = lambda df: F.array(*(F.lit(r[0]) for r in df.select("_own").distinct().orderBy("_own").collect())).cast("array<int>")
-    levels_a, levels_b = of(own_a), of(own_b)
+    found = [sorted(r[0] for r in df.select("_own").distinct().collect()) for df in (own_a, own_b)]
+    levels_a, levels_b = (F.array(*map(F.lit, v)).cast("array<int>") for v in found)
 
     def at(df: DataFrame, box: Column, levels: Column, wide: float) -> DataFrame:
         df = df.withColumn("_level", F.explode(levels))
@@ -70,7 +70,10 @@ def sized_pairs(a: DataFrame, b: DataFrame, on: list[str], pad: float = 0.0) ->
         return left.join(right, [*on, "_level", "cx", "cy"]).where(meets & here).drop("_level", "cx", "cy")
 
     alone = F.array("_own")
-    return joined(alone, F.filter(levels_a, lambda v: v >= F.col("_own"))).unionByName(joined(F.filter(levels_b, lambda v: v > F.col("_own")), alone))
+    in_a = joined(alone, F.filter(levels_a, lambda v: v >= F.col("_own")))
+    if not all(found) or found[1][-1] <= found[0][0]:  # as with points: no b is larger than an a
+        return in_a
+    return in_a.unionByName(joined(F.filter(levels_b, lambda v: v > F.col("_own")), alone))
 
 
 def near_boundary(dets: DataFrame, footprints: DataFrame, distance: Column, cell: float, key: str = "det_id") -> DataFrame:
