@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessaxis.functions import axial, geometry, images
+from tessaxis.sources.layers import sample_n
 
 
 def _fitted(df: DataFrame, names: list[str], fit) -> DataFrame:
@@ -47,14 +48,9 @@ def attach_orientations(dets: DataFrame, res: float | Column, ring: str = "geome
     return ellipse_fits(dets, ring, res).withColumn("diameter_m", geometry.diameter(geometry.area(F.col(ring))))
 
 
-def sample_rows(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
-    """n rows by the order of a seeded hash of their key."""
-    return df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
-
-
 def orientations(dets: DataFrame, res: float | Column, sample: int | None = None, seed: int = 0, key: str = "det_id") -> DataFrame:
     """Orientation table: fits of all or of `sample` detections, failures dropped."""
-    return attach_orientations(sample_rows(dets, sample, key, seed) if sample else dets, res).dropna(subset=["angle180"])
+    return attach_orientations(sample_n(dets, sample, key, seed) if sample else dets, res).dropna(subset=["angle180"])
 
 
 def well_resolved(df: DataFrame, res: float, aspect_min: float = 1.35, pixels_min: float = 8) -> DataFrame:
@@ -221,4 +217,4 @@ def smoothed_ring_angles(df: DataFrame, res: float, smooth_px: float = 2.0, ring
 
 def grid_corrected_angles(dets: DataFrame, res: float, smooth_px: float = 2.0, n: int = 20_000, aspect_min: float = 1.0, seed: int = 0, key: str = "det_id") -> DataFrame:
     """Raw and smoothed angles of n sampled detections, those of aspect_min or more."""
-    return smoothed_ring_angles(sample_rows(dets, n, key, seed), res, smooth_px).where(F.col("smooth_aspect") >= aspect_min)
+    return smoothed_ring_angles(sample_n(dets, n, key, seed), res, smooth_px).where(F.col("smooth_aspect") >= aspect_min)

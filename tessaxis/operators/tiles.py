@@ -124,8 +124,9 @@ def tiles(scenes: DataFrame, blocks: DataFrame, block: int, size: int, overlap:
 
 
 def random_windows(scenes: DataFrame, size: int, tries: int, seed: int = 0) -> DataFrame:
-    """scene_id, try_id, x0, y0, sw, sh: corners drawn by a hash of seed and number, half-open at the far ends."""
-    draw = lambda side, salt: F.pmod(F.xxhash64("scene_id", "try_id", F.lit(seed), F.lit(salt)), F.col(side) - size).cast("int")
+    """scene_id, try_id, x0, y0, sw, sh: corners drawn by the MD5 of "scene:try:seed:axis" (its first 60 bits), half-open at the far ends."""
+    bits = lambda axis: F.conv(F.substring(F.md5(F.concat_ws(":", F.col("scene_id").cast("string"), F.col("try_id").cast("string"), F.lit(seed), F.lit(axis))), 1, 15), 16, 10).cast("long")
+    draw = lambda side, axis: (bits(axis) % (F.col(side) - size)).cast("int")
     each = scenes.where((F.col("width") > size) & (F.col("height") > size)).select("scene_id", "width", "height", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tries - 1).cast("long"))).alias("try_id"))
     return each.select("scene_id", "try_id", draw("width", "x").alias("x0"), draw("height", "y").alias("y0"), F.lit(size).alias("sw"), F.lit(size).alias("sh"))
 

@@ -61,7 +61,8 @@ def scene_orientation(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fx.angles(spark, sf_dir).join(kept, "det_id")
     good = orientation.well_resolved(found, 0.5)
     by = ["scene_id"]
-    return orientation.scene_fractions(good, by).join(orientation.peaks(orientation.density(good, by), by), by)
+    found = orientation.scene_fractions(good, by).join(orientation.peaks(orientation.density(good, by), by), by)
+    return found.select("scene_id", "n", *(r(c).alias(c) for c in ("grid_fraction", "diagonal_fraction", "uniform_fraction", "asymmetry")), r("peak_deg", 4).alias("peak_deg"))
 
 
 QUERIES["scene_orientation"] = scene_orientation
@@ -94,7 +95,7 @@ def a3_box_scan(spark, sf_dir):
     return layers.in_box(fx.detections(spark, sf_dir), 300, 200, 900, 700).select("det_id", F.col("bbox.xmin").alias("xmin"), F.col("bbox.ymin").alias("ymin"))
 
 
-@query()
+@query(f"WITH {DET} SELECT det_id, score FROM fx_detections ORDER BY md5(det_id || ':3'), det_id LIMIT 500")
 def a4_sample(spark, sf_dir):
     return layers.sample_n(fx.detections(spark, sf_dir), 500, "det_id", 3).select("det_id", "score")
 
@@ -108,9 +109,13 @@ def a1_tiles(spark, sf_dir):
     return tiles.with_statistics(cut).select("tile_id", "x0", "y0", "total")
 
 
-@query()
+@query(f"""WITH {RASTER}, h AS (SELECT ((count(*) + 15) // 16 * 8)::INT AS height FROM embeddings), u AS (SELECT unnest(range(600)) AS i),
+w AS (SELECT i AS try_id, ('0x' || substr(md5('0:' || i || ':0:x'), 1, 15))::BIGINT % 112 AS x0, ('0x' || substr(md5('0:' || i || ':0:y'), 1, 15))::BIGINT % (height - 16) AS y0 FROM u, h WHERE height > 16),
+s AS (SELECT try_id, x0, y0, count(*) FILTER (v > 0) / 256 AS valid, sqrt(sum(v * v) / 256 - pow(sum(v) / 256, 2)) AS std FROM w JOIN fx_raster ON row >= y0 AND row < y0 + 16 AND col >= x0 AND col < x0 + 16 GROUP BY ALL)
+SELECT try_id::BIGINT AS try_id, x0::INT AS x0, y0::INT AS y0, round(valid, 6) AS valid, round(std, 6) AS std FROM s WHERE valid >= 0.95 AND std >= 5 ORDER BY try_id LIMIT 20""")
 def a5_valid_windows(spark, sf_dir):
-    return tiles.valid_windows(fx.scenes(spark, sf_dir), fx.blocks(spark, sf_dir), fx.BLOCK, 16, 20, std_min=5.0).select("try_id", "x0", "y0", "valid", "std")
+    found = tiles.valid_windows(fx.scenes(spark, sf_dir), fx.blocks(spark, sf_dir), fx.BLOCK, 16, 20, std_min=5.0)
+    return found.select("try_id", "x0", "y0", r("valid").alias("valid"), r("std").alias("std"))
 
 
 def _points(spark, sf_dir):
@@ -320,11 +325,14 @@ _PAIRS = """pairs AS (SELECT a.det_id AS a_id, b.det_id AS b_id, a.score AS sa,
   FROM fx_detections a JOIN fx_detections b ON a.scene_id = b.scene_id AND a.category_id = b.category_id AND a.det_id < b.det_id AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1)"""
 
 
-@query(f"WITH RECURSIVE {DET}, {_PAIRS}, e AS (SELECT CASE WHEN sa >= sb THEN a_id ELSE b_id END AS hi, CASE WHEN sa >= sb THEN b_id ELSE a_id END AS lo FROM pairs WHERE iw * ih / (aa + ab - iw * ih) > 0.2), "
-       """st AS (SELECT 0 AS i, list(DISTINCT hi) FILTER (hi NOT IN (SELECT lo FROM e)) AS kept, []::BIGINT[] AS dead FROM e
+_NMS = """e AS (SELECT CASE WHEN sa >= sb THEN a_id ELSE b_id END AS hi, CASE WHEN sa >= sb THEN b_id ELSE a_id END AS lo FROM pairs WHERE iw * ih / (aa + ab - iw * ih) > 0.2),
+st AS (SELECT 0 AS i, list(DISTINCT hi) FILTER (hi NOT IN (SELECT lo FROM e)) AS kept, []::BIGINT[] AS dead FROM e
   UNION ALL SELECT i + 1, (SELECT list(DISTINCT n) FROM (SELECT hi AS n FROM e UNION SELECT lo FROM e) x WHERE list_contains(st2.kept, n) OR (NOT list_contains(st2.d2, n) AND NOT EXISTS (SELECT 1 FROM e e2 WHERE e2.lo = n AND NOT list_contains(st2.d2, e2.hi)))), st2.d2
-  FROM (SELECT i, kept, (SELECT coalesce(list(DISTINCT lo), []) FROM e WHERE list_contains(st.kept, hi)) AS d2, dead FROM st) st2 WHERE i < 12)
-SELECT det_id FROM fx_detections WHERE det_id NOT IN (SELECT unnest(dead) FROM st WHERE i = 12)""")
+  FROM (SELECT i, kept, (SELECT coalesce(list(DISTINCT lo), []) FROM e WHERE list_contains(st.kept, hi)) AS d2, dead FROM st) st2 WHERE i < 12),
+kept AS (SELECT det_id, scene_id FROM fx_detections WHERE det_id NOT IN (SELECT unnest(dead) FROM st WHERE i = 12))"""
+
+
+@query(f"WITH RECURSIVE {DET}, {_PAIRS}, {_NMS} SELECT det_id FROM kept")
 def d4_nms(spark, sf_dir):
     return nms.nms(fx.detections(spark, sf_dir)).select("det_id")
 
@@ -892,3 +900,14 @@ def predict_scene_blobs(spark, sf_dir):
     """The second scene pipeline on the same rectangles: outlines through pixel centers after suppression."""
     kept = pipeline.predict_scene(fx.blob_scenes(spark, sf_dir), fx.blob_blocks(spark, sf_dir), fx.BLOB_BLOCK, tiles.threshold_predictor(150, 3), 64, 0.25, 0.7, 4)[0]
     return kept.select("scene_id", "det_id", r("score", 9).alias("score"), "bbox.*")
+
+
+_NEAR = "avg(coalesce(least({a}, {b}) <= 10, false)::INT)"
+ORACLES["scene_orientation"] = f"""WITH RECURSIVE {DET}, {ANG}, {_PAIRS}, {_NMS}, good AS (SELECT scene_id, angle180 FROM fx_angles JOIN kept USING (det_id) WHERE aspect_ra > 1.35 AND diameter_m / 0.5 >= 8),
+f AS (SELECT scene_id, count(angle180) AS n, round({_NEAR.format(a=axial_sql('angle180', 0), b=axial_sql('angle180', 90))}, 6) AS grid_fraction, round({_NEAR.format(a=axial_sql('angle180', 45), b=axial_sql('angle180', 135))}, 6) AS diagonal_fraction, round(20.0 / 90, 6)::DOUBLE AS uniform_fraction,
+  round(count(*) FILTER ({axial_sql('angle180', 135)} <= 10)::DOUBLE / nullif(count(*) FILTER ({axial_sql('angle180', 45)} <= 10), 0), 6) AS asymmetry FROM good GROUP BY 1),
+b AS (SELECT unnest(range(180)) AS bin), h AS (SELECT scene_id, least(floor(angle180), 179)::BIGINT AS bin, count(*)::DOUBLE AS c FROM good WHERE angle180 IS NOT NULL GROUP BY ALL),
+k AS (SELECT i.bin AS i, j.bin AS j, exp(-0.5 * pow(least(abs(i.bin - j.bin), 180 - abs(i.bin - j.bin)) / 4.0, 2)) AS k FROM b i, b j), p AS (SELECT scene_id, i AS bin, sum(k * c) AS d FROM k JOIN h ON k.j = h.bin GROUP BY ALL),
+m AS (SELECT scene_id, arg_max(bin, struct_pack(d := round(d, 9), b := -bin)) AS i FROM p GROUP BY 1),
+y AS (SELECT m.scene_id, i, max(d) FILTER (bin = (i + 179) % 180) AS y0, max(d) FILTER (bin = i) AS y1, max(d) FILTER (bin = (i + 1) % 180) AS y2 FROM m JOIN p USING (scene_id) GROUP BY ALL)
+SELECT f.*, round((i + 0.5 + coalesce(0.5 * (y0 - y2) / nullif(y0 - 2 * y1 + y2, 0), 0) + 180) % 180, 4) AS peak_deg FROM f JOIN y USING (scene_id)"""

@@ -21,8 +21,8 @@ def in_box(layer: DataFrame, xmin: float, ymin: float, xmax: float, ymax: float)
 
 
 def sample_n(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
-    """n random rows, the same for one seed."""
-    return df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+    """n random rows, the same for one seed: the first by the MD5 of "key:seed"."""
+    return df.orderBy(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(seed))), key).limit(n)
 
 
 def feature_count(df: DataFrame) -> int:
