@@ -188,7 +188,7 @@ def detections(raw: DataFrame, categories: DataFrame, slice_size: int, min_area:
     if demote:
         found = found.withColumn("score", geometry.demoted(F.col("score"), F.col("is_within_slice")))
     found = found.withColumn("polygon", geometry.shift(F.col("polygon"), F.col("x0"), F.col("y0")))
-    named = found.join(F.broadcast(categories), "category_id")
+    named = found.join(categories, "category_id")
     return named.select("scene_id", "tile_id", "local_id", "score", "polygon", "category_id", "category_name", "is_within_slice")
 
 
@@ -196,7 +196,7 @@ def rejects(raw: DataFrame, categories: DataFrame, slice_size: int, min_area: fl
     """Why detections() of the same parameters leaves rows out: scene_id, reason (area, contour or category, the first that holds), n."""
     own = raw.select("scene_id", "category_id", "mask")
     drawn = apply(own, *_sizing(slice_size, downscale, area_rule), *_drawing(tracer, mask_rule), keep_mask=False)
-    known = drawn.join(F.broadcast(categories.select("category_id", F.lit(True).alias("named")).distinct()), "category_id", "left")
+    known = drawn.join(categories.select("category_id", F.lit(True).alias("named")).distinct(), "category_id", "left")
     large, ok = F.coalesce(F.col("area") > min_area, F.lit(False)), F.expr(_DRAWN)
     reason = F.when(~large, "area").when(~ok, "contour").when(F.col("named").isNull(), "category")
     return known.select("scene_id", reason.alias("reason")).where("reason IS NOT NULL").groupBy("scene_id", "reason").agg(F.count("*").alias("n"))
@@ -213,7 +213,7 @@ def component_detections(raw: DataFrame, inference_size: int, min_area: float =
 
 def georeferenced(dets: DataFrame, scenes: DataFrame) -> DataFrame:
     """dets with geometry (closed map ring) and bbox."""
-    found = dets.join(F.broadcast(scenes.select("scene_id", "transform")), "scene_id")
+    found = dets.join(scenes.select("scene_id", "transform"), "scene_id")
     found = found.withColumn("geometry", geometry.georeference(F.col("polygon"), F.col("transform"))).drop("transform")
     return found.withColumn("bbox", geometry.bounds(F.col("geometry")))
 

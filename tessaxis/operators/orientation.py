@@ -188,7 +188,7 @@ def rose(df: DataFrame, by: list[str], bins: int = 36, angle: str = "angle180")
 
 def geographic(df: DataFrame, scenes: DataFrame) -> DataFrame:
     """df with geo_angle: angle180 turned from grid to true north by its scene's convergence."""
-    found = df.join(F.broadcast(scenes.select("scene_id", "convergence_deg", "crs")), "scene_id")
+    found = df.join(scenes.select("scene_id", "convergence_deg", "crs"), "scene_id")
     return found.withColumn("geo_angle", axial.geographic(F.col("angle180"), F.col("convergence_deg"), F.col("crs"))).drop("convergence_deg", "crs")
 
 

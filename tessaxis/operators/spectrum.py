@@ -165,7 +165,7 @@ def object_patches(dets: DataFrame, scenes: DataFrame, blocks: DataFrame, block:
     4 * n objects are drawn by hash first; dets: det_id, scene_id, center, diameter_m.
     """
     drawn = dets.orderBy(F.xxhash64("det_id", F.lit(seed)), "det_id").limit(4 * n)
-    sized = drawn.join(F.broadcast(scenes.select("scene_id", "res")), "scene_id").where((F.col("diameter_m") / F.col("res")).between(*diameter_px))
+    sized = drawn.join(scenes.select("scene_id", "res"), "scene_id").where((F.col("diameter_m") / F.col("res")).between(*diameter_px))
     points = sized.select("scene_id", F.col("det_id").alias("point_id"), F.col("center.x").alias("x"), F.col("center.y").alias("y"))
     found = tiles.read_windows(tiles.centered_windows(points, scenes, size, contained=True), blocks, block, "point_id")
     return tiles.with_statistics(found).where(F.col("valid") >= valid_min).orderBy("point_id").limit(n)

@@ -333,7 +333,7 @@ def dropout(residuals: DataFrame) -> DataFrame:
 
 def object_patch_table(dets: DataFrame, scenes: DataFrame, blocks: DataFrame, block: int, size: int, n: int = 200, aspect_min: float = 1.6, diameter_px: tuple[float, float] = (5, 16), valid_min: float = 0.9, seed: int = 0) -> DataFrame:
     """Patches around n drawn elongated objects of fitting size; too empty windows go after the draw, so fewer may return."""
-    sized = dets.join(F.broadcast(scenes.select("scene_id", "res")), "scene_id").where((F.col("aspect_ra") > aspect_min) & (F.col("diameter_m") / F.col("res")).between(*diameter_px))
+    sized = dets.join(scenes.select("scene_id", "res"), "scene_id").where((F.col("aspect_ra") > aspect_min) & (F.col("diameter_m") / F.col("res")).between(*diameter_px))
     drawn = orientation.sample_n(sized, n, "det_id", seed)
     points = drawn.select("scene_id", F.col("det_id").alias("point_id"), F.col("center.x").alias("x"), F.col("center.y").alias("y"))
     found = tiles.read_windows(tiles.centered_windows(points, scenes, size), blocks, block, "point_id")

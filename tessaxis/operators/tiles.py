@@ -150,7 +150,7 @@ def with_statistics(windows: DataFrame) -> DataFrame:
 
 def centered_windows(points: DataFrame, scenes: DataFrame, size: int, contained: bool = False) -> DataFrame:
     """Windows of size x size around map points (scene_id, point_id, x, y); optionally only those inside the raster."""
-    t = points.join(F.broadcast(scenes.select("scene_id", "width", "height", "transform")), "scene_id")
+    t = points.join(scenes.select("scene_id", "width", "height", "transform"), "scene_id")
     det = F.col("transform.a") * F.col("transform.e") - F.col("transform.b") * F.col("transform.d")
     dx, dy = F.col("x") - F.col("transform.c"), F.col("y") - F.col("transform.f")
     col, row = F.floor((F.col("transform.e") * dx - F.col("transform.b") * dy) / det), F.floor((F.col("transform.a") * dy - F.col("transform.d") * dx) / det)
@@ -162,7 +162,7 @@ def centered_windows(points: DataFrame, scenes: DataFrame, size: int, contained:
 
 def clamped_windows(points: DataFrame, scenes: DataFrame, half: int = 14) -> DataFrame:
     """Windows of half pixels to each side of pixel points (scene_id, point_id, cx, cy), cut at the borders, ends exclusive."""
-    p = points.join(F.broadcast(scenes.select("scene_id", "width", "height")), "scene_id")
+    p = points.join(scenes.select("scene_id", "width", "height"), "scene_id")
     lo = lambda c: F.greatest(F.floor(F.col(c)) - half, F.lit(0)).cast("int")
     hi = lambda c, side: F.least(F.floor(F.col(c)) + half, F.col(side)).cast("int")
     return p.select("scene_id", "point_id", lo("cx").alias("x0"), lo("cy").alias("y0"), (hi("cx", "width") - lo("cx")).alias("sw"), (hi("cy", "height") - lo("cy")).alias("sh")).where("sw > 0 and sh > 0")

@@ -34,7 +34,7 @@ def predict_scene(scenes: DataFrame, blocks: DataFrame, block: int, predictor_fa
     found = masks.component_detections(raw, slice_size, min_area, tracer)
     keyed = written(found.withColumn("det_id", F.shiftleft("tile_id", 20) + F.col("local_id")).withColumn("bbox", geometry.bounds(F.col("polygon"))))
     kept = masks.georeferenced(nms.nms(keyed, iou, False, float(slice_size)).drop("bbox"), scenes)
-    located = kept.join(F.broadcast(scenes.select("scene_id", F.when(F.col("res") > 0, F.col("res")).otherwise(1.0).alias("_res"))), "scene_id")
+    located = kept.join(scenes.select("scene_id", F.when(F.col("res") > 0, F.col("res")).otherwise(1.0).alias("_res")), "scene_id")
     return kept, orientation.orientations(located, F.col("_res")).drop("_res")
 
 

@@ -75,4 +75,4 @@ def write_tiles(tiles: DataFrame, path: str) -> None:
 def with_metadata(df: DataFrame, scenes: DataFrame) -> DataFrame:
     """df with its scene's transform, crs and res; res falls back to the size of a pixel in x."""
     meta = scenes.select("scene_id", "transform", "crs", F.coalesce("res", F.abs(F.col("transform.a"))).alias("res"))
-    return df.join(F.broadcast(meta), "scene_id")
+    return df.join(meta, "scene_id")
