@@ -1,15 +1,22 @@
-"""Main text of web pages as the maximum-scoring contiguous run of words and tags.
+"""Main text of web pages as the maximum-scoring runs of words and tags.
 
 A page is read as words and tags in page order. Words score by where they stand, tags cost; a linear scan finds the
 contiguous region of the highest sum. All weights are log odds from labelled pages: a bounded sample of pages whose article
-or main element marks the content.
+or main element marks the content. Scans decide all that is left out; no other filter follows.
+
+1. best_region gives the score of the best contiguous region.
+2. best_runs gives the regions of the highest sum, each at a price of REGION_SHARE of that score: a second article far from
+   the first is a region of its own, a stray line is none.
+3. Inside a region the same scan on negated word scores, at CUT a run, gives what is cut out: an advert, a comment.
 
 - Words below a page's article or main element, outside it, and of pages without one have a weight each.
 - An element's name, if it is one of ROLES, and the words of its class, id and role are keys. A key's weight is the log odds
   of its words lying in content. Names in HINTS, alone or with other such words (cookie-notice, but not share-price), start
   with PRIOR words outside content, so pages without examples of them profit too. Words below an element with a key of
-  DROP or less score by it (below article or main not at all), and are no text of the region even where it spans them: an
-  advert inside an article.
+  DROP or less score by it; for the regions not at all below article or main, as what is cut later must not part an article.
+- Names in LINKING tell of lists of links. An element with such a name that holds at least PROSE words outside links, and
+  under a quarter of its words in links, is prose, and the name says nothing (a section on related work). Names of quoting
+  elements say nothing either: a quotation may have the class comment.
 - Tags cost by their share outside content, at most TAG_MOST, and next to nothing below article or main.
 
 Only what is no text at all (scripts, styles, the head and the like) is left out before the scan.
@@ -34,18 +41,21 @@ from tessaxis.llm.common import in_slices, put, with_field
 
 SAMPLE_PAGES = 1000
 PRIOR, TAG_MOST, CLIP, DROP = 50, 0.3, 3.0, -1.0
+REGION_SHARE, CUT, PROSE = 0.2, 0.5, 12
 
 # Names of HTML elements and what they are for.
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "noembed", "xmp"}
 NO_TEXT = {"head", "object", "canvas", "audio", "video", "map"} | RAW
-ROLES = {"nav", "footer", "aside", "form", "menu", "button", "select", "dialog", "header"}
+ROLES = {"nav", "footer", "aside", "form", "menu", "button", "select", "dialog", "header", "search"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 ENDS_ITSELF = {"p", "li", "dd", "dt", "tr", "td", "th", "option"}
 LISTS = {"table", "ul", "ol", "dl"}
 CONTENT = {"article", "main"}
+QUOTING = {"blockquote", "q", "cite", "pre", "code"}
 # Words in names of elements that are no article text, and words that go with them.
 HINTS = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "banner", "cookie", "cookies", "consent", "gdpr", "notice", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "signup", "comment", "comments", "respond", "disqus", "replies", "sidebar", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "footer", "masthead", "share", "social", "related", "recommended", "pagination", "pager", "toolbar", "complementary", "contentinfo", "search"}
+LINKING = {"breadcrumb", "breadcrumbs", "menu", "nav", "navbar", "navigation", "pager", "pagination", "recommended", "related", "search", "share", "social", "toolbar"}
 GENERIC = {"area", "bar", "block", "box", "btn", "button", "buttons", "container", "content", "form", "header", "inner", "item", "items", "left", "link", "links", "list", "main", "message", "outer", "page", "panel", "primary", "right", "secondary", "section", "site", "slot", "top", "bottom", "unit", "widget", "wrap", "wrapper"}
 
 NAME = re.compile(r"</?([A-Za-z][A-Za-z0-9:-]*)")
@@ -98,9 +108,15 @@ def hinted(name: str) -> bool:
     return bool(low & HINTS) and low <= HINTS | GENERIC
 
 
+def of_links(key: str) -> bool:
+    """Whether a key of a name is one of lists of links only."""
+    low = {x.lower() for x in re.split(r"[-_.]+|(?<=[a-z])(?=[A-Z])", key) if x}
+    return key.startswith(".") and bool(low & LINKING) and not low & (HINTS - LINKING) and hinted(key[1:])
+
+
 def keys_of(name: str, attributes: str) -> set[str]:
     found = {name} if name in ROLES else set()
-    if attributes:
+    if attributes and name not in QUOTING:
         for m in NAMED.finditer(attributes):
             found.update("." + x for x in "".join(m.groups("")).split())
     return found
@@ -110,11 +126,20 @@ def tokens(page: str) -> list[Token]:
     out: list[Token] = []
     stack: list[tuple[str, bool, frozenset, bool]] = []  # name, no text, keys, in content
     opened: Counter = Counter()
+    # of the outermost element with a name of link lists: its depth, first token, keys, words and words in links before it
+    listed: tuple[int, int, frozenset, int, int] | None = None
+    n_words = n_linked = 0
 
     def pop(size):
+        nonlocal listed
         for x in stack[size:]:
             opened[x[0]] -= 1
         del stack[size:]
+        if listed and size < listed[0]:
+            _, first, names, words, linked = listed
+            words, linked, listed = n_words - words, n_linked - linked, None
+            if words - linked < PROSE or 4 * linked >= words:
+                out[first:] = [(*x[:3], x[3] | names, x[4]) for x in out[first:]]
 
     labelled = False
     for text, name, closing, attributes in lexed(page):
@@ -122,6 +147,8 @@ def tokens(page: str) -> list[Token]:
         if not name:
             if not silent:
                 out.append((text, "in" if content else "out", "", keys, content))
+                words = len(text.split())
+                n_words, n_linked = n_words + words, n_linked + words * (opened["a"] > 0)
             continue
         if closing:
             if opened[name]:
@@ -147,12 +174,17 @@ def tokens(page: str) -> list[Token]:
         if name in CONTENT:
             labelled = labelled or not keys & ROLES
             keys, content = keys & ROLES, True
+        links = frozenset(x for x in own if of_links(x)) if own else frozenset()
+        own -= links
         state = (name, silent or name in NO_TEXT, keys | own if own else keys, content)
         if not state[1]:
             out.append(("", "", name, keys, content))
         if name not in VOID and not attributes.endswith("/"):
             stack.append(state)
             opened[name] += 1
+            if links and not listed and not state[1]:
+                listed = (len(stack), len(out), links, n_words, n_linked)
+    pop(0)
     return out if labelled else [(t, "free" if k else "", name, keys, False) for t, k, name, keys, _ in out]
 
 
@@ -161,15 +193,22 @@ def worst(keys: frozenset, weights: dict[str, float]) -> float:
     return min((weights.get(k, -CLIP if k in ROLES or hinted(k[1:]) else 0.0) for k in keys), default=0.0)
 
 
+def word_score(token: Token, weights: dict[str, float]) -> float:
+    """The score of a token's words; a tag has none."""
+    text, place, _, keys, _ = token
+    if not place:
+        return 0.0
+    low = worst(keys, weights)
+    return (low if low <= DROP else weights.get(place, {"in": 1.0, "free": 1.0, "out": -1.0}[place])) * len(text.split())
+
+
 def score(token: Token, weights: dict[str, float]) -> float:
+    """What a token counts for the regions: words that are cut later do not part them, tags cost."""
     text, place, name, keys, content = token
     if not place:
         return -0.01 if content else -min(weights.get("<" + name, 0.1), TAG_MOST)
-    low = worst(keys, weights)
-    if low <= DROP:
-        # what is dropped anyway must not part an article that spans it
-        return {"in": 0.0, "free": low / CLIP, "out": low}[place] * len(text.split())
-    return weights.get(place, {"in": 1.0, "free": 1.0, "out": -1.0}[place]) * len(text.split())
+    words = word_score(token, weights)
+    return words * {"in": 0.0, "free": 1 / CLIP, "out": 1.0}[place] if worst(keys, weights) <= DROP else words
 
 
 def best_region(scores: list[float]) -> tuple[int, int]:
@@ -184,12 +223,47 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return region
 
 
+def best_runs(scores: list[float], price: float) -> list[tuple[int, int]]:
+    """The disjoint runs, as half-open ranges in order, whose sums less a price each are highest together; one linear scan.
+
+    Of equal choices the one with fewer tokens inside."""
+    # the best sums so far with the last token outside and inside a run, and how each came about
+    out, inside, opened, closed = 0.0, -math.inf, [], []
+    for s in scores:
+        starts, ends = out - price >= inside, inside > out
+        opened.append(starts)
+        closed.append(ends)
+        out, inside = max(out, inside), max(out - price, inside) + s
+    runs, i, within = [], len(scores), inside > out
+    end = i
+    while i:
+        i -= 1
+        if within:
+            if opened[i]:
+                runs.append((i, end))
+                within = False
+        elif closed[i]:
+            # token i lies outside, and the run before it ends here
+            within, end = True, i
+    return runs[::-1]
+
+
+def regions(scores: list[float]) -> list[tuple[int, int]]:
+    """The regions of a page: of those that score over REGION_SHARE of the best contiguous one, the best together."""
+    a, b = best_region(scores)
+    return best_runs(scores, REGION_SHARE * math.fsum(scores[a:b])) if a < b else []
+
+
 def main_text(page: str | None, weights: dict[str, float]) -> str:
-    found = tokens(page or "")
-    a, b = best_region([score(t, weights) for t in found])
-    text = "".join((t if worst(keys, weights) > DROP else "") if place else "" if name in INLINE else "\n" for t, place, name, keys, _ in found[a:b])
+    found, parts = tokens(page or ""), []
+    for a, b in regions([score(t, weights) for t in found]):
+        cut = [False] * (b - a)
+        for x, y in best_runs([-word_score(t, weights) for t in found[a:b]], CUT):
+            cut[x:y] = [True] * (y - x)
+        parts += ["" if place and gone else text if place else "" if name in INLINE else "\n" for (text, place, name, _, _), gone in zip(found[a:b], cut, strict=True)]
+        parts.append("\n")
     # references are decoded after the tags are gone, so that decoded brackets stay text
-    return " ".join(entities.unescape(text).split())
+    return " ".join(entities.unescape("".join(parts)).split())
 
 
 def counts_of(page: str) -> Counter:

@@ -461,6 +461,47 @@ def test_extraction_takes_linear_time():
     assert time.process_time() - start < 8
 
 
+LINE = " ".join(f"word{i}." for i in range(30))
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<main><p>L</p><blockquote class=comment>A quoted passage</blockquote></main>", "L A quoted passage"),
+        ("<article><p>L</p><section class=related><h3>Related work</h3><p>L</p></section></article>", "L Related work L"),
+        ("<article><p>L</p><section class=related><h3>Related</h3><ul><li><a href=1>L</a></ul></section></article>", "L"),
+        ("<article><p>A L</p></article><div>L L L L</div><article>B L</article><footer>x</footer>", "A L B L"),
+        ("<article><p>L</p><search>find it</search><div class=ad>L L</div>end</article>", "L end"),
+        ("<div><p>L</p><div class=comments><p>L</p></div></div>", "L"),
+        ("<article>L</article><div>" + "<div class=related>" * 3000 + "L", "L"),
+    ],
+)
+def test_extraction_by_what_elements_hold(page, want):
+    """Quotations, prose under names of link lists and second articles stay; link lists, adverts and comments go."""
+    for weights in ({}, {"in": 1.0, "out": -3.0, "free": 1.0}):
+        assert html_extract.main_text(page.replace("L", LINE), weights).replace(LINE, "L") == want
+
+
+def test_extraction_is_decided_by_the_scan(spark, monkeypatch):
+    """With the whole page in place of the runs that the scan finds, nearly every page changes."""
+    pages = [r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").select("html").collect()]
+    weights = html_extract.fit(spark.read.parquet(f"{SF}/pages.parquet"))
+    before = [html_extract.main_text(x, weights) for x in pages]
+    monkeypatch.setattr(html_extract, "best_runs", lambda scores, price: [(0, len(scores))] if price != html_extract.CUT else [])
+    assert sum(html_extract.main_text(x, weights) != y for x, y in zip(pages, before, strict=True)) > 0.9 * len(pages)
+
+
+def test_best_runs_are_best():
+    rng = random.Random(6)
+    for _ in range(300):
+        s, price = [rng.choice([-2, -1, -0.5, 0, 0.5, 1, 2]) for _ in range(rng.randint(0, 8))], rng.choice([0.25, 1, 2])
+        runs = html_extract.best_runs(s, price)
+        assert all(a < b for a, b in runs) and all(x[1] < y[0] for x, y in zip(runs, runs[1:], strict=False))
+        masks = range(1 << len(s))
+        worth = (sum(x for i, x in enumerate(s) if m >> i & 1) - price * (m & ~(m << 1)).bit_count() for m in masks)
+        assert sum(sum(s[a:b]) - price for a, b in runs) == pytest.approx(max(worth))
+
+
 def test_best_region_is_best():
     rng = random.Random(5)
     for _ in range(200):
