@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rows that a task hands to Python at once: texts are long, and both sides hold a batch.
 BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+#: And bytes: rows alone bound nothing where single texts are very long.
+BYTES, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,15 +42,20 @@ def _delete_at_exit(spark: SparkSession, path: str) -> None:
 @contextmanager
 def _settings(spark: SparkSession):
     """The session's settings while a table is written."""
-    before = {CLEANUP: spark.conf.get(CLEANUP, "false"), BATCH: spark.conf.get(BATCH, "10000")}
-    rows = int(before[BATCH])
+    before = {name: spark.conf.get(name, None) for name in (CLEANUP, BATCH, BYTES)}
+    rows = int(before[BATCH] or 10000)
     spark.conf.set(CLEANUP, "true")
     spark.conf.set(BATCH, str(min(rows, BATCH_ROWS) if rows > 0 else BATCH_ROWS))
+    if before[BYTES] is None:
+        spark.conf.set(BYTES, str(BATCH_BYTES))
     try:
         yield
     finally:
         for name, value in before.items():
-            spark.conf.set(name, value)
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
 
 
 def written(df: DataFrame) -> DataFrame:

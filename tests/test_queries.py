@@ -527,3 +527,17 @@ def test_regional_histogram_of_stripes(spark):
     for i in (0, 1):
         by = {r["bin"]: r["percent"] for r in got if r["scale"] == i}
         assert by[0] + by[17] == pytest.approx(50, abs=1) and by[8] + by[9] == pytest.approx(50, abs=1)
+
+
+def test_written_restores_settings(spark):
+    """While a table is written batches are small; afterwards the session's settings are as they were, set or unset."""
+    names = (stages.BATCH, stages.BYTES, stages.CLEANUP)
+    before = [spark.conf.get(x, None) for x in names]
+    stages.dropped(stages.written(spark.range(3)))
+    assert [spark.conf.get(x, None) for x in names] == before
+    spark.conf.set(stages.BATCH, "7")
+    try:
+        stages.dropped(stages.written(spark.range(3)))
+        assert spark.conf.get(stages.BATCH) == "7"
+    finally:
+        spark.conf.unset(stages.BATCH)
