@@ -10,19 +10,8 @@ from tessaxis.llm import bpe_codec, decontaminate, exact_dedup, jaccard_join, to
 from tessaxis.llm.common import crc_mod, table, written
 
 
-#: Rows that a task hands to Python at once: documents are long, and the JVM and Python both hold a batch.
-BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
-
-
-def _small_batches(spark: SparkSession) -> None:
-    """Bounds the session's Arrow batches; a stage's rows are computed after it returns, so the setting stays."""
-    rows = int(spark.conf.get(BATCH, "10000"))
-    spark.conf.set(BATCH, str(min(rows, BATCH_ROWS) if rows > 0 else BATCH_ROWS))
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model, learned from the labels of the other fifths, scores under 0.5."""
-    _small_batches(spark)
     labels = table(spark, sf_dir, "labels").where(crc_mod("doc_id", 5) != 0)
     free = max(docs.columns, key=len) + "_score"
     scored = toxicity.score(docs, toxicity.fit(docs, labels), out=free)
@@ -54,7 +43,6 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, the number of token ids and digests of the ids and of the decoded bytes."""
     from tessaxis.llm.queries import bpe_digests
 
-    _small_batches(spark)
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     return bpe_digests(bpe_codec.decode(bpe_codec.encode(docs.select("doc_id", "text"), *ranks), *ranks))
 
