@@ -8,7 +8,10 @@ window's, all of them.
 
 Words are the runs of ASCII digits, letters and all non-ASCII characters after lower-casing A-Z. Null and empty texts
 have no words and are never contaminated; repeated benchmark rows count as one item by item_id; an empty benchmark hits
-nothing. The windows are broadcast while they are under BROADCAST_BYTES, else dealt out by prefix word.
+nothing; rows of the benchmark without item_id mark words and name no item. The windows are broadcast while they are under
+BROADCAST_BYTES, and one pass over the documents gives all. Beyond that the documents' words are written once with a number
+for each row, dealt out by prefix word, and rows without hits come from a left join on the numbers, so no key is common to
+all documents.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -43,21 +46,24 @@ def contamination(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id
     """One row per row of documents: key, text_hash (xxhash64), n_words, n_hit, items (sorted as strings) and contaminated (a twentieth of the words or more)."""
     found = written(windows(benchmark, documents, text, item, n))
     bytes_ = found.agg(F.sum(F.aggregate("words", F.lit(64), lambda a, w: a + F.octet_length(w) + 8))).first()[0] or 0
-    # a row with the empty word marks the end of each document, so that one pass gives documents without hits too
-    marker = found.sparkSession.range(1).select(*(F.lit("" if c == "anchor" else None).cast(t).alias(c) for c, t in found.dtypes))
-    anchors = found.unionByName(marker)
+    small = bytes_ <= BROADCAST_BYTES
     docs = documents.select(F.col(key).alias(key), F.monotonically_increasing_id().alias("_row"), F.xxhash64(text).alias("text_hash"), word_list(text).alias("_w"))
-    exploded = docs.select(key, "_row", "text_hash", "_w", F.posexplode(F.concat("_w", F.array(F.lit("")))).alias("pos", "anchor"))
+    docs = docs if small else written(docs)
     start = F.col("pos") - F.col("at")
-    lies = (start >= 0) & (start + F.size("words") <= F.size("_w"))
+    span = F.struct(start.alias("a"), (start + F.size("words")).alias("b"))
     same = F.slice("_w", F.greatest(start + 1, F.lit(1)), F.size("words")) == F.col("words")
-    if bytes_ <= BROADCAST_BYTES:
-        hits = exploded.join(F.broadcast(anchors), "anchor").where(F.col("words").isNull() | (lies & same))
+    if small:
+        # a row with the empty word marks the end of each document, so that one pass gives documents without hits too
+        marker = found.sparkSession.range(1).select(*(F.lit("" if c == "anchor" else None).cast(t).alias(c) for c, t in found.dtypes))
+        exploded = docs.select(key, "_row", "text_hash", "_w", F.posexplode(F.concat("_w", F.array(F.lit("")))).alias("pos", "anchor"))
+        lies = (start >= 0) & (start + F.size("words") <= F.size("_w"))
+        hits = exploded.join(F.broadcast(found.unionByName(marker)), "anchor").where(F.col("words").isNull() | (lies & same))
+        hits = hits.select(key, "_row", "text_hash", F.when(F.col("words").isNull(), F.size("_w")).alias("n_words"), F.col("item").alias("_item"), F.when(F.col("words").isNotNull(), span).alias("span"))
     else:
-        ahead = exploded.select(key, "_row", "text_hash", F.size("_w").alias("_n"), "pos", "anchor")
-        placed = ahead.join(anchors, "anchor").where(F.col("words").isNull() | ((start >= 0) & (start + F.size("words") <= F.col("_n"))))
-        hits = placed.join(docs.select("_row", "_w"), "_row").where(F.col("words").isNull() | same)
-    hits = hits.select(key, "_row", "text_hash", F.when(F.col("words").isNull(), F.size("_w")).alias("n_words"), F.col("item").alias("_item"), F.when(F.col("words").isNotNull(), F.struct(start.alias("a"), (start + F.size("words")).alias("b"))).alias("span"))
+        ahead = docs.select("_row", F.size("_w").alias("_n"), F.posexplode("_w").alias("pos", "anchor"))
+        placed = ahead.join(found, "anchor").where((start >= 0) & (start + F.size("words") <= F.col("_n")))
+        met = placed.join(docs.select("_row", "_w"), "_row").where(same).select("_row", F.col("item").alias("_item"), span.alias("span"))
+        hits = docs.select(key, "_row", "text_hash", F.size("_w").alias("n_words")).join(met, "_row", "left")
     per = hits.groupBy("_row").agg(F.first(key, ignorenulls=True).alias(key), F.first("text_hash").alias("text_hash"), F.max("n_words").cast("long").alias("n_words"), F.collect_set(F.col("_item").cast("string")).alias("items"), F.collect_set("span").alias("spans"))
     # the union of the spans: sorted by start, each adds what lies beyond the furthest end so far
     zero = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
