@@ -75,25 +75,27 @@ def id_list(ids: pa.ListScalar) -> list[int]:
     return ids.values.to_numpy().tolist() if ids.is_valid else []
 
 
-def encode(df: DataFrame, rank_path: str, pattern: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
-    """df with an array<int> column of the text's token ids, as the library's encode_ordinary gives them."""
+def encoded_batches(batches, rank_path: str, pattern: str, text: str = "text", ids: str = "token_ids"):
+    """Arrow batches with the token ids of their texts."""
+    c = codec(rank_path, pattern)
+    for batch in in_slices(batches, text):
+        lists = [c.encode(x.as_py()).astype(np.int32) for x in batch.column(text)]
+        ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
+        yield put(batch, ids, pa.ListArray.from_arrays(ends, np.concatenate([np.array([], np.int32), *lists])))
 
-    def run(batches):
-        c = codec(rank_path, pattern)
-        for batch in in_slices(batches, text):
-            lists = [c.encode(x.as_py()).astype(np.int32) for x in batch.column(text)]
-            ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
-            yield put(batch, ids, pa.ListArray.from_arrays(ends, np.concatenate([np.array([], np.int32), *lists])))
 
-    return df.mapInArrow(run, with_field(df, ids, T.ArrayType(T.IntegerType())))
+def decoded_batches(batches, rank_path: str, pattern: str, ids: str = "token_ids", out: str = "decoded"):
+    """Arrow batches with the bytes that their token ids stand for."""
+    c = codec(rank_path, pattern)
+    for batch in in_slices(batches, ids):
+        yield put(batch, out, pa.array([c.decode(id_list(x)) for x in batch.column(ids)], pa.binary()))
 
 
-def decode(df: DataFrame, rank_path: str, pattern: str, ids: str = "token_ids", decoded: str = "decoded") -> DataFrame:
-    """df with a binary column of the bytes that the ids stand for; the bytes need not be valid UTF-8."""
+def encode(df: DataFrame, rank_path: str, pattern: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
+    """df with an array<int> column of the text's token ids, as the library's encode_ordinary gives them."""
+    return df.mapInArrow(lambda batches: encoded_batches(batches, rank_path, pattern, text, ids), with_field(df, ids, T.ArrayType(T.IntegerType())))
 
-    def run(batches):
-        c = codec(rank_path, pattern)
-        for batch in in_slices(batches, ids):
-            yield put(batch, decoded, pa.array([c.decode(id_list(x)) for x in batch.column(ids)], pa.binary()))
 
-    return df.mapInArrow(run, with_field(df, decoded, T.BinaryType()))
+def decode(df: DataFrame, rank_path: str, pattern: str, ids: str = "token_ids", decoded: str = "decoded") -> DataFrame:
+    """df with a binary column of the bytes that the ids stand for; the bytes need not be valid UTF-8."""
+    return df.mapInArrow(lambda batches: decoded_batches(batches, rank_path, pattern, ids, decoded), with_field(df, decoded, T.BinaryType()))

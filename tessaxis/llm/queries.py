@@ -77,24 +77,24 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
-def bpe_digests(df: DataFrame) -> DataFrame:
-    """Digests of encoded and decoded rows."""
+def bpe_digests(df: DataFrame, rank_path: str, pattern: str) -> DataFrame:
+    """Digests of the rows' ids and of the bytes decoded from them; one Python worker a task encodes, decodes and digests."""
 
     def run(batches):
-        for batch in in_slices(batches, "token_ids"):
+        for batch in bpe_codec.decoded_batches(bpe_codec.encoded_batches(batches, rank_path, pattern), rank_path, pattern):
             ids = batch.column("token_ids")
             told = [hashlib.sha256(" ".join(map(str, bpe_codec.id_list(x))).encode()).hexdigest() for x in ids]
-            decoded = [hashlib.sha256(x.as_py() or b"").hexdigest() for x in batch.column("decoded")]
+            digests = [hashlib.sha256(x.as_py() or b"").hexdigest() for x in batch.column("decoded")]
             n = pc.list_value_length(ids).fill_null(0).cast(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), n, pa.array(told), pa.array(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), n, pa.array(told, pa.string()), pa.array(digests, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = df.schema["doc_id"].dataType.simpleString()
-    return df.select("doc_id", "token_ids", "decoded").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return df.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return bpe_digests(bpe_codec.decode(bpe_codec.encode(docs, *_bpe()).drop("text"), *_bpe()))
+    return bpe_digests(docs, *_bpe())
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
