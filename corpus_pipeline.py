@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessaxis.llm import bpe_codec, decontaminate, exact_dedup, jaccard_join, toxicity
+from tessaxis.llm import decontaminate, exact_dedup, jaccard_join, toxicity
 from tessaxis.llm.common import crc_mod, table, written
 
 
@@ -43,8 +43,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, the number of token ids and digests of the ids and of the decoded bytes."""
     from tessaxis.llm.queries import bpe_digests
 
-    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    return bpe_digests(bpe_codec.decode(bpe_codec.encode(docs.select("doc_id", "text"), *ranks), *ranks))
+    return bpe_digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 STAGES = [
