@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tessaxis.functions import geometry
 from tessaxis.operators.spatial import box_pairs
-from tessaxis.sources.stages import dropped, written
+from tessaxis.sources.stages import dropped, merged, written
 
 #: Cells a side of a block.
 BLOCK_CELLS = 16
@@ -36,7 +36,7 @@ def overlap_edges(dets: DataFrame, threshold: float, by_class: bool = True, cell
 def _decided(edges: DataFrame) -> DataFrame:
     """scene_id, lo, stays of the boxes that their blocks can decide."""
     below = edges.select("scene_id", F.col("lo").alias("hi"), F.lit(True).alias("open")).distinct()
-    rows = edges.join(below, ["scene_id", "hi"], "left")
+    rows = edges.join(merged(below), ["scene_id", "hi"], "left")
     flat = rows.select("scene_id", "lo_block.x", "lo_block.y", F.col("lo_score").alias("score"), "lo", "hi", (F.col("hi_block") == F.col("lo_block")).alias("near"), F.coalesce("open", F.lit(False)).alias("open"))
     place = ["scene_id", "x", "y"]
 
@@ -82,11 +82,11 @@ def suppressed(edges: DataFrame) -> DataFrame:
     while not left.isEmpty():
         decided = written(_decided(left))
         as_hi = lambda df: df.select("scene_id", F.col("lo").alias("hi"))
-        stay = as_hi(decided.where("stays")).unionByName(left.select("scene_id", "hi").distinct().join(as_hi(left), ["scene_id", "hi"], "left_anti"))
-        hit = left.join(stay, ["scene_id", "hi"], "left_semi").select("scene_id", "lo")
+        stay = as_hi(decided.where("stays")).unionByName(left.select("scene_id", "hi").distinct().join(merged(as_hi(left)), ["scene_id", "hi"], "left_anti"))
+        hit = left.join(merged(stay), ["scene_id", "hi"], "left_semi").select("scene_id", "lo")
         gone = written(decided.where("NOT stays").select("scene_id", "lo").unionByName(hit).distinct())
         out = gone if out is None else out.unionByName(gone)
-        rest = left.join(decided.where("stays").select("scene_id", "lo").unionByName(gone), ["scene_id", "lo"], "left_anti").join(as_hi(gone), ["scene_id", "hi"], "left_anti")
+        rest = left.join(merged(decided.where("stays").select("scene_id", "lo").unionByName(gone)), ["scene_id", "lo"], "left_anti").join(merged(as_hi(gone)), ["scene_id", "hi"], "left_anti")
         last, left = left, written(rest)
         dropped(last, decided)
     return out if out is not None else edges.select("scene_id", "lo").limit(0)
@@ -95,7 +95,7 @@ def suppressed(edges: DataFrame) -> DataFrame:
 def nms(dets: DataFrame, threshold: float = 0.2, by_class: bool = True, cell: float = 32.0, key: str = "det_id") -> DataFrame:
     """The detections that stay. dets: key (unique in a scene), scene_id, category_id, score and bbox; sort by score for the usual order."""
     gone = suppressed(overlap_edges(dets, threshold, by_class, cell, key))
-    return dets.join(gone.withColumnRenamed("lo", key), ["scene_id", key], "left_anti")
+    return dets.join(merged(gone.withColumnRenamed("lo", key)), ["scene_id", key], "left_anti")
 
 
 def distinct_geometries(dets: DataFrame, key: str = "det_id", geometry_column: str = "geometry") -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessaxis.functions import axial, geometry
-from tessaxis.sources.stages import written
+from tessaxis.sources.stages import merged, written
 
 
 def cells(df: DataFrame, box: Column, cell: float, pad: float = 0.0) -> DataFrame:
@@ -33,7 +33,7 @@ def box_pairs(a: DataFrame, b: DataFrame, cell: float, on: list[str], pad: float
     x, y = F.greatest(F.col("box_a.xmin"), F.col("box_b.xmin") - pad), F.greatest(F.col("box_a.ymin"), F.col("box_b.ymin") - pad)
     meets = (x <= F.least(F.col("box_a.xmax"), F.col("box_b.xmax") + pad)) & (y <= F.least(F.col("box_a.ymax"), F.col("box_b.ymax") + pad))
     here = (F.floor(x / cell) == F.col("cx")) & (F.floor(y / cell) == F.col("cy"))
-    return left.join(right, [*on, "cx", "cy"]).where(meets & here).drop("cx", "cy")
+    return left.join(merged(right), [*on, "cx", "cy"]).where(meets & here).drop("cx", "cy")
 
 
 #: Smaller boxes, points too, count as of this power of two.
@@ -67,7 +67,7 @@ def sized_pairs(a: DataFrame, b: DataFrame, on: list[str], pad: float = 0.0) ->
         meets = (x <= F.least(F.col("box_a.xmax"), F.col("box_b.xmax") + pad)) & (y <= F.least(F.col("box_a.ymax"), F.col("box_b.ymax") + pad))
         cell = F.pow(F.lit(2.0), F.col("_level"))
         here = (F.floor(x / cell) == F.col("cx")) & (F.floor(y / cell) == F.col("cy"))
-        return left.join(right, [*on, "_level", "cx", "cy"]).where(meets & here).drop("_level", "cx", "cy")
+        return left.join(merged(right), [*on, "_level", "cx", "cy"]).where(meets & here).drop("_level", "cx", "cy")
 
     alone = F.array("_own")
     in_a = joined(alone, F.filter(levels_a, lambda v: v >= F.col("_own")))
@@ -95,8 +95,8 @@ def near_boundary(dets: DataFrame, footprints: DataFrame, distance: Column, cell
     rims = rims.withColumn("cy", F.explode(F.sequence(at(F.least(y0, y1) - d - slack), at(F.greatest(y0, y1) + d + slack))))
     own = dets.select("scene_id", F.col(key), F.col("geometry").alias("_ring"), geometry.bounds(F.col("geometry")).alias("box_a"))
     close = F.exists(geometry.edges(F.col("_ring")), lambda e: geometry.segment_distance(e, F.col("_rim")) <= F.col("_d"))
-    hit = cells(own, F.col("box_a"), cell).join(rims, ["scene_id", "cx", "cy"]).where(close).select("scene_id", key).distinct().withColumn("is_at_edge", F.lit(True))
-    return dets.join(hit, ["scene_id", key], "left").withColumn("is_at_edge", F.coalesce("is_at_edge", F.lit(False)))
+    hit = cells(own, F.col("box_a"), cell).join(merged(rims), ["scene_id", "cx", "cy"]).where(close).select("scene_id", key).distinct().withColumn("is_at_edge", F.lit(True))
+    return dets.join(merged(hit), ["scene_id", key], "left").withColumn("is_at_edge", F.coalesce("is_at_edge", F.lit(False)))
 
 
 #: Edges in a cell of a region's cover that need no finer cells, and halvings below the wanted size for others.
@@ -158,17 +158,17 @@ def inside_regions(dets: DataFrame, regions: DataFrame, cell: float, key: str =
     of = lambda df: F.array(*(F.lit(r[0]) for r in df.select("_level").distinct().orderBy("_level").collect())).cast("array<int>")
     at = lambda v: F.floor(v / F.pow(F.lit(2.0), F.col("_level")))
     own = dets.select("scene_id", key, "center").where("center IS NOT NULL").withColumn("_level", F.explode(of(cover)))
-    met = own.withColumn("cx", at(F.col("center.x"))).withColumn("cy", at(F.col("center.y"))).join(cover, ["scene_id", "_level", "cx", "cy"]).drop("_level", "cx", "cy")
+    met = own.withColumn("cx", at(F.col("center.x"))).withColumn("cy", at(F.col("center.y"))).join(merged(cover), ["scene_id", "_level", "cx", "cy"]).drop("_level", "cx", "cy")
     e = F.col("e")
     height = F.abs(e["p"]["y"] - e["q"]["y"])
     edges = regions.select("scene_id", "_region", F.explode(geometry.edges(F.col("ring"))).alias("e")).where(height > 0)
     edges = edges.withColumn("_level", F.greatest(F.ceil(F.log2(height)), F.lit(LEAST_LEVEL)).cast("int"))
     edges = edges.withColumn("cy", F.explode(F.sequence(at(F.least(e["p"]["y"], e["q"]["y"])), at(F.greatest(e["p"]["y"], e["q"]["y"])))))
     border = met.where("NOT inner").withColumn("_level", F.explode(of(edges))).withColumn("cy", at(F.col("center.y")))
-    crossed = border.join(edges, ["scene_id", "_region", "_level", "cy"]).where(geometry.right_of(F.col("center"), e))
+    crossed = border.join(merged(edges), ["scene_id", "_region", "_level", "cy"]).where(geometry.right_of(F.col("center"), e))
     odd = crossed.groupBy("scene_id", key, "_region").agg(F.count("*").alias("c")).where("c % 2 = 1")
     hit = met.where("inner").select("scene_id", key).unionByName(odd.select("scene_id", key)).distinct()
-    return dets.join(hit, ["scene_id", key], "left_semi")
+    return dets.join(merged(hit), ["scene_id", key], "left_semi")
 
 
 def without_objects(windows: DataFrame, objects: DataFrame, cell: float, key: str = "try_id") -> DataFrame:
@@ -178,7 +178,7 @@ def without_objects(windows: DataFrame, objects: DataFrame, cell: float, key: st
     a, b = F.col("box_a"), F.col("box_b")
     strict = (b["xmin"] < a["xmax"]) & (b["xmax"] > a["xmin"]) & (b["ymin"] < a["ymax"]) & (b["ymax"] > a["ymin"])
     hit = box_pairs(own, other, cell, ["scene_id"]).where(strict).select("scene_id", key).distinct()
-    return windows.join(hit, ["scene_id", key], "left_anti")
+    return windows.join(merged(hit), ["scene_id", key], "left_anti")
 
 
 def point_pairs(a: DataFrame, b: DataFrame, radius: float, on: list[str]) -> DataFrame:
@@ -188,7 +188,7 @@ def point_pairs(a: DataFrame, b: DataFrame, radius: float, on: list[str]) -> Dat
     around = F.array(*(F.lit(i).cast("long") for i in (-1, 0, 1)))
     right = b.withColumn("cx", F.explode(F.transform(around, lambda i: at("x_b") + i))).withColumn("cy", F.explode(F.transform(around, lambda i: at("y_b") + i)))
     dist = F.hypot(F.col("x_a") - F.col("x_b"), F.col("y_a") - F.col("y_b"))
-    return left.join(right, [*on, "cx", "cy"]).drop("cx", "cy").withColumn("dist", dist).where(F.col("dist") <= radius)
+    return left.join(merged(right), [*on, "cx", "cy"]).drop("cx", "cy").withColumn("dist", dist).where(F.col("dist") <= radius)
 
 
 def nearest_matches(refs: DataFrame, models: DataFrame, min_radius: float = 1.0, on: list[str] = ("scene_id",)) -> DataFrame:
@@ -213,7 +213,7 @@ def unmatched(models: DataFrame, refs: DataFrame, min_radius: float = 1.0, on: l
     """Model rows with no reference within max(half their own diameter, min_radius): over-detections."""
     on = list(on)
     hit = nearest_matches(models, refs, min_radius, on=on).select(*on, F.col("ref_id").alias("id"))
-    return models.join(hit, [*on, "id"], "left_anti")
+    return models.join(merged(hit), [*on, "id"], "left_anti")
 
 
 def match_statistics(refs: DataFrame, models: DataFrame, min_radius: float = 1.0, on: list[str] = ("scene_id",)) -> DataFrame:
@@ -294,7 +294,7 @@ def neighbours(points: DataFrame, k: int, dmin: float, dmax: float, on: list[str
     azimuth = axial.azimuth(F.col("x_b") - F.col("x_a"), F.col("y_b") - F.col("y_a"))
     listed = first.groupBy(*on, F.col("x_a").alias("x"), F.col("y_a").alias("y")).agg(F.array_sort(F.collect_list(F.struct("dist", "nbr", azimuth.alias("azimuth")))).alias("_found"))
     # a point's own id is left out of its place's list before the first k are taken
-    found = known.join(listed, [*on, "x", "y"]).select(*on, "id", F.explode(F.slice(F.filter("_found", lambda v: v["nbr"] != F.col("id")), 1, k)).alias("_f"))
+    found = known.join(merged(listed), [*on, "x", "y"]).select(*on, "id", F.explode(F.slice(F.filter("_found", lambda v: v["nbr"] != F.col("id")), 1, k)).alias("_f"))
     return found.select(*on, "id", "_f.nbr", "_f.dist", "_f.azimuth").where(F.col("dist") >= dmin)
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tessaxis.functions import axial, images
 from tessaxis.operators import masks, orientation, tiles
-from tessaxis.sources.stages import dropped, written
+from tessaxis.sources.stages import dropped, merged, written
 
 Measure = Callable[[DataFrame], DataFrame]
 
@@ -224,7 +224,7 @@ def greedy_matches(truth: DataFrame, dets: DataFrame, radius: float, key: str =
     while not left.isEmpty():
         decided = written(_decided(left, key))
         found.append(decided.where("det_id IS NOT NULL"))
-        rest = left.join(decided.select(key, "truth_id"), [key, "truth_id"], "left_anti").join(found[-1].select(key, "det_id"), [key, "det_id"], "left_anti")
+        rest = left.join(merged(decided.select(key, "truth_id")), [key, "truth_id"], "left_anti").join(merged(found[-1].select(key, "det_id")), [key, "det_id"], "left_anti")
         last, left = left, written(rest)
         dropped(last)
     if not found:
@@ -241,7 +241,7 @@ def _decided(pairs: DataFrame, key: str) -> DataFrame:
     two = firsts.groupBy(key, "det_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("t", "block"))), 1, 2).alias("two"))
     first, second = F.col("two")[0], F.try_element_at("two", F.lit(2))
     other = F.when(first["block"] == F.col("block"), second["t"]).otherwise(first["t"]).alias("other")  # the first truth of other blocks that may take the detection
-    known = pairs.join(two, [key, "det_id"]).select(key, "block", "truth_id", "dist", "det_id", "score", other)
+    known = pairs.join(merged(two), [key, "det_id"]).select(key, "block", "truth_id", "dist", "det_id", "score", other)
     schema = ", ".join(f"`{c}` {pairs.schema[c].dataType.simpleString()}" for c in (key, "truth_id", "det_id", "dist", "score"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
