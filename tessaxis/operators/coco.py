@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tessaxis.functions import geometry
 from tessaxis.operators.spatial import sized_pairs
-from tessaxis.sources.stages import written
+from tessaxis.sources.stages import merged, written
 
 # The IoU thresholds, recall points and detections an image of the metric.
 THRESHOLDS = [round(0.5 + 0.05 * i, 2) for i in range(10)]
@@ -69,9 +69,9 @@ def mask_overlaps(gt: DataFrame, dets: DataFrame, gt_runs: DataFrame, det_runs:
     side = lambda runs, s: runs.withColumnsRenamed({"r0": f"r0_{s}", "r1": f"r1_{s}"})
     size = lambda runs, key, name: runs.groupBy(*on, key).agg(F.sum(F.col("r1") - F.col("r0") + 1).alias(name))
     common = F.least("r1_a", "r1_b") - F.greatest("r0_a", "r0_b") + 1
-    met = side(det_runs, "a").join(side(gt_runs, "b"), [*on, "col"]).where(common > 0).groupBy(*on, "det_id", "gt_id").agg(F.sum(common).alias("i"))
-    met = met.join(dets.select(*on, "det_id", "score"), [*on, "det_id"]).join(size(det_runs, "det_id", "a"), [*on, "det_id"])
-    met = met.join(gt.select(*on, "gt_id", "iscrowd"), [*on, "gt_id"]).join(size(gt_runs, "gt_id", "b"), [*on, "gt_id"])
+    met = side(det_runs, "a").join(merged(side(gt_runs, "b")), [*on, "col"]).where(common > 0).groupBy(*on, "det_id", "gt_id").agg(F.sum(common).alias("i"))
+    met = met.join(merged(dets.select(*on, "det_id", "score")), [*on, "det_id"]).join(merged(size(det_runs, "det_id", "a")), [*on, "det_id"])
+    met = met.join(merged(gt.select(*on, "gt_id", "iscrowd")), [*on, "gt_id"]).join(merged(size(gt_runs, "gt_id", "b")), [*on, "gt_id"])
     return _enough(met, F.col("i"), F.col("a"), F.col("b"))
 
 
@@ -115,7 +115,7 @@ def _places(dets: DataFrame, overlaps: DataFrame) -> DataFrame:
     """category_id and, by threshold, hit, tps (hits so far) and k (detections so far that count): one row for each detection."""
     key = ["image_id", "category_id", "det_id"]
     none = F.array_repeat(F.lit(False), len(THRESHOLDS))
-    rows = dets.select(*key, "score").join(matches(overlaps), key, "left").withColumns({"hit": F.coalesce("hit", none), "ignored": F.coalesce("ignored", none)})
+    rows = dets.select(*key, "score").join(merged(matches(overlaps)), key, "left").withColumns({"hit": F.coalesce("hit", none), "ignored": F.coalesce("ignored", none)})
     order = [F.asc("category_id"), F.desc("score"), F.asc("image_id"), F.asc("det_id")]
     parts = int(dets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())

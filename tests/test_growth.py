@@ -23,3 +23,31 @@ def test_recall_sweep_sends_no_table_to_all_tasks(spark):
     decided = sweeps._decided(pairs, "phi0")
     assert "Broadcast" not in plan(decided)
     assert [(r["truth_id"], r["det_id"]) for r in decided.collect()] == [(1, 2)]
+
+
+def test_mask_overlaps_send_no_table_to_all_tasks(spark):
+    gt = spark.createDataFrame([(1, 7, 0, 0)], "image_id long, gt_id long, category_id int, iscrowd int")
+    d = spark.createDataFrame([(1, 8, 0, 0.9)], "image_id long, det_id long, category_id int, score double")
+    runs = lambda key, i: spark.createDataFrame([(1, 0, i, 3, 0, 9)], f"image_id long, category_id int, {key} long, col long, r0 long, r1 long")
+    found = coco.mask_overlaps(gt, d, runs("gt_id", 7), runs("det_id", 8))
+    assert "Broadcast" not in plan(found)
+    assert [(r["det_id"], r["gt_id"], r["iou"]) for r in found.collect()] == [(8, 7, 1.0)]
+
+
+def test_matches_send_no_table_to_all_tasks(spark):
+    own = spark.createDataFrame([(0, 1, 0.0, 0.0, 9.0), (0, 2, 50.0, 0.0, 9.0)], "scene_id long, id long, x double, y double, area double")
+    other = spark.createDataFrame([(0, 5, 0.5, 0.0, 9.0)], "scene_id long, id long, x double, y double, area double")
+    assert "Broadcast" not in plan(spatial.nearest_matches(own, other))
+    over = spatial.unmatched(own, other)
+    assert "Broadcast" not in plan(over)
+    assert [r["id"] for r in over.collect()] == [2]
+
+
+@pytest.mark.parametrize("cell", [4.0, 64.0])
+def test_a_boundary_is_not_within_its_region(spark, cell):
+    """Sides, corners and a slanting edge; a point on the rim of one region may lie inside another."""
+    rings = [[(0, 0), (60.5, 0), (60.5, 90.5), (0, 90.5)], [(100, 0), (140, 40), (100, 80)], [(50, 10), (70, 10), (70, 20), (50, 20)]]
+    points = {1: (0, 5), 2: (5, 0), 3: (0, 0), 4: (60.5, 5), 5: (5, 90.5), 6: (1, 1), 7: (120, 20), 8: (119, 20), 9: (100, 40), 10: (60.5, 15), 11: (140, 40), 12: (30, -1)}
+    d = spark.createDataFrame([(0, i, (float(x), float(y))) for i, (x, y) in points.items()], f"scene_id long, det_id long, center {geometry.POINT}")
+    r = spark.createDataFrame([(0, [tuple(map(float, v)) for v in ring]) for ring in rings], f"scene_id long, ring {geometry.RING}")
+    assert {x["det_id"] for x in spatial.inside_regions(d, r, cell, strict=True).collect()} == {6, 8, 10}
