@@ -146,6 +146,12 @@ def right_of(p: Column, e: Column) -> Column:
     return ((e["p"]["y"] > p["y"]) != (e["q"]["y"] > p["y"])) & (p["x"] < (e["q"]["x"] - e["p"]["x"]) * F.try_divide(p["y"] - e["p"]["y"], e["q"]["y"] - e["p"]["y"]) + e["p"]["x"])
 
 
+def on_edge(p: Column, e: Column) -> Column:
+    """The point lies on the edge (p, q), its ends included."""
+    between = lambda c: p[c].between(F.least(e["p"][c], e["q"][c]), F.greatest(e["p"][c], e["q"][c]))
+    return between("x") & between("y") & ((e["q"]["x"] - e["p"]["x"]) * (p["y"] - e["p"]["y"]) == (e["q"]["y"] - e["p"]["y"]) * (p["x"] - e["p"]["x"]))
+
+
 def contains(ring: Column, p: Column) -> Column:
     """Even-odd test of a point against a ring."""
     return F.size(F.filter(edges(ring), lambda e: right_of(p, e))) % 2 == 1

@@ -135,11 +135,12 @@ def region_cells(ring: np.ndarray, cell: float) -> list[tuple[int, int, int, boo
     return found
 
 
-def inside_regions(dets: DataFrame, regions: DataFrame, cell: float, key: str = "det_id") -> DataFrame:
+def inside_regions(dets: DataFrame, regions: DataFrame, cell: float, key: str = "det_id", strict: bool = False) -> DataFrame:
     """The rows whose centroid (column center) lies in one of the regions (scene_id, ring): a left semi join.
 
     A region is covered by cells: centroids in its inner cells need no test; for those in border cells the edges at their
-    height are counted, each edge being a row at its own height's grid. No row carries a ring.
+    height are counted, each edge being a row at its own height's grid. No row carries a ring. By the even-odd rule a
+    part of the boundary is inside; strict: none of it, as with "within".
     """
     regions = written(regions.where(F.size("ring") > 0).select("scene_id", geometry.close_ring(F.col("ring")).alias("ring"), F.monotonically_increasing_id().alias("_region")))
     kind = regions.schema["scene_id"].dataType.simpleString()
@@ -161,12 +162,13 @@ def inside_regions(dets: DataFrame, regions: DataFrame, cell: float, key: str =
     met = own.withColumn("cx", at(F.col("center.x"))).withColumn("cy", at(F.col("center.y"))).join(merged(cover), ["scene_id", "_level", "cx", "cy"]).drop("_level", "cx", "cy")
     e = F.col("e")
     height = F.abs(e["p"]["y"] - e["q"]["y"])
-    edges = regions.select("scene_id", "_region", F.explode(geometry.edges(F.col("ring"))).alias("e")).where(height > 0)
-    edges = edges.withColumn("_level", F.greatest(F.ceil(F.log2(height)), F.lit(LEAST_LEVEL)).cast("int"))
+    edges = regions.select("scene_id", "_region", F.explode(geometry.edges(F.col("ring"))).alias("e"))
+    edges = edges.withColumn("_level", F.greatest(F.ceil(F.log2(F.when(height > 0, height))), F.lit(LEAST_LEVEL)).cast("int"))
     edges = edges.withColumn("cy", F.explode(F.sequence(at(F.least(e["p"]["y"], e["q"]["y"])), at(F.greatest(e["p"]["y"], e["q"]["y"])))))
     border = met.where("NOT inner").withColumn("_level", F.explode(of(edges))).withColumn("cy", at(F.col("center.y")))
-    crossed = border.join(merged(edges), ["scene_id", "_region", "_level", "cy"]).where(geometry.right_of(F.col("center"), e))
-    odd = crossed.groupBy("scene_id", key, "_region").agg(F.count("*").alias("c")).where("c % 2 = 1")
+    right, on = geometry.right_of(F.col("center"), e), geometry.on_edge(F.col("center"), e) if strict else F.lit(False)
+    crossed = border.join(merged(edges), ["scene_id", "_region", "_level", "cy"]).where(right | on)
+    odd = crossed.groupBy("scene_id", key, "_region").agg(F.count_if(right).alias("c"), F.bool_or(on).alias("on")).where("c % 2 = 1 AND NOT on")
     hit = met.where("inner").select("scene_id", key).unionByName(odd.select("scene_id", key)).distinct()
     return dets.join(merged(hit), ["scene_id", key], "left_semi")
 
