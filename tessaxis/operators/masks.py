@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tessaxis.functions import geometry, packed
+from tessaxis.sources.stages import spread
 
 MASK = "struct<h:int,w:int,data:binary>"
 
@@ -39,7 +40,7 @@ class Step(NamedTuple):
 
 
 #: Cells that one slice of a batch holds, if its first mask is not larger.
-SLICE_CELLS = 1 << 20
+SLICE_CELLS = 1 << 18
 
 
 def apply(df: DataFrame, *steps: Step, mask: str = "mask", keep_mask: bool = True) -> DataFrame:
@@ -253,7 +254,7 @@ def pixels(df: DataFrame, key: str = "det_id", mask: str = "mask") -> DataFrame:
 def block_means(px: DataFrame, factor: int, key: str = "det_id") -> DataFrame:
     """mask_pixels shrunk by a whole factor: the mean over each block, absent pixels being 0."""
     f = F.floor
-    cells = px.groupBy(key, f(F.col("row") / factor).cast("int").alias("row"), f(F.col("col") / factor).cast("int").alias("col"))
+    cells = spread(px.select(key, "row", "col", "w"), key).groupBy(key, f(F.col("row") / factor).cast("int").alias("row"), f(F.col("col") / factor).cast("int").alias("col"))
     return cells.agg((F.sum("w") / (factor * factor)).alias("w"))
 
 
@@ -263,11 +264,14 @@ def pixel_boxes(px: DataFrame, key: str = "det_id") -> DataFrame:
 
 
 def mask_iou(a: DataFrame, b: DataFrame, key: str = "det_id") -> DataFrame:
-    """IoU of the binary masks of equal keys, from their pixels: a full outer join on (key, row, col)."""
+    """IoU of the binary masks of equal keys, from their pixels; a pixel without a key or a place is in no other mask."""
     cell = [key, "row", "col"]
-    both = a.select(*cell).distinct().withColumn("in_a", F.lit(1)).join(b.select(*cell).distinct().withColumn("in_b", F.lit(1)), cell, "full")
-    hit = F.col("in_a").isNotNull() & F.col("in_b").isNotNull()
-    return both.groupBy(key).agg((F.count_if(hit) / F.count("*")).alias("iou"))
+    side = lambda df, s: df.select(*cell, F.lit(s == "a").alias("_a"), F.lit(s == "b").alias("_b"))
+    px = spread(side(a, "a").unionByName(side(b, "b")), key)  # both masks of a key meet in one task, once
+    both = px.groupBy(*cell).agg((F.bool_or("_a") & F.bool_or("_b")).alias("_both"))
+    whole = F.col(key).isNotNull() & F.col("row").isNotNull() & F.col("col").isNotNull()
+    hit = F.count_if(F.col("_both") & whole)
+    return both.groupBy(key).agg((hit / (F.count("*") + F.count_if(F.col("_both") & ~whole))).alias("iou"))
 
 
 def aligned_flavours(flavours: DataFrame, names: list[str], boxes: DataFrame, max_blowup: float = 4.0, key: str = "det_id") -> DataFrame:

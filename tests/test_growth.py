@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessaxis.functions import geometry
+from tessaxis.functions import geometry, images
 from tessaxis.operators import coco, masks, orientation, spatial, sweeps, texture, tiles
 
 
@@ -51,3 +51,47 @@ def test_a_boundary_is_not_within_its_region(spark, cell):
     d = spark.createDataFrame([(0, i, (float(x), float(y))) for i, (x, y) in points.items()], f"scene_id long, det_id long, center {geometry.POINT}")
     r = spark.createDataFrame([(0, [tuple(map(float, v)) for v in ring]) for ring in rings], f"scene_id long, ring {geometry.RING}")
     assert {x["det_id"] for x in spatial.inside_regions(d, r, cell, strict=True).collect()} == {6, 8, 10}
+
+
+def pixel_rows(spark):
+    rows = [(i, r, c, 0.5 + (r + c) % 2) for i, (h, w) in enumerate(((3, 9), (8, 2), (5, 4))) for r in range(h) for c in range(w)]
+    return spark.createDataFrame(rows, "det_id long, row int, col int, w double")
+
+
+def test_moments_join_no_table(spark):
+    found = orientation.moment_orientations(pixel_rows(spark).withColumn("w", F.lit(2.0)))
+    assert "Join" not in plan(found)
+    got = {r["det_id"]: (r["angle180"] % 180, r["aspect_ra"]) for r in found.collect()}
+    assert set(got) == {0, 1, 2} and got[0][0] == pytest.approx(90) and min(got[1][0], 180 - got[1][0]) == pytest.approx(0, abs=1e-6)
+
+
+def test_pixels_of_masks_are_counted_after_they_are_dealt_out(spark):
+    """No task counts cells before the shuffle, and what is shuffled is not put into few tasks."""
+    px = pixel_rows(spark)
+    for found in (masks.mask_iou(px, px.withColumn("col", F.col("col") + 1)), masks.block_means(px, 2)):
+        text = plan(found)
+        assert text.count("Exchange") == 1 and "REPARTITION_BY_NUM" in text
+    shifted = masks.mask_iou(px, px.withColumn("col", F.col("col") + 1))
+    assert {r["det_id"]: r["iou"] for r in shifted.collect()} == {0: 8 / 10, 1: 1 / 3, 2: 3 / 5}
+
+
+def test_pixels_without_a_key_or_a_place_match_nothing(spark):
+    px = spark.createDataFrame([(1, None, 0), (1, 2, 2), (None, 0, 0)], "det_id long, row int, col int")
+    assert {r["det_id"]: r["iou"] for r in masks.mask_iou(px, px).collect()} == {1: 1 / 3, None: 0.0}
+
+
+def test_rings_are_densified_in_arrays_as_by_columns(spark):
+    rings = [[(0, 0), (3, 0), (3, 2.5)], [(0, 0), (1.2, 0), (1, 1), (0, 0)], [], [(5, 5)], [(1, 1), (1, 1)], [(0, 0), (0.9, 0.3), (2, 8), (-3, 4.5), (0, 0)]]
+    spacing = [0.7, 0.3, 1.0, 1.0, 1.0, 0.25]
+    d = spark.createDataFrame([(i, [tuple(map(float, v)) for v in r], s) for i, (r, s) in enumerate(zip(rings, spacing, strict=True))], f"i int, ring {geometry.RING}, s double")
+    wanted = {r["i"]: [tuple(v) for v in r["g"]] for r in d.select("i", geometry.densify(F.col("ring"), F.col("s")).alias("g")).collect()}
+    flat = np.array([v for r in rings for v in r], float)
+    x, y, n = images.densified(flat[:, 0], flat[:, 1], np.array([len(r) for r in rings]), np.array(spacing))
+    got = np.split(np.column_stack([x, y]), np.cumsum(n)[:-1])
+    for i, g in enumerate(got):
+        assert n[i] == len(wanted[i])
+        assert np.allclose(g, np.array(wanted[i]).reshape(-1, 2), atol=1e-12)
+    d = d.withColumn("geometry", F.col("ring")).withColumn("s", F.when(F.col("i") < 5, F.col("s")))
+    fits = orientation.ellipse_fits(d, spacing=F.col("s"))
+    assert "hypot" not in plan(fits).lower()
+    assert {r["i"]: r["angle180"] is not None for r in fits.collect()} == {0: True, 1: True, 2: False, 3: False, 4: False, 5: False}
