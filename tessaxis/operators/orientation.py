@@ -15,23 +15,36 @@ from pyspark.sql import types as T
 
 from tessaxis.functions import axial, geometry, images
 from tessaxis.sources.layers import sample_n
+from tessaxis.sources.stages import merged, spread
 
 
-def _fitted(df: DataFrame, names: list[str], fit) -> DataFrame:
-    """df without its column _ring, with double columns that fit(x, y, n) gives for all rings of a batch; NaN becomes null."""
-    kept = [f for f in df.schema.fields if f.name not in ("_ring", *names)]
+def _fitted(df: DataFrame, ring: str, spacing: float | Column | None, names: list[str], fit) -> DataFrame:
+    """df with double columns that fit(x, y, n) gives for all rings of a batch; NaN becomes null.
+
+    With a spacing, rings are densified first, in the tasks' arrays; without a value of it a fit fails.
+    """
+    thin = isinstance(spacing, Column) or bool(spacing)
+    if thin:
+        df = df.withColumn("_spacing", (spacing if isinstance(spacing, Column) else F.lit(spacing)).cast("double"))
+    kept = [f for f in df.schema.fields if f.name not in ("_spacing", *names)]
     schema = T.StructType([*kept, *(T.StructField(n, T.DoubleType()) for n in names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rings = batch.column("_ring")
+            rings = batch.column(ring)
             points = rings.flatten()
             n = pc.list_value_length(rings).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            found = fit(*(points.field(c).to_numpy(zero_copy_only=False) for c in ("x", "y")), n)
+            x, y = (points.field(c).to_numpy(zero_copy_only=False) for c in ("x", "y"))
+            if thin:
+                space = batch.column("_spacing").to_numpy(zero_copy_only=False).astype(float)
+                known = ~np.isnan(space)
+                own = np.repeat(known, n)
+                x, y, n = images.densified(x[own], y[own], np.where(known, n, 0), space)
+            found = fit(x, y, n)
             made = [pa.array(v, pa.float64(), mask=np.isnan(v)) for v in found]
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), *made], schema.names)
 
-    return df.select(*(f.name for f in kept), "_ring").mapInArrow(run, schema)
+    return df.select(*(f.name for f in kept), *["_spacing"] * thin).mapInArrow(run, schema)
 
 
 def ellipse_fits(df: DataFrame, ring: str = "geometry", spacing: float | Column | None = None) -> DataFrame:
@@ -39,8 +52,7 @@ def ellipse_fits(df: DataFrame, ring: str = "geometry", spacing: float | Column
 
     With a spacing, rings are densified first. All vertices count, the repeated closing one too.
     """
-    rings = geometry.densify(F.col(ring), spacing) if isinstance(spacing, Column) or spacing else F.col(ring)
-    return _fitted(df.withColumn("_ring", rings), ["angle180", "aspect_ra"], images.fit_ellipses)
+    return _fitted(df, ring, spacing, ["angle180", "aspect_ra"], images.fit_ellipses)
 
 
 def attach_orientations(dets: DataFrame, res: float | Column, ring: str = "geometry") -> DataFrame:
@@ -60,15 +72,21 @@ def well_resolved(df: DataFrame, res: float, aspect_min: float = 1.35, pixels_mi
 def moment_orientations(px: DataFrame, key: str = "det_id") -> DataFrame:
     """Long-axis azimuth and aspect from the weighted moments of mask_pixels: key, angle180, aspect_ra."""
     w, x, y = F.col("w"), F.col("col").cast("double"), -F.col("row").cast("double")
-    means = px.groupBy(key).agg(F.sum(w).alias("m"), F.try_divide(F.sum(w * x), F.sum(w)).alias("mx"), F.try_divide(F.sum(w * y), F.sum(w)).alias("my"))
+    of = Window.partitionBy(key)  # a mask's pixels meet in one task, once
+    px = spread(px.select(key, "row", "col", "w").where(F.col(key).isNotNull()), key).withColumns({"m": F.sum(w).over(of), "mx": F.try_divide(F.sum(w * x).over(of), F.sum(w).over(of)), "my": F.try_divide(F.sum(w * y).over(of), F.sum(w).over(of))})
     dx, dy = x - F.col("mx"), y - F.col("my")
-    sums = px.join(means, key).groupBy(key).agg(F.max("m").alias("m"), (F.sum(w * dx * dx) / F.max("m")).alias("xx"), (F.sum(w * dy * dy) / F.max("m")).alias("yy"), (F.sum(w * dx * dy) / F.max("m")).alias("xy"))
-    spread = F.hypot(F.col("xx") - F.col("yy"), 2 * F.col("xy"))
-    l1, l2 = (F.col("xx") + F.col("yy") + spread) / 2, (F.col("xx") + F.col("yy") - spread) / 2
+    sums = px.groupBy(key).agg(F.max("m").alias("m"), (F.sum(w * dx * dx) / F.max("m")).alias("xx"), (F.sum(w * dy * dy) / F.max("m")).alias("yy"), (F.sum(w * dx * dy) / F.max("m")).alias("xy"))
+    return sums.select(key, *moment_axes())
+
+
+def moment_axes() -> list[Column]:
+    """angle180 and aspect_ra of a weight m with the moments xx, yy and xy about its mean."""
+    apart = F.hypot(F.col("xx") - F.col("yy"), 2 * F.col("xy"))
+    l1, l2 = (F.col("xx") + F.col("yy") + apart) / 2, (F.col("xx") + F.col("yy") - apart) / 2
     # the main axis lies at half the angle of (xx - yy, 2 xy) from east
     theta = F.atan2(2 * F.col("xy"), F.col("xx") - F.col("yy")) / 2
     good = (F.col("m") > 0) & (l1 > 0)
-    return sums.select(key, F.when(good, axial.azimuth(F.cos(theta), F.sin(theta))).alias("angle180"), F.when(good, F.sqrt(l1 / F.greatest(l2, F.lit(1e-12)))).alias("aspect_ra"))
+    return [F.when(good, axial.azimuth(F.cos(theta), F.sin(theta))).alias("angle180"), F.when(good, F.sqrt(l1 / F.greatest(l2, F.lit(1e-12)))).alias("aspect_ra")]
 
 
 def traced_orientations(df: DataFrame, tracer: str, key: str = "det_id") -> DataFrame:
@@ -82,9 +100,10 @@ def traced_orientations(df: DataFrame, tracer: str, key: str = "det_id") -> Data
 
 def compare_tracers(df: DataFrame, key: str = "det_id") -> DataFrame:
     """Both tracers' angles side by side: key, angle_isoline, angle_border, difference."""
+    df = spread(df.select(key, "mask"), key)
     a = traced_orientations(df, "isoline", key).select(key, F.col("angle180").alias("angle_isoline"))
     b = traced_orientations(df, "border", key).select(key, F.col("angle180").alias("angle_border"))
-    return a.join(b, key).withColumn("difference", axial.distance(F.col("angle_isoline"), F.col("angle_border")))
+    return a.join(merged(b), key).withColumn("difference", axial.distance(F.col("angle_isoline"), F.col("angle_border")))
 
 
 def scene_fractions(df: DataFrame, by: list[str], tol: float = 10.0) -> DataFrame:
@@ -212,7 +231,7 @@ def smoothed_ring_angles(df: DataFrame, res: float, smooth_px: float = 2.0, ring
         return [*raw, *(np.where(done, f, r) for f, r in zip(fit, raw, strict=True))]
 
     names = ["raw_angle", "raw_aspect", "smooth_angle", "smooth_aspect"]
-    return _fitted(df.withColumn("_ring", geometry.densify(F.col(ring), res)), names, both)
+    return _fitted(df, ring, res, names, both)
 
 
 def grid_corrected_angles(dets: DataFrame, res: float, smooth_px: float = 2.0, n: int = 20_000, aspect_min: float = 1.0, seed: int = 0, key: str = "det_id") -> DataFrame:
