@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessaxis.functions import axial, images
+from tessaxis.sources.stages import merged, spread, written
 
 
 def _columns(df: DataFrame, drop: tuple[str, ...] = ()) -> str:
@@ -64,15 +65,17 @@ def orientation_field(windows: DataFrame, grad_sigma: float = 1.0, integ_sigma:
     return windows.mapInPandas(run, f"{key} {kind}, row int, col int, az double, coh double, value int")
 
 
-def object_texture(dets: DataFrame, patches: DataFrame, res: float, aspect_min: float = 1.35, smooth: float = 1.0) -> DataFrame:
+def object_texture(dets: DataFrame, patches: DataFrame, res: float, aspect_min: float = 1.35, smooth: float = 1.0, on: str = "det_id") -> DataFrame:
     """Mask angle against structure-tensor angle per object: det_id, mask_ang, aspect, diameter_m, st_ang, st_coh.
 
-    dets: det_id, angle180, aspect_ra, diameter_m, bbox; patches: det_id, n, pixels around each object's center.
+    dets: det_id, angle180, aspect_ra, diameter_m, bbox; patches: det_id, n, pixels around each object's center, or with
+    `on` another key that dets have too. The tensor of a patch is computed once for each width of its weights.
     """
     radius = F.greatest(F.col("bbox.xmax") - F.col("bbox.xmin"), F.col("bbox.ymax") - F.col("bbox.ymin")) / 2
     kept = dets.where(F.col("aspect_ra") >= aspect_min).withColumn("sigma", F.greatest(radius / res, F.lit(2.0)))
-    found = tensor_orientations(kept.join(patches.where("n >= 7"), "det_id").select("det_id", F.col("angle180").alias("mask_ang"), F.col("aspect_ra").alias("aspect"), "diameter_m", "sigma", "n", "pixels"), smooth, "sigma")
-    return found.select("det_id", "mask_ang", "aspect", "diameter_m", F.col("az").alias("st_ang"), F.col("coh").alias("st_coh"))
+    asked = spread(kept.select(on, "sigma").distinct().join(merged(patches.where("n >= 7")), on).select(on, "sigma", "n", "pixels"), on, "sigma")
+    found = written(tensor_orientations(asked, smooth, "sigma").select(on, "sigma", "az", "coh"))
+    return kept.join(merged(found), [on, "sigma"]).select("det_id", F.col("angle180").alias("mask_ang"), F.col("aspect_ra").alias("aspect"), "diameter_m", F.col("az").alias("st_ang"), F.col("coh").alias("st_coh"))
 
 
 def regional_histogram(crops: DataFrame, scales: list[tuple[float, float]], coherent_share: float = 0.25, bin_deg: int = 10) -> DataFrame:

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessaxis.sources.stages import spread
+
 STITCHED = 32
 RAW_DETECTION = "scene_id long, tile_id long, x0 int, y0 int, sw int, sh int, local_id int, box struct<x1:double,y1:double,x2:double,y2:double>, score double, category_id int, mask struct<h:int,w:int,data:binary>"
 
@@ -70,8 +72,8 @@ def read_windows(windows: DataFrame, blocks: DataFrame, block: int, key: str = "
 
     # a group of STITCHED neighbours in the numbering costs a task little more than one window
     together = F.floor(F.col("key") / STITCHED) if isinstance(windows.schema[key].dataType, T.IntegralType) else F.xxhash64("key")
-    grouped = parts.withColumnRenamed(key, "key").withColumn("together", together).groupBy("scene_id", "together")
-    return grouped.applyInPandas(stitch, f"scene_id long, {key} {kind}, x0 int, y0 int, sw int, sh int, pixels binary")
+    grouped = spread(parts.withColumnRenamed(key, "key").withColumn("together", together), "scene_id", "together")
+    return grouped.groupBy("scene_id", "together").applyInPandas(stitch, f"scene_id long, {key} {kind}, x0 int, y0 int, sw int, sh int, pixels binary")
 
 
 def strip_side(block: int, size: int, step: int, pixels: int = 1 << 24) -> int:
@@ -115,7 +117,7 @@ def read_grid(grid: DataFrame, blocks: DataFrame, block: int, size: int, step: i
         cut = [canvas[y - top : y - top + h, x - left : x - left + w].tobytes() for x, y, w, h in zip(x0, y0, sw, sh, strict=True)]
         return windows.select(["scene_id", "tile_id", "x0", "y0", "sw", "sh"]).append_column("pixels", pa.array(cut, pa.binary()))
 
-    return wanted.groupBy(*strip).cogroup(parts.groupBy(*strip)).applyInArrow(stitch, f"scene_id {kind}, tile_id {grid.schema['tile_id'].dataType.simpleString()}, x0 int, y0 int, sw int, sh int, pixels binary")
+    return spread(wanted, *strip).groupBy(*strip).cogroup(spread(parts, *strip).groupBy(*strip)).applyInArrow(stitch, f"scene_id {kind}, tile_id {grid.schema['tile_id'].dataType.simpleString()}, x0 int, y0 int, sw int, sh int, pixels binary")
 
 
 def tiles(scenes: DataFrame, blocks: DataFrame, block: int, size: int, overlap: float = 0.2) -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessaxis.functions import geometry
+from tessaxis.sources.stages import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,7 +58,7 @@ def models(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """det_id, mh, mw: sides of rectangular masks."""
-    return table(spark, sf_dir, "customer").selectExpr("c_custkey AS det_id", "cast(3 + c_custkey % 9 AS int) AS mh", "cast(3 + c_custkey % 7 AS int) AS mw")
+    return spread(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey").selectExpr("c_custkey AS det_id", "cast(3 + c_custkey % 9 AS int) AS mh", "cast(3 + c_custkey % 7 AS int) AS mw")
 
 
 def mask_pixels(spark: SparkSession, sf_dir: str, soft: bool = True) -> DataFrame:
@@ -83,7 +84,7 @@ def masks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """patch_id, label, n, pixels: the 64 values of each vector as 8 x 8."""
-    return table(spark, sf_dir, "embeddings").selectExpr("vec_id AS patch_id", "label", "8 AS n", "transform(embedding, v -> cast(v AS double)) AS pixels")
+    return spread(table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding"), "vec_id").selectExpr("vec_id AS patch_id", "label", "8 AS n", "transform(embedding, v -> cast(v AS double)) AS pixels")
 
 
 BLOCK, BLOCKS_A_ROW = 8, 16
@@ -145,7 +146,7 @@ def blob_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
                 a[y : y + h, x : x + w] = v
             yield pdf[["scene_id", "block_row", "block_col"]].assign(h=BLOB_BLOCK, w=BLOB_BLOCK, pixels=[a.tobytes() for a in made])
 
-    rows = table(spark, sf_dir, "customer").selectExpr("cast(c_custkey AS long) AS k").selectExpr(
+    rows = spread(table(spark, sf_dir, "customer").selectExpr("cast(c_custkey AS long) AS k"), "k").selectExpr(
         "k % 3 AS scene_id", f"cast(k div 3 div {BLOBS_A_ROW} AS int) AS block_row", f"cast(k div 3 % {BLOBS_A_ROW} AS int) AS block_col",
         "cast(2 + 7 * k % 3 AS int) AS x", "cast(2 + k % 4 AS int) AS y", "cast(4 + k % 5 AS int) AS w", "cast(3 + k div 5 % 7 AS int) AS h", "cast(160 + 13 * k % 90 AS int) AS v",
     )

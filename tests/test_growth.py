@@ -95,3 +95,37 @@ def test_rings_are_densified_in_arrays_as_by_columns(spark):
     fits = orientation.ellipse_fits(d, spacing=F.col("s"))
     assert "hypot" not in plan(fits).lower()
     assert {r["i"]: r["angle180"] is not None for r in fits.collect()} == {0: True, 1: True, 2: False, 3: False, 4: False, 5: False}
+
+
+def test_windows_and_strips_are_not_put_into_few_tasks(spark):
+    windows = spark.createDataFrame([(0, 1, 0, 0, 4, 4)], "scene_id long, tile_id long, x0 int, y0 int, sw int, sh int")
+    blocks = spark.createDataFrame([(0, 0, 0, 8, 8, bytearray(range(64)))], "scene_id long, block_row int, block_col int, h int, w int, pixels binary")
+    for found in (tiles.read_windows(windows, blocks, 8), tiles.read_grid(windows, blocks, 8, 4)):
+        assert "REPARTITION_BY_NUM" in plan(found)
+        assert [bytes(r["pixels"]) for r in found.collect()] == [bytes(8 * i + j for i in range(4) for j in range(4))]
+
+
+def test_objects_at_one_place_share_its_patch(spark):
+    box = (0.0, 0.0, 2.0, 2.0)
+    d = spark.createDataFrame([(i, 10.0, 2.0, 3.0, box, 5) for i in range(3)], f"det_id long, angle180 double, aspect_ra double, diameter_m double, bbox {geometry.BOX}, place long")
+    pixels = [float((i * 7) % 11) for i in range(144)]
+    shared = texture.object_texture(d, spark.createDataFrame([(5, 12, pixels)], "place long, n int, pixels array<double>"), 2.0, on="place")
+    own = texture.object_texture(d.drop("place"), spark.createDataFrame([(i, 12, pixels) for i in range(3)], "det_id long, n int, pixels array<double>"), 2.0)
+    assert sorted(map(tuple, shared.collect())) == sorted(map(tuple, own.collect())) and shared.count() == 3
+
+
+def test_measured_parts_are_found_once_in_bounded_batches(spark):
+    a = np.zeros((16, 16))
+    a[3:6, 2:11] = 200
+    found = sweeps.threshold_measure(140, ["patch_id"])(spark.createDataFrame([(1, 16, a.ravel().tolist())], "patch_id long, n int, pixels array<double>"))
+    assert "Join" not in plan(found) and "MapInPandas" not in plan(found)
+    (row,) = found.collect()
+    assert (row["area"], row["angle180"], row["aspect_ra"]) == (27, pytest.approx(90), pytest.approx((80 / 8) ** 0.5))
+
+
+def test_rejects_and_predictions_are_computed_once(spark):
+    raw = spark.createDataFrame([(0, 1, masks.to_mask(np.ones((2, 2))))], f"scene_id long, category_id int, mask {masks.MASK}")
+    found = masks.rejects(raw, spark.createDataFrame([(1,)], "category_id int"), 8, 6, downscale=False)
+    assert "MapInArrow" not in plan(found) and [tuple(r) for r in found.collect()] == [(0, "area", 1)]
+    d = coco.predictions(spark.createDataFrame([(0, 1, 0, 0.9)], "image_id long, det_id long, category_id int, score double"))
+    assert "Window" not in plan(d) and d.count() == 1
