@@ -36,7 +36,7 @@ def ground_truth(instances: DataFrame) -> DataFrame:
 def predictions(dets: DataFrame, min_score: float = 0.05) -> DataFrame:
     """Detections of min_score or more, at most the best MOST_PER_IMAGE of each image and class."""
     rank = F.row_number().over(Window.partitionBy("image_id", "category_id").orderBy(F.desc("score"), "det_id"))
-    return dets.where(F.col("score") >= min_score).withColumn("_n", rank).where(F.col("_n") <= MOST_PER_IMAGE).drop("_n")
+    return written(dets.where(F.col("score") >= min_score).withColumn("_n", rank).where(F.col("_n") <= MOST_PER_IMAGE).drop("_n"))  # read several times
 
 
 def _enough(pairs: DataFrame, i: Column, a_det: Column, a_gt: Column) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tessaxis.functions import geometry, packed
-from tessaxis.sources.stages import spread
+from tessaxis.sources.stages import spread, written
 
 MASK = "struct<h:int,w:int,data:binary>"
 
@@ -197,8 +197,9 @@ def rejects(raw: DataFrame, categories: DataFrame, slice_size: int, min_area: fl
     """Why detections() of the same parameters leaves rows out: scene_id, reason (area, contour or category, the first that holds), n."""
     own = raw.select("scene_id", "category_id", "mask")
     drawn = apply(own, *_sizing(slice_size, downscale, area_rule), *_drawing(tracer, mask_rule), keep_mask=False)
+    drawn = written(drawn.select("scene_id", "category_id", "area", F.expr(_DRAWN).alias("ok")))
     known = drawn.join(categories.select("category_id", F.lit(True).alias("named")).distinct(), "category_id", "left")
-    large, ok = F.coalesce(F.col("area") > min_area, F.lit(False)), F.expr(_DRAWN)
+    large, ok = F.coalesce(F.col("area") > min_area, F.lit(False)), F.col("ok")
     reason = F.when(~large, "area").when(~ok, "contour").when(F.col("named").isNull(), "category")
     return known.select("scene_id", reason.alias("reason")).where("reason IS NOT NULL").groupBy("scene_id", "reason").agg(F.count("*").alias("n"))
 

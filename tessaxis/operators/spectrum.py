@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessaxis.functions import axial, images
 from tessaxis.operators import tiles
+from tessaxis.sources.stages import written
 
 
 def frequency_grid(spark, n: int) -> DataFrame:
@@ -25,13 +26,13 @@ def profiles(patches: DataFrame, by: list[str] = ("patch_id",), band: tuple[floa
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for row in pdf.to_dict("records"):
-                p = images.angular_profile(np.asarray(row["pixels"], float).reshape(row["n"], -1), band, nbins, detrend_sigma)
-                out = pd.DataFrame({"bin": np.arange(nbins), "center_deg": (np.arange(nbins) + 0.5) * 180 / nbins, "value": pd.array(np.where(np.isnan(p), 0, p), "Float64")})
-                out.loc[np.isnan(p), "value"] = pd.NA
-                for c in by:
-                    out[c] = row[c]
-                yield out[[*by, "bin", "center_deg", "value"]]
+            made = [images.angular_profile(np.asarray(x, float).reshape(n, -1), band, nbins, detrend_sigma) for x, n in zip(pdf["pixels"], pdf["n"], strict=True)]
+            value = np.concatenate(made) if made else np.zeros(0)
+            out = pdf[by].loc[pdf.index.repeat(nbins)].reset_index(drop=True)
+            out["bin"] = np.tile(np.arange(nbins), len(pdf))
+            out["center_deg"] = (out["bin"] + 0.5) * 180 / nbins
+            out["value"] = pd.arrays.FloatingArray(np.where(np.isnan(value), 0, value), np.isnan(value))
+            yield out[[*by, "bin", "center_deg", "value"]]
 
     return patches.mapInPandas(run, schema)
 
@@ -113,7 +114,7 @@ def warped(patches: DataFrame, parameters: DataFrame) -> DataFrame:
 
 def control_summaries(made: DataFrame, by: list[str], band: tuple[float, float] = (2.5, 8.0), nbins: int = 36, tol: float = 10.0) -> DataFrame:
     """A control job's mean profiles by parameter, summarised."""
-    return summary(ensemble(profiles(made, [*by, "patch_id"], band, nbins), by), by, tol)
+    return summary(ensemble(written(profiles(made, [*by, "patch_id"], band, nbins)), by), by, tol)
 
 
 # The tests of flat patches in order, and the order of their reasons.

@@ -55,7 +55,7 @@ def threshold_measure(level: float, by: list[str], min_pixels: int = 5) -> Measu
 
     def measure(patches: DataFrame) -> DataFrame:
         keys = [c for c in by if c in patches.columns]
-        schema = ", ".join(f"{c} {patches.schema[c].dataType.simpleString()}" for c in keys) + ", local_id int, cx double, cy double, score double, mask " + masks.MASK
+        schema = ", ".join(f"{c} {patches.schema[c].dataType.simpleString()}" for c in keys) + ", local_id int, cx double, cy double, score double, mask " + masks.MASK + ", m double, xx double, yy double, xy double"
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
@@ -67,13 +67,12 @@ def threshold_measure(level: float, by: list[str], min_pixels: int = 5) -> Measu
                         m = label == i
                         if m.sum() >= min_pixels:
                             ys, xs = np.nonzero(m)
-                            rows.append((*(r[c] for c in keys), i, float(xs.mean()), float(ys.mean()), float(a[m].mean()), masks.to_mask(m)))
-                yield pd.DataFrame(rows, columns=[*keys, "local_id", "cx", "cy", "score", "mask"])
+                            dx, dy = xs - xs.mean(), ys.mean() - ys
+                            rows.append((*(r[c] for c in keys), i, float(xs.mean()), float(ys.mean()), float(a[m].mean()), masks.to_mask(m), float(len(xs)), float((dx * dx).mean()), float((dy * dy).mean()), float((dx * dy).mean())))
+                yield pd.DataFrame(rows, columns=[*keys, "local_id", "cx", "cy", "score", "mask", "m", "xx", "yy", "xy"])
 
-        found = patches.mapInPandas(run, schema).withColumn("det", F.to_json(F.struct(*keys, "local_id")))
-        px = masks.pixels(found, "det")
-        moments = orientation.moment_orientations(px, "det").join(px.groupBy("det").agg(F.sum("w").alias("area")), "det")
-        return found.join(moments, "det").drop("det")
+        found = written(patches.mapInPandas(run, schema))  # once, and in batches of few bytes
+        return found.select(*keys, "local_id", "cx", "cy", "score", "mask", *orientation.moment_axes(), F.col("m").alias("area"))
 
     return measure
 
