@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessaxis.functions import axial, geometry
-from tessaxis.sources.stages import merged, written
+from tessaxis.sources.stages import dealt, merged, written
 
 
 def cells(df: DataFrame, box: Column, cell: float, pad: float = 0.0) -> DataFrame:
@@ -49,11 +49,14 @@ def level(box: Column, pad: float = 0.0) -> Column:
 def sized_pairs(a: DataFrame, b: DataFrame, on: list[str], pad: float = 0.0) -> DataFrame:
     """As box_pairs(), for boxes of any sizes: each pair is made in the grid of the larger one of its boxes.
 
-    Each row is at most four rows for each level that the other side has, some tens at most for all sizes of doubles.
+    Each row is at most four rows for each level that the other side has, some tens at most for all sizes of doubles. The
+    counts of the levels tell how many rows are sorted, so that more rows make more tasks and not larger ones.
     """
     own_a, own_b = a.withColumn("_own", level(F.col("box_a"))), b.withColumn("_own", level(F.col("box_b"), pad))
-    found = [sorted(r[0] for r in df.select("_own").distinct().collect()) for df in (own_a, own_b)]
+    found = [dict(sorted(map(tuple, df.groupBy("_own").count().collect()))) for df in (own_a, own_b)]
     levels_a, levels_b = (F.array(*map(F.lit, v)).cast("array<int>") for v in found)
+    many = lambda v: sum(n if x == LEAST_LEVEL else 4 * n for x, n in v.items())
+    met = lambda small, large, least: sum(many({x: n}) * sum(y >= x + least for y in large) for x, n in small.items())
 
     def at(df: DataFrame, box: Column, levels: Column, wide: float) -> DataFrame:
         df = df.withColumn("_level", F.explode(levels))
@@ -61,19 +64,20 @@ def sized_pairs(a: DataFrame, b: DataFrame, on: list[str], pad: float = 0.0) ->
         span = lambda lo, hi: F.explode(F.sequence(F.floor((box[lo] - wide) / cell), F.floor((box[hi] + wide) / cell)))
         return df.withColumn("cx", span("xmin", "xmax")).withColumn("cy", span("ymin", "ymax")).drop("_own")
 
-    def joined(levels_of_a: Column, levels_of_b: Column) -> DataFrame:
+    def joined(levels_of_a: Column, levels_of_b: Column, rows: int) -> DataFrame:
         left, right = at(own_a, F.col("box_a"), levels_of_a, 0.0), at(own_b, F.col("box_b"), levels_of_b, pad)
         x, y = F.greatest(F.col("box_a.xmin"), F.col("box_b.xmin") - pad), F.greatest(F.col("box_a.ymin"), F.col("box_b.ymin") - pad)
         meets = (x <= F.least(F.col("box_a.xmax"), F.col("box_b.xmax") + pad)) & (y <= F.least(F.col("box_a.ymax"), F.col("box_b.ymax") + pad))
         cell = F.pow(F.lit(2.0), F.col("_level"))
         here = (F.floor(x / cell) == F.col("cx")) & (F.floor(y / cell) == F.col("cy"))
-        return left.join(merged(right), [*on, "_level", "cx", "cy"]).where(meets & here).drop("_level", "cx", "cy")
+        key = [*on, "_level", "cx", "cy"]
+        return dealt(left, rows, *key).join(merged(dealt(right, rows, *key)), key).where(meets & here).drop("_level", "cx", "cy")
 
     alone = F.array("_own")
-    in_a = joined(alone, F.filter(levels_a, lambda v: v >= F.col("_own")))
-    if not all(found) or found[1][-1] <= found[0][0]:  # as with points: no b is larger than an a
+    in_a = joined(alone, F.filter(levels_a, lambda v: v >= F.col("_own")), many(found[0]) + met(found[1], found[0], 0))
+    if not all(found) or max(found[1]) <= min(found[0]):  # as with points: no b is larger than an a
         return in_a
-    return in_a.unionByName(joined(F.filter(levels_b, lambda v: v > F.col("_own")), alone))
+    return in_a.unionByName(joined(F.filter(levels_b, lambda v: v > F.col("_own")), alone, many(found[1]) + met(found[0], found[1], 1)))
 
 
 def near_boundary(dets: DataFrame, footprints: DataFrame, distance: Column, cell: float, key: str = "det_id") -> DataFrame:
@@ -200,15 +204,15 @@ def nearest_matches(refs: DataFrame, models: DataFrame, min_radius: float = 1.0,
     more pairs for the small ones. Ties go to the lower id. Several references may share one model row.
     """
     on = list(on)
-    dia = geometry.diameter(F.col("area"))
+    dia = geometry.diameter(F.col("ref_area"))
     r = F.greatest(dia / 2, F.lit(min_radius))
-    at = lambda d: geometry.box(F.col("x") - d, F.col("y") - d, F.col("x") + d, F.col("y") + d)
-    a = refs.select(*on, F.col("id").alias("ref_id"), F.col("x").alias("x_a"), F.col("y").alias("y_a"), F.col("area").alias("ref_area"), dia.alias("ref_dia"), r.alias("_r"), at(r).alias("box_a"))
-    b = models.select(*on, F.col("id").alias("model_id"), F.col("x").alias("x_b"), F.col("y").alias("y_b"), F.col("area").alias("model_area"), at(F.lit(0.0)).alias("box_b"))
+    at = lambda d: geometry.box(F.col("x_a") - d, F.col("y_a") - d, F.col("x_a") + d, F.col("y_a") + d)
+    a = refs.select(*on, F.col("id").alias("ref_id"), F.col("x").alias("x_a"), F.col("y").alias("y_a"), F.col("area").alias("ref_area")).withColumn("box_a", at(r))
+    b = models.select(*on, F.col("id").alias("model_id"), F.col("area").alias("model_area"), geometry.box(F.col("x"), F.col("y"), F.col("x"), F.col("y")).alias("box_b"))
     best = F.min(F.struct("dist", "model_id", "model_area")).alias("m")
-    near = sized_pairs(a, b, on).withColumn("dist", F.hypot(F.col("x_a") - F.col("x_b"), F.col("y_a") - F.col("y_b"))).where(F.col("dist") <= F.col("_r"))
-    found = near.groupBy(*on, "ref_id", "ref_area", "ref_dia").agg(best)
-    return found.select(*on, "ref_id", "m.model_id", "m.dist", "ref_area", "m.model_area", (F.col("m.model_area") / F.col("ref_area")).alias("ratio"), "ref_dia")
+    near = sized_pairs(a, b, on).withColumn("dist", F.hypot(F.col("x_a") - F.col("box_b.xmin"), F.col("y_a") - F.col("box_b.ymin"))).where(F.col("dist") <= r)
+    found = near.groupBy(*on, "ref_id", "ref_area").agg(best)
+    return found.select(*on, "ref_id", "m.model_id", "m.dist", "ref_area", "m.model_area", (F.col("m.model_area") / F.col("ref_area")).alias("ratio"), dia.alias("ref_dia"))
 
 
 def unmatched(models: DataFrame, refs: DataFrame, min_radius: float = 1.0, on: list[str] = ("scene_id",)) -> DataFrame:

@@ -1,11 +1,14 @@
 """Steps whose cost must not grow faster than the tables: no growing table is sent to all tasks, work is spread, batches are bounded."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessaxis.functions import geometry, images
 from tessaxis.operators import coco, masks, orientation, spatial, sweeps, texture, tiles
+from tessaxis.sources import stages
 
 
 def plan(df) -> str:
@@ -129,3 +132,14 @@ def test_rejects_and_predictions_are_computed_once(spark):
     assert "MapInArrow" not in plan(found) and [tuple(r) for r in found.collect()] == [(0, "area", 1)]
     d = coco.predictions(spark.createDataFrame([(0, 1, 0, 0.9)], "image_id long, det_id long, category_id int, score double"))
     assert "Window" not in plan(d) and d.count() == 1
+
+
+def test_pairs_of_more_rows_are_dealt_to_more_tasks(spark, monkeypatch):
+    """What a task sorts does not grow with the tables at a fixed number of shuffle partitions."""
+    monkeypatch.setattr(stages, "ROWS_A_TASK", 60)
+    d = spark.range(300).selectExpr("0L AS scene_id", "id", "cast(id * 37 % 199 AS double) AS x", "cast(id * 53 % 211 AS double) AS y", "1.0D + id % 90 AS area")
+    r = d.where("id % 7 = 0").withColumn("x", F.col("x") + 0.25)
+    for found in (spatial.nearest_matches(r, d),):
+        text = plan(found)
+        parts = [int(n) for n in re.findall(r", (\d+)\), REPARTITION_BY_NUM", text)]
+        assert len(parts) in (2, 4) and min(parts) > 4 and "Broadcast" not in text
