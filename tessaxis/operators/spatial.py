@@ -219,7 +219,8 @@ def unmatched(models: DataFrame, refs: DataFrame, min_radius: float = 1.0, on: l
     """Model rows with no reference within max(half their own diameter, min_radius): over-detections."""
     on = list(on)
     hit = nearest_matches(models, refs, min_radius, on=on).select(*on, F.col("ref_id").alias("id"))
-    return models.join(merged(hit), [*on, "id"], "left_anti")
+    rows = models.count()
+    return dealt(models, rows, *on, "id").join(merged(dealt(hit, rows, *on, "id")), [*on, "id"], "left_anti")
 
 
 def match_statistics(refs: DataFrame, models: DataFrame, min_radius: float = 1.0, on: list[str] = ("scene_id",)) -> DataFrame:

@@ -139,7 +139,10 @@ def test_pairs_of_more_rows_are_dealt_to_more_tasks(spark, monkeypatch):
     monkeypatch.setattr(stages, "ROWS_A_TASK", 60)
     d = spark.range(300).selectExpr("0L AS scene_id", "id", "cast(id * 37 % 199 AS double) AS x", "cast(id * 53 % 211 AS double) AS y", "1.0D + id % 90 AS area")
     r = d.where("id % 7 = 0").withColumn("x", F.col("x") + 0.25)
-    for found in (spatial.nearest_matches(r, d),):
+    for found in (spatial.nearest_matches(r, d), spatial.unmatched(d, r)):
         text = plan(found)
         parts = [int(n) for n in re.findall(r", (\d+)\), REPARTITION_BY_NUM", text)]
         assert len(parts) in (2, 4) and min(parts) > 4 and "Broadcast" not in text
+    xy = {x["id"]: (x["x"], x["y"]) for x in r.collect()}
+    near = lambda m: any(np.hypot(m["x"] - x, m["y"] - y) <= max(np.sqrt(m["area"] / np.pi), 1) for x, y in xy.values())
+    assert {x["id"] for x in spatial.unmatched(d, r).collect()} == {m["id"] for m in d.collect() if not near(m)}
