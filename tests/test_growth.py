@@ -146,3 +146,21 @@ def test_pairs_of_more_rows_are_dealt_to_more_tasks(spark, monkeypatch):
     xy = {x["id"]: (x["x"], x["y"]) for x in r.collect()}
     near = lambda m: any(np.hypot(m["x"] - x, m["y"] - y) <= max(np.sqrt(m["area"] / np.pi), 1) for x, y in xy.values())
     assert {x["id"] for x in spatial.unmatched(d, r).collect()} == {m["id"] for m in d.collect() if not near(m)}
+
+
+def test_match_statistics_send_no_table_to_all_tasks(spark):
+    """Nor does a task get the ratios of all matches for their median."""
+    refs = spark.createDataFrame([(0, i, 100.0 * i, 0.0, 4.0) for i in range(6)], "scene_id long, id long, x double, y double, area double")
+    models = refs.where("id < 5").withColumn("area", F.col("area") * (1 + F.col("id")))
+    found = spatial.match_statistics(refs, models)
+    assert "Broadcast" not in plan(found) and "Nested" not in plan(found) and "percentile" not in plan(found)
+    assert tuple(found.first()) == (6, 5, 5, 5 / 6, 3.0, 0.0)
+    assert tuple(spatial.match_statistics(refs, models.limit(0)).first()) == (6, 0, 0, 0.0, None, None)
+
+
+@pytest.mark.parametrize("n", [1, 2, 5000, 5001])
+def test_a_median_by_its_bracket_is_exact(spark, n):
+    rng = np.random.default_rng(n)
+    for a in (rng.normal(0, 1, n), rng.integers(0, 4, n).astype(float)):
+        v = spark.createDataFrame([(float(x),) for x in a] + [(None,)], "v double")
+        assert spatial.median(v, "v") == pytest.approx(np.median(a), rel=1e-12)
