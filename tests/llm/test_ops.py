@@ -223,6 +223,22 @@ def test_lm_like_brute_force(spark, monkeypatch, head, hot, batch):
     assert got == {i: pytest.approx(brute.score(x)) for i, x in rows}
 
 
+def test_lm_has_all_frequent_words(spark, monkeypatch):
+    """66,000 words come often enough, more than 16 bits can number; what follows depends on the third word back."""
+    for name, value in (("MIN_COUNT", 3), ("GAIN", 1.0)):
+        monkeypatch.setattr(suffix_tree_lm, name, value)
+    phrases = [f"s{i}{x} p{i} q{i} r{i}{x}" for i in range(11000) for x in "ab"] * 3
+    random.Random(6).shuffle(phrases)
+    lines = [" ".join(phrases[i : i + 20]) for i in range(0, len(phrases), 20)]
+    brute = BruteTree(lines)
+    assert len(brute.alphabet) == 66001 and sum(len(x) == 3 for x in brute.left) > 20000
+    rows = [*enumerate(lines[:200]), (-1, "s7a p7 q7 r7b s8b p8 q8 r8b zz r9a"), (-2, None)]
+    model = suffix_tree_lm.fit(spark.createDataFrame(list(enumerate(lines)), SCHEMA).repartition(3))
+    assert len(model.alphabet) == 66000
+    got = {r["doc_id"]: r["score"] for r in suffix_tree_lm.score(spark.createDataFrame(rows, SCHEMA), model).collect()}
+    assert got == {i: pytest.approx(brute.score(x)) for i, x in rows}
+
+
 def test_lm_gain_on_held_out(spark):
     """Held-out texts gain a twentieth of a log10 a token over the base at least."""
     sums = queries.op3_suffix_tree_lm(spark, SF.replace("0.001", "0.01")).where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
