@@ -11,16 +11,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def square_mod(k: str, a: int, b: int, c: int, m: int) -> str:
+    """SQL of (k * k * a + k * b + c) % m. Its products have no more bits than those of m, so no key is too large; below m the key itself counts, as the remainder has the sign of the sum."""
+    small = f"(CASE WHEN {k} BETWEEN {1 - m} AND {m - 1} THEN {k} ELSE pmod({k}, {m}) END)"
+    return f"({small} * {small} * {a} + {small} * {b} + {c}) % {m}"
+
+
 def _boxes(rows: DataFrame) -> DataFrame:
     """Rows with key k: x0, y0, w, h, score, category_id, scene_id."""
     return rows.selectExpr(
         "*",
         "k div 4000 AS scene_id",
-        "cast((k * k * 7919 + k * 104729 + 12345) % 1000003 AS double) / 1000003 * 2000 AS x0",
-        "cast((k * k * 6007 + k * 130363 + 777) % 1000003 AS double) / 1000003 * 2000 AS y0",
-        "cast(4 + (k * 31) % 21 AS double) AS w",
-        "cast(4 + (k * 17) % 21 AS double) AS h",
-        "0.05D + cast((k * 48271) % 9001 AS double) / 10000 AS score",
+        f"cast({square_mod('k', 7919, 104729, 12345, 1000003)} AS double) / 1000003 * 2000 AS x0",
+        f"cast({square_mod('k', 6007, 130363, 777, 1000003)} AS double) / 1000003 * 2000 AS y0",
+        "cast(4 + (k % 21 * 31) % 21 AS double) AS w",
+        "cast(4 + (k % 21 * 17) % 21 AS double) AS h",
+        "0.05D + cast((k % 9001 * 48271) % 9001 AS double) / 10000 AS score",
         "cast(k % 3 AS int) AS category_id",
     )
 
@@ -37,8 +43,8 @@ def angles(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_id AS det_id",
         "user_id",
         "event_type",
-        """CASE WHEN event_id % 97 = 0 THEN NULL WHEN event_type = 'purchase' THEN cast(125 + (event_id * 7) % 21 AS double)
-           ELSE cast((event_id * event_id * 7919 + event_id * 31337 + 99) % 18000 AS double) / 100 END AS angle180""",
+        f"""CASE WHEN event_id % 97 = 0 THEN NULL WHEN event_type = 'purchase' THEN cast(125 + (event_id % 21 * 7) % 21 AS double)
+           ELSE cast({square_mod('event_id', 7919, 31337, 99, 18000)} AS double) / 100 END AS angle180""",
         "1 + cast(event_id % 40 AS double) / 20 AS aspect_ra",
         "1 + cast(event_id % 23 AS double) / 2 AS diameter_m",
     )

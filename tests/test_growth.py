@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessaxis.functions import geometry, images
 from tessaxis.operators import coco, masks, orientation, spatial, sweeps, texture, tiles
+from tessaxis.plans import fixtures, registry
 from tessaxis.sources import stages
 
 
@@ -164,3 +165,28 @@ def test_a_median_by_its_bracket_is_exact(spark, n):
     for a in (rng.normal(0, 1, n), rng.integers(0, 4, n).astype(float)):
         v = spark.createDataFrame([(float(x),) for x in a] + [(None,)], "v double")
         assert spatial.median(v, "v") == pytest.approx(np.median(a), rel=1e-12)
+
+
+def test_keys_as_large_as_at_6_gb(spark):
+    """54 million orders and 36 million events: their keys' squares times a factor leave the range of a long."""
+    rest = lambda v, m: (abs(v) % m) * (1 if v >= 0 else -1)
+    keys = [-1_000_004, -1_000_003, -7, -1, 0, 5, 999_999, 1_000_003, 34_200_000, 36_000_001, 53_999_999, 2**61 + 9]
+    rows = spark.createDataFrame([(k,) for k in keys], "k long")
+    for r in fixtures._boxes(rows).collect():
+        k = r["k"]
+        assert r["x0"] == rest(k * k * 7919 + k * 104729 + 12345, 1000003) / 1000003 * 2000
+        assert r["y0"] == rest(k * k * 6007 + k * 130363 + 777, 1000003) / 1000003 * 2000
+        assert (r["w"], r["h"], r["score"]) == (4 + rest(k * 31, 21), 4 + rest(k * 17, 21), 0.05 + rest(k * 48271, 9001) / 10000)
+    got = rows.selectExpr("k", f"{fixtures.square_mod('k', 7919, 31337, 99, 18000)} AS v").collect()
+    assert [r["v"] for r in got] == [rest(k * k * 7919 + k * 31337 + 99, 18000) for k in keys]
+
+
+@pytest.mark.parametrize("name, table, first", [("g8_average_precision", "orders", 53_999_000), ("g8_mask_average_precision", "orders", 53_999_000), ("e1_known_angles", "events", 35_999_000)])
+def test_queries_with_keys_as_large_as_at_6_gb(spark, tmp_path, name, table, first):
+    key = "o_orderkey" if table == "orders" else "event_id"
+    spark.range(first, first + 300).selectExpr(f"id AS {key}", "1L AS user_id", "'view' AS event_type").write.parquet(f"{tmp_path}/{table}.parquet")
+    rows = registry.QUERIES[name](spark, str(tmp_path)).collect()
+    if table == "events":
+        assert len(rows) == 300 and all(r["fits"] is (None if r["det_id"] % 97 == 0 else True) for r in rows)
+    else:
+        assert len(rows) == 1 and 0 < rows[0]["ap"] < 1
