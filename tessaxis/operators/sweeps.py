@@ -5,6 +5,7 @@ parameter columns, n, pixels) to detections (the same keys, local_id, cx, cy, an
 """
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -12,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessaxis.functions import axial, images
+from tessaxis.functions import axial, geometry, images
 from tessaxis.operators import masks, orientation, tiles
 from tessaxis.sources.stages import dropped, merged, written
 
@@ -205,9 +206,11 @@ def greedy_matches(truth: DataFrame, dets: DataFrame, radius: float, key: str =
     plane with at most `most` truths each. A truth is final as soon as no earlier one that is still open, in its block or
     in another, can want its nearest detection left; inside a block this is decided in order, so that chains of truths
     cross a block in one round. A task holds one truth's candidates and the ids that its block has used.
-    """
-    from tessaxis.operators.spatial import point_pairs
 
+    A truth first meets its nearest detections only, where they are many, so pairs grow with the tables and not with their
+    square. As long as no such truth finds all of these used, each has taken what it would have taken of all in the radius.
+    Else the keys of such truths are matched again, first with the radius for these truths, then for all.
+    """
     # cells that hold about `most` truths, wide enough for a detection's candidates to lie in four at most
     (n, w, h) = truth.agg(F.count("*") / F.greatest(F.count_distinct(key), F.lit(1)), F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
     w, h = sorted((w or 0.0, h or 0.0))
@@ -215,27 +218,105 @@ def greedy_matches(truth: DataFrame, dets: DataFrame, radius: float, key: str =
     side = max(h * most / max(n, 1), side) if side > w else side
     cell = lambda c: F.floor(F.col(c) / side)
     order = Window.partitionBy(key, "cx", "cy").orderBy("truth_id")
-    a = truth.select(key, "truth_id", F.col("x").alias("x_a"), F.col("y").alias("y_a"), cell("x").alias("cx"), cell("y").alias("cy"))
-    a = a.withColumn("chunk", F.floor((F.row_number().over(order) - 1) / most)).select(key, "truth_id", "x_a", "y_a", F.struct("cx", "cy", "chunk").alias("block"))
-    b = dets.select(key, "det_id", "score", F.col("x").alias("x_b"), F.col("y").alias("y_b"))
-    left = written(point_pairs(a, b, radius, [key]).select(key, "truth_id", "det_id", "score", "dist", "block"))
+    a = first_reach(truth.select(key, "truth_id", "x", "y").where(F.col(key).isNotNull()), dets.select(key, "x", "y"), radius, key).select("*", cell("x").alias("cx"), cell("y").alias("cy"))
+    a = a.withColumn("chunk", F.floor((F.row_number().over(order) - 1) / most)).select(key, "truth_id", "x", "y", "r", "k", F.struct("cx", "cy", "chunk").alias("block"))
+    asking, out = written(a), None
+    for widened in ("short", "all", None):
+        found = _in_rounds(asking, dets, radius, key)
+        short = written(asking.where(F.col("r") < radius).join(merged(found.select(key, "truth_id")), [key, "truth_id"], "left_anti").select(key, "truth_id"))
+        again = short.select(key).distinct()
+        is_done = widened is None or short.isEmpty()
+        final = found if is_done else found.join(merged(again), key, "left_anti")
+        out = final if out is None else out.unionByName(final)
+        if is_done:
+            break
+        rest = asking.join(merged(again), key, "left_semi")
+        if widened == "short":
+            rest = rest.join(merged(short.withColumn("_short", F.lit(True))), [key, "truth_id"], "left")
+        asking = written(rest.withColumn("r", F.when(F.col("_short"), F.lit(radius)).otherwise(F.col("r")) if widened == "short" else F.lit(radius)).select(*asking.columns))
+    return out
+
+
+#: Detections that a first reach holds, and further ones for each other truth in it; rows of the curve that it is taken from, on either side.
+ENOUGH, FOR_EACH, LOOKED_AT = 8, 2, 16
+#: The least reach, as a share of the radius.
+LEAST_REACH = 1 / 32
+
+
+def first_reach(truth: DataFrame, dets: DataFrame, radius: float, key: str) -> DataFrame:
+    """truth (key, truth_id, x, y) with r: the radius, or a smaller one that holds k detections (key, x, y), ENOUGH more than other truths will take there.
+
+    Both are sorted along a curve over all tasks; what lies before and after a truth in its batch tells. Where truths are
+    as many as detections, r is the radius.
+    """
+    from tessaxis.operators.spatial import _curve
+
+    kinds = ", ".join(f"`{c}` {truth.schema[c].dataType.simpleString()}" for c in (key, "truth_id"))
+    both = truth.withColumn("is_truth", F.lit(True)).unionByName(dets.withColumn("is_truth", F.lit(False)), allowMissingColumns=True)
+    keyed = both.select(key, "truth_id", F.col("x").cast("double"), F.col("y").cast("double"), "is_truth", *_curve(F.col("x"), F.col("y"), 64 * radius))
+    order = [key, "_cx", "_cy", "_z", "x", "y"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y, is_truth = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("x", "y", "is_truth"))
+            codes = batch.column(key).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            own, other = np.flatnonzero(is_truth), np.flatnonzero(~is_truth)
+
+            def apart(rows: np.ndarray, at: np.ndarray, steps: list[int], x=x, y=y, codes=codes, own=own) -> np.ndarray:
+                """Distances of each truth from the rows so many steps on from a place in `rows`; infinite where there is none."""
+                out = np.full((len(steps), len(own)), np.inf)
+                for d, step in zip(out, steps, strict=True):
+                    place = at + step
+                    ok = (place >= 0) & (place < len(rows))
+                    ok[ok] = codes[rows[place[ok]]] == codes[own[ok]]
+                    d[ok] = np.hypot(x[rows[place[ok]]] - x[own[ok]], y[rows[place[ok]]] - y[own[ok]])
+                return np.where(np.isnan(out), np.inf, out)
+
+            near = np.sort(apart(other, np.searchsorted(other, own), list(range(-LOOKED_AT, LOOKED_AT))), axis=0)
+            rivals = apart(own, np.arange(len(own)), [i for i in range(-LOOKED_AT // 2, LOOKED_AT // 2 + 1) if i])
+            r, k = np.full(len(own), float(radius)), np.zeros(len(own), np.int32)
+            for j in range(len(near) - 1, ENOUGH - 2, -1):
+                holds = j + 1 >= ENOUGH + FOR_EACH * (rivals <= near[j]).sum(0)
+                holds &= near[j] < radius
+                r[holds], k[holds] = near[j][holds], j + 1
+            r = np.minimum(np.maximum(r * (1 + 1e-9), radius * LEAST_REACH), radius)
+            taken = pa.array(own)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(taken) for c in (key, "truth_id", "x", "y")), pa.array(r), pa.array(k)], [key, "truth_id", "x", "y", "r", "k"])
+
+    placed = keyed.repartitionByRange(*order).sortWithinPartitions(*order).select(key, "truth_id", "x", "y", "is_truth")
+    return placed.mapInArrow(run, f"{kinds}, x double, y double, r double, k int")
+
+
+def _in_rounds(asking: DataFrame, dets: DataFrame, radius: float, key: str) -> DataFrame:
+    """The greedy matches if each truth has only the detections within r, or the k nearest if r is less than the radius: key, truth_id, det_id, dist, score."""
+    from tessaxis.operators.spatial import sized_pairs
+
+    at = lambda d: geometry.box(F.col("x") - d, F.col("y") - d, F.col("x") + d, F.col("y") + d)
+    # the distance, as rounded, decides, not the box
+    a = asking.select(key, "truth_id", "block", "r", "k", F.col("x").alias("x_a"), F.col("y").alias("y_a"), at(F.col("r") + 1e-9 * radius).alias("box_a"))
+    b = dets.select(key, "det_id", "score", geometry.box(F.col("x"), F.col("y"), F.col("x"), F.col("y")).alias("box_b"))
+    dist = F.hypot(F.col("x_a") - F.col("box_b.xmin"), F.col("y_a") - F.col("box_b.ymin"))
+    near = sized_pairs(a, b, [key]).withColumn("dist", dist).where("dist <= r")
+    nearest = F.row_number().over(Window.partitionBy(key, "truth_id").orderBy("dist", "det_id"))
+    left = written(near.withColumn("_n", nearest).where((F.col("_n") <= F.col("k")) | (F.col("r") >= radius)).select(key, "truth_id", "det_id", "score", "dist", "block"))
     found = []
-    while not left.isEmpty():
-        decided = written(_decided(left, key))
+    while n := left.count():
+        decided = written(_decided(left, key, n))
         found.append(decided.where("det_id IS NOT NULL"))
         rest = left.join(merged(decided.select(key, "truth_id")), [key, "truth_id"], "left_anti").join(merged(found[-1].select(key, "det_id")), [key, "det_id"], "left_anti")
         last, left = left, written(rest)
         dropped(last)
     if not found:
         return left.select(key, "truth_id", "det_id", "dist", "score")
-    out = found[0]
-    for x in found[1:]:
-        out = out.unionByName(x)
-    return out
+    return reduce(DataFrame.unionByName, found)
+
+
+#: Pairs that a task of a round walks through, where that makes fewer tasks than a shuffle has.
+PAIRS_A_TASK = 50_000
 
 
-def _decided(pairs: DataFrame, key: str) -> DataFrame:
-    """Truths that are final: key, truth_id and the detection taken, null if none is left."""
+def _decided(pairs: DataFrame, key: str, n: int | None = None) -> DataFrame:
+    """Of n pairs, the truths that are final: key, truth_id and the detection taken, null if none is left."""
     firsts = pairs.groupBy(key, "det_id", "block").agg(F.min("truth_id").alias("t"))
     two = firsts.groupBy(key, "det_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("t", "block"))), 1, 2).alias("two"))
     first, second = F.col("two")[0], F.try_element_at("two", F.lit(2))
@@ -281,6 +362,7 @@ def _decided(pairs: DataFrame, key: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 5, kinds, strict=True)], names)
 
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts if n is None else max(1, min(parts, -(-n // PAIRS_A_TASK)))
     flat = known.select(key, "block.cx", "block.cy", "block.chunk", "truth_id", "dist", "det_id", "score", "other")
     place = [key, "cx", "cy", "chunk"]
     return flat.repartition(parts, *place).sortWithinPartitions(*place, "truth_id", "dist", "det_id").mapInArrow(run, schema)

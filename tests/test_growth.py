@@ -190,3 +190,45 @@ def test_queries_with_keys_as_large_as_at_6_gb(spark, tmp_path, name, table, fir
         assert len(rows) == 300 and all(r["fits"] is (None if r["det_id"] % 97 == 0 else True) for r in rows)
     else:
         assert len(rows) == 1 and 0 < rows[0]["ap"] < 1
+
+
+def crowd(rng, n_truth, n_det, side):
+    t = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(0, side, (n_truth, 2)))]
+    return t, [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(0, side, (n_det, 2)))]
+
+
+def matched_by(spark, t, d, radius, most=50):
+    truth = spark.createDataFrame([(0.0, *x) for x in t], "phi0 double, truth_id long, x double, y double")
+    dets = spark.createDataFrame([(0.0, *x, 0.5) for x in d], "phi0 double, det_id long, x double, y double, score double")
+    return {r["truth_id"]: r["det_id"] for r in sweeps.greedy_matches(truth, dets, radius, most=most).collect()}
+
+
+def matched_in_order(t, d, radius):
+    ids, xy = np.array([x[0] for x in d]), np.array([x[1:] for x in d])
+    free, out = np.ones(len(d), bool), {}
+    for i, x, y in t:
+        dist = np.where(free, np.hypot(xy[:, 0] - x, xy[:, 1] - y), np.inf)
+        j = np.lexsort((ids, dist))[0]
+        if dist[j] <= radius:
+            free[j], out[i] = False, int(ids[j])
+    return out
+
+
+def test_a_truth_meets_few_detections_however_many_are_near(spark, monkeypatch):
+    t, d = crowd(np.random.default_rng(3), 300, 3000, 60.0)
+    pairs, real = [], sweeps._decided
+    monkeypatch.setattr(sweeps, "_decided", lambda p, *a: pairs.append(p.count()) or real(p, *a))
+    assert matched_by(spark, t, d, 18.0) == matched_in_order(t, d, 18.0)
+    assert pairs[0] < 25 * len(t)  # within the radius lie over 500 a truth
+
+
+@pytest.mark.parametrize("enough, n_truth, n_det", [(1, 300, 3000), (1, 400, 500), (3, 900, 700)])
+def test_matches_are_exact_where_the_nearest_do_not_suffice(spark, monkeypatch, enough, n_truth, n_det):
+    """A truth whose nearest detections are all taken gets those in the whole radius, and later ones of its key are matched anew."""
+    monkeypatch.setattr(sweeps, "ENOUGH", enough)
+    monkeypatch.setattr(sweeps, "FOR_EACH", 0)
+    passes, real = [], sweeps._in_rounds
+    monkeypatch.setattr(sweeps, "_in_rounds", lambda *a: passes.append(1) or real(*a))
+    t, d = crowd(np.random.default_rng(n_det), n_truth, n_det, 90.0)
+    assert matched_by(spark, t, d, 12.0) == matched_in_order(t, d, 12.0)
+    assert len(passes) > 1
