@@ -239,6 +239,23 @@ def test_lm_has_all_frequent_words(spark, monkeypatch):
     assert got == {i: pytest.approx(brute.score(x)) for i, x in rows}
 
 
+def test_lm_bar_is_as_high_for_many_tokens(spark, monkeypatch):
+    """Among a million tokens words and contexts that came three times count as they do among a thousand."""
+    assert suffix_tree_lm.least_count(10**12) == suffix_tree_lm.least_count(10) == suffix_tree_lm.MIN_COUNT
+    for name, value in (("MIN_COUNT", 3), ("GAIN", 1.0)):
+        monkeypatch.setattr(suffix_tree_lm, name, value)
+    rng = random.Random(8)
+    lines = [" ".join("abcdefgh"[rng.randrange(8)] for _ in range(2000)) for _ in range(500)] + ["rare words come thrice"] * 3
+    brute = BruteTree(lines)
+    assert brute.n > 10**6 and {(b"rare",), (b"rare", b"words"), (b"rare", b"words", b"come")} & set(brute.left)
+    model = suffix_tree_lm.fit(spark.createDataFrame(list(enumerate(lines)), SCHEMA).repartition(3))
+    assert len(model.alphabet) == 12
+    rows = [(1, "rare words come thrice"), (2, "a b rare words"), (3, None)]
+    got = {r["doc_id"]: (r["score"], r["base_score"]) for r in suffix_tree_lm.score(spark.createDataFrame(rows, SCHEMA), model).collect()}
+    assert {i: s for i, (s, _) in got.items()} == {i: pytest.approx(brute.score(x)) for i, x in rows}
+    assert got[1][0] > got[1][1] + 10
+
+
 def test_lm_gain_on_held_out(spark):
     """Held-out texts gain a twentieth of a log10 a token over the base at least."""
     sums = queries.op3_suffix_tree_lm(spark, SF.replace("0.001", "0.01")).where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
@@ -685,3 +702,23 @@ def exact_key(text):
     import re
 
     return re.sub("[\x20\x09-\x0d]+", " ", text or "")
+
+
+def test_lm_keys_at_hand_are_bounded(spark, monkeypatch):
+    """However many keys a tree has; others, and those that a small bitmap takes for keys, are joined, with the same scores."""
+    for name, value in (("MIN_COUNT", 3), ("GAIN", 1.0)):
+        monkeypatch.setattr(suffix_tree_lm, name, value)
+    rng = random.Random(9)
+    phrases = [f"s{i} p{i} q{i}" for i in range(300) for _ in range(3 + i % 5)]
+    rng.shuffle(phrases)
+    lines = [" ".join(phrases[i : i + 20]) for i in range(0, len(phrases), 20)]
+    brute, texts = BruteTree(lines), spark.createDataFrame(list(enumerate(lines)), SCHEMA).repartition(3)
+    for most, bits in ((40, 1 << 26), (10**6, 1 << 10)):
+        monkeypatch.setattr(suffix_tree_lm, "HEAD_MOST", most)
+        monkeypatch.setattr(suffix_tree_lm, "BITMAP_BITS", bits)
+        model = suffix_tree_lm.fit(texts)
+        at_hand = len(suffix_tree_lm._head(model.gains, 0)[0])
+        assert at_hand <= most and model.gains.count() > 600
+        assert len(suffix_tree_lm.bitmap(model.gains, "e", "f")) * 64 >= min(bits, 16 * 600)
+        got = {r["doc_id"]: r["score"] for r in suffix_tree_lm.score(texts, model).collect()}
+        assert got == {i: pytest.approx(brute.score(x)) for i, x in enumerate(lines)}
